@@ -38,10 +38,17 @@ def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trajecta.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_multiset_fingerprint": op2_multiset_fingerprint,
     "op5_cost_balanced_packing": op5_cost_balanced_packing,
     "op6_bpe_tree": op6_bpe_tree,
+    "op10_circulant_minhash": op10_circulant_minhash,
 }
 
 ORACLES: dict[str, str] = {}
