@@ -15,6 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trajecta.llm.toxicity import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trajecta.llm.random_indexing import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trajecta.llm.multiset_hash import fingerprint_documents
 
@@ -45,6 +57,8 @@ def op10_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op8_quality": op8_quality,
     "op2_multiset_fingerprint": op2_multiset_fingerprint,
     "op5_cost_balanced_packing": op5_cost_balanced_packing,
     "op6_bpe_tree": op6_bpe_tree,
