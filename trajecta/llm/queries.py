@@ -33,6 +33,12 @@ def op2_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trajecta.llm.repeats import removed_digest
+
+    return removed_digest(table(spark, sf_dir, "documents"))
+
+
 def op5_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -60,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op8_quality": op8_quality,
     "op2_multiset_fingerprint": op2_multiset_fingerprint,
+    "op4_suffix_repeats": op4_suffix_repeats,
     "op5_cost_balanced_packing": op5_cost_balanced_packing,
     "op6_bpe_tree": op6_bpe_tree,
     "op10_circulant_minhash": op10_circulant_minhash,
