@@ -56,6 +56,12 @@ def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trajecta.llm.pivots import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trajecta.llm.minhash import near_duplicates
 
@@ -69,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_suffix_repeats": op4_suffix_repeats,
     "op5_cost_balanced_packing": op5_cost_balanced_packing,
     "op6_bpe_tree": op6_bpe_tree,
+    "op9_pivot_index": op9_pivot_index,
     "op10_circulant_minhash": op10_circulant_minhash,
 }
 
