@@ -176,3 +176,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     out = rows.select("doc_id", "n_shingles", "key").join(answer, "key", "left")
     cid = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", cid.alias("component_id"), F.coalesce(F.col("doc_id") == cid, F.lit(False)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of linked rows of ``docs``, with its columns: that of least doc_id.
+
+    Rows without words stay, as do rows with a null doc_id.  Of rows that share
+    the least doc_id, those with the least hash of their text stay, once each.
+    """
+    found = near_duplicates(docs, words, percent, doc_id, text)
+    kept = found.where(F.col("kept") | F.col("doc_id").isNull()).select(F.col("doc_id").alias("_d")).distinct()
+    out = docs.join(kept, docs[doc_id].eqNullSafe(kept["_d"]), "left_semi")
+    again = out.groupBy(out[doc_id].alias("_d")).agg(F.count("*").alias("c"), F.min(F.xxhash64(out[text])).alias("_h")).where("c > 1")
+    out = out.join(again, out[doc_id].eqNullSafe(again["_d"]), "left")
+    first = out.where(F.col("_h").isNull() | (F.xxhash64(out[text]) == F.col("_h")) | out[doc_id].isNull())
+    return first.select([docs[c] for c in docs.columns])

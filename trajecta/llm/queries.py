@@ -21,6 +21,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_license_patience(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trajecta.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trajecta.llm.random_indexing import classify
 
@@ -33,6 +39,16 @@ def op2_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_chat_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of all conversations, laid out as transcripts, parsed back; ``role`` is what the table has."""
+    from trajecta.llm.chat_hmm import as_transcript, parse_blocks
+
+    conv = table(spark, sf_dir, "conversations")
+    parsed = parse_blocks(as_transcript(conv))
+    role = conv.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), "role")
+    return parsed.join(role, parsed.conv_id.eqNullSafe(role.c) & parsed.turn.eqNullSafe(role.t)).select(*parsed.columns, "role")
+
+
 def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trajecta.llm.repeats import removed_digest
 
@@ -72,9 +88,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op8_quality": op8_quality,
     "op2_multiset_fingerprint": op2_multiset_fingerprint,
+    "op3_chat_hmm": op3_chat_hmm,
     "op4_suffix_repeats": op4_suffix_repeats,
     "op5_cost_balanced_packing": op5_cost_balanced_packing,
     "op6_bpe_tree": op6_bpe_tree,
+    "op7_license_patience": op7_license_patience,
     "op9_pivot_index": op9_pivot_index,
     "op10_circulant_minhash": op10_circulant_minhash,
 }
