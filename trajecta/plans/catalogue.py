@@ -1,4 +1,4 @@
-"""Queries for the operators, and the SQL that gives the same rows."""
+"""All queries for the operators, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
@@ -6,5 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trajecta.plans import batches, catalogs, conversations, rollouts, scans, sequences, texts
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+for _part in (scans, conversations, texts, sequences, rollouts, batches, catalogs):
+    QUERIES |= {k: q for k, (q, _) in _part.PLANS.items()}
+    ORACLES |= {k: sql for k, (_, sql) in _part.PLANS.items() if sql}
