@@ -7,6 +7,7 @@ import heapq
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def with_ordinal(df: DataFrame, order: list[str], name: str = "ordinal") -> DataFrame:
@@ -112,7 +113,7 @@ def largest_differencing(costs: list[int], k: int, equal: bool) -> list[int]:
 
 def balance(df: DataFrame, batch: str, order: str, length: str, k: int, equal: bool = False, method: str = "kk") -> DataFrame:
     """``part`` of each row inside its batch.  A batch is bounded by its size in training, so it is one group of applyInPandas."""
-    schema = df.select(batch, order, length).schema.add("part", "int")
+    schema = df.select(batch, order, length).schema.add("part", T.IntegerType())
 
     def run(pdf):
         pdf = pdf.sort_values(order, kind="stable")
@@ -126,7 +127,7 @@ def balance(df: DataFrame, batch: str, order: str, length: str, k: int, equal: b
 
 def micro_batches(df: DataFrame, batch: str, order: str, length: str, budget: int) -> DataFrame:
     """``micro`` of each row: as few parts of the batch as its tokens need, balanced by workload."""
-    schema = df.select(batch, order, length).schema.add("micro", "int")
+    schema = df.select(batch, order, length).schema.add("micro", T.IntegerType())
 
     def run(pdf):
         pdf = pdf.sort_values(order, kind="stable")
@@ -140,7 +141,7 @@ def micro_batches(df: DataFrame, batch: str, order: str, length: str, budget: in
 
 def sequential_pack(df: DataFrame, batch: str, order: str, length: str, rows: int, tokens: int) -> DataFrame:
     """``pack`` of each row, filled in order: a new one begins where the row or token cap would break (padding to the longest counts)."""
-    schema = df.select(batch, order, length).schema.add("pack", "int")
+    schema = df.select(batch, order, length).schema.add("pack", T.IntegerType())
 
     def run(pdf):
         pdf = pdf.sort_values(order, kind="stable")

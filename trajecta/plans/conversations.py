@@ -1,3 +1,102 @@
-"""."""
+"""Message operators over ``conversations``."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from trajecta.operators import messages as M
+from trajecta.plans.base import plan, table
 
 PLANS: dict = {}
+
+#: One row for each conversation and turn with its place from 0 and the assistant turns up to it.
+LONG = """select *, row_number() over (partition by conv_id order by turn) - 1 i, sum(cast(role = 'assistant' as int)) over (partition by conv_id order by turn) a,
+count(*) over (partition by conv_id) n, sum(cast(role = 'assistant' as int)) over (partition by conv_id) na from conversations"""
+
+
+def convs(s, d):
+    return M.gather(table(s, d, "conversations"))
+
+
+@plan(PLANS, f"with l as ({LONG}) select conv_id, turn, role, row_number() over (partition by conv_id, role order by turn) role_turn, round(i * 1.0 / greatest(n - 1, 1), 6) place from l")
+def role_turn_counter(s, d):
+    return M.role_counter(table(s, d, "conversations")).select("conv_id", "turn", "role", "role_turn", F.round("place", 6).alias("place"))
+
+
+CUT = f"""with l as ({LONG}), c as (select conv_id, max(na) na from l group by 1), r as (select conv_id, na, unnest([0.1, 0.3, 0.5]) share from c),
+t as (select *, case when na <= 1 then 0 else cast(ceil(share * (na - 1) - 1e-9) as int) end turn_cut from r)"""
+
+
+@plan(PLANS, f"{CUT} select t.conv_id, cast(share as double) share, turn_cut, count(*) filter (na_ok and l.i <= p) n_prefix, count(*) filter (not (na_ok and l.i <= p)) n_rest from (select t.*, na > 0 na_ok, (select min(l.i) from l where l.conv_id = t.conv_id and l.a = t.turn_cut + 1) p from t) t join l on l.conv_id = t.conv_id group by 1, 2, 3")
+def prefix_split_sizes(s, d):
+    c = convs(s, d).withColumn("share", F.explode(F.array(F.lit(0.1), F.lit(0.3), F.lit(0.5))))
+    n = M.count_role(F.col("messages"), "assistant")
+    c = c.withColumn("turn_cut", F.coalesce(*[F.when(F.col("share") == x, M.cut_turn(n, x)) for x in (0.1, 0.3, 0.5)]))
+    a, b = M.split_at(F.col("messages"), F.col("turn_cut"))
+    return c.select("conv_id", "share", "turn_cut", F.size(a).cast("long").alias("n_prefix"), F.size(b).cast("long").alias("n_rest"))
+
+
+@plan(PLANS, """with c as (select conv_id, max(case when turn = f then text end) t from (select *, min(case when role = 'user' then turn end) over (partition by conv_id) f from conversations) group by 1) select conv_id, t first_user, length(t) n_chars from c""")
+def first_user_message(s, d):
+    first = F.try_element_at(F.filter("messages", lambda m: m["role"] == "user"), F.lit(1))["content"]
+    return convs(s, d).select("conv_id", first.alias("first_user"), F.length(first).cast("long").alias("n_chars"))
+
+
+@plan(PLANS, f"with l as ({LONG}), c as (select conv_id, max(na) na, max(n) n from l group by 1), p as (select c.*, case when na <= 1 then 0 else cast(ceil(0.5 * (na - 1) - 1e-9) as int) end tc from c), q as (select p.*, (select min(l.i) from l where l.conv_id = p.conv_id and l.a = p.tc + 1) cutp from p) select q.conv_id, 1 + count(*) filter (q.na > 0 and l.i <= cutp) + least(count(*) filter (not (q.na > 0 and l.i <= coalesce(cutp, -1)) and role = 'user'), 1) n_messages from q join l on l.conv_id = q.conv_id group by 1")
+def training_prompt_sizes(s, d):
+    c = convs(s, d)
+    a, b = M.split_at(F.col("messages"), M.cut_turn(M.count_role(F.col("messages"), "assistant"), 0.5))
+    return c.select("conv_id", F.size(M.training_prompt(F.lit("You solve the task."), a, b)).cast("long").alias("n_messages"))
+
+
+VAR = f"""with l as ({LONG}), c as (select conv_id, max(na) na from l group by 1), v as (select conv_id, na, 'fixed_0p3' variant, false is_raw, case when na <= 1 then 0 else cast(ceil(0.3 * (na - 1) - 1e-9) as int) end tc from c union all
+select conv_id, na, 'fixed_0p5', false, case when na <= 1 then 0 else cast(ceil(0.5 * (na - 1) - 1e-9) as int) end from c union all select conv_id, na, 'raw', true, 0 from c),
+p as (select v.*, (select min(l.i) from l where l.conv_id = v.conv_id and l.a = v.tc + 1) cutp, case when na > 1 then tc * 1.0 / (na - 1) else 0 end place from v),
+k as (select p.conv_id, variant, is_raw, place, count(*) filter (l.role = 'assistant' and (is_raw or cutp is null or l.i > cutp)) ra, count(*) filter (l.role = 'user' and (is_raw or cutp is null or l.i > cutp)) ru from p join l on l.conv_id = p.conv_id group by 1, 2, 3, 4)"""
+
+
+@plan(PLANS, f"{VAR} select conv_id, variant, case when is_raw then null else ra end remaining_turns, case when is_raw then null else greatest(ru - 1, 0) end remaining_steps, case when is_raw then 'raw' when place <= 1.0 / 3 then 'early' when place <= 2.0 / 3 then 'mid' else 'late' end cut_stage, not is_raw and ra = 0 and ru = 1 terminal_like, case when is_raw then 'raw' when ra = 0 and ru = 1 then 'prefix_terminal_like' else 'prefix_non_terminal' end row_type from k")
+def row_labels(s, d):
+    x = M.labels(M.variants(convs(s, d), "conv_id", [0.3, 0.5]))
+    return x.select("conv_id", "variant", F.col("remaining_turns").cast("long").alias("remaining_turns"), F.col("remaining_steps").cast("long").alias("remaining_steps"), "cut_stage", "terminal_like", "row_type")
+
+
+@plan(PLANS, f"{VAR}, z as (select case when is_raw then 'raw' when place <= 1.0 / 3 then 'early' when place <= 2.0 / 3 then 'mid' else 'late' end cut_stage, variant from k) select variant, cut_stage, count(*) n from z group by grouping sets ((variant), (cut_stage), (variant, cut_stage), ())")
+def label_summary(s, d):
+    x = M.labels(M.variants(convs(s, d), "conv_id", [0.3, 0.5]))
+    v, c = F.col("variant"), F.col("cut_stage")
+    return x.groupingSets([[v], [c], [v, c], []], v, c).agg(F.count("*").alias("n")).select("variant", "cut_stage", "n")
+
+
+@plan(PLANS, f"{VAR} select 'main::' || cast(conv_id as varchar) || '::' || variant record_uid, is_raw from k")
+def record_uids(s, d):
+    x = M.variants(convs(s, d), "conv_id", [0.3, 0.5])
+    return x.select(M.record_uid("main", F.col("conv_id").cast("string"), F.col("variant")).alias("record_uid"), M.is_raw(F.col("is_raw"), F.col("variant")).alias("is_raw"))
+
+
+@plan(PLANS, "with k as (select conv_id, count(*) filter (role = 'assistant') n from conversations group by 1) select conv_id, n n_invalid, true dropped from k")
+def invalid_prefix_turns(s, d):
+    c = convs(s, d)
+    bad = M.invalid_turns(F.col("messages"))
+    return c.select("conv_id", F.size(bad).cast("long").alias("n_invalid"), ((F.size(bad) > 0) | (F.size(M.actions(F.col("messages"))) == 0)).alias("dropped"))
+
+
+@plan(PLANS, "select conv_id, sum(cast(role = 'assistant' as int)) trained, count(*) n from conversations group by 1")
+def behaviour_clone_rows(s, d):
+    c = convs(s, d)
+    rows = M.demo_messages(F.array().cast("array<struct<role:string,content:string>>"), F.col("messages"))
+    return c.select("conv_id", F.aggregate(rows, F.lit(0), lambda a, m: a + m["train"]).cast("long").alias("trained"), F.size(rows).cast("long").alias("n"))
+
+
+@plan(PLANS, "select conv_id, string_agg('<|' || role || '|>' || text, chr(10) order by turn) rendered from conversations group by 1")
+def render_history(s, d):
+    return convs(s, d).select("conv_id", F.array_join(F.transform("messages", lambda m: F.concat(F.lit("<|"), m["role"], F.lit("|>"), m["content"])), "\n").alias("rendered"))
+
+
+@plan(PLANS, "with t as (select conv_id, turn, length(text) n, sum(length(text)) over (partition by conv_id order by turn) e from conversations) select conv_id, turn, cast(e - n as bigint) span_start, cast(e as bigint) span_end from t")
+def message_spans(s, d):
+    from pyspark.sql import Window
+
+    n = F.length("text")
+    e = F.sum(n).over(Window.partitionBy("conv_id").orderBy("turn"))
+    return table(s, d, "conversations").select("conv_id", "turn", (e - n).alias("span_start"), e.alias("span_end"))
