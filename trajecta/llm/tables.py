@@ -29,23 +29,34 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of an edge: root is the smallest node reachable.
+    """(node, root) for every node of an edge; nodes share a root exactly if they are connected.
 
-    Labels move along edges and then jump to the label of the label, so rounds
-    are about the logarithm of the longest shortest path.  Only minima are
+    Each round points every node to the least of itself and its neighbours (in
+    a hashed order, so that chains break up evenly), follows the pointers twice
+    and contracts the edges along them.  Edges shrink by a constant factor, so
+    all rounds together move a small multiple of the edges.  Only minima are
     gathered for a node, so a hub costs its map tasks and not one reducer.
     Null ends and loops are left out; no edges give no rows.
     """
-    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
-    both = cut(e.union(e.select("b", "a")).toDF("a", "b").distinct())
-    label = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
+    first = lambda x: F.struct(F.xxhash64(x).alias("p"), F.col(x).alias("n"))
+    e = cut(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct())
+    steps = []
     for _ in range(rounds):
-        heard = both.join(label, both.b == label.node).groupBy("a").agg(F.min("root").alias("m"))
-        near = label.join(heard, label.node == heard.a).select("node", F.col("root").alias("was"), F.least("root", "m").alias("root"))
-        up = label.select(F.col("node").alias("up"), F.col("root").alias("above"))
-        fresh = cut(near.join(up, near.root == up.up, "left").select("node", "was", F.least("root", "above").alias("root")))
-        done = fresh.where("root <> was").isEmpty()
-        label = fresh.select("node", "root")
-        if done:
-            return label
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+        both = e.union(e.select("b", "a").toDF("a", "b"))
+        up = both.groupBy("a").agg(F.min(first("b")).alias("m")).select(F.col("a").alias("node"), F.least(first("a"), "m")["n"].alias("up"))
+        up = cut(up)
+        jump = up.select(F.col("node").alias("at"), F.col("up").alias("to"))
+        up = cut(up.join(jump, up.up == jump.at).select("node", F.col("to").alias("up")))
+        steps.append(up)
+        ends = up.select(F.col("node").alias("x"), F.col("up").alias("a2"))
+        other = up.select(F.col("node").alias("y"), F.col("up").alias("b2"))
+        e = cut(e.join(ends, e.a == ends.x).join(other, F.col("b") == other.y).where("a2 <> b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct())
+        if e.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    label = steps[0].select("node", F.col("up").alias("root"))
+    for up in steps[1:]:
+        nxt = up.select(F.col("node").alias("at"), F.col("up").alias("to"))
+        label = label.join(nxt, label.root == nxt.at, "left").select("node", F.coalesce("to", "root").alias("root"))
+    return cut(label)
