@@ -40,4 +40,5 @@ def fit_in_task(rows: DataFrame, fit) -> bytes:
             ys += b.column(1).to_pylist()
         yield pa.RecordBatch.from_arrays([pa.array([fit(texts, ys)], pa.binary())], names=["model"])
 
-    return bytes(rows.select("text", "y").mapInArrow(run, "model binary").collect()[0]["model"])
+    got = rows.select("text", "y").mapInArrow(run, "model binary").collect()
+    return bytes(got[0]["model"]) if got else fit([], [])  # no labelled rows: no task ran

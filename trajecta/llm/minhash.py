@@ -185,9 +185,10 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "
     the least doc_id, those with the least hash of their text stay, once each.
     """
     found = near_duplicates(docs, words, percent, doc_id, text)
-    kept = found.where(F.col("kept") | F.col("doc_id").isNull()).select(F.col("doc_id").alias("_d")).distinct()
-    out = docs.join(kept, docs[doc_id].eqNullSafe(kept["_d"]), "left_semi")
-    again = out.groupBy(out[doc_id].alias("_d")).agg(F.count("*").alias("c"), F.min(F.xxhash64(out[text])).alias("_h")).where("c > 1")
-    out = out.join(again, out[doc_id].eqNullSafe(again["_d"]), "left")
-    first = out.where(F.col("_h").isNull() | (F.xxhash64(out[text]) == F.col("_h")) | out[doc_id].isNull())
-    return first.select([docs[c] for c in docs.columns])
+    kept = found.where(F.col("kept") | F.col("doc_id").isNull()).select(F.col("doc_id").alias("__tj_id")).distinct()
+    out = docs.join(kept, docs[doc_id].eqNullSafe(kept["__tj_id"]), "left_semi")
+    again = out.groupBy(out[doc_id].alias("__tj_id")).agg(F.count("*").alias("__tj_n"), F.min(F.xxhash64(out[text])).alias("__tj_h")).where("__tj_n > 1")
+    more = cut(out.join(again.select("__tj_id", "__tj_h"), out[doc_id].eqNullSafe(again["__tj_id"]), "left"))
+    once = more.where(F.col("__tj_h").isNull() | F.col(doc_id).isNull())
+    first = more.where(F.col("__tj_h").isNotNull() & F.col(doc_id).isNotNull() & (F.xxhash64(text) == F.col("__tj_h"))).dropDuplicates([doc_id])
+    return once.unionByName(first).select(docs.columns)

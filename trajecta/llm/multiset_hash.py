@@ -116,13 +116,12 @@ def edit_paragraphs(text: str, nxt: str) -> tuple[list[bytes], list[bytes]]:
 def _order(docs, doc_id: str, text: str, parts: int):
     """Rows by (pid, guest, doc_id, h): ranges of doc_id, each ending with a copy of the first row of the next range."""
     from pyspark.ml.feature import Bucketizer
-    from pyspark.sql import Window as W  # noqa: F401
     from pyspark.sql import functions as F
 
     rows = docs.select(docs[doc_id].alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text"))
     ids = rows.select(F.col("doc_id").cast("double").alias("x"))
     cuts = sorted(set(ids.approxQuantile("x", [i / parts for i in range(1, parts)], 0.25 / parts))) if parts > 1 else []
-    splits = [float("-inf"), *cuts, float("inf")]
+    splits = [float("-inf"), *(cuts or [0.0]), float("inf")]
     rows = rows.withColumns({"x": F.coalesce(F.col("doc_id").cast("double"), F.lit(0.0)), "h": F.sha2("text", 256)})
     rows = Bucketizer(splits=splits, inputCol="x", outputCol="b").transform(rows)
     rows = rows.select("doc_id", "text", "h", F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("b").cast("int")).alias("pid"), F.lit(0).alias("guest"))

@@ -29,8 +29,8 @@ from trajecta.llm.tables import cut
 LENGTH, GRAM, PHRASE, LOOK = 400, 32, 16, 8
 #: Segments of one minimizer in one block, and bytes of the blocks that share a suffix array.
 BLOCK_SEGMENTS, BLOCK_BYTES = 2048, 1 << 19
-_HIGH = B.U(0xFFFFFFFFFF000000)
-_LOW = B.U(0xFFFFFF)
+_HIGH = B.U(0xFFFFFFFF00000000)
+_LOW = B.U(0xFFFFFFFF)
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -52,8 +52,6 @@ def anchors(run: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     at = np.arange(len(buf) - gram + 1)
     h = B.span_hash(B.prefix_hash(buf), at, at + gram)
     low = np.arange(len(h), dtype=np.uint64)
-    if len(h) > int(_LOW):
-        raise ValueError("a text of over 16 MB")
     best = (_sliding_min((h & _HIGH) | low, length - gram + 1) & _LOW).astype(np.int64)
     n = np.maximum(ends - starts - length + 1, 0)
     p = np.repeat(starts, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -279,8 +277,8 @@ def removed_digest(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
 def without_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with repeated bytes cut out of its text (characters cut in part go too); a column n_chars is counted anew."""
     _, removed = find_repeats(docs, length, True, doc_id, text)
-    left = removed.select(F.col("sha").alias("_sha"), F.col("kept").alias("_kept"))
-    out = docs.withColumn("_s", F.sha2(docs[text], 256)).join(left, F.col("_s") == F.col("_sha"), "left").withColumn(text, F.coalesce("_kept", text))
+    left = removed.select(F.col("sha").alias("__tj_sha"), F.col("kept").alias("__tj_kept"))
+    out = docs.join(left, F.sha2(docs[text], 256) == F.col("__tj_sha"), "left").withColumn(text, F.coalesce("__tj_kept", text))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length(text).cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)
