@@ -26,7 +26,7 @@ from trajecta.llm.tables import components, cut
 BLOCK_BYTES = 6 << 20
 
 
-def describe(docs: DataFrame, words: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def describe(docs: DataFrame, words: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, th (hash of the text), n_shingles, key, bands and sig of every row."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_type
@@ -35,15 +35,16 @@ def describe(docs: DataFrame, words: int, doc_id: str = "doc_id", text: str = "t
     rows = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(docs[text]).alias("th"), docs[text].alias("text"))
     schema = f"doc_id {kind.simpleString()}, th long, n_shingles long, key binary, bands array<long>, sig binary"
     to_arrow = to_arrow_type(kind)
+    bands_n, _ = M.plan(percent)
 
     def run(batches):
         for b in batches:
             ids, th, texts = b.column(0), b.column(1), b.column(2).to_pylist()
             for first, part in B.slices(texts):
                 h, bounds = B.distinct_runs(*B.shingles(part, words)[:2])
-                sig = M.signatures(h, bounds)
+                sig = M.signatures(h, bounds, bands_n * M.ROWS)
                 n, keys, small = np.diff(bounds), M.set_keys(h, bounds), M.short(sig)
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * M.BANDS, pa.int32()), pa.array(M.band_keys(sig).view(np.int64).ravel()))
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * bands_n, pa.int32()), pa.array(M.band_keys(sig).view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(first, len(part)).cast(to_arrow), th.slice(first, len(part)), pa.array(n, pa.int64()), pa.array([k.tobytes() for k in keys], pa.binary()), bands, pa.array([s.tobytes() for s in small], pa.binary())],
                     names=["doc_id", "th", "n_shingles", "key", "bands", "sig"],
@@ -66,7 +67,7 @@ def _sets(rows: DataFrame, words: int) -> DataFrame:
     return rows.select("node", "cluster", "sig", "text").mapInArrow(run, "node long, cluster long, sig binary, set binary")
 
 
-def forest(nodes: np.ndarray, sides: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], percent: int, agree: int = M.AGREE) -> list[tuple[int, int]]:
+def forest(nodes: np.ndarray, sides: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], percent: int, agree: int) -> list[tuple[int, int]]:
     """Links that tie the linked nodes of one group together (no cycle of them).
 
     sides: 0 and 1 for two different blocks, of which only pairs across count;
@@ -108,6 +109,8 @@ def _verify(rows: DataFrame, percent: int) -> DataFrame:
     """(a, b): links found in each group (cluster, i, j); rows come sorted by group."""
     import pyarrow as pa
 
+    _, agree = M.plan(percent)
+
     def links(group):
         sides = np.array([g[1] for g in group])
         order = np.argsort(sides, kind="stable")
@@ -116,7 +119,7 @@ def _verify(rows: DataFrame, percent: int) -> DataFrame:
             return []
         sig = np.frombuffer(b"".join([g[2] for g in group]), dtype=np.uint16).reshape(len(group), -1)
         sets = [np.frombuffer(g[3], dtype=np.uint64) for g in group]
-        return forest(np.array([g[0] for g in group]), sides, sig, sets, percent)
+        return forest(np.array([g[0] for g in group]), sides, sig, sets, percent, agree)
 
     def run(batches):
         held, key = [], None
@@ -148,7 +151,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     not read.
     """
     spark = docs.sparkSession
-    rows = cut(describe(docs, words, doc_id, text))
+    rows = cut(describe(docs, words, percent, doc_id, text))
     some = rows.where("n_shingles > 0")
     one = some.groupBy("key").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("min_doc"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
     classes = cut(one.select(F.monotonically_increasing_id().alias("node"), "key", "rep", "min_doc", "bands", "sig", "n"))

@@ -11,11 +11,25 @@ import numpy as np
 
 from trajecta.llm import bytesx as B
 
-BANDS, ROWS = 16, 4
-COORDS = BANDS * ROWS
-#: Least number of equal coordinates of a pair that is verified: at a Jaccard
-#: of 0.85, 54 of 64 are expected and 41 or fewer have odds of about 1e-5.
-AGREE = 42
+ROWS = 4
+#: Greatest odds that the bands miss a pair at the threshold.
+MISS = 1e-5
+
+
+def plan(percent: int) -> tuple[int, int]:
+    """Bands, and the least number of equal coordinates of a pair that is verified, for a threshold in percent.
+
+    Bands come in eights, as many as MISS asks for (16 at 85 percent, 24 at 80).
+    The coordinates of a pair at the threshold fall short of the least number
+    with odds of about 1e-5 (4.3 standard deviations).
+    """
+    p, bands = percent / 100, 8
+    while (1 - p**ROWS) ** bands > MISS:
+        bands += 8
+    n = bands * ROWS
+    return bands, max(1, int(n * p - 4.3 * (n * p * (1 - p)) ** 0.5))
+
+
 _STEP = B.U(0x9E3779B97F4A7C15)
 _BLOCK = 1 << 14
 
@@ -35,10 +49,10 @@ def _pi(x: np.ndarray, tmp: np.ndarray) -> np.ndarray:
     return x
 
 
-def signatures(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Rows of COORDS minima for the runs of distinct shingle hashes; all ones for an empty run."""
+def signatures(h: np.ndarray, bounds: np.ndarray, coords: int = 16 * ROWS) -> np.ndarray:
+    """Rows of minima for the runs of distinct shingle hashes; all ones for an empty run."""
     n = len(bounds) - 1
-    out = np.full((n, COORDS), np.iinfo(np.uint64).max, dtype=np.uint64)
+    out = np.full((n, coords), np.iinfo(np.uint64).max, dtype=np.uint64)
     s = sigma(h)
     sizes = np.diff(bounds)
     first = 0
@@ -49,7 +63,7 @@ def signatures(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         if len(full):
             at = bounds[full] - bounds[first]
             x, tmp = np.empty_like(part), np.empty_like(part)
-            for k in range(COORDS):
+            for k in range(coords):
                 np.add(part, B.U(k * int(_STEP) % (1 << 64)), out=x)
                 out[full, k] = np.minimum.reduceat(_pi(x, tmp), at)
         first = last
@@ -58,8 +72,9 @@ def signatures(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
     """One 64-bit key for each band of each signature; bands never share keys but by chance."""
-    x = sig.reshape(len(sig), BANDS, ROWS)
-    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) * B.U(0x8CB92BA72F3D8DD7), x.shape[:2]).copy()
+    bands = sig.shape[1] // ROWS
+    x = sig.reshape(len(sig), bands, ROWS)
+    key = np.broadcast_to(np.arange(bands, dtype=np.uint64) * B.U(0x8CB92BA72F3D8DD7), x.shape[:2]).copy()
     for r in range(ROWS):
         key = B.mix(key ^ x[:, :, r]) + B.U(r + 1)
     return B.mix(key)
