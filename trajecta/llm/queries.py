@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trajecta.llm.oracles import ORACLES  # noqa: F401
 from trajecta.ship import ship
 
 
@@ -96,5 +97,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pivot_index": op9_pivot_index,
     "op10_circulant_minhash": op10_circulant_minhash,
 }
-
-ORACLES: dict[str, str] = {}
