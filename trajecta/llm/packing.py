@@ -21,7 +21,7 @@ CAPACITY = 2048
 LINEAR, QUADRATIC = 1.0, 1.0 / 24576
 #: Tokens of one batch; larger batches pad and balance no better.
 BATCH_TOKENS = 1 << 20
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 END_ID = 1
 #: Fast path only for these characters; in all other texts the library splits words itself.
 _PLAIN = re.compile(r"[ \n\t\r!-~\xa1-\xac\xae-ŷŹ-ǿ]*")
@@ -29,6 +29,16 @@ _SUB = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 _ODD_NUMBER = re.compile(r"[\xb2\xb3\xb9\xbc-\xbe]")
 
 
+def _byte_chars() -> list[str]:
+    """The printable character that byte-level vocabularies write for each byte: itself, or the next free one from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = iter(range(256, 512))
+    return [chr(b if b in plain else next(other)) for b in range(256)]
+
+
+BYTE_CHARS = _byte_chars()
+
+
 class WordCoder:
     """Ids of a ``tokenizers`` file whose words are parted by white space, looked up by word."""
 
@@ -38,29 +48,25 @@ class WordCoder:
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
-        ends = [0] * self.lib.get_vocab_size()
-        for w, i in self.lib.get_vocab().items():
-            ends[i] = w.endswith("</w>")
-        self.ends = ends
+        self.pieces: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> bool:
         m = _PLAIN.fullmatch(text)
         return bool(m) and not _ODD_NUMBER.search(text) and unicodedata.is_normalized("NFC", text)
 
     def _learn(self, words: list[str]) -> None:
-        """Words that are new, a few hundred in one call of the library, parted by their end marks."""
-        ends, known = self.ends, self.known
-        counts = [len(_SUB.findall(w)) for w in words]
-        for k in range(0, len(words), 512):
-            ids = self.lib.encode(" ".join(words[k : k + 512]), add_special_tokens=False).ids
-            at = 0
-            for w, n in zip(words[k : k + 512], counts[k : k + 512], strict=True):
-                first = at
-                while n:
-                    n -= ends[ids[at]]
-                    at += 1
-                known[w] = array("I", ids[first:at]).tobytes()
-            assert at == len(ids)
+        """Words that are new: their pieces are looked up, and pieces that are new go to the model itself."""
+        known, pieces, model = self.known, self.pieces, self.lib.model.tokenize
+        if len(pieces) > CACHE_WORDS:
+            pieces.clear()
+        for w in words:
+            out = []
+            for p in _SUB.findall(w):
+                if (ids := pieces.get(p)) is None:
+                    spelt = p if p.isascii() else "".join([BYTE_CHARS[b] for b in p.encode("utf-8")])
+                    ids = pieces[p] = array("I", [t.id for t in model(spelt)]).tobytes()
+                out.append(ids)
+            known[w] = b"".join(out)
 
     def encode_packed(self, texts: list[str]) -> list[bytes]:
         out: list = [None] * len(texts)
