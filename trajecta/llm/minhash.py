@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from trajecta.llm import bytesx as B
 from trajecta.llm import minhash_core as M
-from trajecta.llm.tables import components, cut
+from trajecta.llm.tables import components, cut, discard
 
 #: Bytes of sets in one block; a group of two blocks is what a task holds.
 BLOCK_BYTES = 6 << 20
@@ -164,7 +164,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     want = classes.join(cluster, "node").select("node", F.col("root").alias("cluster"), "sig", F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("th"))
     texts = docs.select(docs[doc_id].alias("d"), docs[text].alias("text")).withColumn("h", F.xxhash64("text"))
     found = texts.join(want, texts.d.eqNullSafe(want.rep_id) & (texts.h == want.th)).select("node", "cluster", "sig", "text").dropDuplicates(["node"])
-    sets = cut(_sets(found, words))
+    sets = cut(_sets(found, words), tidy=True)
+    discard(cluster)
     weigh = sets.groupBy("cluster").agg(F.ceil(F.sum(F.length("set") + 256) / BLOCK_BYTES).cast("int").alias("blocks"))
     dealt = sets.join(weigh, "cluster").withColumn("k", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("m", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -172,6 +173,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pairs = pairs.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
     comp = components(_verify(pairs, percent))
+    discard(sets)
 
     named = classes.select("node", "key", "min_doc").join(comp, "node", "left").select("key", "min_doc", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("min_doc").alias("component_id"))

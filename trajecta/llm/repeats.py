@@ -248,9 +248,9 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False,
     want = spread.distinct().join(twice, "h").groupBy("node").agg(F.collect_list(F.struct("h", "blocks")).alias("want"))
     want = want.join(one.select("node", "sha", "rep"), "node")
     texts = docs.select(docs[doc_id].alias("d"), F.coalesce(docs[text], F.lit("")).alias("text")).where(F.octet_length("text") >= length).withColumn("s", F.sha2("text", 256))
-    held = cut(texts.join(want, (texts.s == want.sha) & texts.d.eqNullSafe(want.rep)).select("node", "text", "want").dropDuplicates(["node"]))
+    held = cut(texts.join(want, (texts.s == want.sha) & texts.d.eqNullSafe(want.rep)).select("node", "text", "want").dropDuplicates(["node"]), tidy=True)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = cut(_judge(_segments(held, length).repartition(parts, "h", "block").sortWithinPartitions("h", "block"), length))
+    found = cut(_judge(_segments(held, length).repartition(parts, "h", "block").sortWithinPartitions("h", "block"), length), tidy=True)
     hot = found.where("kind = 1")
     again = hot.groupBy("wh").agg(F.count("*").alias("c")).where("c > 1")
     late = hot.where("not known").join(again, "wh", "left_semi").select("node", "start", "windows")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -21,11 +22,30 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back: lost executors cost no more than a task."""
-    path = f"{shared_dir(df.sparkSession)}/trajecta/{uuid.uuid4().hex}"
+def cut(df: DataFrame, tidy: bool = False) -> DataFrame:
+    """``df`` written to the shared folder and read back: lost executors cost no more than a task.
+
+    ``tidy`` then lets the driver collect garbage, so that Spark removes the
+    shuffle files of what was just written; for steps that shuffle texts.
+    """
+    spark, schema = df.sparkSession, df.schema
+    path = f"{shared_dir(spark)}/trajecta/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._trajecta_path = path
+    if tidy:
+        del df
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``cut`` that nothing will read again."""
+    for t in tables:
+        jvm = t.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t._trajecta_path)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -40,17 +60,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     """
     first = lambda x: F.struct(F.xxhash64(x).alias("p"), F.col(x).alias("n"))
     e = cut(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct())
-    steps = []
+    steps, spent = [], [e]
     for _ in range(rounds):
         both = e.union(e.select("b", "a").toDF("a", "b"))
         up = both.groupBy("a").agg(F.min(first("b")).alias("m")).select(F.col("a").alias("node"), F.least(first("a"), "m")["n"].alias("up"))
         up = cut(up)
+        spent.append(up)
         jump = up.select(F.col("node").alias("at"), F.col("up").alias("to"))
         up = cut(up.join(jump, up.up == jump.at).select("node", F.col("to").alias("up")))
         steps.append(up)
+        spent.append(up)
         ends = up.select(F.col("node").alias("x"), F.col("up").alias("a2"))
         other = up.select(F.col("node").alias("y"), F.col("up").alias("b2"))
         e = cut(e.join(ends, e.a == ends.x).join(other, F.col("b") == other.y).where("a2 <> b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct())
+        spent.append(e)
         if e.isEmpty():
             break
     else:
@@ -59,4 +82,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     for up in steps[1:]:
         nxt = up.select(F.col("node").alias("at"), F.col("up").alias("to"))
         label = label.join(nxt, label.root == nxt.at, "left").select("node", F.coalesce("to", "root").alias("root"))
-    return cut(label)
+    label = cut(label)
+    discard(*spent)
+    return label
