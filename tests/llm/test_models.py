@@ -248,6 +248,23 @@ def test_roles_of_the_table(spark):
     assert (got.parsed_role == got.role).mean() > 0.8
 
 
+def test_unmarked_turns_are_recovered(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    got = Q.op3_chat_hmm(spark, "/root/testdata/sf0.01").where((F.pmod(F.xxhash64("conv_id", "turn"), F.lit(8)) == 0) & (F.col("turn") > 0)).toPandas()
+    assert len(got) > 20 and (got.parsed_role == got.role).mean() > 0.95 and (got.n_turns >= 1).mean() > 0.95
+    # a marker always begins a turn, also an unlikely one; unmarked lines in a plain transcript can begin one
+    assert [r for r, _ in chat_hmm.parse("User: a.\nAssistant: b.\nSystem: c.\nUser: d.\nUser: e.")] == ["user", "assistant", "system", "user", "user"]
+    assert chat_hmm.parse("User: a?\n\nb it is.\nUser: c.") == [("user", "a?"), ("assistant", "b it is."), ("user", "c.")]
+    assert chat_hmm.parse("User: a?\nAssistant: b.\n\nmore b.\nUser-friendly c.\nUser: d.") == [("user", "a?"), ("assistant", "b.\n\nmore b.\nUser-friendly c."), ("user", "d.")]
+    # the same however the conversation is cut into blocks
+    rows = [(1, t, ("User: " if t % 2 == 0 else "AI: ") * (t % 3 != 2) + "one, two\nthree.") for t in range(12)]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, raw string")
+    for n in (1, 3, 1024):
+        monkeypatch.setattr(chat_hmm, "BLOCK_TURNS", n)
+        assert [(x.parsed_role, x.n_turns) for x in sorted(chat_hmm.parse_blocks(df).collect(), key=lambda x: x.turn)] == [(("user", "assistant")[t % 2], 1) for t in range(12)]
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as P
 

@@ -1,8 +1,9 @@
 """Chat formatting: roles of a transcript by a hidden Markov model, then canonical turns.
 
 Hidden states are a role and whether the line begins a turn or goes on with
-it.  Lines are observed by their speaker marker and by whether the line
-before ended a sentence or was blank.  Viterbi gives the best states.
+it.  Lines are observed by their speaker marker and by how they start: a row
+of the table, after a blank line, after the end of a sentence, or none of
+these.  A marker always begins a turn.  Viterbi gives the best states.
 
 A conversation may be of any length: its rows are dealt into blocks of
 ``BLOCK_TURNS`` turns.  A block's best scores from each entry state to each
@@ -31,7 +32,7 @@ SPEAKERS = {
     "assistant": ("assistant", "ai", "bot", "answer", "a", "response", "agent"),
 }
 _NAME = {n: r for r, names in SPEAKERS.items() for n in names}
-_MARK = re.compile(r"^\s*(?:<\|(?:im_start\|>)?|\[|#{1,4}\s*|\*\*|>\s*)?(" + "|".join(sorted(_NAME, key=len, reverse=True)) + r")(?:\|>|\]|\*\*:?|:\*\*|\s*[:>\-])\s*", re.IGNORECASE)
+_MARK = re.compile(r"^\s*(?:<\|(?:im_start\|>)?|\[|#{1,4}\s*|\*\*|>\s*)?(" + "|".join(sorted(_NAME, key=len, reverse=True)) + r")(?:\|>|\]|\*\*:?|:\*\*|\s*(?:[:>]|-(?=\s|$)))\s*", re.IGNORECASE)
 _END = re.compile(r"\s*(?:<\|im_end\|>|<\|end\|>)\s*$")
 
 # States 2 * role (begins a turn) and 2 * role + 1 (goes on).
@@ -54,25 +55,43 @@ MOVE = _transitions()
 START = np.log(np.array([0.25, 1e-4, 0.65, 1e-4, 0.1, 1e-4]))
 
 
-def observe(line: str, before: str | None) -> tuple[np.ndarray, str]:
+# Odds of how a line starts where a turn begins and within one, and of a marker where a turn begins:
+# one turn in eight has none, few have another role's, and a marked line within a turn is all but ruled out.
+STARTS = {"row": (0.7, 0.002), "blank": (0.16, 0.02), "ended": (0.12, 0.12), "other": (0.02, 0.858)}
+NONE, OWN, OTHER, WITHIN = 0.125, 0.875, 1e-5, 1e-12
+
+
+def _odds() -> dict[tuple[str, str | None], np.ndarray]:
+    out = {}
+    for how, (begins, goes_on) in STARTS.items():
+        for role in (None, *ROLES):
+            pairs = [(begins * (NONE if role is None else OWN if role == name else OTHER), goes_on * (1.0 if role is None else WITHIN)) for name in ROLES]
+            out[how, role] = np.log(np.array(pairs).ravel())
+    return out
+
+
+ODDS = _odds()
+
+
+def observe(line: str, before: str | None, starts_row: bool = False) -> tuple[np.ndarray, str]:
     """Log odds of the line in each state, and the line without its marker."""
     m = _MARK.match(line)
     role = _NAME[m[1].lower()] if m else None
     text = _END.sub("", line[m.end() :] if m else line)
-    out = np.empty(STATES)
-    broken = before is None or not before.strip() or before.rstrip()[-1:] in ".!?>:"
-    for r, name in enumerate(ROLES):
-        begin = 0.92 if role == name else 0.005 if role else 0.04
-        within = 0.01 if role else 0.98
-        out[2 * r] = np.log(begin * (1.0 if broken else 0.4))
-        out[2 * r + 1] = np.log(within)
-    return out, text
+    if starts_row or before is None:
+        how = "row"
+    elif not before.strip():
+        how = "blank"
+    else:
+        how = "ended" if before.rstrip()[-1] in ".!?>:" else "other"
+    return ODDS[how, role], text
 
 
-def emissions(lines: list[str], before: str | None) -> tuple[np.ndarray, list[str]]:
+def emissions(lines: list[str], before: str | None, starts: frozenset[int] | set[int] = frozenset()) -> tuple[np.ndarray, list[str]]:
+    """``observe`` of all lines; those numbered in ``starts`` are the first of a row."""
     got = []
-    for line in lines:
-        got.append(observe(line, before))
+    for i, line in enumerate(lines):
+        got.append(observe(line, before, i in starts))
         before = line
     return np.array([g[0] for g in got]).reshape(-1, STATES), [g[1] for g in got]
 
@@ -172,12 +191,17 @@ def parse_blocks(rows: DataFrame) -> DataFrame:
         if held:
             yield key, held
 
-    def lines_of(held):
-        return [x for row in held for x in row[1].split("\n")]
+    def seen(held):
+        # a block's first line is the first of a row, so the block before doesn't bear on it
+        lines, starts = [], set()
+        for row in held:
+            starts.add(len(lines))
+            lines += row[1].split("\n")
+        return emissions(lines, None, starts)
 
     def measure(batches):
         for key, held in groups(batches):
-            e, _ = emissions(lines_of(held), None)
+            e, _ = seen(held)
             head = START + e[0]
             body = transfer(e[1:])
             whole = (MOVE + e[0][None])[:, :, None] + body[None]
@@ -210,7 +234,7 @@ def parse_blocks(rows: DataFrame) -> DataFrame:
 
     def decode(batches):
         for key, held in groups(batches):
-            e, texts = emissions(lines_of(held), None)
+            e, texts = seen(held)
             entry = held[0][2]
             states = viterbi(e, None if entry < 0 else entry, held[0][3])
             at, out = 0, []
