@@ -2,10 +2,14 @@
 
 import datetime
 import math
+import re
+import string
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from trajecta.functions.text import normalize_answer
 from trajecta.plans import catalogue
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -43,3 +47,24 @@ def test_query(name, spark, sf, duck):
     at = [names.index(c) for c in cols]
     want = sorted((tuple(norm(r[i]) for i in at) for r in res.fetchall()), key=repr)
     assert got == want
+
+
+#: The rows that are ASCII, where DuckDB's words and white space are those of the reference.
+NORMAL = r"select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g')) normal from documents where strlen(text) = length(text)"
+
+
+def plain_normal(t):
+    t = "".join(c for c in t.lower() if c not in string.punctuation)
+    return " ".join(re.sub(r"\b(a|an|the)\b", " ", t).split())
+
+
+def test_normalisation_of_all_texts(spark, sf, duck):
+    got = {x.doc_id: x.normal for x in catalogue.QUERIES["answer_normalisation"](spark, sf).collect()}
+    texts = dict(duck.execute("select doc_id, text from documents").fetchall())
+    assert any(not t.isascii() for t in texts.values())
+    assert got == {k: plain_normal(t) for k, t in texts.items()}
+    for k, t in duck.execute(NORMAL).fetchall():
+        assert got[k] == t
+    odd = ["\u00e9a th\u00e9 the\u00e9 an", "a\u0301 the\u093f a", "x\u00a0a\u00a0b\u2003the\u3000z", "\x1ca\x1d b\x85c", "\u3000 a ", "\u0130the \u03a3\u0391\u03a3", "a\u0660 the_a \u00aaa", ""]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i int, t string").select("i", normalize_answer(F.col("t")).alias("n")).collect()
+    assert {r.i: r.n for r in rows} == {i: plain_normal(t) for i, t in enumerate(odd)}

@@ -75,9 +75,10 @@ def number_answers(s, d):
     return table(s, d, "orders").select(F.col("o_orderkey").alias("k"), X.last_number(t).alias("last_number"), X.marked_answer(t).alias("marked"))
 
 
-@plan(PLANS, r"select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g')) normal from documents where strlen(text) = length(text)")
+# Without SQL: DuckDB's \b knows ASCII words only.
+@plan(PLANS)
 def answer_normalisation(s, d):
-    return table(s, d, "documents").where("octet_length(text) = length(text)").select("doc_id", X.normalize_answer(F.col("text")).alias("normal"))
+    return table(s, d, "documents").select("doc_id", X.normalize_answer(F.col("text")).alias("normal"))
 
 
 @plan(PLANS, "select p_partkey k, p_name answer, true exact from part")
