@@ -68,3 +68,9 @@ def test_normalisation_of_all_texts(spark, sf, duck):
     odd = ["\u00e9a th\u00e9 the\u00e9 an", "a\u0301 the\u093f a", "x\u00a0a\u00a0b\u2003the\u3000z", "\x1ca\x1d b\x85c", "\u3000 a ", "\u0130the \u03a3\u0391\u03a3", "a\u0660 the_a \u00aaa", ""]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i int, t string").select("i", normalize_answer(F.col("t")).alias("n")).collect()
     assert {r.i: r.n for r in rows} == {i: plain_normal(t) for i, t in enumerate(odd)}
+
+
+def test_every_fiftieth_part_is_a_search(spark, sf, duck):
+    got = catalogue.QUERIES["bm25_top"](spark, sf).collect()
+    want = duck.execute("select p_partkey from part where p_partkey % 50 = 0 and regexp_matches(lower(p_name), '[a-z0-9]')").fetchall()
+    assert len(want) > 1 and {x["query"] for x in got} == {k for k, in want}

@@ -31,22 +31,25 @@ def bm25(docs: DataFrame, queries: DataFrame, doc: str, query: str, text: str, k
     """The k best documents for each query by BM25; ties go to the lower document.
 
     Postings are restricted to the queries' terms before they meet, so frequent
-    words of no query are never shuffled.
+    words of no query are never shuffled.  A score depends on a query's set of
+    terms alone, so queries with equal sets are scored once.
     """
     post = terms(docs, doc, text)
     size = post.groupBy(doc).agg(F.sum("tf").alias("len"))
     stats = size.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     q = queries.select(query, F.explode(F.array_distinct(F.filter(F.split(F.lower(F.col(text)), r"[^a-z0-9]+"), lambda x: x != ""))).alias("term"))
-    hit = post.join(q.select("term").distinct(), "term", "left_semi")
+    q = q.groupBy(query).agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    sets = q.select("terms").distinct().withColumn("term", F.explode("terms"))
+    hit = post.join(sets.select("term").distinct(), "term", "left_semi")
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
     scored = hit.join(df, "term").join(size, doc).join(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     scored = scored.select(doc, "term", (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))).alias("s"))
-    total = scored.join(q, "term").groupBy(query, doc).agg(F.sum("s").alias("score"))
+    total = scored.join(sets, "term").groupBy("terms", doc).agg(F.sum("s").alias("score"))
     # scores are rounded before ranking, so sums in another order rank alike
     total = total.withColumn("score", F.round("score", 6))
-    r = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), doc))
-    return total.withColumn("rank", r).where(F.col("rank") <= k)
+    r = F.row_number().over(Window.partitionBy("terms").orderBy(F.desc("score"), doc))
+    return q.join(total.withColumn("rank", r).where(F.col("rank") <= k), "terms").select(query, doc, "score", "rank")
 
 
 def tfidf(docs: DataFrame, category: str, key: str, text: str, top: int, features: int = 1000) -> DataFrame:
