@@ -181,3 +181,21 @@ def test_licenses(spark):
     assert licenses.scan_licenses(frame(spark, [])).count() == 0
     assert licenses.align("a x b c".split(), "a b y c".split()) == [(0, 0), (2, 1), (3, 3)]
     assert [licenses.rising(v) for v in ([], [3, 1, 2], [1, 2, 3])] == [[], [1, 2], [0, 1, 2]]
+
+
+def test_every_license_that_reaches_the_threshold(spark):
+    full = licenses.all_templates()
+    texts = [
+        "Some words.\nAll rights reserved.",
+        "Released under the MIT License. All rights reserved. Licensed under the Apache License, Version 2.0.",
+        "Redistribution and employ in source and binary shapes, with or without change, are allowed provided that the following conditions are met",
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "intro " * 30 + full["MIT-full"] + "\n" + full["MIT-full"] + " outro" * 30,
+        full["GPL-3.0-full"],
+        "Released under the MIT License. " * 3,
+    ]
+    got = sorted((x.doc_id, x.license) for x in licenses.scan_licenses(frame(spark, texts)).collect())
+    assert got == [(0, "All-rights-reserved"), (1, "All-rights-reserved"), (1, "Apache-2.0"), (1, "MIT"), (2, "BSD-3-Clause"), (3, "LGPL-3.0"), (4, "MIT-full"), (4, "MIT-text"), (5, "GPL-3.0-full"), (5, "GPL-3.0-notice"), (6, "MIT")]
+    s = licenses.Scanner(full)
+    for name, text in full.items():
+        assert (name, 1.0) in [x[:2] for x in s.all("foo bar " * 40 + text + " baz" * 40)]
