@@ -74,3 +74,16 @@ def test_every_fiftieth_part_is_a_search(spark, sf, duck):
     got = catalogue.QUERIES["bm25_top"](spark, sf).collect()
     want = duck.execute("select p_partkey from part where p_partkey % 50 = 0 and regexp_matches(lower(p_name), '[a-z0-9]')").fetchall()
     assert len(want) > 1 and {x["query"] for x in got} == {k for k, in want}
+
+
+def test_whole_tables_of_messages_and_summaries(spark, sf, duck):
+    from trajecta.functions.text import plausible_last_line
+
+    line = catalogue.QUERIES["plausible_action_line"](spark, sf).collect()
+    assert len(line) == duck.execute("select count(*) from part").fetchone()[0]
+    old = {x.k: x.old_rows for x in catalogue.QUERIES["summary_comparison"](spark, sf).collect() if x.old_rows is not None}
+    assert old == dict(duck.execute("select o_orderstatus, count(*) from orders group by 1").fetchall())
+    # lines to choose from, in the forms with thoughts, think tags and several actions
+    texts = ["Thought: turn left?\nAction: get 1 drop!", "<think> go to\nmove </think> Action: [[ Check it ]]", "Action: move a\nAction: toggle b\nso", "<think>drop it</think> ok"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", plausible_last_line(F.col("t")).alias("l")).collect()
+    assert {r.i: r.l for r in got} == {0: "action: get 1 drop!", 1: "action: [[ check it ]]", 2: "action: toggle b", 3: None}

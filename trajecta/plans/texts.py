@@ -35,9 +35,9 @@ def loose_actions(s, d):
     return x.select("k", F.col("a.action").alias("action"), F.col("a.mode").alias("mode_name"))
 
 
-@plan(PLANS, f"with m as ({MSG}) select k, case k % 5 when 3 then 'move forward' end line from m where k % 5 in (3, 4)")
+@plan(PLANS, f"with m as ({MSG}), w as (select k, lower(p_name) n, regexp_matches(lower(p_name), 'turn|move|pickup|pick up|drop|toggle|go to|go through|check') has from m) select k, case when k % 5 = 0 and has then 'action: get 1 ' || n || '!' when k % 5 = 1 and has then 'action: [[ craft ' || n || ' ]]' when k % 5 = 3 then 'move forward' end line from w")
 def plausible_action_line(s, d):
-    return messages(s, d).where("k % 5 in (3, 4)").select("k", X.plausible_last_line(F.col("m")).alias("line"))
+    return messages(s, d).select("k", X.plausible_last_line(F.col("m")).alias("line"))
 
 
 @plan(PLANS, f"with m as ({MSG}) select k, case k % 5 when 0 then 'need ' || p_name when 1 then 'make it' end thought, case k % 5 when 0 then 'Think: need ' || p_name || chr(10) || 'Action: [[ get 1 ' || trim({CLEAN.format('p_name')}) || ' ]]' when 1 then 'Think: make it' || chr(10) || 'Action: [[ ' || trim('Craft ' || {CLEAN.format('p_name')}) || ' ]]' else m end canonical from m")
