@@ -87,3 +87,11 @@ def test_whole_tables_of_messages_and_summaries(spark, sf, duck):
     texts = ["Thought: turn left?\nAction: get 1 drop!", "<think> go to\nmove </think> Action: [[ Check it ]]", "Action: move a\nAction: toggle b\nso", "<think>drop it</think> ok"]
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", plausible_last_line(F.col("t")).alias("l")).collect()
     assert {r.i: r.l for r in got} == {0: "action: get 1 drop!", 1: "action: [[ check it ]]", 2: "action: toggle b", 3: None}
+
+
+def test_bootstrap_takes_a_thousand_draws(spark, sf):
+    from trajecta.operators import metrics
+
+    got = sorted(map(tuple, catalogue.QUERIES["bootstrap_best_worst"](spark, sf).collect()))
+    want = sorted(map(tuple, metrics.bootstrap(spark.read.parquet(f"{sf}/events.parquet"), "event_type", "value", "event_id", 8, 1000).collect()))
+    assert [x[0] for x in got] == [x[0] for x in want] and all(a == pytest.approx(b, rel=1e-9) for x, y in zip(got, want, strict=True) for a, b in zip(x[1:], y[1:], strict=True))

@@ -241,7 +241,7 @@ def validation_rollup(s, d):
 
 @plan(PLANS)
 def bootstrap_best_worst(s, d):
-    return metrics.bootstrap(table(s, d, "events"), "event_type", "value", "event_id", 8, 200)
+    return metrics.bootstrap(table(s, d, "events"), "event_type", "value", "event_id", 8)
 
 
 @plan(PLANS, "select o_orderstatus, o_orderpriority, count(*) n, count(*) filter (o_orderkey % 11 = 0) errors, round(avg(case when o_orderkey % 11 <> 0 then o_totalprice end), 3) avg_reward, round(avg(case when o_orderkey % 11 <> 0 then cast(o_totalprice > 200000 as double) end), 6) success_rate from orders group by grouping sets ((o_orderstatus), (o_orderpriority), ())")
