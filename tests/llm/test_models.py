@@ -80,6 +80,14 @@ def test_keep_one_and_odd_tables(spark):
     assert sorted(x.doc_id or -1 for x in minhash.keep_one(twice).collect()) == [-1, -1, 1]
 
 
+def test_keep_one_decides_by_row(spark):
+    copy = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, "zz yy xx vv uu tt ss"), (5, copy + " end"), (3, copy), (7, ""), (7, "aa bb cc dd ee ff"), (8, "pp qq rr ss tt uu"), (8, "pp qq rr ss tt uu")]
+    for a in (rows, [(d, "qq " * 3 + x if x.startswith("zz") else x) for d, x in rows]):
+        got = sorted((x.doc_id, x.text) for x in minhash.keep_one(frame(spark, a), 5, 80).collect())
+        assert got == sorted([a[0], a[2], a[3], a[4], a[5]])
+
+
 def test_signature_estimates_likeness():
     r = np.random.default_rng(9)
     x = r.integers(0, 1 << 62, 2000, dtype=np.uint64)

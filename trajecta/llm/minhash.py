@@ -150,6 +150,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     (false for a null doc_id).  An empty table gives no rows; other columns are
     not read.
     """
+    out = _named(docs, words, percent, doc_id, text)
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def _named(docs: DataFrame, words: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """doc_id, n_shingles, th (hash of the text), root (of the component; null without words) and component_id of every row."""
     spark = docs.sparkSession
     rows = cut(describe(docs, words, percent, doc_id, text))
     some = rows.where("n_shingles > 0")
@@ -177,23 +183,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
 
     named = classes.select("node", "key", "min_doc").join(comp, "node", "left").select("key", "min_doc", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("min_doc").alias("component_id"))
-    answer = named.join(least, "root").select("key", "component_id")
-    out = rows.select("doc_id", "n_shingles", "key").join(answer, "key", "left")
+    answer = named.join(least, "root").select("key", "root", "component_id")
+    out = rows.select("doc_id", "n_shingles", "th", "key").join(answer, "key", "left")
     cid = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", cid.alias("component_id"), F.coalesce(F.col("doc_id") == cid, F.lit(False)).alias("kept"))
+    return out.select("doc_id", "n_shingles", "th", "root", cid.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group of linked rows of ``docs``, with its columns: that of least doc_id.
+    """One row of each group of linked rows of ``docs``, with its columns: that of least doc_id, then of least hash of its text.
 
-    Rows without words stay, as do rows with a null doc_id.  Of rows that share
-    the least doc_id, those with the least hash of their text stay, once each.
+    Rows without words stay, as do rows with a null doc_id.
     """
-    found = near_duplicates(docs, words, percent, doc_id, text)
-    kept = found.where(F.col("kept") | F.col("doc_id").isNull()).select(F.col("doc_id").alias("__tj_id")).distinct()
-    out = docs.join(kept, docs[doc_id].eqNullSafe(kept["__tj_id"]), "left_semi")
-    again = out.groupBy(out[doc_id].alias("__tj_id")).agg(F.count("*").alias("__tj_n"), F.min(F.xxhash64(out[text])).alias("__tj_h")).where("__tj_n > 1")
-    more = cut(out.join(again.select("__tj_id", "__tj_h"), out[doc_id].eqNullSafe(again["__tj_id"]), "left"))
-    once = more.where(F.col("__tj_h").isNull() | F.col(doc_id).isNull())
-    first = more.where(F.col("__tj_h").isNotNull() & F.col(doc_id).isNotNull() & (F.xxhash64(text) == F.col("__tj_h"))).dropDuplicates([doc_id])
+    found = cut(_named(docs, words, percent, doc_id, text))
+    free = F.col("root").isNull() | F.col("doc_id").isNull()
+    least = found.where(~free).groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("r"), F.count("*").alias("n"))
+    kept = least.select(F.col("r.doc_id").alias("__tj_id"), F.col("r.th").alias("__tj_h"), (F.col("n") > 1).alias("__tj_more"))
+    stay = found.where(free).select(F.col("doc_id").alias("__tj_id"), F.col("th").alias("__tj_h"), F.lit(False).alias("__tj_more")).distinct()
+    both = kept.unionByName(stay)
+    out = docs.join(both, docs[doc_id].eqNullSafe(both["__tj_id"]) & F.xxhash64(docs[text]).eqNullSafe(both["__tj_h"]))
+    again = out.groupBy("__tj_id", "__tj_h", "__tj_more").agg(F.count("*").alias("__tj_n"))
+    again = again.where("__tj_more and __tj_n > 1").select(F.col("__tj_id").alias("__tj_i"), F.col("__tj_h").alias("__tj_g"), F.lit(True).alias("__tj_twice"))
+    more = cut(out.join(again, F.col("__tj_id").eqNullSafe(F.col("__tj_i")) & (F.col("__tj_h") == F.col("__tj_g")), "left"))
+    once = more.where(F.col("__tj_twice").isNull())
+    first = more.where("__tj_twice").dropDuplicates(["__tj_id", "__tj_h"])
     return once.unionByName(first).select(docs.columns)
