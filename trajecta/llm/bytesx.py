@@ -15,6 +15,8 @@ _rng = np.random.Generator(np.random.PCG64(20240917))
 BASE = U(0x9E3779B97F4A7C15)
 BASE_INV = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
+#: A second table, for hashes that have nothing to do with those of the first.
+BYTE_TOO = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 #: Bytes of work for one slice: it bounds the memory of a Python worker.
 SLICE_BYTES = 1 << 20
 
@@ -73,11 +75,11 @@ def lay(run: list[bytes], gap: bytes = b"") -> tuple[np.ndarray, np.ndarray, np.
     return buf, ends - sizes, ends
 
 
-def prefix_hash(buf: np.ndarray) -> np.ndarray:
-    """P with P[i] = sum of BYTE[buf[j]] * BASE**j for j < i."""
+def prefix_hash(buf: np.ndarray, byte: np.ndarray = BYTE) -> np.ndarray:
+    """P with P[i] = sum of byte[buf[j]] * BASE**j for j < i."""
     up, _ = powers(len(buf) + 1)
     out = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum(BYTE[buf] * up[: len(buf)], out=out[1:])
+    np.cumsum(byte[buf] * up[: len(buf)], out=out[1:])
     return out
 
 

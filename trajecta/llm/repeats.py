@@ -1,21 +1,28 @@
 """Suffix-array dedup: every byte covered by a string of ``length`` bytes that starts elsewhere too.
 
 1. Equal texts count as one; a text with a copy is covered whole.
-2. Every window of ``length`` bytes belongs to its minimizer, the least hash of
-   the 32-byte strings in it.  Equal windows have equal minimizers in the same
-   place, so windows whose minimizer occurs once are unique and are left out.
+2. Every window of the shortest length asked for belongs to its minimizer, the
+   least hash of the 32-byte strings in it.  Equal windows have equal
+   minimizers in the same place, so windows whose minimizer occurs once are
+   unique and are left out.  A longer window belongs where its beginning does.
 3. The windows of one minimizer occurrence, with the bytes they cover, are a
-   segment.  Segments of equal minimizers are a block (hot ones are dealt over
-   several).  A block's distinct segments are cut into content-defined phrases,
-   and the suffix array of the phrases, made by linear grouping, tells with its
-   common prefixes which windows hold a run of phrases that occurs twice.
-4. Those windows are compared by a 64-bit hash of all their bytes, within the
-   block and, for hot minimizers, between its blocks.
+   segment.  Segments of equal minimizers are a group.  A group's distinct
+   segments are cut into content-defined phrases, and the suffix array of the
+   phrases, made by linear grouping, tells with its common prefixes which
+   windows hold a run of phrases that occurs twice.
+4. Those windows are compared by a 128-bit hash of all their bytes.
+5. A group of more than ``BLOCK_SEGMENTS`` segments is dealt into blocks by
+   their bytes, so that equal ones meet.  Distinct segments that are left are
+   split by where the minimizer stands in the window, in ever smaller steps,
+   and each part goes to the parts that share all the bytes its windows have in
+   common.  Parts that meet nobody are unique; runs of windows come out, never
+   single ones.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,12 +32,17 @@ from pyspark.sql import types as T
 from trajecta.llm import bytesx as B
 from trajecta.llm.suffix_groups import common_prefixes, suffix_array
 from trajecta.llm.tables import cut
+from trajecta.ship import ship
 
-LENGTH, GRAM, PHRASE, LOOK = 400, 32, 16, 8
-#: Segments of one minimizer in one block, and bytes of the blocks that share a suffix array.
+LENGTH, PASSAGE, GRAM, PHRASE, LOOK = 400, 256, 32, 32, 8
+#: Segments of one group in one block, and bytes of the blocks that share a suffix array.
 BLOCK_SEGMENTS, BLOCK_BYTES = 2048, 1 << 19
+#: Powers of two of the steps in which hot segments are split by the place of the minimizer.
+STEPS = (6, 4, 2, 0)
 _HIGH = B.U(0xFFFFFFFF00000000)
 _LOW = B.U(0xFFFFFFFF)
+_SEGMENT = "key long, block int, hot boolean, node long, start int, windows int, at int, bytes binary"
+_FOUND = "kind int, node long, start int, windows int, key long, at int, bytes binary"
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -44,11 +56,11 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(run: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """For each run of windows with one minimizer: text, first window, number of windows and hash."""
+    """For each run of windows with one minimizer: text, first window, number of windows, place of the minimizer and hash."""
     buf, starts, ends = B.lay(run)
     gram = min(GRAM, length)
     if len(buf) < length:
-        return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.uint64))
+        return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64))
     at = np.arange(len(buf) - gram + 1)
     h = B.span_hash(B.prefix_hash(buf), at, at + gram)
     low = np.arange(len(h), dtype=np.uint64)
@@ -57,31 +69,19 @@ def anchors(run: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     p = np.repeat(starts, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     owner, place = np.repeat(np.arange(len(run)), n), best[p]
     new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (owner[1:] != owner[:-1])])) if len(p) else np.zeros(0, dtype=np.int64)
-    return owner[new], p[new] - starts[owner[new]], np.diff(np.append(new, len(p))), h[place[new]]
+    first = starts[owner[new]]
+    return owner[new], p[new] - first, np.diff(np.append(new, len(p))), place[new] - first, h[place[new]]
 
 
-def repeated_windows(segments: list[bytes], counts: list[int], length: int, split: list[bool]) -> tuple[list[np.ndarray], tuple[np.ndarray, ...]]:
-    """Which windows of each segment occur twice in these segments.
-
-    ``counts``: windows of each segment, which start at its first bytes.  Also
-    (hash, segment, window, known) of one window for each different one in the
-    segments marked by ``split``; known tells whether it is repeated here.
-    """
-    place: dict[bytes, int] = {}
-    same = [place.setdefault(s, i) for i, s in enumerate(segments)]
-    copies = np.bincount(same, minlength=len(segments))
-    own = [i for i, j in enumerate(same) if i == j]
-    run = [segments[i] for i in own]
-    buf, starts, ends = B.lay(run)
-    prefix = B.prefix_hash(buf)
-    # phrases
+def _reach(buf: np.ndarray, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Phrase borders, and for each the bytes from it on, in whole phrases of its text, that occur elsewhere too."""
     i = np.arange(max(len(buf) - LOOK + 1, 0))
     trigger = B.span_hash(prefix, i, i + LOOK) % B.U(PHRASE) == 0
     seg = np.searchsorted(starts, i, "right") - 1
     trigger &= i + LOOK <= ends[seg]
     cuts = np.flatnonzero(trigger)
     owner = seg[cuts]
-    inner = np.flatnonzero(owner[1:] == owner[:-1])  # phrase k: cuts[k] to cuts[k + 1] in one segment
+    inner = np.flatnonzero(owner[1:] == owner[:-1])  # phrase k: cuts[k] to cuts[k + 1] in one text
     reach = np.zeros(len(cuts), dtype=np.int64)
     if len(inner):
         names = B.span_hash(prefix, cuts[inner], cuts[inner + 1])
@@ -98,35 +98,59 @@ def repeated_windows(segments: list[bytes], counts: list[int], length: int, spli
         lcp = np.array([*common_prefixes(symbols, sa), 0])
         longest = np.zeros(len(text), dtype=np.int64)
         longest[np.array(sa)] = np.maximum(lcp[:-1], lcp[1:])
-        k = inner
-        reach[k] = cuts[np.minimum(k + longest[spot], len(cuts) - 1)] - cuts[k]
-    # windows
-    n = np.array([counts[x] for x in own], dtype=np.int64)
+        reach[inner] = cuts[np.minimum(inner + longest[spot], len(cuts) - 1)] - cuts[inner]
+    return cuts, reach
+
+
+def repeated_windows(segments: list[bytes], counts: list[int], lengths: tuple[int, ...]) -> tuple[list[int], list[np.ndarray]]:
+    """Which windows of the different segments occur twice in these segments.
+
+    ``counts``: windows of each segment, which start at its first bytes.
+    Returns for each segment the number of its equal among the different ones,
+    and for each length the flags of the windows of the different ones, laid
+    end to end.
+    """
+    place: dict[bytes, int] = {}
+    same = [place.setdefault(s, len(place)) for s in segments]
+    run = list(place)
+    copies = np.bincount(same, minlength=len(run))
+    first_of = {}
+    for x, j in enumerate(same):
+        first_of.setdefault(j, x)
+    n = np.array([counts[first_of[j]] for j in range(len(run))], dtype=np.int64)
+    buf, starts, ends = B.lay(run)
+    prefix = B.prefix_hash(buf)
+    cuts, reach = _reach(buf, prefix, starts, ends)
     p = np.repeat(starts, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    who = np.repeat(np.arange(len(own)), n)
-    multiple = copies[own][who] > 1
+    who = np.repeat(np.arange(len(run)), n)
+    weight = copies[who]
     first = np.searchsorted(cuts, p)
-    last = np.searchsorted(cuts, p + length - LOOK, "right") - 1
-    bare = last <= first  # no whole phrase inside: the hash decides
-    f, z = np.minimum(first, max(len(cuts) - 1, 0)), np.maximum(last, 0)
-    likely = bare.copy()
-    if len(cuts):
-        likely |= ~bare & (reach[f] >= cuts[z] - cuts[f])
-    likely |= multiple
-    parted = np.array([split[x] for x in own], dtype=bool)[who] if len(own) else np.zeros(0, dtype=bool)
-    look = np.flatnonzero(likely | parted)
-    h = B.span_hash(prefix, p[look], p[look] + length)
-    u, pick, back, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-    weight = np.bincount(back.ravel(), weights=copies[own][who[look]]) if len(look) else times
-    hit = np.zeros(len(p), dtype=bool)
-    hit[look] = weight[back.ravel()] > 1
-    bounds = np.concatenate([[0], np.cumsum(n)])
-    flags = [hit[bounds[x] : bounds[x + 1]] for x in range(len(own))]
-    index = {s: x for x, s in enumerate(own)}
-    out = [flags[index[j]] for j in same]
-    sent = parted[look[pick]]
-    chosen = look[pick][sent]
-    return out, (u[sent], np.array(own, dtype=np.int64)[who[chosen]], chosen - bounds[who[chosen]], hit[chosen])
+    second = None
+    out = []
+    for length in lengths:
+        fits = p + length <= ends[who]
+        last = np.searchsorted(cuts, p + length - LOOK, "right") - 1
+        bare = last <= first  # no whole phrase inside: the hash decides
+        likely = bare | (weight > 1)
+        if len(cuts):
+            f, z = np.minimum(first, len(cuts) - 1), np.maximum(last, 0)
+            likely |= ~bare & (reach[f] >= cuts[z] - cuts[f])
+        look = np.flatnonzero(likely & fits)
+        h = B.span_hash(prefix, p[look], p[look] + length)
+        _, pick, back = np.unique(h, return_index=True, return_inverse=True)
+        back = back.ravel()
+        if len(pick) < len(look):  # what is equal by 64 bits is compared by 64 others
+            if second is None:
+                second = B.prefix_hash(buf, B.BYTE_TOO)
+            h2 = B.span_hash(second, p[look], p[look] + length)
+            if (h2 != h2[pick][back]).any():
+                _, back = np.unique(np.stack([h, h2], 1), axis=0, return_inverse=True)
+                back = back.ravel()
+        hit = np.zeros(len(p), dtype=bool)
+        if len(look):
+            hit[look] = np.bincount(back, weights=weight[look])[back] > 1
+        out.append(hit)
+    return same, out
 
 
 def runs_of(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,20 +158,44 @@ def runs_of(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2] - edge[::2]
 
 
-def cut_out(data: bytes, spans: list[tuple[int, int]], length: int) -> tuple[bytes, int, int]:
-    """What is left without the bytes of the windows in ``spans`` (first window, windows), with bytes and runs removed."""
-    merged: list[list[int]] = []
+def parts_of(key: int, start: int, windows: int, at: int, data: bytes, lengths: tuple[int, ...], step: int):
+    """A hot segment split by the place of the minimizer in the window, in steps of ``2**step``: (key, start, windows, at, bytes).
+
+    All windows with the minimizer at d0 <= d < d1 hold the same stretch around
+    it; the stretch is the key, so equal windows have equal keys.
+    """
+    short, far = lengths[0], lengths[-1]
+    i = 0
+    while i < windows:
+        q = (at - i) >> step
+        d0 = q << step
+        upto = min(windows, at - d0 + 1)
+        shared = data[at - d0 : at - d0 + max(0, short - (1 << step) + 1)]
+        new = int.from_bytes(hashlib.blake2b(b"%d %d %d " % (key, step, q) + shared, digest_size=8).digest(), "little", signed=True)
+        yield new, start + i, upto - i, at - i, data[i : upto - 1 + far]
+        i = upto
+
+
+def merged(spans: list[tuple[int, int]], length: int) -> list[list[int]]:
+    """Byte ranges that the windows in ``spans`` (first window, windows) cover."""
+    out: list[list[int]] = []
     for a, k in sorted(spans):
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], a + k - 1 + length)
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], a + k - 1 + length)
         else:
-            merged.append([a, a + k - 1 + length])
+            out.append([a, a + k - 1 + length])
+    return out
+
+
+def cut_out(data: bytes, spans: list[tuple[int, int]], length: int) -> tuple[bytes, int, int]:
+    """What is left without the bytes of the windows in ``spans``, with bytes and runs removed."""
+    gone = merged(spans, length)
     left, at = [], 0
-    for a, b in merged:
+    for a, b in gone:
         left.append(data[at:a])
         at = b
     left.append(data[at:])
-    return b"".join(left), sum(b - a for a, b in merged), len(merged)
+    return b"".join(left), sum(b - a for a, b in gone), len(gone)
 
 
 def _scan(rows: DataFrame, length: int) -> DataFrame:
@@ -157,52 +205,90 @@ def _scan(rows: DataFrame, length: int) -> DataFrame:
     def run(batches):
         for b in batches:
             for first, part in B.slices(b.column(1).to_pylist()):
-                owner, _, _, h = anchors(part, length)
+                owner, *_, h = anchors(part, length)
                 bounds = np.searchsorted(owner, np.arange(len(part) + 1))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(first, len(part)), pa.array([hashlib.sha256(x).hexdigest() for x in part]), pa.array([len(x) for x in part], pa.int64()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(h.view(np.int64)))],
+                    [b.column(0).slice(first, len(part)), pa.array([hashlib.sha256(x).digest() for x in part], pa.binary()), pa.array([len(x) for x in part], pa.int64()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(h.view(np.int64)))],
                     names=["doc_id", "sha", "n_bytes", "anchors"],
                 )
 
-    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], *T._parse_datatype_string("sha string, n_bytes long, anchors array<long>").fields]))
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], *T._parse_datatype_string("sha binary, n_bytes long, anchors array<long>").fields]))
 
 
-def _segments(rows: DataFrame, length: int) -> DataFrame:
-    """Segments of the wanted minimizers from (node, text, want: array of (h, blocks))."""
+def _packed(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` with its text compressed (``__tj_z``) and hashed (``__tj_sha``): what is shuffled with a text is a third of it."""
     import pyarrow as pa
 
+    rest = [f for f in docs.schema.fields if f.name != text]
+
     def run(batches):
+        import zstandard
+
+        z = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            nodes, texts, want = (b.column(i).to_pylist() for i in range(3))
-            for first, part in B.slices(texts):
-                owner, start, count, h = anchors(part, length)
-                got: list[tuple] = []
-                lists = [{w["h"]: w["blocks"] for w in want[first + i]} for i in range(len(part))]
-                for o, a, k, x in zip(owner.tolist(), start.tolist(), count.tolist(), h.view(np.int64).tolist(), strict=True):
-                    if (blocks := lists[o].get(x)) is not None:
-                        got.append((x, (nodes[first + o] * 0x9E3779B1 + a) % blocks, blocks > 1, nodes[first + o], a, k, part[o][a : a + k - 1 + length]))
-                if got:
-                    kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), kinds, strict=True)], names=["h", "block", "hot", "node", "start", "windows", "bytes"])
-
-    return rows.select("node", "text", "want").mapInArrow(run, "h long, block int, hot boolean, node long, start int, windows int, bytes binary")
-
-
-def _judge(rows: DataFrame, length: int) -> DataFrame:
-    """Repeated runs of windows (kind 0: node, start, windows) and, of hot minimizers, one row for each different window (kind 1, with its hash and whether it is known as repeated)."""
+            raw = [t.encode("utf-8", "surrogatepass") for t in b.column(len(rest)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.array([hashlib.sha256(x).digest() for x in raw], pa.binary()), pa.array([z.compress(x) for x in raw], pa.binary())], names=[*(f.name for f in rest), "__tj_sha", "__tj_z"])
+
+    return docs.select(*(docs[f.name] for f in rest), docs[text]).mapInArrow(run, T.StructType([*rest, *T._parse_datatype_string("__tj_sha binary, __tj_z binary").fields]))
+
+
+def _segments(rows: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """Segments of the wanted minimizers from (node, z: compressed text, want: array of (h, blocks)); repeated rows side by side count once."""
     import pyarrow as pa
 
+    kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    names = [x.split()[0] for x in _SEGMENT.split(", ")]
+
+    def run(batches):
+        import zstandard
+
+        z, before = zstandard.ZstdDecompressor(), None
+        for b in batches:
+            got: list[tuple] = []
+            size = 0
+            for node, packed, want in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if node == before:
+                    continue
+                before, data = node, z.decompress(packed)
+                blocks = {w["h"]: w["blocks"] for w in want}
+                _, start, count, place, h = anchors([data], lengths[0])
+                for a, k, m, x in zip(start.tolist(), count.tolist(), place.tolist(), h.view(np.int64).tolist(), strict=True):
+                    if (n := blocks.get(x)) is not None:
+                        piece = data[a : a + k - 1 + lengths[-1]]
+                        got.append((x, zlib.crc32(piece) % n if n > 1 else 0, n > 1, node, a, k, m - a, piece))
+                        size += len(piece)
+                if size > 8 * B.SLICE_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), kinds, strict=True)], names=names)
+                    got, size = [], 0
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), kinds, strict=True)], names=names)
+
+    return rows.select("node", "z", "want").mapInArrow(run, _SEGMENT)
+
+
+def _judge(rows: DataFrame, lengths: tuple[int, ...], step: int) -> DataFrame:
+    """Repeated runs of windows (kind: number of the length) from segments sorted by (key, block), and, as kind -1, the parts of hot segments."""
+    import pyarrow as pa
+
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+    names = [x.split()[0] for x in _FOUND.split(", ")]
+
     def judge(held):
-        flags, (h, seg, win, known) = repeated_windows([x[6] for x in held], [x[5] for x in held], length, [x[2] for x in held])
+        same, hits = repeated_windows([x[7] for x in held], [x[5] for x in held], lengths)
+        n, seen = [0] * (max(same) + 1), set()
+        for x, j in zip(held, same, strict=True):
+            n[j] = x[5]
+        bounds = np.concatenate([[0], np.cumsum(n)])
+        runs = [[[(int(a), int(k)) for a, k in zip(*runs_of(hit[bounds[j] : bounds[j + 1]]), strict=True)] for j in range(len(n))] for hit in hits]
         out = []
-        for x, f in zip(held, flags, strict=True):
-            for a, k in zip(*runs_of(f), strict=True):
-                out.append((0, x[3], x[4] + int(a), int(k), 0, True))
-        for x, s, w, k in zip(h.view(np.int64).tolist(), seg.tolist(), win.tolist(), known.tolist(), strict=True):
-            out.append((1, held[s][3], held[s][4] + w, 1, x, k))
-        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_())
-        cols = list(zip(*out, strict=True)) if out else [[]] * 6
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["kind", "node", "start", "windows", "wh", "known"])
+        for (key, _, hot, node, start, windows, at, data), j in zip(held, same, strict=True):
+            for kind, found in enumerate(runs):
+                out += [(kind, node, start + a, k, None, None, None) for a, k in found[j]]
+            if hot and j not in seen:
+                seen.add(j)
+                out += [(-1, node, a, k, new, m, piece) for new, a, k, m, piece in parts_of(key, start, windows, at, data, lengths, step)]
+        cols = list(zip(*out, strict=True)) if out else [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
     def run(batches):
         held, size, key = [], 0, None
@@ -213,72 +299,141 @@ def _judge(rows: DataFrame, length: int) -> DataFrame:
                     held, size = [], 0
                 key = row[:2]
                 held.append(row)
-                size += len(row[6])
+                size += len(row[7])
         if held:
             yield judge(held)
 
-    return rows.select("h", "block", "hot", "node", "start", "windows", "bytes").mapInArrow(run, "kind int, node long, start int, windows int, wh long, known boolean")
+    return rows.select(*names_of(_SEGMENT)).mapInArrow(run, _FOUND)
+
 
+def names_of(ddl: str) -> list[str]:
+    return [x.split()[0] for x in ddl.split(", ")]
 
-def _strip(rows: DataFrame, length: int, with_text: bool) -> DataFrame:
-    """(node, n_removed, n_spans, kept_sha256[, kept]) from (node, text, spans)."""
+
+def _spans(segments: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """(node, spans: array of (kind, start, windows)) of all repeated windows; hot groups take further rounds."""
+    parts = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def judged(rows, step):
+        return cut(_judge(rows.repartition(parts, "key", "block").sortWithinPartitions("key", "block"), lengths, step))
+
+    found = judged(segments, STEPS[0])
+    all_runs = found.where("kind >= 0").select("kind", "node", "start", "windows")
+    for now, then in zip(STEPS, [*STEPS[1:], None], strict=True):
+        left = found.where("kind = -1")
+        many = left.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key", F.ceil(F.col("c") / BLOCK_SEGMENTS).cast("int").alias("blocks"))
+        rows = left.join(many, "key").select("key", F.pmod(F.crc32("bytes"), F.col("blocks")).cast("int").alias("block"), (F.col("blocks") > 1).alias("hot"), "node", "start", "windows", "at", "bytes")
+        if now == 0:
+            # a part is one window now: all of a key are equal in the shortest length, and equal long ones are in one block
+            all_runs = all_runs.union(rows.select(F.lit(0).alias("kind"), "node", "start", "windows"))
+            rows = rows.withColumn("hot", F.lit(False))
+        if left.isEmpty():
+            break
+        found = judged(rows, then)
+        all_runs = all_runs.union(found.where("kind >= 0").select("kind", "node", "start", "windows"))
+    return all_runs.groupBy("node").agg(F.collect_list(F.struct("kind", "start", "windows")).alias("spans"))
+
+
+def find_repeats(docs: DataFrame, lengths: tuple[int, ...], doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All rows (doc_id, sha, n_bytes), and (sha, n_bytes, copies, rep, spans) of each text that loses something in some length.
+
+    spans is null for a text that has copies: it is covered whole.  rep is the
+    least doc_id of the text.
+    """
+    ship(docs.sparkSession)
+    base = docs.select(docs[doc_id].alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text"))
+    rows = cut(_scan(base, lengths[0]))
+    one = rows.where(F.col("n_bytes") >= lengths[0]).groupBy("sha").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.first("n_bytes").alias("n_bytes"), F.first("anchors").alias("anchors"))
+    one = cut(one.select(F.monotonically_increasing_id().alias("node"), "*"))
+    spread = one.select("node", F.explode("anchors").alias("h"))
+    twice = spread.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h", F.ceil(F.col("c") / BLOCK_SEGMENTS).cast("int").alias("blocks"))
+    want = spread.join(twice, "h").groupBy("node").agg(F.collect_set(F.struct("h", "blocks")).alias("want"))
+    want = want.join(one.select("node", "sha", "rep"), "node")
+    texts = _packed(base.where(F.octet_length("text") >= lengths[0]), "text")
+    held = texts.join(want, (texts["__tj_sha"] == want.sha) & texts.doc_id.eqNullSafe(want.rep)).select("node", F.col("__tj_z").alias("z"), "want")
+    spans = _spans(_segments(held, lengths), lengths)
+    names = one.select("node", "sha", "n_bytes", "copies", "rep")
+    lost = names.join(spans, "node", "left").where("copies > 1 or spans is not null")
+    return rows.select("doc_id", "sha", "n_bytes"), lost.select("sha", "n_bytes", "copies", "rep", F.when(F.col("copies") == 1, F.col("spans")).alias("spans"))
+
+
+def _digest(rows: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """sha, n_removed, n_spans, kept_sha256 and n_passage from (sha, z, spans): the longest length is cut out, the shortest counted."""
     import pyarrow as pa
 
     def run(batches):
+        import zstandard
+
+        z = zstandard.ZstdDecompressor()
         for b in batches:
             out = []
-            for node, text, spans in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                left, removed, n = cut_out(text.encode("utf-8", "surrogatepass"), [(s["start"], s["windows"]) for s in spans], length)
-                out.append((node, removed, n, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if with_text else None))
+            for sha, packed, spans in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                of = [[(s["start"], s["windows"]) for s in spans if s["kind"] == k] for k in range(len(lengths))]
+                left, removed, n = cut_out(z.decompress(packed), of[-1], lengths[-1])
+                out.append((sha, removed, n, hashlib.sha256(left).hexdigest(), sum(y - x for x, y in merged(of[0], lengths[0]))))
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["node", "n_removed", "n_spans", "kept_sha256", "kept"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.int64()), strict=True)], names=["sha", "n_removed", "n_spans", "kept_sha256", "n_passage"])
 
-    return rows.select("node", "text", "spans").mapInArrow(run, "node long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    return rows.select("sha", "z", "spans").mapInArrow(run, "sha binary, n_removed long, n_spans long, kept_sha256 string, n_passage long")
 
 
-def find_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """All rows (doc_id, sha, n_bytes), and what is removed for each text (sha, n_removed, n_spans, kept_sha256[, kept])."""
-    spark = docs.sparkSession
-    rows = cut(_scan(docs.select(docs[doc_id].alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text")), length))
-    one = rows.where(F.col("n_bytes") >= length).groupBy("sha").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.first("n_bytes").alias("n_bytes"), F.first("anchors").alias("anchors"))
-    one = cut(one.select(F.monotonically_increasing_id().alias("node"), "*"))
-    spread = one.select("node", F.explode("anchors").alias("h"))
-    twice = spread.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h", F.ceil(F.col("c") / BLOCK_SEGMENTS).cast("int").alias("blocks"))
-    want = spread.distinct().join(twice, "h").groupBy("node").agg(F.collect_list(F.struct("h", "blocks")).alias("want"))
-    want = want.join(one.select("node", "sha", "rep"), "node")
-    texts = docs.select(docs[doc_id].alias("d"), F.coalesce(docs[text], F.lit("")).alias("text")).where(F.octet_length("text") >= length).withColumn("s", F.sha2("text", 256))
-    held = cut(texts.join(want, (texts.s == want.sha) & texts.d.eqNullSafe(want.rep)).select("node", "text", "want").dropDuplicates(["node"]), tidy=True)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = cut(_judge(_segments(held, length).repartition(parts, "h", "block").sortWithinPartitions("h", "block"), length), tidy=True)
-    hot = found.where("kind = 1")
-    again = hot.groupBy("wh").agg(F.count("*").alias("c")).where("c > 1")
-    late = hot.where("not known").join(again, "wh", "left_semi").select("node", "start", "windows")
-    # a window known as repeated in its block was written as a run; one that is repeated only elsewhere is late
-    spans = found.where("kind = 0").select("node", "start", "windows").union(late).groupBy("node").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
-    less = _strip(held.select("node", "text").join(spans, "node"), length, with_text)
-    whole = one.where("copies > 1").select("sha", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit("").cast("binary"), 256).alias("kept_sha256"), F.lit("").alias("kept"))
-    part = one.where("copies = 1").select("node", "sha").join(less, "node").select("sha", "n_removed", "n_spans", "kept_sha256", "kept")
-    return rows.select("doc_id", "sha", "n_bytes"), whole.union(part)
-
-
-def removed_digest(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row.
-
-    Null text counts as empty; texts shorter than ``length`` lose nothing.  All
-    copies of a text are judged alike, repeated rows among them.  An empty
-    table gives no rows; other columns are not read.
+def removed_digest(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and n_passage of every row.
+
+    n_removed, n_spans and kept_sha256 are of strings of ``length`` bytes;
+    n_passage is the number of bytes covered by strings of ``passage`` bytes
+    (at most ``length``) that start elsewhere too: shorter passages that stand
+    in several texts, which the length does not reach.
+
+    Null text counts as empty; texts shorter than ``passage`` lose nothing.
+    Very long texts are scanned whole.  All copies of a text are judged alike,
+    repeated rows and rows with a null doc_id among them, so ties don't arise.
+    An empty table gives no rows; other columns are not read.
     """
-    rows, removed = find_repeats(docs, length, False, doc_id, text)
-    out = rows.join(removed.drop("kept"), "sha", "left")
-    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+    lengths = (min(passage, length), length)
+    rows, lost = find_repeats(docs, lengths, doc_id, text)
+    base = docs.select(docs[doc_id].alias("d"), F.coalesce(docs[text], F.lit("")).alias("text")).where(F.octet_length("text") >= lengths[0])
+    part = lost.where("spans is not null")
+    texts = _packed(base, "text")
+    # a text without a copy is one row, so nothing meets twice
+    less = _digest(texts.join(part, (texts["__tj_sha"] == part.sha) & texts.d.eqNullSafe(part.rep)).select("sha", F.col("__tj_z").alias("z"), "spans"), lengths)
+    long = F.col("n_bytes") >= length
+    whole = lost.where("spans is null").select("sha", F.when(long, F.col("n_bytes")).otherwise(0).alias("n_removed"), F.when(long, 1).otherwise(0).cast("long").alias("n_spans"), F.when(long, F.sha2(F.lit("").cast("binary"), 256)).alias("kept_sha256"), F.col("n_bytes").alias("n_passage"))
+    out = rows.join(whole.union(less), "sha", "left")
+    none = F.lit(0).cast("long")
+    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", F.lower(F.hex("sha"))).alias("kept_sha256"), F.coalesce("n_passage", none).alias("n_passage"))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with repeated bytes cut out of its text (characters cut in part go too); a column n_chars is counted anew."""
-    _, removed = find_repeats(docs, length, True, doc_id, text)
-    left = removed.select(F.col("sha").alias("__tj_sha"), F.col("kept").alias("__tj_kept"))
-    out = docs.join(left, F.sha2(docs[text], 256) == F.col("__tj_sha"), "left").withColumn(text, F.coalesce("__tj_kept", text))
+    """``docs`` with repeated bytes cut out of its text (characters cut in part go too); a column n_chars is counted anew.
+
+    Every row stays.  Null and empty texts and texts shorter than ``length``
+    stay as they are; a text that stands in several rows becomes empty in all
+    of them, repeated rows included.  Very long texts are scanned whole.  An
+    empty table gives no rows; other columns, whatever their names, pass
+    through.
+    """
+    import pyarrow as pa
+
+    _, lost = find_repeats(docs, (length,), doc_id, text)
+    rest = [f for f in docs.schema.fields if f.name != text]
+    long = F.coalesce(F.octet_length(docs[text]) >= length, F.lit(False))
+    packed = _packed(docs.where(long), text)
+    lost = lost.select(F.col("sha").alias("__tj_s"), (F.col("copies") > 1).alias("__tj_whole"), F.col("spans").alias("__tj_spans"))
+    both = packed.join(lost, F.col("__tj_sha") == F.col("__tj_s"), "left").select(*(packed[f.name] for f in rest), "__tj_z", "__tj_whole", "__tj_spans")
+
+    def run(batches):
+        import zstandard
+
+        z, k = zstandard.ZstdDecompressor(), len(rest)
+        for b in batches:
+            out = []
+            for packed, whole, spans in zip(*(b.column(k + i).to_pylist() for i in range(3)), strict=True):
+                data = b"" if whole else z.decompress(packed)
+                out.append((cut_out(data, [(s["start"], s["windows"]) for s in spans], length)[0] if spans and data else data).decode("utf-8", "ignore"))
+            yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(out, pa.string())], names=[*(f.name for f in rest), text])
+
+    out = both.mapInArrow(run, T.StructType([*rest, docs.schema[text]]))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length(text).cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    return docs.where(~long).unionByName(out).select(docs.columns)
