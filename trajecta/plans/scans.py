@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from pyspark.sql import functions as F
 
 from trajecta.plans.base import plan, table
@@ -28,7 +29,7 @@ def json_column_scan(s, d):
 
 @plan(PLANS, "select item_id, length(text) n_chars from benchmark")
 def jsonl_round_trip(s, d):
-    path = f"{T.shared_dir(s)}/jsonl-{s.sparkContext.applicationId}-{id(d)}"
+    path = f"{T.shared_dir(s)}/jsonl-{uuid.uuid4().hex}"
     table(s, d, "benchmark").write.mode("overwrite").json(path)
     good, _ = T.read_jsonl(s, path, "item_id bigint, text string")
     return good.select("item_id", F.length("text").cast("long").alias("n_chars"))
@@ -36,7 +37,7 @@ def jsonl_round_trip(s, d):
 
 @plan(PLANS, "select n_nationkey, n_name from nation")
 def csv_round_trip(s, d):
-    path = f"{T.shared_dir(s)}/csv-{s.sparkContext.applicationId}-{id(d)}"
+    path = f"{T.shared_dir(s)}/csv-{uuid.uuid4().hex}"
     table(s, d, "nation").write.mode("overwrite").option("header", "true").csv(path)
     return T.read_csv(s, path, "n_nationkey int, n_name string, n_regionkey int", ["n_name"], ["n_nationkey"]).select("n_nationkey", "n_name")
 

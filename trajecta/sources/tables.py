@@ -14,18 +14,33 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own in a local session."""
+    """The folder in spark.checkpoint.dir; a local session without that setting has a folder of its own, a cluster must name one."""
     if at := spark.conf.get("spark.checkpoint.dir", None):
         return at
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
-    return _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="trajecta-"))
+    if app not in _own:
+        _own[app] = "file://" + tempfile.mkdtemp(prefix="trajecta-")
+    return _own[app]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write and read back: fixes what depends on partitions and cuts lineage."""
-    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    """Write to the shared folder and read back: fixes what depends on partitions, and lost executors cost no more than a task."""
+    spark, schema = df.sparkSession, df.schema
+    path = f"{shared_dir(spark)}/trajecta/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._trajecta_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``cut`` that nothing will read again."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t._trajecta_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read_parquet(spark: SparkSession, *paths: str, columns: list[str] | None = None, merge: bool = False) -> DataFrame:
