@@ -31,10 +31,10 @@ from pyspark.sql import types as T
 
 from trajecta.llm import bytesx as B
 from trajecta.llm.suffix_groups import common_prefixes, suffix_array
-from trajecta.llm.tables import cut
+from trajecta.llm.tables import cut, packed
 from trajecta.ship import ship
 
-LENGTH, PASSAGE, GRAM, PHRASE, LOOK = 400, 256, 32, 32, 8
+LENGTH, PASSAGE, GRAM, PHRASE, LOOK = 400, 256, 32, 64, 8
 #: Segments of one group in one block, and bytes of the blocks that share a suffix array.
 BLOCK_SEGMENTS, BLOCK_BYTES = 2048, 1 << 19
 #: Powers of two of the steps in which hot segments are split by the place of the minimizer.
@@ -76,11 +76,11 @@ def anchors(run: list[bytes], length: int) -> tuple[np.ndarray, ...]:
 def _reach(buf: np.ndarray, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Phrase borders, and for each the bytes from it on, in whole phrases of its text, that occur elsewhere too."""
     i = np.arange(max(len(buf) - LOOK + 1, 0))
-    trigger = B.span_hash(prefix, i, i + LOOK) % B.U(PHRASE) == 0
-    seg = np.searchsorted(starts, i, "right") - 1
-    trigger &= i + LOOK <= ends[seg]
+    trigger = B.span_hash(prefix, i, i + LOOK) & B.U(PHRASE - 1) == 0
     cuts = np.flatnonzero(trigger)
-    owner = seg[cuts]
+    owner = np.searchsorted(starts, cuts, "right") - 1
+    inside = cuts + LOOK <= ends[owner]
+    cuts, owner = cuts[inside], owner[inside]
     inner = np.flatnonzero(owner[1:] == owner[:-1])  # phrase k: cuts[k] to cuts[k + 1] in one text
     reach = np.zeros(len(cuts), dtype=np.int64)
     if len(inner):
@@ -153,9 +153,14 @@ def repeated_windows(segments: list[bytes], counts: list[int], lengths: tuple[in
     return same, out
 
 
-def runs_of(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], flag.astype(np.int8), [0]])))
-    return edge[::2], edge[1::2] - edge[::2]
+def runs_of(flag: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of set flags within stretches that begin at ``bounds`` (the last bound is the end): stretch, first, length."""
+    edge = np.zeros(len(flag) + 1, dtype=bool)
+    edge[bounds] = True
+    rise = np.flatnonzero(flag & np.concatenate([[True], ~flag[:-1] | edge[1:-1]])) if len(flag) else np.zeros(0, dtype=np.int64)
+    fall = np.flatnonzero(flag & np.concatenate([~flag[1:] | edge[1:-1], [True]])) if len(flag) else rise
+    of = np.searchsorted(bounds, rise, "right") - 1
+    return of, rise - bounds[of], fall - rise + 1
 
 
 def parts_of(key: int, start: int, windows: int, at: int, data: bytes, lengths: tuple[int, ...], step: int):
@@ -215,29 +220,12 @@ def _scan(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], *T._parse_datatype_string("sha binary, n_bytes long, anchors array<long>").fields]))
 
 
-def _packed(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` with its text compressed (``__tj_z``) and hashed (``__tj_sha``): what is shuffled with a text is a third of it."""
-    import pyarrow as pa
-
-    rest = [f for f in docs.schema.fields if f.name != text]
-
-    def run(batches):
-        import zstandard
-
-        z = zstandard.ZstdCompressor(level=3)
-        for b in batches:
-            raw = [t.encode("utf-8", "surrogatepass") for t in b.column(len(rest)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.array([hashlib.sha256(x).digest() for x in raw], pa.binary()), pa.array([z.compress(x) for x in raw], pa.binary())], names=[*(f.name for f in rest), "__tj_sha", "__tj_z"])
-
-    return docs.select(*(docs[f.name] for f in rest), docs[text]).mapInArrow(run, T.StructType([*rest, *T._parse_datatype_string("__tj_sha binary, __tj_z binary").fields]))
-
-
 def _segments(rows: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
     """Segments of the wanted minimizers from (node, z: compressed text, want: array of (h, blocks)); repeated rows side by side count once."""
     import pyarrow as pa
 
     kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-    names = [x.split()[0] for x in _SEGMENT.split(", ")]
+    names = names_of(_SEGMENT)
 
     def run(batches):
         import zstandard
@@ -271,23 +259,33 @@ def _judge(rows: DataFrame, lengths: tuple[int, ...], step: int) -> DataFrame:
     import pyarrow as pa
 
     kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
-    names = [x.split()[0] for x in _FOUND.split(", ")]
+    names = names_of(_FOUND)
 
     def judge(held):
-        same, hits = repeated_windows([x[7] for x in held], [x[5] for x in held], lengths)
-        n, seen = [0] * (max(same) + 1), set()
-        for x, j in zip(held, same, strict=True):
-            n[j] = x[5]
+        windows, node, start = (np.array([x[i] for x in held], dtype=np.int64) for i in (5, 3, 4))
+        same, hits = repeated_windows([x[7] for x in held], windows.tolist(), lengths)
+        same = np.array(same)
+        n = np.zeros(same.max() + 1, dtype=np.int64)
+        n[same] = windows
         bounds = np.concatenate([[0], np.cumsum(n)])
-        runs = [[[(int(a), int(k)) for a, k in zip(*runs_of(hit[bounds[j] : bounds[j + 1]]), strict=True)] for j in range(len(n))] for hit in hits]
-        out = []
-        for (key, _, hot, node, start, windows, at, data), j in zip(held, same, strict=True):
-            for kind, found in enumerate(runs):
-                out += [(kind, node, start + a, k, None, None, None) for a, k in found[j]]
+        cols: list[list] = [[] for _ in names]
+        for kind, hit in enumerate(hits):
+            of, at, k = runs_of(hit, bounds)
+            low, high = np.searchsorted(of, same), np.searchsorted(of, same, "right")
+            times = high - low  # every segment has the runs of the different one that it equals
+            who = np.repeat(np.arange(len(held)), times)
+            run = np.repeat(low, times) + np.arange(len(who)) - np.repeat(np.cumsum(times) - times, times)
+            for c, x in zip(cols, (np.full(len(who), kind), node[who], start[who] + at[run], k[run]), strict=False):
+                c += x.tolist()
+            for c in cols[4:]:
+                c += [None] * len(who)
+        seen = set()
+        for (key, _, hot, who, first, many, at, data), j in zip(held, same.tolist(), strict=True):
             if hot and j not in seen:
                 seen.add(j)
-                out += [(-1, node, a, k, new, m, piece) for new, a, k, m, piece in parts_of(key, start, windows, at, data, lengths, step)]
-        cols = list(zip(*out, strict=True)) if out else [[]] * len(names)
+                for new, a, k, m, piece in parts_of(key, first, many, at, data, lengths, step):
+                    for c, x in zip(cols, (-1, who, a, k, new, m, piece), strict=True):
+                        c.append(x)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
     def run(batches):
@@ -349,7 +347,7 @@ def find_repeats(docs: DataFrame, lengths: tuple[int, ...], doc_id: str = "doc_i
     twice = spread.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h", F.ceil(F.col("c") / BLOCK_SEGMENTS).cast("int").alias("blocks"))
     want = spread.join(twice, "h").groupBy("node").agg(F.collect_set(F.struct("h", "blocks")).alias("want"))
     want = want.join(one.select("node", "sha", "rep"), "node")
-    texts = _packed(base.where(F.octet_length("text") >= lengths[0]), "text")
+    texts = packed(base.where(F.octet_length("text") >= lengths[0]), "text")
     held = texts.join(want, (texts["__tj_sha"] == want.sha) & texts.doc_id.eqNullSafe(want.rep)).select("node", F.col("__tj_z").alias("z"), "want")
     spans = _spans(_segments(held, lengths), lengths)
     names = one.select("node", "sha", "n_bytes", "copies", "rep")
@@ -394,7 +392,7 @@ def removed_digest(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE
     rows, lost = find_repeats(docs, lengths, doc_id, text)
     base = docs.select(docs[doc_id].alias("d"), F.coalesce(docs[text], F.lit("")).alias("text")).where(F.octet_length("text") >= lengths[0])
     part = lost.where("spans is not null")
-    texts = _packed(base, "text")
+    texts = packed(base, "text")
     # a text without a copy is one row, so nothing meets twice
     less = _digest(texts.join(part, (texts["__tj_sha"] == part.sha) & texts.d.eqNullSafe(part.rep)).select("sha", F.col("__tj_z").alias("z"), "spans"), lengths)
     long = F.col("n_bytes") >= length
@@ -418,9 +416,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id
     _, lost = find_repeats(docs, (length,), doc_id, text)
     rest = [f for f in docs.schema.fields if f.name != text]
     long = F.coalesce(F.octet_length(docs[text]) >= length, F.lit(False))
-    packed = _packed(docs.where(long), text)
+    small = packed(docs.where(long), text)
     lost = lost.select(F.col("sha").alias("__tj_s"), (F.col("copies") > 1).alias("__tj_whole"), F.col("spans").alias("__tj_spans"))
-    both = packed.join(lost, F.col("__tj_sha") == F.col("__tj_s"), "left").select(*(packed[f.name] for f in rest), "__tj_z", "__tj_whole", "__tj_spans")
+    both = small.join(lost, F.col("__tj_sha") == F.col("__tj_s"), "left").select(*(small[f.name] for f in rest), "__tj_z", "__tj_whole", "__tj_spans")
 
     def run(batches):
         import zstandard
@@ -428,8 +426,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id
         z, k = zstandard.ZstdDecompressor(), len(rest)
         for b in batches:
             out = []
-            for packed, whole, spans in zip(*(b.column(k + i).to_pylist() for i in range(3)), strict=True):
-                data = b"" if whole else z.decompress(packed)
+            for box, whole, spans in zip(*(b.column(k + i).to_pylist() for i in range(3)), strict=True):
+                data = b"" if whole else z.decompress(box)
                 out.append((cut_out(data, [(s["start"], s["windows"]) for s in spans], length)[0] if spans and data else data).decode("utf-8", "ignore"))
             yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(out, pa.string())], names=[*(f.name for f in rest), text])
 

@@ -2,50 +2,32 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
+import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-_own: dict[str, str] = {}
+from trajecta.sources.tables import cut, discard, shared_dir  # noqa: F401
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (a local session), one of our own."""
-    if at := spark.conf.get("spark.checkpoint.dir", None):
-        return at
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="trajecta-")
-    return _own[app]
+def packed(docs: DataFrame, text: str, hashed: bool = True) -> DataFrame:
+    """``docs`` with its text compressed (``__tj_z``) and its sha256 (``__tj_sha``): a third of the bytes where texts are shuffled."""
+    import pyarrow as pa
 
+    rest = [f for f in docs.schema.fields if f.name != text]
+    more = [*(["__tj_sha"] if hashed else []), "__tj_z"]
 
-def cut(df: DataFrame, tidy: bool = False) -> DataFrame:
-    """``df`` written to the shared folder and read back: lost executors cost no more than a task.
-
-    ``tidy`` then lets the driver collect garbage, so that Spark removes the
-    shuffle files of what was just written; for steps that shuffle texts.
-    """
-    spark, schema = df.sparkSession, df.schema
-    path = f"{shared_dir(spark)}/trajecta/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(schema).parquet(path)
-    out._trajecta_path = path
-    if tidy:
-        del df
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-    return out
+    def run(batches):
+        import zstandard
 
+        z = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            raw = [t.encode("utf-8", "surrogatepass") for t in b.column(len(rest)).to_pylist()]
+            sha = [pa.array([hashlib.sha256(x).digest() for x in raw], pa.binary())] if hashed else []
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], *sha, pa.array([z.compress(x) for x in raw], pa.binary())], names=[*(f.name for f in rest), *more])
 
-def discard(*tables: DataFrame) -> None:
-    """Delete tables made by ``cut`` that nothing will read again."""
-    for t in tables:
-        jvm = t.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(t._trajecta_path)
-        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return docs.select(*(docs[f.name] for f in rest), docs[text]).mapInArrow(run, T.StructType([*rest, *(T.StructField(c, T.BinaryType()) for c in more)]))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
