@@ -18,7 +18,7 @@ BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 #: A second table, for hashes that have nothing to do with those of the first.
 BYTE_TOO = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 #: Bytes of work for one slice: it bounds the memory of a Python worker.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

@@ -12,17 +12,16 @@
    windows hold a run of phrases that occurs twice.
 4. Those windows are compared by a 128-bit hash of all their bytes.
 5. A group of more than ``BLOCK_SEGMENTS`` segments is dealt into blocks by
-   their bytes, so that equal ones meet.  Distinct segments that are left are
-   split by where the minimizer stands in the window, in ever smaller steps,
-   and each part goes to the parts that share all the bytes its windows have in
-   common.  Parts that meet nobody are unique; runs of windows come out, never
-   single ones.
+   hash.  What repeats in a block is known then, and one of each block's equal
+   segments goes on: it is split by where the minimizer stands in the window,
+   in ever smaller steps, and each part goes to the parts that share all the
+   bytes its windows have in common.  Parts that meet nobody are unique; runs
+   of windows come out, never single ones.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -243,7 +242,7 @@ def _segments(rows: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
                 for a, k, m, x in zip(start.tolist(), count.tolist(), place.tolist(), h.view(np.int64).tolist(), strict=True):
                     if (n := blocks.get(x)) is not None:
                         piece = data[a : a + k - 1 + lengths[-1]]
-                        got.append((x, zlib.crc32(piece) % n if n > 1 else 0, n > 1, node, a, k, m - a, piece))
+                        got.append((x, (node * 0x9E3779B1 + a) % n, n > 1, node, a, k, m - a, piece))
                         size += len(piece)
                 if size > 8 * B.SLICE_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), kinds, strict=True)], names=names)
@@ -320,7 +319,8 @@ def _spans(segments: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
     for now, then in zip(STEPS, [*STEPS[1:], None], strict=True):
         left = found.where("kind = -1")
         many = left.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key", F.ceil(F.col("c") / BLOCK_SEGMENTS).cast("int").alias("blocks"))
-        rows = left.join(many, "key").select("key", F.pmod(F.crc32("bytes"), F.col("blocks")).cast("int").alias("block"), (F.col("blocks") > 1).alias("hot"), "node", "start", "windows", "at", "bytes")
+        deal = F.crc32("bytes") if now == 0 else F.xxhash64("node", "start")
+        rows = left.join(many, "key").select("key", F.pmod(deal, F.col("blocks")).cast("int").alias("block"), (F.col("blocks") > 1).alias("hot"), "node", "start", "windows", "at", "bytes")
         if now == 0:
             # a part is one window now: all of a key are equal in the shortest length, and equal long ones are in one block
             all_runs = all_runs.union(rows.select(F.lit(0).alias("kind"), "node", "start", "windows"))
