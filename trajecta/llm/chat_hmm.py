@@ -5,11 +5,16 @@ it.  Lines are observed by their speaker marker and by how they start: a row
 of the table, after a blank line, after the end of a sentence, or none of
 these.  A marker always begins a turn.  Viterbi gives the best states.
 
-A conversation may be of any length: its rows are dealt into blocks of
-``BLOCK_TURNS`` turns.  A block's best scores from each entry state to each
-exit state form a small max-plus matrix; a pass over the matrices of a
-conversation fixes the state at every border, and the blocks are then decoded
-one by one.
+The odds of the next turn's role and of how a turn's first line starts are
+counted on the marked lines of the table, on top of fixed prior counts.
+
+A conversation may be of any length: all rows are sorted by range partitions
+and dealt into blocks of at most ``BLOCK_TURNS`` rows.  A block's best scores
+from each entry state to each exit state form a small max-plus matrix.  The
+matrices of a partition are multiplied, those of a conversation's partitions
+give the states at their borders, those of a partition's blocks the states in
+between, and the blocks are then decoded one by one.  A block knows the line
+before it, so the result doesn't depend on where it begins.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trajecta.llm.tables import cut
+from trajecta.ship import ship
 
 ROLES = ("system", "user", "assistant")
 BLOCK_TURNS = 1024
@@ -37,82 +43,87 @@ _END = re.compile(r"\s*(?:<\|im_end\|>|<\|end\|>)\s*$")
 
 # States 2 * role (begins a turn) and 2 * role + 1 (goes on).
 STATES = 2 * len(ROLES)
-
-
-def _transitions() -> np.ndarray:
-    # Odds of the role of the next turn after each role.
-    nxt = {"system": (0.02, 0.88, 0.10), "user": (0.02, 0.08, 0.90), "assistant": (0.01, 0.93, 0.06)}
-    out = np.full((STATES, STATES), -np.inf)
-    for r, role in enumerate(ROLES):
-        for s in (2 * r, 2 * r + 1):
-            out[s, 2 * r + 1] = np.log(0.7)
-            for k, p in enumerate(nxt[role]):
-                out[s, 2 * k] = np.log(0.3 * p)
-    return out
-
-
-MOVE = _transitions()
-START = np.log(np.array([0.25, 1e-4, 0.65, 1e-4, 0.1, 1e-4]))
-
-
-# Odds of how a line starts where a turn begins and within one, and of a marker where a turn begins:
-# one turn in eight has none, few have another role's, and a marked line within a turn is all but ruled out.
-STARTS = {"row": (0.7, 0.002), "blank": (0.16, 0.02), "ended": (0.12, 0.12), "other": (0.02, 0.858)}
+HOW = ("row", "blank", "ended", "other")
+# Prior odds of the role of the next turn after each role, of how a line starts where a turn begins and
+# within one, and of a marker where a turn begins: one turn in eight has none, few have another role's, and a marked
+# line within a turn is all but ruled out.
+NEXT = {"system": (0.02, 0.88, 0.10), "user": (0.02, 0.08, 0.90), "assistant": (0.01, 0.93, 0.06)}
+BEGINS, GOES_ON = (0.7, 0.16, 0.12, 0.02), (0.002, 0.02, 0.12, 0.858)
 NONE, OWN, OTHER, WITHIN = 0.125, 0.875, 1e-5, 1e-12
-
-
-def _odds() -> dict[tuple[str, str | None], np.ndarray]:
-    out = {}
-    for how, (begins, goes_on) in STARTS.items():
-        for role in (None, *ROLES):
-            pairs = [(begins * (NONE if role is None else OWN if role == name else OTHER), goes_on * (1.0 if role is None else WITHIN)) for name in ROLES]
-            out[how, role] = np.log(np.array(pairs).ravel())
-    return out
-
-
-ODDS = _odds()
-
-
-def observe(line: str, before: str | None, starts_row: bool = False) -> tuple[np.ndarray, str]:
-    """Log odds of the line in each state, and the line without its marker."""
+#: Lines that the prior odds count for.
+PRIOR = 200.0
+
+
+class Odds:
+    """Log odds of the model: ``move`` between states, ``start`` of a conversation, ``see`` of (how a line starts, its marker)."""
+
+    def __init__(self, turns: np.ndarray | None = None, begins: np.ndarray | None = None):
+        """turns: counts of the next turn's role for each role; begins: counts of how marked lines start."""
+        nxt = PRIOR * np.array([NEXT[r] for r in ROLES]) + (0 if turns is None else turns)
+        nxt = nxt / nxt.sum(1, keepdims=True)
+        first = PRIOR * np.array(BEGINS) + (0 if begins is None else begins)
+        first = np.maximum(first / first.sum(), 0.01)
+        self.move = np.full((STATES, STATES), -np.inf)
+        for r in range(len(ROLES)):
+            for s in (2 * r, 2 * r + 1):
+                self.move[s, 2 * r + 1] = np.log(0.7)
+                self.move[s, ::2] = np.log(0.3 * nxt[r])
+        self.start = np.log(np.array([0.25, 1e-4, 0.65, 1e-4, 0.1, 1e-4]))
+        self.see = {}
+        for k, how in enumerate(HOW):
+            for role in (None, *ROLES):
+                pairs = [(first[k] * (NONE if role is None else OWN if role == name else OTHER), GOES_ON[k] * (1.0 if role is None else WITHIN)) for name in ROLES]
+                self.see[how, role] = np.log(np.array(pairs).ravel())
+
+
+PLAIN = Odds()
+MOVE, START = PLAIN.move, PLAIN.start
+
+
+def features(line: str, before: str | None, starts_row: bool = False) -> tuple[str, str | None, str]:
+    """How the line starts, the role that its marker names, and the line without its marker."""
     m = _MARK.match(line)
     role = _NAME[m[1].lower()] if m else None
     text = _END.sub("", line[m.end() :] if m else line)
     if starts_row or before is None:
-        how = "row"
-    elif not before.strip():
-        how = "blank"
-    else:
-        how = "ended" if before.rstrip()[-1] in ".!?>:" else "other"
-    return ODDS[how, role], text
+        return "row", role, text
+    if not before.strip():
+        return "blank", role, text
+    return "ended" if before.rstrip()[-1] in ".!?>:" else "other", role, text
 
 
-def emissions(lines: list[str], before: str | None, starts: frozenset[int] | set[int] = frozenset()) -> tuple[np.ndarray, list[str]]:
-    """``observe`` of all lines; those numbered in ``starts`` are the first of a row."""
+def emissions(lines: list[str], before: str | None, starts: frozenset[int] | set[int] = frozenset(), odds: Odds = PLAIN) -> tuple[np.ndarray, list[str]]:
+    """Log odds of all lines in each state, and the lines without markers; those numbered in ``starts`` are the first of a row."""
     got = []
     for i, line in enumerate(lines):
-        got.append(observe(line, before, i in starts))
+        how, role, text = features(line, before, i in starts)
+        got.append((odds.see[how, role], text))
         before = line
     return np.array([g[0] for g in got]).reshape(-1, STATES), [g[1] for g in got]
 
 
-def transfer(e: np.ndarray) -> np.ndarray:
+def times(m: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Max-plus product."""
+    return (m[:, :, None] + n[None]).max(1)
+
+
+def transfer(e: np.ndarray, odds: Odds = PLAIN) -> np.ndarray:
     """Best score from each state before the lines to each state of the last line."""
     m = np.full((STATES, STATES), -np.inf)
     np.fill_diagonal(m, 0.0)
     for row in e:
-        m = (m[:, :, None] + MOVE[None]).max(1) + row[None]
+        m = times(m, odds.move) + row[None]
     return m
 
 
-def viterbi(e: np.ndarray, entry: int | None, leave: int | None) -> list[int]:
+def viterbi(e: np.ndarray, entry: int | None, leave: int | None, odds: Odds = PLAIN) -> list[int]:
     """Best states of the lines (ties: lower state), with the states at the borders given or free."""
     if not len(e):
         return []
-    score = (START if entry is None else MOVE[entry]) + e[0]
+    score = (odds.start if entry is None else odds.move[entry]) + e[0]
     back = []
     for row in e[1:]:
-        step = score[:, None] + MOVE
+        step = score[:, None] + odds.move
         back.append(step.argmax(0))
         score = step.max(0) + row
     s = int(score.argmax()) if leave is None else leave
@@ -123,14 +134,14 @@ def viterbi(e: np.ndarray, entry: int | None, leave: int | None) -> list[int]:
     return out[::-1]
 
 
-def borders(first: np.ndarray, rest: list[np.ndarray]) -> list[int]:
-    """States at the ends of blocks: ``first`` scores the first block's ends, ``rest`` are transfer matrices."""
+def borders(first: np.ndarray, rest: list[np.ndarray], leave: int | None = None) -> list[int]:
+    """States at the ends of blocks: ``first`` scores the first block's ends, ``rest`` are transfer matrices; the last end is given or free."""
     score, back = first, []
     for m in rest:
         step = score[:, None] + m
         back.append(step.argmax(0))
         score = step.max(0)
-    s = int(score.argmax())
+    s = int(score.argmax()) if leave is None else leave
     out = [s]
     for b in reversed(back):
         s = int(b[s])
@@ -161,99 +172,202 @@ def parse(transcript: str) -> list[tuple[str, str]]:
     return turns(viterbi(e, None, None), texts)
 
 
-def parse_blocks(rows: DataFrame) -> DataFrame:
-    """conv_id, turn, n_lines, n_turns, parsed_role and rendered for each row (conv_id, turn, line text ``raw``).
+def _blocks(rows: DataFrame) -> DataFrame:
+    """``rows`` with __tj_pid, __tj_blk, __tj_seq and __tj_before (the line before the block): sorted ranges of (conv_id, turn, raw), cut into blocks.
+
+    Ranges split a conversation of any size, and rows that are equal in all
+    three as well.
+    """
+    import pyarrow as pa
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["conv_id", "turn", "raw", "__tj_tie"]
+    sorted_rows = rows.withColumn("__tj_tie", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("__tj_tie").withColumn("__tj_pid", F.spark_partition_id())
+    more = T._parse_datatype_string("__tj_blk long, __tj_seq long, __tj_before string").fields
+    c, r = rows.columns.index("conv_id"), rows.columns.index("raw")
+
+    def run(batches):
+        blk, n, conv, before, seq = 0, 0, None, None, 0
+        for b in batches:
+            out = []
+            for own, raw in zip(b.column(c).to_pylist(), b.column(r).to_pylist(), strict=True):
+                if seq and own != conv:
+                    blk, n, before = blk + 1, 0, None
+                elif n == BLOCK_TURNS:
+                    blk, n = blk + 1, 0
+                out.append((blk, seq, before if n == 0 else None))
+                conv, before, n, seq = own, raw.rsplit("\n", 1)[-1], n + 1, seq + 1
+            cols = list(zip(*out, strict=True)) if out else [[]] * 3
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.string()), strict=True))], names=[*b.schema.names, *(f.name for f in more)])
+
+    return cut(sorted_rows.mapInArrow(run, T.StructType([*sorted_rows.schema.fields, *more])))
+
+
+def _counts(base: DataFrame) -> Odds:
+    """The model with the marked lines of all rows counted: a few sums, whatever the size of the table."""
+    import pyarrow as pa
+
+    def run(batches):
+        turns, begins = np.zeros((len(ROLES), len(ROLES))), np.zeros(len(HOW))
+        last = None  # conversation, row and role of the marked row before
+        for b in batches:
+            for conv, seq, raw in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                before = None
+                for i, line in enumerate(raw.split("\n")):
+                    how, role, _ = features(line, before, i == 0)
+                    before = line
+                    if role is not None:
+                        k = ROLES.index(role)
+                        begins[HOW.index(how)] += 1
+                        if last and last[:2] in ((conv, seq - 1), (conv, seq)):
+                            turns[last[2], k] += 1
+                        last = (conv, seq, k)
+        yield pa.RecordBatch.from_arrays([pa.array([turns.ravel().tolist()], pa.list_(pa.float64())), pa.array([begins.tolist()], pa.list_(pa.float64()))], names=["turns", "begins"])
+
+    got = base.select("conv_id", "__tj_seq", "raw").mapInArrow(run, "turns array<double>, begins array<double>")
+    cells = got.select(F.posexplode(F.concat("turns", "begins")).alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect()  # 13 rows
+    v = np.zeros(len(ROLES) ** 2 + len(HOW))
+    for x in cells:
+        v[x["k"]] = x["x"]
+    return Odds(v[: len(ROLES) ** 2].reshape(len(ROLES), -1), v[len(ROLES) ** 2 :])
+
+
+def parse_blocks(rows: DataFrame, fit: bool = True) -> DataFrame:
+    """``rows`` (conv_id, turn, line text ``raw``, and more) with n_lines, n_turns, parsed_role and rendered for ``raw``.
 
     A row's lines are consecutive lines of its conversation, in the order of
     turn (then of the text, for repeated turns).  parsed_role is the role of the
     row's first line; rendered has the turns that its lines hold, where lines
-    that go on with an earlier turn carry that turn's role.  Null text is one
-    empty line.  Rows with a null conv_id are one conversation, and null turns
-    come first.
+    that go on with an earlier turn carry that turn's role.  Of equally likely
+    states the lower counts.  ``fit`` counts the odds on the marked lines.
+
+    Null text is one empty line, and very long texts are parsed whole.  Rows
+    with a null conv_id are one conversation, and null turns come first.  Each
+    row gives one row, repeated ones too, and an empty table none.  Columns
+    named like a result are replaced, others pass through.
     """
     import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
 
-    conv = rows.schema["conv_id"].dataType
-    base = rows.select("conv_id", "turn", F.coalesce("raw", F.lit("")).alias("raw")).withColumn("block", F.floor(F.coalesce(F.col("turn"), F.lit(0)) / BLOCK_TURNS))
+    ship(rows.sparkSession)
+    made = ["n_lines", "n_turns", "parsed_role", "rendered"]
+    pass_on = [f for f in rows.schema.fields if f.name not in ("conv_id", "turn", "raw", *made)]
+    base = _blocks(rows.select("conv_id", "turn", F.coalesce("raw", F.lit("")).alias("raw"), *(rows[f.name] for f in pass_on)))
+    odds = _counts(base) if fit else PLAIN
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    base = cut(base.repartition(parts, "conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "raw"))
-    base = base.repartition(parts, "conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "raw")
+    conv, to_conv = rows.schema["conv_id"], to_arrow_type(rows.schema["conv_id"].dataType)
 
     def groups(batches):
+        """Rows of one block after the other: (pid, blk, before, raw, ...)."""
         held, key = [], None
         for b in batches:
             for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 if row[:2] != key and held:
-                    yield key, held
+                    yield held
                     held = []
                 key = row[:2]
-                held.append(row[2:])
+                held.append(row)
         if held:
-            yield key, held
+            yield held
 
     def seen(held):
-        # a block's first line is the first of a row, so the block before doesn't bear on it
         lines, starts = [], set()
         for row in held:
             starts.add(len(lines))
-            lines += row[1].split("\n")
-        return emissions(lines, None, starts)
+            lines += row[3].split("\n")
+        return emissions(lines, held[0][2], starts, odds)
+
+    def dealt(df):
+        return df.repartition(parts, "__tj_pid", "__tj_blk").sortWithinPartitions("__tj_pid", "__tj_blk", "__tj_seq")
 
     def measure(batches):
-        for key, held in groups(batches):
+        for held in groups(batches):
             e, _ = seen(held)
-            head = START + e[0]
-            body = transfer(e[1:])
-            whole = (MOVE + e[0][None])[:, :, None] + body[None]
-            yield pa.RecordBatch.from_arrays([pa.array([key[0]], to_conv), pa.array([key[1]], pa.int64()), pa.array([(head[:, None] + body).max(0).tolist()], pa.list_(pa.float64())), pa.array([whole.max(1).ravel().tolist()], pa.list_(pa.float64()))], names=["conv_id", "block", "first", "matrix"])
+            body = transfer(e[1:], odds)
+            head = (odds.start + e[0])[:, None] + body
+            whole = times(odds.move + e[0][None], body)
+            yield pa.RecordBatch.from_arrays([pa.array([held[0][4]], to_conv), pa.array([held[0][0]], pa.int32()), pa.array([held[0][1]], pa.int64()), pa.array([head.max(0).tolist()], pa.list_(pa.float64())), pa.array([whole.ravel().tolist()], pa.list_(pa.float64()))], names=["conv_id", "pid", "blk", "first", "matrix"])
 
-    from pyspark.sql.pandas.types import to_arrow_type
+    lists = "first array<double>, matrix array<double>"
+    one = dealt(base.select("__tj_pid", "__tj_blk", "__tj_before", "raw", "conv_id", "__tj_seq")).mapInArrow(measure, T.StructType([conv, *T._parse_datatype_string(f"pid int, blk long, {lists}").fields]))
+    one = cut(one)
+    # a partition has a bounded number of a conversation's blocks, and a conversation at most one chain in each partition
+    within = one.groupBy("conv_id", "pid").agg(F.sort_array(F.collect_list(F.struct("blk", "first", "matrix"))).alias("chain"))
 
-    to_conv = to_arrow_type(conv)
-    kinds = T.StructType([T.StructField("conv_id", conv), *T._parse_datatype_string("block long, first array<double>, matrix array<double>").fields])
-    blocks = cut(base.select("conv_id", "block", "turn", "raw").mapInArrow(measure, kinds))
-    chains = blocks.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("block", "first", "matrix"))).alias("chain"))
+    def square(x):
+        return np.array(x).reshape(STATES, STATES)
 
-    def fix(batches):
+    def product(batches):
+        for b in batches:
+            out = []
+            for c, pid, chain in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                first, m = np.array(chain[0]["first"]), square(chain[0]["matrix"])
+                for x in chain[1:]:
+                    n = square(x["matrix"])
+                    first, m = (first[:, None] + n).max(0), times(m, n)
+                out.append((c, pid, first.tolist(), m.ravel().tolist()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (to_conv, pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64())), strict=True)], names=["conv_id", "pid", "first", "matrix"])
+
+    across = within.mapInArrow(product, T.StructType([conv, *T._parse_datatype_string(f"pid int, {lists}").fields]))
+    across = across.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("pid", "first", "matrix"))).alias("chain"))
+
+    def outer(batches):
         for b in batches:
             out = []
             for c, chain in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ends = borders(np.array(chain[0]["first"]), [np.array(x["matrix"]).reshape(STATES, STATES) for x in chain[1:]])
-                out += [(c, x["block"], ends[i - 1] if i else -1, ends[i]) for i, x in enumerate(chain)]
+                ends = borders(np.array(chain[0]["first"]), [square(x["matrix"]) for x in chain[1:]])
+                out += [(c, x["pid"], ends[i - 1] if i else -1, ends[i]) for i, x in enumerate(chain)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (to_conv, pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["conv_id", "block", "entry", "leave"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (to_conv, pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["c", "p", "entry", "leave"])
 
-    ends = chains.mapInArrow(fix, T.StructType([T.StructField("conv_id", conv), *T._parse_datatype_string("block long, entry int, leave int").fields]))
-    ends = ends.select(F.col("conv_id").alias("c"), F.col("block").alias("k"), "entry", "leave")
-    both = base.join(ends, base.conv_id.eqNullSafe(ends.c) & (base.block == ends.k)).select("conv_id", "block", "turn", "raw", "entry", "leave")
-    both = both.repartition(parts, "conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "raw")
+    ends = across.mapInArrow(outer, T.StructType([T.StructField("c", conv.dataType), *T._parse_datatype_string("p int, entry int, leave int").fields]))
+    both = within.join(ends, within.conv_id.eqNullSafe(ends.c) & (within.pid == ends.p)).select("pid", "chain", "entry", "leave")
 
-    turn = rows.schema["turn"].dataType
-    schema = T.StructType([T.StructField("conv_id", conv), T.StructField("turn", turn), *T._parse_datatype_string("n_lines long, n_turns long, parsed_role string, rendered string").fields])
-    to_turn = to_arrow_type(turn)
+    def inner(batches):
+        for b in batches:
+            out = []
+            for pid, chain, entry, leave in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                head = np.array(chain[0]["first"]) if entry < 0 else square(chain[0]["matrix"])[entry]
+                states = borders(head, [square(x["matrix"]) for x in chain[1:]], leave)
+                out += [(pid, x["blk"], states[i - 1] if i else entry, states[i]) for i, x in enumerate(chain)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["p", "k", "entry", "leave"])
+
+    ends = both.mapInArrow(inner, "p int, k long, entry int, leave int")
+    full = base.join(ends, (base["__tj_pid"] == ends.p) & (base["__tj_blk"] == ends.k))
+    full = dealt(full.select("__tj_pid", "__tj_blk", "__tj_before", "raw", "entry", "leave", "conv_id", "turn", *(f.name for f in pass_on), "__tj_seq"))
+    keep = [conv, rows.schema["turn"], *pass_on]
+    schema = T.StructType([*keep, *T._parse_datatype_string("n_lines long, n_turns long, parsed_role string, rendered string").fields])
+    kinds = [*(to_arrow_type(f.dataType) for f in keep), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def decode(batches):
-        for key, held in groups(batches):
+        for held in groups(batches):
             e, texts = seen(held)
-            entry = held[0][2]
-            states = viterbi(e, None if entry < 0 else entry, held[0][3])
+            entry, leave = held[0][4:6]
+            states = viterbi(e, None if entry < 0 else entry, leave, odds)
             at, out = 0, []
             for row in held:
-                n = row[1].count("\n") + 1
+                n = row[3].count("\n") + 1
                 own = states[at : at + n]
                 said = turns(own, texts[at : at + n])
-                out.append((key[0], row[0], n, sum(1 for s in own if s % 2 == 0), ROLES[own[0] // 2], "".join(render(r, c) for r, c in said)))
+                out.append((*row[6:-1], n, sum(1 for s in own if s % 2 == 0), ROLES[own[0] // 2], "".join(render(r, c) for r, c in said)))
                 at += n
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (to_conv, to_turn, pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=schema.names)
 
-    return both.mapInArrow(decode, schema)
+    return full.mapInArrow(decode, schema)
 
 
 def as_transcript(conversations: DataFrame) -> DataFrame:
-    """(conv_id, turn, raw): the turns as lines of a transcript in one of five styles by the conversation's hash; one turn in eight loses its marker."""
+    """(conv_id, turn, raw, role): the turns as lines of a transcript in one of five styles by the conversation's hash; one turn in eight loses its marker.
+
+    A null role is written as a user's, a null text as an empty one; a null turn
+    keeps its marker.  Each row gives one row, repeated ones too, and an empty
+    table none; very long texts are kept whole and other columns are not read.
+    """
     style = F.pmod(F.xxhash64("conv_id"), F.lit(5))
     role = F.coalesce("role", F.lit("user"))
     name = F.when(role == "user", F.element_at(F.array(*map(F.lit, ("User", "Human", "Q", "user", "Customer"))), (style + 1).cast("int"))).when(role == "assistant", F.element_at(F.array(*map(F.lit, ("Assistant", "AI", "A", "assistant", "Agent"))), (style + 1).cast("int"))).otherwise(F.lit("System"))
     mark = F.when(style == 3, F.concat(F.lit("<|im_start|>"), name, F.lit(": "))).when(style == 1, F.concat(F.lit("### "), name, F.lit(": "))).when(style == 4, F.concat(F.lit("["), name, F.lit("] "))).otherwise(F.concat(name, F.lit(": ")))
     bare = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(8)) == 0
-    return conversations.select("conv_id", "turn", F.concat(F.when(bare & (F.col("turn") > 0), F.lit("")).otherwise(mark), F.coalesce("text", F.lit(""))).alias("raw"))
+    return conversations.select("conv_id", "turn", F.concat(F.when(bare & F.coalesce(F.col("turn") > 0, F.lit(False)), F.lit("")).otherwise(mark), F.coalesce("text", F.lit(""))).alias("raw"), "role")

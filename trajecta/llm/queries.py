@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from trajecta.llm.oracles import ORACLES  # noqa: F401
 from trajecta.ship import ship
@@ -44,10 +43,7 @@ def op3_chat_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of all conversations, laid out as transcripts, parsed back; ``role`` is what the table has."""
     from trajecta.llm.chat_hmm import as_transcript, parse_blocks
 
-    conv = table(spark, sf_dir, "conversations")
-    parsed = parse_blocks(as_transcript(conv))
-    role = conv.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), "role")
-    return parsed.join(role, parsed.conv_id.eqNullSafe(role.c) & parsed.turn.eqNullSafe(role.t)).select(*parsed.columns, "role")
+    return parse_blocks(as_transcript(table(spark, sf_dir, "conversations")))
 
 
 def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
