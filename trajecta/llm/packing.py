@@ -11,12 +11,16 @@ is shuffled, and a retried task repeats the same result.
 
 from __future__ import annotations
 
-import heapq
+import json
 import re
 import unicodedata
 import zlib
 from array import array
 
+import numpy as np
+
+from trajecta.ship import ship
+
 CAPACITY = 2048
 LINEAR, QUADRATIC = 1.0, 1.0 / 24576
 #: Tokens of one batch; larger batches pad and balance no better.
@@ -26,6 +30,9 @@ END_ID = 1
 #: Fast path only for these characters; in all other texts the library splits words itself.
 _PLAIN = re.compile(r"[ \n\t\r!-~\xa1-\xac\xae-ŷŹ-ǿ]*")
 _SUB = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+# The settings of a tokenizer file that the two patterns above follow.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _ODD_NUMBER = re.compile(r"[\xb2\xb3\xb9\xbc-\xbe]")
 
 
@@ -47,10 +54,20 @@ class WordCoder:
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
+        self.fast = self._follows(json.loads(self.lib.to_str()))
         self.known: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
+    @staticmethod
+    def _follows(file: dict) -> bool:
+        """Whether words may be looked up one by one; files with other settings go through the library whole."""
+        split = (file.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        normal = (file.get("normalizer") or {}).get("normalizers")
+        return normal == _NORMALIZERS and split[0].get("pattern") == {"Regex": _SPLIT} and [x.get("type") for x in split] == ["Split", "ByteLevel"] and file.get("truncation") is file.get("padding") is None
+
     def _plain(self, text: str) -> bool:
+        if not self.fast:
+            return False
         m = _PLAIN.fullmatch(text)
         return bool(m) and not _ODD_NUMBER.search(text) and unicodedata.is_normalized("NFC", text)
 
@@ -106,11 +123,13 @@ def room_for(total: int, capacity: int = CAPACITY) -> list[int]:
 def pack(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of one batch.
 
-    Whole sequences are cut off long documents first.  Ties go to the lower
-    document and the lower sequence.
+    Whole sequences are cut off long documents first.  What is left goes, the
+    longest first, to the sequence of lowest cost that has room for it whole; if
+    none has, it is cut over the roomiest ones.  Ties go to the lower document
+    and the lower sequence.
     """
     sizes = room_for(sum(lengths), capacity)
-    pieces, free = [], []
+    pieces = []
     rest: list[tuple[int, int, int]] = []
     full = 0
     whole = sum(1 for s in sizes if s == capacity)
@@ -121,51 +140,25 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int, i
             full, start = full + 1, start + capacity
         if n > start:
             rest.append((n - start, d, start))
-    used = [0] * len(sizes)
-    free = [(0.0, s) for s in range(full, len(sizes))]
-    heapq.heapify(free)
-    left = {s: sizes[s] for _, s in free}
-    widest = [(-sizes[s], s) for _, s in free]
-    heapq.heapify(widest)
-
-    def put(d: int, start: int, n: int, s: int, was: float) -> None:
-        pieces.append((d, start, n, s, used[s]))
-        used[s] += n
+    left = np.array(sizes, dtype=np.int64)
+    left[:full] = 0
+    spent = np.zeros(len(sizes))
+    dear = np.full(len(sizes), np.inf)
+
+    def put(d: int, start: int, n: int, s: int) -> None:
+        pieces.append((d, start, n, s, sizes[s] - int(left[s])))
         left[s] -= n
-        if left[s]:
-            heapq.heappush(free, (was + cost(n), s))
-            heapq.heappush(widest, (-left[s], s))
+        spent[s] += cost(n)
 
-    spent: dict[int, float] = {}
     for n, d, start in sorted(rest, key=lambda x: (-x[0], x[1])):
-        while widest and -widest[0][0] != left[widest[0][1]]:
-            heapq.heappop(widest)
-        if -widest[0][0] >= n:
-            aside = []
-            while True:
-                was, s = heapq.heappop(free)
-                if was != spent.get(s, 0.0) or not left[s]:
-                    continue
-                if left[s] >= n:
-                    break
-                aside.append((was, s))
-                if len(aside) == 64:  # the roomiest then stands for a longer search
-                    s = widest[0][1]
-                    was = spent.get(s, 0.0)
-                    break
-            for x in aside:
-                heapq.heappush(free, x)
-            spent[s] = was + cost(n)
-            put(d, start, n, s, was)
+        s = int(np.where(left >= n, spent, dear).argmin())
+        if left[s] >= n:
+            put(d, start, n, s)
             continue
         while n:
-            while -widest[0][0] != left[widest[0][1]]:
-                heapq.heappop(widest)
-            s = widest[0][1]
-            take = min(n, left[s])
-            was = spent.get(s, 0.0)
-            spent[s] = was + cost(take)
-            put(d, start, take, s, was)
+            s = int(left.argmax())
+            take = min(n, int(left[s]))
+            put(d, start, take, s)
             start, n = start + take, n - take
     return pieces
 
@@ -174,7 +167,9 @@ def pack_documents(docs, path: str, doc_id: str = "doc_id", text: str = "text",
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null text counts as empty and then is the end id alone.  A null doc_id and
-    repeated rows are packed like others.  sequence_id is the partition's
+    repeated rows are packed like others, and very long texts are cut over as
+    many sequences as they fill.  Documents of equal length go in the order of
+    their rows, to the lower of sequences of equal cost.  sequence_id is the partition's
     number times 2**32 plus a count, so no task waits for another.  An empty
     table gives no rows; other columns are not read.
     """
@@ -182,6 +177,7 @@ def pack_documents(docs, path: str, doc_id: str = "doc_id", text: str = "text",
     from pyspark.sql import types as T
 
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType)] + [T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
+    ship(docs.sparkSession)
     rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
 
     def run(batches):
