@@ -1,8 +1,8 @@
 """Byte-level BPE by monoid tree reduction.
 
-A byte string is encoded by encoding its halves and joining the two results.
-Joining re-encodes a window around the seam that grows until the tokens
-outside it are provably those of the whole: a sequence of tokens is *the* BPE
+A byte string is a token of the table, or its halves are encoded, down to
+single bytes, and joined.  Joining re-encodes a window around the seam that
+grows until the tokens outside it are provably those of the whole: a sequence of tokens is *the* BPE
 encoding of its bytes exactly if every two neighbours are the encoding of their
 own bytes, so a window is large enough once its first and last token stand so
 with their outer neighbours.  Matches of the split pattern never merge with one
@@ -19,8 +19,15 @@ from array import array
 
 import regex
 
-LEAF = 24
+from trajecta.ship import ship
+
+#: Bytes of a window that is encoded directly.
+WINDOW = 96
+#: Parts that a node of the tree over a text's matches concatenates.
+FAN = 16
 CACHE_CHUNKS = 400_000
+# Fixed value: the split pattern for which a text may be cut at single spaces.
+SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _ODD_SPACE = re.compile(r"[^\S \n]")
 
 
@@ -30,9 +37,11 @@ class TreeCoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
+        self.spaced = pattern == SPACED
         self.spelling = [b""] * (max(ranks.values(), default=-1) + 1)
         for b, r in ranks.items():
             self.spelling[r] = b
+        self.joins = 0
         self._pairs: dict[tuple[int, int], bool] = {}
         self._pieces: dict[str, bytes] = {}
         self._chunks: dict[str, bytes] = {}
@@ -71,42 +80,45 @@ class TreeCoder:
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of both texts together from their encodings."""
+        self.joins += 1
         if not left or not right or self.stable(left[-1], right[0]):
             return left + right
         i = j = 1
         while True:
             i, j = min(i, len(left)), min(j, len(right))
-            window = self._direct(b"".join(self.spelling[t] for t in left[len(left) - i :] + right[:j]))
+            window = self._window(b"".join([self.spelling[t] for t in left[len(left) - i :] + right[:j]]))
             low = i == len(left) or self.stable(left[-i - 1], window[0])
             high = j == len(right) or self.stable(window[-1], right[j])
             if low and high:
                 return left[: len(left) - i] + window + right[j:]
             i, j = i if low else 2 * i, j if high else 2 * j
 
-    def _direct(self, b: bytes) -> list[int]:
-        return self.leaf(b) if len(b) <= 4 * LEAF else self.encode_bytes(b)
+    def _window(self, b: bytes) -> list[int]:
+        """What stands around a seam, encoded anew: directly, or by halves itself once it has grown."""
+        return self.leaf(b) if len(b) <= WINDOW else self.encode_bytes(b)
 
     def encode_bytes(self, b: bytes) -> list[int]:
-        """One match of the pattern, by halves.
+        """One match of the pattern: a token of the table, or its halves joined, down to single bytes.
 
         A stack of finished halves stands in for the recursion: equal sizes are
         joined as they meet, so the depth is the logarithm of the length.
         """
         if (whole := self.ranks.get(b)) is not None:
             return [whole]
-        if len(b) <= LEAF:
-            return self.leaf(b)
         stack: list[tuple[int, list[int]]] = []
-        for i in range(0, len(b), LEAF):
-            size, got = 1, self.leaf(b[i : i + LEAF])
+        for x in self._bytes(b):
+            size, got = 1, [x]
             while stack and stack[-1][0] == size:
                 size, got = 2 * size, self.join(stack.pop()[1], got)
             stack.append((size, got))
-        got = stack.pop()[1]
+        got = stack.pop()[1] if stack else []
         while stack:
             got = self.join(stack.pop()[1], got)
         return got
 
+    def _bytes(self, b: bytes) -> list[int]:
+        return [self.ranks[b[i : i + 1]] for i in range(len(b))]
+
     def _piece(self, piece: str) -> bytes:
         if (ids := self._pieces.get(piece)) is None:
             ids = array("I", self.encode_bytes(piece.encode("utf-8"))).tobytes()
@@ -117,16 +129,16 @@ class TreeCoder:
         return ids
 
     def _split(self, text: str) -> bytes:
-        return b"".join([self._piece(p) for p in self.pattern.findall(text)])
+        return up_the_tree([self._piece(p) for p in self.pattern.findall(text)])
 
     def encode_packed(self, text: str) -> bytes:
         """Ids of a text as unsigned 32-bit integers of this machine (little-endian ones here).
 
-        A single space between two other characters always starts a match, so a
+        With the pattern ``SPACED`` a single space between two other characters always starts a match, so a
         text without other runs of space is cut there and the chunks are looked up.
         """
         parts = text.split(" ")
-        if "" in parts or " \n" in text or "\n " in text or _ODD_SPACE.search(text):
+        if not self.spaced or "" in parts or " \n" in text or "\n " in text or _ODD_SPACE.search(text):
             return self._split(text)
         known, out = self._chunks, []
         mark = ""
@@ -140,10 +152,18 @@ class TreeCoder:
                     known[p] = ids
             out.append(ids)
             mark = " "
-        return b"".join(out)
+        return up_the_tree(out)
 
     def decode_packed(self, ids: bytes) -> bytes:
-        return b"".join(map(self.spelling.__getitem__, memoryview(ids).cast("I")))
+        """Spellings of the tokens, concatenated up the tree."""
+        return up_the_tree(list(map(self.spelling.__getitem__, memoryview(ids).cast("I"))))
+
+
+def up_the_tree(parts: list[bytes]) -> bytes:
+    """Concatenation by levels of a balanced tree: between matches of the pattern, and between decoded tokens, a join is no more."""
+    while len(parts) > FAN:
+        parts = [b"".join(parts[i : i + FAN]) for i in range(0, len(parts), FAN)]
+    return b"".join(parts)
 
 
 def digest(coder: TreeCoder, texts: list) -> tuple[list[int], list[str], list[str]]:
@@ -160,11 +180,14 @@ def digest(coder: TreeCoder, texts: list) -> tuple[list[int], list[str], list[st
 def encode_documents(docs, path: str, pattern: str, text: str = "text"):
     """``docs`` with n_tokens, ids_sha256 and decoded_sha256 added (columns so named are replaced).
 
-    Nulls and empty texts give zero tokens.  Any other columns pass through.
+    Nulls and empty texts give zero tokens; very long texts are encoded whole.
+    Repeated rows each give a row, and an empty table none.  Any other columns
+    pass through.  Between equal ranks the leftmost pair merges first.
     """
     import pyarrow as pa
     from pyspark.sql import types as T
 
+    ship(docs.sparkSession)
     names = ["n_tokens", "ids_sha256", "decoded_sha256"]
     keep = [f for f in docs.schema.fields if f.name not in names]
     rest = docs.select([docs[f.name] for f in keep])
