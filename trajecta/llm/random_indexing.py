@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from trajecta.llm import bytesx as B
 from trajecta.llm.labelled import SAMPLE_ROWS, fit_in_task, held_out, training_rows
+from trajecta.ship import ship
 
 DIM, NONZERO, VOCAB, WINDOW, HIDDEN = 96, 6, 4096, 2, 32
 SHAPES = 64
@@ -212,14 +213,26 @@ def score_documents(docs: DataFrame, model: bytes, threshold: float = 0.3, doc_i
     return score_with(docs, model, Model, threshold, doc_id, text)
 
 
+_models: dict = {}
+
+
+def loaded(loader, model: bytes):
+    """The model, made once in a worker and kept for its later tasks (the last one only)."""
+    if (loader, model) not in _models:
+        _models.clear()
+        _models[loader, model] = loader.load(model)
+    return _models[loader, model]
+
+
 def score_with(docs, model, loader, threshold, doc_id, text):
     import pyarrow as pa
 
+    ship(docs.sparkSession)
     rows = docs.select(docs[doc_id].alias("doc_id"), held_out(docs[doc_id]).alias("held_out"), docs[text].alias("text"))
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches):
-        m = loader.load(model)
+        m = loaded(loader, model)
         for b in batches:
             s = m.scores([t or "" for t in b.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array(s >= threshold, pa.bool_()).cast(pa.int32())], names=schema.names)
@@ -228,21 +241,33 @@ def score_with(docs, model, loader, threshold, doc_id, text):
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, bound: int = SAMPLE_ROWS) -> DataFrame:
-    """Fit on the labelled rows outside the held-out fold (about ``bound`` of them), score all rows."""
+    """Fit on the labelled rows outside the held-out fold (about ``bound`` of them), score all rows.
+
+    doc_id, held_out, score and predicted of every row, repeated ones too; null
+    and empty texts get the score of an empty text, and very long texts are
+    scored whole.  An empty table gives no rows; other columns are not read.
+    """
     return score_documents(docs, fit_in_task(training_rows(docs, labels, "quality", bound=bound), fit), threshold)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, bound: int = SAMPLE_ROWS) -> DataFrame:
-    """Rows of ``docs`` whose score reaches the threshold, with the columns of ``docs``."""
+    """Rows of ``docs`` whose score reaches the threshold, with the columns of ``docs``.
+
+    A row is judged by its text alone, a null one as empty and a very long one
+    whole; a score equal to the threshold stays.  Repeated rows fare alike, an
+    empty table stays empty, and all columns, whatever their names, pass through.
+    """
     return filter_with(docs, fit_in_task(training_rows(docs, labels, "quality", bound=bound), fit), Model, lambda s: s >= threshold)
 
 
 def filter_with(docs, model, loader, rule, text: str = "text"):
-    """Rows that the rule keeps, judged by their text alone."""
+    """Rows that the rule keeps, judged by their text alone (null as empty)."""
     import pyarrow as pa
 
+    ship(docs.sparkSession)
+
     def run(batches):
-        m = loader.load(model)
+        m = loaded(loader, model)
         for b in batches:
             if b.num_rows:
                 s = m.scores([t or "" for t in b.column(b.schema.get_field_index(text)).to_pylist()])
