@@ -19,6 +19,8 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from trajecta.ship import ship
+
 _WORD = re.compile(r"[^\W_]+(?:[.\-'][^\W_]+)*")
 
 # Public license notices.
@@ -185,7 +187,7 @@ class Scanner:
                     last = (lo, hi)
 
     def all(self, text: str) -> list[tuple[str | None, float, int, int, int]]:
-        """Template, coverage, matched words, first and last word: the best of each license that reaches ``least``, or the best seen with no name.
+        """Template, coverage, matched words, first and last word: the best of each license that reaches ``least``, or one row with no name.
 
         Words that another license matches better (no less coverage and matches, and more of one) are that one's: without them
         an alignment must still reach ``least``.
@@ -209,8 +211,6 @@ class Scanner:
                 good = c > 0 and c >= self.least
                 if good:
                     found[name, c, len(m), at[0] + m[0][0], at[0] + m[-1][0]] = frozenset(at[0] + i for i, _ in m)
-                elif c > none[1]:
-                    none = (None, c, len(m), at[0] + m[0][0], at[0] + m[-1][0])
                 try:
                     at = spots.send(good)
                 except StopIteration:
@@ -233,13 +233,15 @@ class Scanner:
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, license, coverage, matched, first_word and last_word: a row for each template that reaches ``least``.
 
-    A text with none gives one row with a null license and the best coverage
-    among the places looked at (null and empty texts 0, with places -1).  A
+    A place is a stretch of the text as long as the template and its spare
+    words.  A text with none gives one row with a null license, coverage 0 and
+    places -1, as do null and empty texts; very long texts are scanned whole.  A
     template counts at its first place of best coverage.  Repeated rows each
     give their rows; an empty table none; other columns are not read.
     """
     import pyarrow as pa
 
+    ship(docs.sparkSession)
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), *T._parse_datatype_string("license string, coverage double, matched long, first_word long, last_word long").fields])
     rules = dict(sorted((all_templates() if templates is None else templates).items()))
 
