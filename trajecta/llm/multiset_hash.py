@@ -22,6 +22,7 @@ import hashlib
 import numpy as np
 
 from trajecta.llm import bytesx as B
+from trajecta.ship import ship
 
 WIDE, SMALL, SHORT_WORDS, SHINGLE, GRAM = 8, 256, 8, 3, 4
 
@@ -113,41 +114,69 @@ def edit_paragraphs(text: str, nxt: str) -> tuple[list[bytes], list[bytes]]:
     return paragraphs(text[cut:]) or [b""], (text[cut : len(text) - k] + nxt[:k]).encode("utf-8", "surrogatepass").split(b"\n")
 
 
+def _place(rows, kind):
+    """A double that never falls as doc_id rises: the number itself, or for texts the six bytes after what all ids begin with."""
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        raw = F.col("doc_id").cast("binary")
+        ends = rows.agg(F.hex(F.min(raw)).alias("a"), F.hex(F.max(raw)).alias("b")).collect()[0]
+        a, b = ends["a"] or "", ends["b"] or ""
+        same = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b))) // 2
+        return F.conv(F.rpad(F.substring(F.hex(raw), 2 * same + 1, 12), 12, "0"), 16, 10).cast("double")
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.col("doc_id").cast("timestamp").cast("double")
+    return F.col("doc_id").cast("double")
+
+
 def _order(docs, doc_id: str, text: str, parts: int):
-    """Rows by (pid, guest, doc_id, h): ranges of doc_id, each ending with a copy of the first row of the next range."""
+    """Rows by (pid, sub, guest, doc_id, h): ranges of doc_id, each ending with a copy of the first row of the next range.
+
+    A range that holds one doc_id only, such as that of nulls, is split by the
+    hash of the text where it has more rows than two even shares.
+    """
     from pyspark.ml.feature import Bucketizer
     from pyspark.sql import functions as F
 
+    kind = docs.schema[doc_id].dataType
     rows = docs.select(docs[doc_id].alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text"))
-    ids = rows.select(F.col("doc_id").cast("double").alias("x"))
-    cuts = sorted(set(ids.approxQuantile("x", [i / parts for i in range(1, parts)], 0.25 / parts))) if parts > 1 else []
-    splits = [float("-inf"), *(cuts or [0.0]), float("inf")]
-    rows = rows.withColumns({"x": F.coalesce(F.col("doc_id").cast("double"), F.lit(0.0)), "h": F.sha2("text", 256)})
-    rows = Bucketizer(splits=splits, inputCol="x", outputCol="b").transform(rows)
+    place = _place(rows.select("doc_id"), kind)
+    cuts = sorted(set(rows.select(place.alias("x")).approxQuantile("x", [i / parts for i in range(1, parts)], 0.25 / parts))) if parts > 1 else []
+    rows = rows.withColumns({"x": F.coalesce(place, F.lit(0.0)), "h": F.sha2("text", 256)})
+    rows = Bucketizer(splits=[float("-inf"), *(cuts or [0.0]), float("inf")], inputCol="x", outputCol="b").transform(rows)
     rows = rows.select("doc_id", "text", "h", F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("b").cast("int")).alias("pid"), F.lit(0).alias("guest"))
-    firsts = [(r["pid"], r["m"]["doc_id"], r["m"]["h"]) for r in rows.groupBy("pid").agg(F.min(F.struct("doc_id", "h")).alias("m")).orderBy("pid").collect()]  # at most parts + 1 rows
+    sizes = rows.groupBy("pid").agg(F.count("*").alias("n"), F.min("doc_id").eqNullSafe(F.max("doc_id")).alias("one")).collect()  # at most parts + 1 rows
+    even = sum(r["n"] for r in sizes) / parts
+    hot = {r["pid"]: int(r["n"] / even) + 1 for r in sizes if r["one"] and r["n"] > 2 * even}
+    sub = F.lit(0)
+    for pid, k in hot.items():  # fewer than half as many as parts
+        sub = F.when(F.col("pid") == pid, F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / 2.0**32 * k).cast("int")).otherwise(sub)
+    rows = rows.withColumn("sub", sub)
+    firsts = [(r["pid"], r["sub"], r["m"]["doc_id"], r["m"]["h"]) for r in rows.groupBy("pid", "sub").agg(F.min(F.struct("doc_id", "h")).alias("m")).orderBy("pid", "sub").collect()]  # at most twice parts
     if not firsts:
         return rows
-    kind = docs.schema[doc_id].dataType.simpleString()
-    small = rows.sparkSession.createDataFrame([(firsts[i - 1][0], d, h) for i, (_, d, h) in enumerate(firsts)], f"to_pid int, g_id {kind}, g_h string")
+    small = rows.sparkSession.createDataFrame([(*firsts[i - 1][:2], d, h) for i, (*_, d, h) in enumerate(firsts)], f"to_pid int, to_sub int, g_id {kind.simpleString()}, g_h string")
     guests = rows.join(F.broadcast(small), F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("h") == F.col("g_h")))
-    guests = guests.select("doc_id", "text", "h", F.col("to_pid").alias("pid"), F.lit(1).alias("guest")).dropDuplicates(["pid"])
-    return rows.union(guests).repartition(parts, "pid").sortWithinPartitions("pid", "guest", "doc_id", "h")
+    guests = guests.select("doc_id", "text", "h", F.col("to_pid").alias("pid"), F.lit(1).alias("guest"), F.col("to_sub").alias("sub")).dropDuplicates(["pid", "sub"])
+    return rows.union(guests).repartition(parts, "pid", "sub").sortWithinPartitions("pid", "sub", "guest", "doc_id", "h")
 
 
 def fingerprint_documents(docs, doc_id: str = "doc_id", text: str = "text", parts: int | None = None):
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row.
 
     The next document is the next row by (doc_id, sha256 of the text), nulls
-    first, and after the last the first; a single row follows itself.  Null
-    text counts as empty: its fingerprint is all zero, and two such are alike
-    (1).  Repeated rows each give a row; an empty table none; other columns are
-    not read.
+    first, and after the last the first; a single row follows itself.  doc_id
+    may be a number, a text or a time.  Null text counts as empty: its
+    fingerprint is all zero, and two such are alike (1).  Very long texts are
+    taken whole.  Repeated rows each give a row and follow one another; an empty
+    table gives none; other columns are not read.
     """
     import pyarrow as pa
     from pyspark.sql import types as T
 
     spark = docs.sparkSession
+    ship(spark)
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = _order(docs, doc_id, text, parts)
     schema = T.StructType(
