@@ -173,8 +173,8 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition(parts, "lead", "c", "i", "j").sortWithinPartitions("lead", "c", "i", "j", "side", "node")
 
 
-def _links(docs: DataFrame, classes: DataFrame, words: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """(a, b): verified links that tie all linked classes together."""
+def _components(docs: DataFrame, classes: DataFrame, words: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """(node, root) of the classes that verified links tie together."""
     tied = classes.select("node", F.explode("bands").alias("band"))
     shared = tied.groupBy("band").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last").select("band", "lead")
     stars = cut(tied.join(shared, "band").where("node <> lead").select("node", "lead").distinct())
@@ -188,6 +188,7 @@ def _links(docs: DataFrame, classes: DataFrame, words: int, percent: int, doc_id
     zero = F.lit(0)
     rows = _texts(docs, want, doc_id, text).select("node", "z", F.explode("into").alias("x")).select("node", "z", "x.lead", zero.alias("c"), "x.i", zero.alias("j"), "x.side", "x.more")
     found = cut(_verify(_dealt(rows), words, percent, True))
+    spent = [stars, groups, found]
     links = found.where("b is not null").select("a", "b")
     rest = found.where("b is null").select("lead", F.col("a").alias("node")).distinct()
     if not rest.isEmpty():
@@ -206,7 +207,10 @@ def _links(docs: DataFrame, classes: DataFrame, words: int, percent: int, doc_id
         again = r.union(x).join(texts, "node").withColumn("more", F.lit(False))
         late = cut(_verify(_dealt(again), words, percent, False))
         links = links.union(late.where("a <> b").select("a", "b"))
-    return links
+        spent.append(late)
+    comp = components(links)
+    discard(*spent)
+    return comp
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -231,7 +235,7 @@ def _named(docs: DataFrame, words: int, percent: int, doc_id: str, text: str) ->
     some = rows.where("n_shingles > 0")
     one = some.groupBy("key").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("min_doc"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
     classes = cut(one.select(F.monotonically_increasing_id().alias("node"), "key", "rep", "min_doc", "bands", "n"))
-    comp = components(_links(docs, classes, words, percent, doc_id, text))
+    comp = _components(docs, classes, words, percent, doc_id, text)
     named = classes.select("node", "key", "min_doc").join(comp, "node", "left").select("key", "min_doc", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("min_doc").alias("component_id"))
     answer = named.join(least, "root").select("key", "root", "component_id")

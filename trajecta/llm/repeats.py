@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from trajecta.llm import bytesx as B
 from trajecta.llm.suffix_groups import common_prefixes, suffix_array
-from trajecta.llm.tables import cut, packed
+from trajecta.llm.tables import cut, discard, packed
 from trajecta.ship import ship
 
 LENGTH, PASSAGE, GRAM, PHRASE, LOOK = 400, 256, 32, 64, 8
@@ -315,6 +315,7 @@ def _spans(segments: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
         return cut(_judge(rows.repartition(parts, "key", "block").sortWithinPartitions("key", "block"), lengths, step))
 
     found = judged(segments, STEPS[0])
+    spent = [found]
     all_runs = found.where("kind >= 0").select("kind", "node", "start", "windows")
     for now, then in zip(STEPS, [*STEPS[1:], None], strict=True):
         left = found.where("kind = -1")
@@ -328,8 +329,11 @@ def _spans(segments: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
         if left.isEmpty():
             break
         found = judged(rows, then)
+        spent.append(found)
         all_runs = all_runs.union(found.where("kind >= 0").select("kind", "node", "start", "windows"))
-    return all_runs.groupBy("node").agg(F.collect_list(F.struct("kind", "start", "windows")).alias("spans"))
+    spans = cut(all_runs.groupBy("node").agg(F.collect_list(F.struct("kind", "start", "windows")).alias("spans")))
+    discard(*spent)
+    return spans
 
 
 def find_repeats(docs: DataFrame, lengths: tuple[int, ...], doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
