@@ -109,3 +109,10 @@ def histogram(values: Column) -> Column:
     """map<value, count> of an array."""
     keys = F.array_sort(F.array_distinct(values))
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.size(F.filter(values, lambda v: v == k))))
+
+
+def diff_count(a: Column, b: Column, mask: Column) -> Column:
+    """Places with mask 1 where the arrays differ; 0 where one is empty, and null where the lengths differ."""
+    both = F.arrays_zip(a.alias("a"), b.alias("b"), mask.alias("m"))
+    n = F.size(F.filter(both, lambda x: (x["m"] == 1) & ~x["a"].eqNullSafe(x["b"])))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).when((F.size(a) == F.size(b)) & (F.size(a) == F.size(mask)), n)

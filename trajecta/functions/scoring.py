@@ -136,3 +136,10 @@ def filter_weights(score: Column, method: str, power: float = 2.0, most: Column
     if method == "max_random":
         return F.when(score == most, 0.4).otherwise(0.1)
     raise ValueError(f"no method named {method}")
+
+
+def contained_reward(source, response, truth, extra=None, loose: float = 0.0) -> float:
+    """1 where the response holds the truth, ``loose`` where it does but for case, else 0; a row function for the reward managers."""
+    if truth is None or response is None:
+        return 0.0
+    return 1.0 if truth in response else loose if truth.lower() in response.lower() else 0.0

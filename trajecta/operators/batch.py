@@ -48,6 +48,12 @@ def pad_to(df: DataFrame, ordinal: str, divisor: int) -> DataFrame:
     return df.withColumn("is_pad", F.lit(False)).unionByName(more.select(*df.columns).withColumn("is_pad", F.lit(True)))
 
 
+def zipped(a: DataFrame, b: DataFrame, ordinal: str) -> DataFrame:
+    """Rows of the same position side by side; tables of different length raise."""
+    j = a.withColumn("_a", F.lit(True)).join(b.withColumn("_b", F.lit(True)), ordinal, "full_outer")
+    return j.where(F.when(F.col("_a") & F.col("_b"), True).otherwise(F.raise_error(F.lit("tables differ in length")).cast("boolean"))).drop("_a", "_b")
+
+
 def select_slice(df: DataFrame, ordinal: str, start: int, stop: int, step: int = 1) -> DataFrame:
     o = F.col(ordinal)
     return df.where((o >= start) & (o < stop) & ((o - start) % step == 0))
@@ -165,23 +171,25 @@ def imbalance(df: DataFrame, batch: str, length: str, part: str) -> DataFrame:
 
 
 def hash_sample(df: DataFrame, key: list[str], n: int, seed: int = 0) -> DataFrame:
-    """n rows without replacement, the same in every run: those of least hash (TakeOrdered, no full sort)."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
+    """n rows without replacement, the same in every run: those of least MD5 (TakeOrdered, no full sort)."""
+    h = F.md5(F.concat_ws(":", F.lit(seed), *[F.col(k).cast("string") for k in key]).cast("binary"))
+    return df.orderBy(h, *key).limit(n)
 
 
 def weighted_draws(df: DataFrame, key: str, weight: str, draws: int, seed: int = 0) -> DataFrame:
-    """Rows drawn with replacement by weight: evenly hashed points against running sums.
+    """Rows drawn with replacement by weight: evenly hashed points against running sums of the weights in order of key.
 
-    Sums run inside key ranges and are offset by the ranges' totals, so no
-    window takes all rows; a draw finds its row by a range join on a bucket.
+    Rows and points meet by an equi-join on cells of the sums' range, as many as
+    there are draws; a row stands in the cells that it reaches over, in all as
+    many as rows and draws together.
     """
-    spread = with_ordinal(df.select(key, F.col(weight).cast("double").alias("w")).where("w > 0"), [key])
-    block = spread.withColumn("b", F.floor(F.col("ordinal") / 4096))
-    totals = block.groupBy("b").agg(F.sum("w").alias("t"))
-    before = totals.select("b", F.coalesce(F.sum("t").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"), F.sum("t").over(Window.orderBy("b")).alias("upto"))
-    all_ = before.agg(F.max("upto").alias("total"))
-    points = df.sparkSession.range(draws).withColumnRenamed("id", "draw").withColumn("u", F.pmod(F.xxhash64(F.lit(seed), "draw"), F.lit(1 << 52)) / float(1 << 52))
-    points = points.join(F.broadcast(all_)).withColumn("x", F.col("u") * F.col("total"))
-    owned = points.join(F.broadcast(before), (F.col("x") >= F.col("before")) & (F.col("x") < F.col("upto"))).select("draw", "b", (F.col("x") - F.col("before")).alias("x"))
-    run = block.withColumn("hi", F.sum("w").over(Window.partitionBy("b").orderBy("ordinal"))).withColumn("lo", F.col("hi") - F.col("w"))
-    return owned.join(run, "b").where("x >= lo and x < hi").select("draw", key)
+    from trajecta.operators.layout import running_weights
+    from trajecta.operators.shop import unit_hash
+
+    run = running_weights(df.select(key, F.col(weight).cast("double").alias("_x")).where("_x > 0"), key, "_x")
+    total = run.agg(F.max("high").alias("_t"))
+    cell = lambda c: F.least(F.floor(c / F.col("_t") * draws), F.lit(draws - 1))
+    points = df.sparkSession.range(draws).withColumnRenamed("id", "draw").join(F.broadcast(total)).withColumn("_u", unit_hash(F.lit(seed), F.col("draw")) * F.col("_t"))  # one row
+    points = points.select("draw", "_u", cell(F.col("_u")).alias("_c"))
+    rows = run.join(F.broadcast(total)).select(key, "low", "high", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))).alias("_c"))
+    return points.join(rows, "_c").where("_u >= low and _u < high").select("draw", key)

@@ -70,18 +70,56 @@ def token_set(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda x: x != ""))
 
 
+_WORD_BITS = 60
+
+
+def common_letters(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence, by bit vectors of 60 letters a word.
+
+    A set bit of the state marks a letter of ``a`` that no step has matched; a
+    letter of ``b`` adds its places to the state word by word, with carries.
+    """
+    letters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    x, y = letters(a), letters(b)
+    full = F.lit((1 << _WORD_BITS) - 1)
+    words = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(x) / _WORD_BITS).cast("int"), F.lit(1)) - 1)
+    shift = lambda c, n: F.call_function("shiftleft", c, n)
+
+    def places(letter: Column, w: Column) -> Column:
+        own = F.slice(x, w * _WORD_BITS + 1, F.lit(_WORD_BITS))
+        return F.aggregate(F.transform(own, lambda l, i: F.when(l == letter, shift(F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda s, v: s + v)
+
+    def step(state: Column, letter: Column) -> Column:
+        start = F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(0).cast("bigint").alias("carry"))
+
+        def add(s: Column, w: Column) -> Column:
+            v, m = F.element_at(state, w + 1), places(letter, w)
+            t = v + v.bitwiseAND(m) + s["carry"]
+            return F.struct(F.concat(s["out"], F.array(t.bitwiseAND(full).bitwiseOR(v.bitwiseAND(F.bitwise_not(m))))).alias("out"), F.shiftright(t, _WORD_BITS).alias("carry"))
+
+        return F.aggregate(words, start, add, lambda s: s["out"])
+
+    end = F.aggregate(y, F.transform(words, lambda w: full), step)
+    bits = lambda w: F.least(F.greatest(F.size(x) - w * _WORD_BITS, F.lit(0)), F.lit(_WORD_BITS))
+    left = F.transform(end, lambda v, w: F.bit_count(v.bitwiseAND(shift(F.lit(1).cast("bigint"), bits(w)) - 1)).cast("int"))
+    return F.size(x) - F.aggregate(left, F.lit(0), lambda s, v: s + v)
+
+
+def letter_ratio(a: Column, b: Column) -> Column:
+    """0 to 100: twice the longest common subsequence over both lengths, so that a substitution costs as much as a letter less and a letter more."""
+    n = F.length(a) + F.length(b)
+    return F.when(n == 0, 100.0).otherwise(200.0 * common_letters(a, b) / F.greatest(n, F.lit(1)))
+
+
 def token_set_ratio(a: Column, b: Column) -> Column:
-    """0 to 100: 100 where one token set holds the other, else the best edit-distance ratio of the joined sorted sets."""
+    """0 to 100, rounded: 100 where one token set holds the other, else the best ``letter_ratio`` of the common tokens and either side's sorted tokens; 0 where a side has none."""
     x, y = token_set(a), token_set(b)
     both, one, two = F.array_sort(F.array_intersect(x, y)), F.array_sort(F.array_except(x, y)), F.array_sort(F.array_except(y, x))
     s0 = F.array_join(both, " ")
     s1, s2 = F.trim(F.concat_ws(" ", s0, F.array_join(one, " "))), F.trim(F.concat_ws(" ", s0, F.array_join(two, " ")))
-
-    def like(p: Column, q: Column) -> Column:
-        n = F.greatest(F.length(p) + F.length(q), F.lit(1))
-        return 100 * (n - F.levenshtein(p, q) * 1.0) / n
-
-    return F.when((F.size(both) > 0) & ((F.size(one) == 0) | (F.size(two) == 0)), 100.0).otherwise(F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.greatest(F.when(F.size(both) > 0, F.greatest(like(s0, s1), like(s0, s2))).otherwise(0.0), like(s1, s2))))
+    begins = lambda p: 200.0 * F.length(s0) / F.greatest(F.length(s0) + F.length(p), F.lit(1))  # noqa: E731  s0 is a prefix of p
+    best = F.greatest(F.when(F.size(both) > 0, F.greatest(begins(s1), begins(s2))).otherwise(0.0), letter_ratio(s1, s2))
+    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).when((F.size(both) > 0) & ((F.size(one) == 0) | (F.size(two) == 0)), 100.0).otherwise(F.round(best))
 
 
 def attribute_hits(wanted: Column, attributes: Column, text: Column) -> Column:

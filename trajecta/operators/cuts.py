@@ -44,25 +44,49 @@ def rolling(df: DataFrame, uid: str, order: list[str], value: str, width: int, t
     return x.withColumn("tail_mean", F.avg(F.when(F.col("_r") <= tail, F.col(value))).over(Window.partitionBy(uid))).drop("_r")
 
 
-def nearest_span(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, name: str) -> DataFrame:
-    """The span that holds a point; else the one before it; else the first, with how it was found and how far.
+def nearest_span(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, name: str, policy: str = "previous", width: int = 256) -> DataFrame:
+    """The first span that holds a point; else by policy the last one before it (the first of all, if none is), or the nearest (ties: the lower name), with how it was found and how far.
 
-    Spans of a key are one sorted array, so a point row is joined once; the
-    search is a filter over that array.
+    Spans that hold a point are met in stretches of ``width`` places; for the
+    others points and the ends of spans are sorted once.  Points of a key without
+    spans get nulls.
     """
-    arr = spans.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(start).alias("s"), F.col(end).alias("e"), F.col(name).alias("n")))).alias("spans"))
-    x = points.join(arr, key, "left")
-    p = F.col(at)
-    inside = F.try_element_at(F.filter("spans", lambda v: (v["s"] <= p) & (p < v["e"])), F.lit(1))
-    before = F.try_element_at(F.filter("spans", lambda v: v["e"] <= p), F.lit(-1))
-    first = F.try_element_at(F.col("spans"), F.lit(1))
-    how = F.when(inside.isNotNull(), "contained").when(before.isNotNull(), "previous").when(first.isNotNull(), "first")
-    best = F.coalesce(inside, before, first)
-    far = F.when(inside.isNotNull(), 0).when(before.isNotNull(), p - before["e"] + 1).otherwise(first["s"] - p)
-    return x.select(*points.columns, best["n"].alias("span"), how.alias("policy"), far.alias("distance"))
-
-
-def overlap(tokens: DataFrame, spans: DataFrame, key: str) -> DataFrame:
-    """First and last token (half-open) of each span: tokens [cs, ce) that overlap [s, e) of the same key."""
-    j = spans.join(tokens, (spans[key] == tokens[key]) & (tokens["cs"] < spans["e"]) & (tokens["ce"] > spans["s"]))
-    return j.groupBy(spans[key], spans["span"]).agg(F.min("token").alias("token_start"), (F.max("token") + 1).alias("token_end"))
+    if policy not in ("previous", "nearest"):
+        raise ValueError(f"no policy named {policy}")
+    s, e, n = F.col(start).cast("long"), F.col(end).cast("long"), F.col(name)
+    wide = spans.where(e > s).select(F.col(key).alias("_k"), s.alias("_s"), e.alias("_e"), n.alias("_n"), F.explode(F.sequence(F.floor(s / width), F.floor((e - 1) / width))).alias("_w"))
+    spots = points.select(F.col(key).alias("_k"), F.col(at).cast("long").alias("_p")).distinct().withColumn("_w", F.floor(F.col("_p") / width))
+    held = spots.join(wide, ["_k", "_w"]).where("_s <= _p and _p < _e").groupBy("_k", "_p").agg(F.min(F.struct(F.col("_s"), F.col("_n").alias("n")))["n"].alias("_in"))
+    span = F.struct(s.alias("s"), e.alias("e"), n.alias("n"))
+    ends = spans.select(F.col(key).alias("_k"), e.alias("_p"), F.lit(0).alias("_kind"), span.alias("_span"))
+    starts = spans.select(F.col(key).alias("_k"), s.alias("_p"), F.lit(2).alias("_kind"), span.alias("_span"))
+    own = points.select(F.col(key).alias("_k"), F.col(at).cast("long").alias("_p"), F.lit(1).alias("_kind"), F.struct(*points.columns).alias("_row"))
+    w = Window.partitionBy("_k").orderBy("_p", "_kind")
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing)
+    over = F.when(F.col("_kind") == 0, F.col("_span"))
+    last = F.max(over) if policy == "previous" else F.max(F.when(F.col("_kind") == 0, F.struct(F.col("_span.e").alias("e"), (-F.col("_span.n")).alias("m"))))
+    x = ends.union(starts).unionByName(own, allowMissingColumns=True).withColumns({"_b": last.over(back), "_a": F.min(F.when(F.col("_kind") == 2, F.col("_span"))).over(ahead)}).where("_kind = 1")
+    x = x.join(held, ["_k", "_p"], "left")
+    p, inside = F.col("_p"), F.col("_in").isNotNull()
+    near_a = F.when(F.col("_a").isNotNull(), F.struct((F.col("_a.s") - p).alias("far"), F.col("_a.n").alias("n")))
+    if policy == "previous":
+        near_b = F.when(F.col("_b").isNotNull(), F.struct((p - F.col("_b.e") + 1).alias("far"), F.col("_b.n").alias("n")))
+        best, how = F.coalesce(near_b, near_a), F.when(near_b.isNotNull(), "previous").when(near_a.isNotNull(), "first")
+    else:
+        near_b = F.when(F.col("_b").isNotNull(), F.struct((p - F.col("_b.e") + 1).alias("far"), (-F.col("_b.m")).alias("n")))
+        best = F.least(near_b, near_a)
+        how = F.when(best.isNotNull(), "nearest")
+    return x.select("_row.*", F.when(inside, F.col("_in")).otherwise(best["n"]).alias("span"), F.when(inside, "contained").otherwise(how).alias("policy"), F.when(inside, F.lit(0).cast("long")).otherwise(best["far"]).alias("distance"))
+
+
+def overlap(tokens: DataFrame, spans: DataFrame, key: str, width: int = 256) -> DataFrame:
+    """First and last token (half-open) of each span: tokens [cs, ce) that overlap [s, e) of the same key.
+
+    Both meet in stretches of ``width`` places, so a long key isn't one group and
+    a token meets only the spans near it; a pair that meets twice counts once.
+    """
+    over = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor((F.greatest(F.col(b), F.col(a) + 1) - 1) / width)))
+    t = tokens.select(F.col(key).alias("_k"), "token", "cs", "ce", over("cs", "ce").alias("_w"))
+    s = spans.select(key, "span", "s", "e", over("s", "e").alias("_w"))
+    j = s.join(t, (s[key] == t["_k"]) & (s["_w"] == t["_w"]) & (t["cs"] < s["e"]) & (t["ce"] > s["s"]))
+    return j.groupBy(s[key], "span").agg(F.min("token").alias("token_start"), (F.max("token") + 1).alias("token_end"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajecta.sources.tables import cut
@@ -54,9 +54,58 @@ def rewrite_tags(inputs: DataFrame, members: DataFrame, craftable: DataFrame) ->
     return j.select("recipe", "name", (F.col("is_tag") & F.col("_t").isNotNull()).alias("is_tag"), "count")
 
 
-def matches(offers: DataFrame, inputs: DataFrame) -> DataFrame:
-    """Offers (offer, recipe, item, count) that meet their recipe exactly: same items, same counts, nothing left over."""
+def matches(offers: DataFrame, inputs: DataFrame, tags: DataFrame | None = None) -> DataFrame:
+    """Offers (offer, recipe, item, count) that meet their recipe exactly: same items, same counts, nothing left over.
+
+    With ``tags`` (item, tag; an item has one) an input of ``inputs`` whose
+    is_tag is true is met by the tag itself or by any item that has it.
+    """
+    if tags is None:
+        o = offers.groupBy("offer", "recipe", "item").agg(F.sum("count").alias("given"))
+        pairs = offers.select("offer", "recipe").distinct().join(inputs.select("recipe", "item", F.col("count").alias("want")), "recipe")
+        full = pairs.join(o, ["offer", "recipe", "item"], "full_outer")
+        return full.groupBy("offer", "recipe").agg(F.bool_and(F.col("want").eqNullSafe(F.col("given"))).alias("valid"))
     o = offers.groupBy("offer", "recipe", "item").agg(F.sum("count").alias("given"))
-    pairs = offers.select("offer", "recipe").distinct().join(inputs.select("recipe", "item", F.col("count").alias("want")), "recipe")
-    full = pairs.join(o, ["offer", "recipe", "item"], "full_outer")
-    return full.groupBy("offer", "recipe").agg(F.bool_and(F.col("want").eqNullSafe(F.col("given"))).alias("valid"))
+    o = o.join(tags.select("item", F.col("tag").alias("_tag")), "item", "left")
+    pairs = offers.select("offer", "recipe").distinct().join(inputs.select("recipe", F.col("item").alias("_w"), "is_tag", F.col("count").alias("want")), "recipe")
+    j = pairs.join(o, ["offer", "recipe"]).where(F.when(F.col("is_tag"), F.col("_tag").eqNullSafe(F.col("_w")) | (F.col("item") == F.col("_w"))).otherwise(F.col("item") == F.col("_w")))
+    met = j.where("given = want").groupBy("offer", "recipe").agg(F.count_distinct("_w", "is_tag").alias("_met"), F.count_distinct("item").alias("_used"))
+    need = pairs.groupBy("offer", "recipe").agg(F.count("*").alias("_need"))
+    have = offers.groupBy("offer", "recipe").agg(F.count_distinct("item").alias("_have"))
+    x = have.join(need, ["offer", "recipe"], "left").join(met, ["offer", "recipe"], "left")
+    return x.select("offer", "recipe", F.coalesce((F.col("_met") == F.col("_need")) & (F.col("_used") == F.col("_have")) & (F.col("_need") == F.col("_have")), F.lit(False)).alias("valid"))
+
+
+def craftable(names: DataFrame, recipes: DataFrame) -> DataFrame:
+    """Names (column item) that some recipe's output has."""
+    return names.join(recipes.select(F.col("output").alias("item")).distinct(), "item", "left_semi")
+
+
+def valid_items(names: DataFrame, recipes: DataFrame, inputs: DataFrame) -> DataFrame:
+    """Names that are an output or an input of some recipe."""
+    known = recipes.select(F.col("output").alias("item")).union(inputs.select("item")).distinct()
+    return names.join(known, "item", "left_semi")
+
+
+def with_min_inputs(recipes: DataFrame, inputs: DataFrame, n: int) -> DataFrame:
+    """(item, recipe) of recipes with n different inputs or more."""
+    many = inputs.groupBy("recipe").agg(F.count_distinct("item").alias("_n")).where(F.col("_n") >= n)
+    return recipes.join(many, "recipe").select(F.col("output").alias("item"), "recipe")
+
+
+def with_min_depth(depths: DataFrame, recipes: DataFrame, n: int) -> DataFrame:
+    """(item, depth) of craftable items of depth n or more."""
+    return craftable(depths, recipes).where(F.col("depth") >= n)
+
+
+def recipe_text(recipes: DataFrame, inputs: DataFrame) -> DataFrame:
+    """(recipe, text): "craft n output using n item, n item", inputs in order of name."""
+    i = inputs.groupBy("recipe").agg(F.array_sort(F.collect_list(F.struct("item", "count"))).alias("_i"))
+    said = F.array_join(F.transform("_i", lambda x: F.concat(x["count"].cast("string"), F.lit(" "), x["item"])), ", ")
+    return recipes.join(i, "recipe").select("recipe", F.concat(F.lit("craft "), F.col("count").cast("string"), F.lit(" "), "output", F.lit(" using "), said).alias("text"))
+
+
+def parse_recipe(text: Column) -> Column:
+    """struct(count, item, parts) of a recipe's text; null where it has another form."""
+    form = r"^craft (\d+) (.+?) using (.+)$"
+    return F.when(text.rlike(form), F.struct(F.regexp_extract(text, form, 1).cast("int").alias("count"), F.regexp_extract(text, form, 2).alias("item"), F.split(F.regexp_extract(text, form, 3), ", ").alias("parts")))

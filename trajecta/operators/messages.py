@@ -104,3 +104,22 @@ def variants(df: DataFrame, key: str, shares: list[float]) -> DataFrame:
     prefix, rest = split_at(F.col("messages"), F.col("v.turn"))
     empty = F.array().cast("array<struct<role:string,content:string>>")
     return x.select(key, "v.variant", "v.is_raw", F.when(F.col("n") > 1, F.col("v.turn") / (F.col("n") - 1)).otherwise(0.0).alias("place"), F.when(F.col("v.is_raw"), empty).otherwise(prefix).alias("prefix"), F.when(F.col("v.is_raw"), F.col("messages")).otherwise(rest).alias("continuation"))
+
+
+def preference(prompt: Column, chosen: Column, rejected: Column) -> Column:
+    """The two rows of a preference pair, the chosen first: array<struct(kind, messages)> of the prompt with either answer after it."""
+    row = lambda kind, m: F.struct(F.lit(kind).alias("kind"), F.concat(prompt, F.array(m)).alias("messages"))
+    return F.array(row("chosen", chosen), row("rejected", rejected))
+
+
+def encoded_targets(messages: Column, encode, fill: int, most: int) -> tuple[Column, Column]:
+    """Token ids of all messages and, beside them, 1 for the ids of messages to be trained on; cut at ``most`` and filled up to it.
+
+    ``encode`` maps a message's struct (role, content, train) to its array of
+    ids.
+    """
+    parts = F.transform(messages, lambda m: F.struct(encode(m).alias("ids"), m["train"].alias("train")))
+    ids = F.slice(F.flatten(F.transform(parts, lambda p: p["ids"])), 1, most)
+    mask = F.slice(F.flatten(F.transform(parts, lambda p: F.transform(p["ids"], lambda _: p["train"]))), 1, most)
+    more = F.greatest(F.lit(most) - F.size(ids), F.lit(0))
+    return F.concat(ids, F.array_repeat(F.lit(fill), more)), F.concat(mask, F.array_repeat(F.lit(0), more))

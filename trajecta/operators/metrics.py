@@ -106,3 +106,48 @@ def equal(a: DataFrame, b: DataFrame) -> bool:
 def union_by_name(*frames: DataFrame) -> DataFrame:
     """Rows of all frames; columns that one lacks are null there."""
     return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), frames)
+
+
+def source_means(df: DataFrame, source: str, row: str, score: str) -> DataFrame:
+    """Mean over the responses of each row, then over the rows of each source."""
+    per = df.groupBy(source, row).agg(F.avg(score).alias("_m"))
+    return per.groupBy(source).agg(F.avg("_m").alias("test_score"), F.count("*").alias("rows"))
+
+
+def episode_means(df: DataFrame, columns: list[str], success: str, groups: dict[str, str]) -> DataFrame:
+    """Mean of each column without nulls and NaN, and of success where a group's flag is over 0.5, as one row; a column or group without numbers gives null."""
+    x = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    own = [F.avg(x(c)).alias(c) for c in columns]
+    return df.agg(*own, *[F.avg(F.when(x(flag) > 0.5, x(success))).alias(f"{success}_{name}_mean") for name, flag in groups.items()])
+
+
+def category_rank(c: Column, order: list[str]) -> Column:
+    """Place of a category in the fixed order; unknown and missing ones come after all others."""
+    at = F.array_position(F.array(*map(F.lit, order)), F.coalesce(c, F.lit(""))).cast("int")
+    return F.when(at > 0, at - 1).otherwise(len(order))
+
+
+def level_rank(c: Column) -> Column:
+    """The number after the last underscore of a level's name; names without one come last."""
+    return F.coalesce(F.element_at(F.split(c, "_"), -1).try_cast("bigint"), F.lit(10**9).cast("bigint"))
+
+
+def aligned(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows of both with the columns of either; numbers that one lacks are 0 there, and other columns null."""
+    number = ("int", "bigint", "double", "float", "smallint", "tinyint")
+
+    def fill(df: DataFrame, other: DataFrame) -> DataFrame:
+        lack = [f for f in other.schema.fields if f.name not in df.columns]
+        return df.withColumns({f.name: (F.lit(0) if f.dataType.simpleString() in number else F.lit(None)).cast(f.dataType) for f in lack}) if lack else df
+
+    return fill(old, new).unionByName(fill(new, old))
+
+
+def unique_key(df: DataFrame, key: list[str]) -> DataFrame:
+    """The rows; a key that stands twice, or is null, raises."""
+    n = df.groupBy(*key).agg(F.count("*").alias("_n"))
+    bad = (F.col("_n") > 1)
+    for k in key:
+        bad = bad | F.col(k).isNull()
+    ok = n.where(F.when(bad, F.raise_error(F.lit("key is null or not unique")).cast("boolean")).otherwise(F.lit(True)))
+    return df.join(ok.select(*key), key)

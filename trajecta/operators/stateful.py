@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _GET = re.compile(r"^get (\d+) (.+)$")
 _CRAFT = re.compile(r"^craft (\d+) (.+?) using (.+)$")
@@ -50,21 +51,72 @@ def observation_kind(c: Column) -> Column:
     return F.when(c.startswith("Got "), "got").when(c.startswith("Crafted "), "crafted").when(c.startswith("Inventory:"), "inventory").when(c.startswith("Could not find enough"), "missing_items").when(c.startswith("Could not find"), "not_found").when(c.startswith("Could not execute"), "not_executed").otherwise("other")
 
 
+def fold_sessions(df: DataFrame, key: str, order: str, inputs: list[str], schema: str, start, step, show) -> DataFrame:
+    """A row for each event of a keyed session, in order: ``show(state)`` after ``state = step(state, *inputs)``; a session starts as ``start(first row's inputs)``.
+
+    A session is one group: it is what one worker plays, a few dozen events.
+    """
+    from trajecta.ship import ship
+
+    ship(df.sparkSession)
+    fields = df.select(key, order).schema
+    for f in T._parse_datatype_string(schema).fields:
+        fields = fields.add(f)
+    names = [f.name for f in fields.fields]
+
+    def play(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        state, out = None, []
+        for k, o, *args in zip(*(pdf[c].tolist() for c in (key, order, *inputs)), strict=True):
+            state = step(start(*args) if state is None else state, *args)
+            out.append((k, o, *show(state)))
+        return pd.DataFrame(out, columns=names)
+
+    return df.select(key, order, *inputs).groupBy(key).applyInPandas(play, fields)
+
+
 def run_sessions(actions: DataFrame, recipes: dict, key: str = "session", order: str = "step", action: str = "action", goal: str = "goal") -> DataFrame:
     """(session, step, observation, reward, done) for every action in order; after the goal the session stays done."""
-    schema = actions.select(key, order).schema.add("observation", "string").add("reward", "double").add("done", "boolean")
 
-    def play(pdf: pd.DataFrame) -> pd.DataFrame:
-        bag, done, out = {}, False, []
-        for _, row in pdf.sort_values(order).iterrows():
-            if done:
-                obs, reward = "Session is over", 0.0
-            else:
-                bag, obs, reward, done = craft_step(bag, row[action], recipes, row[goal])
-            out.append((row[key], row[order], obs, reward, done))
-        return pd.DataFrame(out, columns=schema.names)
+    def step(state, act, want):
+        bag, _, _, done = state
+        return (bag, "Session is over", 0.0, True) if done else craft_step(bag, act, recipes, want)
+
+    return fold_sessions(actions, key, order, [action, goal], "observation string, reward double, done boolean", lambda *_: ({}, "", 0.0, False), step, lambda s: s[1:])
 
-    return actions.select(key, order, action, goal).groupBy(key).applyInPandas(play, schema)
+
+def episode_step(state: dict, event: str, n_calls: int, n_tokens: int, stop: bool, caps: dict) -> dict:
+    """An agent's episode after one event: pending, generating, tools, interacting or terminated.
+
+    "start" begins it; "generated" adds a turn and its tokens and goes on to the
+    tools it calls, to the interaction where there is one, or ends; "tools" and
+    "reply" go back to generating.  Full caps (assistant_turns, user_turns,
+    tokens) and a reply that stops end it; an event that doesn't fit changes nothing.
+    """
+    s = dict(state)
+    at = s["state"]
+    if at == "pending" and event == "start":
+        s["state"] = "generating"
+    elif at == "generating" and event == "generated":
+        s["assistant_turns"] += 1
+        s["tokens"] += n_tokens
+        full = s["tokens"] >= caps["tokens"] or s["assistant_turns"] >= caps["assistant_turns"] or s["user_turns"] >= caps["user_turns"]
+        s["state"] = "terminated" if full else "tools" if n_calls else "interacting" if caps.get("interaction") else "terminated"
+    elif at == "tools" and event == "tools":
+        s["tokens"] += n_tokens
+        s["user_turns"] += 1
+        s["state"] = "terminated" if s["tokens"] >= caps["tokens"] else "generating"
+    elif at == "interacting" and event == "reply":
+        s["tokens"] += n_tokens
+        s["user_turns"] += 1
+        s["state"] = "terminated" if stop or s["tokens"] >= caps["tokens"] else "generating"
+    return s
+
+
+def run_episodes(events: DataFrame, caps: dict, key: str, order: str, event: str, calls: str, tokens: str, stop: str) -> DataFrame:
+    """(key, order, state, assistant_turns, user_turns, tokens) after each event of each episode."""
+    start = {"state": "pending", "assistant_turns": 0, "user_turns": 0, "tokens": 0}
+    return fold_sessions(events, key, order, [event, calls, tokens, stop], "state string, assistant_turns long, user_turns long, tokens long", lambda *_: start, lambda s, *a: episode_step(s, *a, caps), lambda s: (s["state"], s["assistant_turns"], s["user_turns"], s["tokens"]))
 
 
 def replay_category(error: Column, expected: Column, seen: Column, feedback: Column) -> Column:
@@ -86,25 +138,64 @@ def shared_fields(a: Column, b: Column) -> tuple[Column, Column]:
     return F.filter(both, lambda k: F.element_at(a, k) == F.element_at(b, k)), F.filter(both, lambda k: F.element_at(a, k) != F.element_at(b, k))
 
 
-def batched_calls(df: DataFrame, call, schema: str, size: int = 64, tries: int = 3) -> DataFrame:
-    """Rows through an outside service: ``call(list of row dicts) -> list of row dicts``, batched in each partition and retried.
+class Slots:
+    """So many places for calls at a time inside one worker; ``with`` waits for a free one, and gives it back after an error too."""
+
+    def __init__(self, n: int):
+        import threading
+
+        self.n, self.free = n, threading.BoundedSemaphore(n)
 
-    The last failure is raised, so Spark's task retry takes over.
+    def __enter__(self):
+        self.free.acquire()
+        return self
+
+    def __exit__(self, *_):
+        self.free.release()
+
+
+def with_retries(call, tries: int = 3, wait: float = 0.05):
+    """``call`` tried again after an error, each time after twice the wait; the last error is raised."""
+
+    def run(*args):
+        import time
+
+        for t in range(tries):
+            try:
+                return call(*args)
+            except Exception:
+                if t + 1 == tries:
+                    raise
+                time.sleep(wait * 2**t)
+
+    return run
+
+
+def batched_calls(df: DataFrame, call, schema: str, size: int = 64, tries: int = 3, at_once: int = 1) -> DataFrame:
+    """Rows through an outside service: ``call(list of row dicts) -> list of row dicts``, batched in each partition, ``at_once`` calls in flight, and retried.
+
+    Batches come back in order.  The last failure is raised, so Spark's task
+    retry takes over.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import time
+        from concurrent.futures import ThreadPoolExecutor
+
+        slots, sure = Slots(at_once), with_retries(call, tries)
 
-        for pdf in parts:
-            for k in range(0, len(pdf), size):
-                rows = pdf.iloc[k : k + size].to_dict("records")
-                for t in range(tries):
-                    try:
-                        yield pd.DataFrame(call(rows))
-                        break
-                    except Exception:
-                        if t + 1 == tries:
-                            raise
-                        time.sleep(0.05 * 2**t)
+        def one(rows):
+            with slots:
+                return sure(rows)
+
+        with ThreadPoolExecutor(at_once) as pool:
+            for pdf in parts:
+                rows = pdf.to_dict("records")
+                for got in pool.map(one, [rows[k : k + size] for k in range(0, len(rows), size)]):
+                    yield pd.DataFrame(got)
 
     return df.mapInPandas(run, schema)
+
+
+def passages(results: Column) -> Column:
+    """Search results (array of struct(title, text)) as numbered passages for a prompt; none give an empty text."""
+    return F.array_join(F.transform(results, lambda r, i: F.concat(F.lit("Doc "), (i + 1).cast("string"), F.lit("(Title: "), F.coalesce(r["title"], F.lit("")), F.lit(") "), F.coalesce(r["text"], F.lit("")))), "\n")

@@ -87,14 +87,15 @@ def length_imbalance(s, d):
     return B.imbalance(x, "batch", "len", "part").withColumn("part_mean", F.round("part_mean", 4))
 
 
-@plan(PLANS)
+@plan(PLANS, "select o_orderkey from orders order by md5('0:' || o_orderkey), o_orderkey limit 100")
 def hash_sample(s, d):
     return B.hash_sample(table(s, d, "orders"), ["o_orderkey"], 100).select("o_orderkey")
 
 
-@plan(PLANS)
+@plan(PLANS, "with w as (select o_orderkey, cast(round(o_totalprice * 100) as bigint) * 1.0::double w from orders), r as (select o_orderkey, sum(w) over (order by o_orderkey) high, w from w), t as (select max(high) t from r), p as (select range draw, (cast('0x' || substr(md5('0:' || range), 1, 12) as bigint) + 0.5) / 281474976710656.0::double * t u from range(1000), t) select draw, o_orderkey from p join r on u >= high - w and u < high")
 def weighted_draws(s, d):
-    return B.weighted_draws(table(s, d, "orders"), "o_orderkey", "o_totalprice", 1000)
+    o = table(s, d, "orders").select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    return B.weighted_draws(o, "o_orderkey", "cents", 1000)
 
 
 @plan(PLANS, "select o_custkey, min(o_orderkey) o_orderkey from orders group by 1")
@@ -109,9 +110,9 @@ def union_by_name(s, d):
     return M.union_by_name(a, b)
 
 
-@plan(PLANS, "select c_custkey from customer except select o_custkey from orders")
+@plan(PLANS, "select p_partkey from part except select l_partkey from lineitem where l_quantity > 45")
 def set_difference(s, d):
-    return table(s, d, "customer").select("c_custkey").subtract(table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")))
+    return table(s, d, "part").select("p_partkey").subtract(table(s, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey")))
 
 
 @plan(PLANS, "select c_custkey from customer where c_custkey in (select o_custkey from orders)")
@@ -149,11 +150,12 @@ def summary_comparison(s, d):
     return a.join(b, "k", "full_outer").select("k", "old_rows", "new_rows", (F.col("new_rows") - F.col("old_rows")).alias("delta"))
 
 
-@plan(PLANS, "with a as (select p_partkey, row_number() over (order by p_partkey) - 1 i from part), b as (select s_suppkey, row_number() over (order by s_suppkey) - 1 i from supplier) select i ordinal, p_partkey, s_suppkey from a join b using (i)")
+@plan(PLANS, "with a as (select o_orderkey, row_number() over (order by o_orderkey) - 1 i from orders), b as (select o_orderkey other, row_number() over (order by o_totalprice, o_orderkey) - 1 i from orders) select i ordinal, o_orderkey, other from a join b using (i)")
 def positional_zip(s, d):
-    a = B.with_ordinal(table(s, d, "part").select("p_partkey"), ["p_partkey"])
-    b = B.with_ordinal(table(s, d, "supplier").select("s_suppkey"), ["s_suppkey"])
-    return a.join(b, "ordinal").select("ordinal", "p_partkey", "s_suppkey")
+    o = table(s, d, "orders")
+    a = B.with_ordinal(o.select("o_orderkey"), ["o_orderkey"])
+    b = B.with_ordinal(o.select("o_totalprice", F.col("o_orderkey").alias("other")), ["o_totalprice", "other"]).drop("o_totalprice")
+    return B.zipped(a, b, "ordinal").select("ordinal", "o_orderkey", "other")
 
 
 @plan(PLANS, "with r as (select c_custkey, row_number() over (order by c_custkey) - 1 i from customer), n as (select n_nationkey, sum(n_nationkey + 10) over (order by n_nationkey) hi, n_nationkey + 10 w from nation) select c_custkey, n_nationkey from r join n on i >= hi - w and i < hi")

@@ -33,9 +33,11 @@ def tfidf_top(s, d):
     return C.tfidf(table(s, d, "part"), "p_brand", "p_partkey", "p_name", 5)
 
 
-@plan(PLANS, "select p_partkey, [['color: red', 'size: S'], ['color: red', 'size: M'], ['color: blue', 'size: S'], ['color: blue', 'size: M']] combos from part")
+@plan(PLANS, "select p_partkey, case when p_size % 3 = 0 then [[]::varchar[]] when p_size % 3 = 1 then [['size: ' || p_size], ['size: ' || p_brand]] else [['color: ' || p_type, 'size: ' || p_size], ['color: ' || p_type, 'size: ' || p_brand], ['color: blue', 'size: ' || p_size], ['color: blue', 'size: ' || p_brand]] end combos from part")
 def option_products(s, d):
-    o = F.create_map(F.lit("size"), F.array(F.lit("S"), F.lit("M")), F.lit("color"), F.array(F.lit("red"), F.lit("blue")))
+    size = F.array(F.col("p_size").cast("string"), F.col("p_brand"))
+    k = F.col("p_size") % 3
+    o = F.when(k == 0, F.create_map().cast("map<string,array<string>>")).when(k == 1, F.create_map(F.lit("size"), size)).otherwise(F.create_map(F.lit("size"), size, F.lit("color"), F.array(F.col("p_type"), F.lit("blue"))))
     return table(s, d, "part").select("p_partkey", C.option_combinations(o).alias("combos"))
 
 
@@ -45,20 +47,16 @@ def attribute_weights(s, d):
     return C.attribute_weights(p, "p_partkey", "attrs").withColumn("weight", F.round("weight", 8))
 
 
-@plan(PLANS, "select p_partkey, true same, true swapped, p_partkey % 2 = 0 matched from part")
-def fuzzy_attribute_match(s, d):
-    n = F.col("p_name")
-    back = F.array_join(F.reverse(F.split(n, " ")), " ")
-    x = table(s, d, "part")
-    return x.select("p_partkey", (C.token_set_ratio(n, n) == 100).alias("same"), (C.token_set_ratio(n, back) > 85).alias("swapped"), (C.attribute_hits(F.array(F.lit("zzqx")), F.array(n), F.when(F.col("p_partkey") % 2 == 0, F.lit("has ZZQX")).otherwise(F.lit(""))) == 1).alias("matched"))
-
-
-@plan(PLANS, "select p_partkey, round((2 + 1 + cast(p_retailprice <= 1000 as int)) / 5.0 * case p_partkey % 4 when 0 then 1.0 when 1 then 0.5 when 2 then 0.1 else 0 end, 6) reward from part")
+@plan(PLANS, "with x as (select p_partkey, cast(contains(lower(p_type), 'steel') as int) + cast(contains(lower(p_name), 'red') as int) hits, cast(p_size % 2 = 0 as int) opt, cast(p_retailprice <= 1000 as int) price, case p_partkey % 4 when 0 then 0.5 when 1 then 0.15 when 2 then 0.05 else 0.0 end title, p_size % 5 = 0 cat from part) select p_partkey, round((hits + opt + price) / 4.0 * case when title = 0 then 0 when title < 0.1 then 0.1 when cat or title > 0.2 then 1 else 0.5 end, 6) reward from x")
 def total_reward(s, d):
     k = F.col("p_partkey") % 4
     title = F.when(k == 0, 0.5).when(k == 1, 0.15).when(k == 2, 0.05).otherwise(0.0)
-    r = C.type_reward(F.lit(False), C.category_match(F.lit("a › b"), F.lit("a › c")), title)
-    return table(s, d, "part").select("p_partkey", F.round(C.total_reward(F.lit(2), F.lit(1), F.col("p_retailprice") <= 1000, F.lit(3), F.lit(1), r), 6).alias("reward"))
+    cat = C.category_match(F.lit("a › b › c"), F.when(F.col("p_size") % 5 == 0, F.lit("c › x › a")).otherwise(F.lit("a › x")))
+    text = F.concat_ws(" ", "p_type", "p_name")
+    hits = F.contains(F.lower("p_type"), F.lit("steel")).cast("int") + F.contains(F.lower("p_name"), F.lit("red")).cast("int")
+    opt = C.option_hits(F.array(F.lit("powder snow")), F.array(F.when(F.col("p_size") % 2 == 0, F.lit("cool powder snow")).otherwise(F.lit("granite"))), [])
+    r = C.total_reward(hits, opt, F.col("p_retailprice") <= 1000, F.lit(2), F.lit(1), C.type_reward(F.lit(False), cat, title))
+    return table(s, d, "part").withColumn("text", text).select("p_partkey", F.round(r, 6).alias("reward"))
 
 
 #: Places as a graph: region to nation to customer to order.
@@ -76,16 +74,6 @@ def dependency_closure(s, d):
     return G.closure(edges(s, d), "s", "d", start, "node").groupBy("origin", "hops").agg(F.count("*").alias("n"))
 
 
-@plan(PLANS, "select item, case left(item, 1) when 'o' then 0 when 'c' then case when n > 0 then 1 else 0 end end depth from (select 'c' || c_custkey item, (select count(*) from orders where o_custkey = c_custkey) n from customer union all select 'o' || o_orderkey, 0 from orders)")
-def recipe_depths(s, d):
-    o = table(s, d, "orders")
-    made = o.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("recipe")).distinct().withColumn("output", F.col("recipe"))
-    inputs = o.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("recipe"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("item"))
-    deep = G.min_depth(made, inputs)
-    rest = table(s, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("item")).join(deep, "item", "left_anti").withColumn("depth", F.lit(0))
-    return deep.unionByName(rest)
-
-
 @plan(PLANS, "select l_partkey item, count(distinct l_orderkey) n_recipes from lineitem group by 1")
 def uses_index(s, d):
     i = table(s, d, "lineitem").select(F.col("l_partkey").alias("item"), F.col("l_orderkey").alias("recipe"))
@@ -122,8 +110,10 @@ def replay_verdicts(s, d):
     return table(s, d, "events").select("event_id", S.replay_category(F.when(k == 0, "timeout").otherwise(none), F.when(k == 1, none).otherwise(F.lit("a  b")), F.when(k == 2, "c").otherwise("a b"), k == 3).alias("verdict"))
 
 
-@plan(PLANS, "select o_orderkey, ['got'] same, ['inventory'] differs from orders")
+@plan(PLANS, "select o_orderkey, case when o_orderkey % 3 = 0 then ['got', 'inventory'] else ['got'] end same, case when o_orderkey % 3 = 0 then [] else ['inventory'] end differs, case when o_orderkey % 2 = 0 then o_orderstatus || ' ' || o_orderpriority end crafted from orders")
 def observation_fields(s, d):
-    a, b = S.observation_fields(F.lit("Inventory: x\nGot 1 log")), S.observation_fields(F.lit("Got 1 log\nInventory: y\nCrafted z"))
+    k = F.col("o_orderkey")
+    a = S.observation_fields(F.concat(F.lit("Inventory:  [log] ("), k.cast("string"), F.lit(")\nGot 1 log\nrest"), F.when(k % 2 == 0, F.concat(F.lit("\nCrafted "), "o_orderstatus", F.lit(" "), "o_orderpriority")).otherwise("")))
+    b = S.observation_fields(F.concat(F.lit("Got 1 log\nInventory: [log] ("), (k + k % 3).cast("string"), F.lit(")")))
     same, differs = S.shared_fields(a, b)
-    return table(s, d, "orders").select("o_orderkey", same.alias("same"), differs.alias("differs"))
+    return table(s, d, "orders").select("o_orderkey", same.alias("same"), differs.alias("differs"), F.try_element_at(a, F.lit("crafted")).alias("crafted"))

@@ -74,18 +74,38 @@ def record_uids(s, d):
     return x.select(M.record_uid("main", F.col("conv_id").cast("string"), F.col("variant")).alias("record_uid"), M.is_raw(F.col("is_raw"), F.col("variant")).alias("is_raw"))
 
 
-@plan(PLANS, "with k as (select conv_id, count(*) filter (role = 'assistant') n from conversations group by 1) select conv_id, n n_invalid, true dropped from k")
+#: Assistant messages in four forms by their turn: right, without an action, with two, and with an empty one.
+SAID = "select *, case when role <> 'assistant' then text when (conv_id + turn) % 11 = 0 then text when (conv_id + turn) % 11 = 1 then 'Action: a' || chr(10) || 'Action: b' when (conv_id + turn) % 11 = 2 then 'Action: !!' else 'Thought: t' || chr(10) || 'Action: get ' || turn end said from conversations"
+
+
+def acting(s, d):
+    k = (F.col("conv_id") + F.col("turn")) % 11
+    said = F.when((F.col("role") != "assistant") | (k == 0), F.col("text")).when(k == 1, "Action: a\nAction: b").when(k == 2, "Action: !!").otherwise(F.concat(F.lit("Thought: t\nAction: get "), F.col("turn").cast("string")))
+    return M.gather(table(s, d, "conversations").withColumn("text", said))
+
+
+@plan(PLANS, f"with s as ({SAID}), k as (select conv_id, cast(count(*) filter (role = 'assistant' and (conv_id + turn) % 11 < 3) as bigint) n_invalid, count(*) filter (role = 'assistant' and (conv_id + turn) % 11 >= 3) n_right, string_agg(case (conv_id + turn) % 11 when 0 then 'missing_action_tag' when 1 then 'multiple_action_tags' else 'empty_sanitized_action' end, ',' order by turn) filter (role = 'assistant' and (conv_id + turn) % 11 < 3) reasons from s group by 1) select conv_id, n_invalid, coalesce(reasons, '') reasons, n_invalid > 0 or n_right = 0 dropped from k")
 def invalid_prefix_turns(s, d):
-    c = convs(s, d)
     bad = M.invalid_turns(F.col("messages"))
-    return c.select("conv_id", F.size(bad).cast("long").alias("n_invalid"), ((F.size(bad) > 0) | (F.size(M.actions(F.col("messages"))) == 0)).alias("dropped"))
+    return acting(s, d).select("conv_id", F.size(bad).cast("long").alias("n_invalid"), F.array_join(F.transform(bad, lambda x: x["reason"]), ",").alias("reasons"), ((F.size(bad) > 0) | (F.size(M.actions(F.col("messages"))) == 0)).alias("dropped"))
 
 
-@plan(PLANS, "select conv_id, sum(cast(role = 'assistant' as int)) trained, count(*) n from conversations group by 1")
+@plan(PLANS, "with l as (select *, row_number() over (partition by conv_id order by turn) i from conversations), f as (select conv_id, max(case when i = 1 then text end) first from l where i = 1 group by 1) select l.conv_id, i - case when l.conv_id % 2 = 0 then 1 else 0 end - 1 place, role, text content, cast(role = 'assistant' as int) train from l join f on f.conv_id = l.conv_id where not (l.conv_id % 2 = 0 and i = 1)")
 def behaviour_clone_rows(s, d):
+    """Demonstrations of all conversations; in the even ones the prompt ends with their first message, which then isn't repeated."""
     c = convs(s, d)
-    rows = M.demo_messages(F.array().cast("array<struct<role:string,content:string>>"), F.col("messages"))
-    return c.select("conv_id", F.aggregate(rows, F.lit(0), lambda a, m: a + m["train"]).cast("long").alias("trained"), F.size(rows).cast("long").alias("n"))
+    prompt = F.when(F.col("conv_id") % 2 == 0, F.slice("messages", 1, 1)).otherwise(F.array().cast("array<struct<role:string,content:string>>"))
+    x = c.select("conv_id", F.posexplode(M.demo_messages(prompt, F.col("messages"))).alias("place", "m"))
+    return x.select("conv_id", F.col("place").cast("long").alias("place"), "m.role", "m.content", "m.train")
+
+
+@plan(PLANS, "with w as (select conv_id, turn, role, unnest(string_split(text, ' ')) w, generate_subscripts(string_split(text, ' '), 1) j from conversations), r as (select *, row_number() over (partition by conv_id order by turn, j) i from w) select conv_id, cast(sum(case when i <= 64 then length(w) else 0 end) as bigint) id_sum, cast(sum(cast(i <= 64 and role = 'assistant' as int)) as bigint) trained, 64 n from r group by 1")
+def encoded_demonstrations(s, d):
+    """Words as tokens (a word's length as its id), cut at 64 and filled up."""
+    demo = M.demo_messages(F.array().cast("array<struct<role:string,content:string>>"), F.col("messages"))
+    ids, mask = M.encoded_targets(demo, lambda m: F.transform(F.split(m["content"], " "), lambda w: F.length(w)), 0, 64)
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, v: a + v)
+    return convs(s, d).select("conv_id", total(ids).alias("id_sum"), total(mask).alias("trained"), F.size(ids).alias("n"))
 
 
 @plan(PLANS, "select conv_id, string_agg('<|' || role || '|>' || text, chr(10) order by turn) rendered from conversations group by 1")

@@ -95,39 +95,61 @@ def tokens(spark, d):
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("seq"), F.col("l_linenumber").alias("pos"), (-(F.col("l_discount") * 10 + 0.1)).alias("lp"), (-(F.col("l_tax") * 10 + 0.1)).alias("op"), ((F.col("l_quantity") - 25) / 25).alias("adv"), F.when(F.col("l_returnflag") == "R", 0).otherwise(1).alias("mask"))
 
 
-PPO = "select *, greatest(-adv * exp(lp - op), -adv * greatest(least(exp(lp - op), 1.2), 0.8)) w, -adv * exp(lp - op) p, -adv * greatest(least(exp(lp - op), 1.2), 0.8) c from t"
+#: Weights of a rollout correction for the same tokens.
+WTOK = TOK.replace(" from lineitem", ", 0.5 + l_linenumber / 4.0 w from lineitem")
 
 
-@plan(PLANS, f"with t as ({TOK}), x as ({PPO}) select seq, pos, round(case when adv < 0 then least(w, -adv * 3) else w end, 4) + 0.0 loss, cast(c > p as int) clipped, cast(w > -adv * 3 and adv < 0 as int) clipped_low from x")
+def weighted_tokens(spark, d):
+    return tokens(spark, d).withColumn("w", 0.5 + F.col("pos") / 4.0)
+
+
+PPO = "select *, greatest(-adv * exp(lp - op), -adv * greatest(least(exp(lp - op), 1.2), 0.8)) u, -adv * exp(lp - op) p, -adv * greatest(least(exp(lp - op), 1.2), 0.8) c from t"
+
+
+@plan(PLANS, f"with t as ({WTOK}), x as ({PPO}) select seq, pos, round(w * case when adv < 0 then least(u, -adv * 3) else u end, 4) + 0.0 loss, cast(c > p and mask = 1 as int) clipped, cast(u > -adv * 3 and adv < 0 and mask = 1 as int) clipped_low from x")
 def loss_vanilla(s, d):
-    return losses.LOSSES["vanilla"](tokens(s, d), "lp", "op", "adv").select("seq", "pos", F.round("loss", 4).alias("loss"), "clipped", "clipped_low")
+    return losses.LOSSES["vanilla"](weighted_tokens(s, d), "lp", "op", "adv", mask="mask", weight="w").select("seq", "pos", F.round("loss", 4).alias("loss"), "clipped", "clipped_low")
 
 
-@plan(PLANS, f"with t as ({TOK}), r as (select *, exp(least(avg(lp - op) over (partition by seq), 10)) q from t) select seq, pos, round(greatest(-adv * q, -adv * greatest(least(q, 1.0004), 0.9997)), 4) + 0.0 loss from r")
+@plan(PLANS, f"with t as ({WTOK}), x as ({PPO}) select round(avg(cast(c > p as double)) filter (mask = 1), 6) clip_share, round(avg(cast(u > -adv * 3 and adv < 0 as double)) filter (mask = 1), 6) clip_share_low, round(avg(op - lp) filter (mask = 1), 6) ppo_kl from x")
+def loss_clip_metrics(s, d):
+    m = losses.loss_metrics(losses.LOSSES["vanilla"](weighted_tokens(s, d), "lp", "op", "adv", mask="mask"), "lp", "op", "mask")
+    return m.select(*[F.round(c, 6).alias(c) for c in m.columns])
+
+
+@plan(PLANS, f"with t as ({WTOK}), r as (select *, exp(least(coalesce(avg(lp - op) filter (mask = 1) over (partition by seq), 0), 10)) q from t) select seq, pos, round(w * greatest(-adv * q, -adv * greatest(least(q, 1.0004), 0.9997)), 4) + 0.0 loss from r")
 def loss_gspo(s, d):
-    return losses.LOSSES["gspo"](tokens(s, d), "lp", "op", "adv").select("seq", "pos", F.round("loss", 4).alias("loss"))
+    return losses.LOSSES["gspo"](weighted_tokens(s, d), "lp", "op", "adv", mask="mask", weight="w").select("seq", "pos", F.round("loss", 4).alias("loss"))
 
 
-@plan(PLANS, f"with t as ({TOK}) select seq, pos, round(-lp * adv, 4) + 0.0 loss from t")
+@plan(PLANS, f"with t as ({WTOK}) select seq, pos, round(-lp * adv * w, 4) + 0.0 loss from t")
 def loss_gpg(s, d):
-    return losses.LOSSES["gpg"](tokens(s, d), "lp", None, "adv").select("seq", "pos", F.round("loss", 4).alias("loss"))
+    return losses.LOSSES["gpg"](weighted_tokens(s, d), "lp", None, "adv", mask="mask", weight="w").select("seq", "pos", F.round("loss", 4).alias("loss"))
 
 
-@plan(PLANS, f"with t as ({TOK}) select seq, round(-avg(adv) * exp(avg(sign(adv) * least(sign(adv) * (lp - op), sign(adv) * greatest(least(lp - op, 0.4), -0.4)))), 4) + 0.0 loss from t group by seq")
+@plan(PLANS, f"with t as ({WTOK}), g as (select seq, sum(mask) + 1e-8 n, coalesce(sum(adv) filter (mask = 1), 0) a, coalesce(sum(sign(adv) * least(sign(adv) * (lp - op), sign(adv) * greatest(least(lp - op, 0.4), -0.4))) filter (mask = 1), 0) r, coalesce(sum(ln(w + 1e-10)) filter (mask = 1), 0) lw from t group by seq) select seq, round(-a / n * exp(r / n) * exp(lw / n), 4) + 0.0 loss from g")
 def loss_geo_mean(s, d):
-    return losses.LOSSES["geo_mean"](tokens(s, d), "lp", "op", "adv").select("seq", F.round("loss", 4).alias("loss"))
+    return losses.LOSSES["geo_mean"](weighted_tokens(s, d), "lp", "op", "adv", mask="mask", weight="w").select("seq", F.round("loss", 4).alias("loss"))
+
 
+COV = "m as (select avg(adv) ma, avg(lp) ml, count(*) n from t where mask = 1), c as (select t.*, n, (adv - ma) * (lp - ml) cov from t, m)"
 
-@plan(PLANS, f"with t as ({TOK}), m as (select avg(adv) ma, avg(lp) ml from t), c as (select t.*, (adv - ma) * (lp - ml) cov from t, m), q as (select quantile_cont(cov, 0.998) th from c) select count(*) n, sum(cast(cov >= th - 1e-9 as int)) picked, round(avg(-adv * exp(lp - op) + case when cov >= th - 1e-9 then abs(lp - op) else 0 end), 4) loss from c, q")
+
+@plan(PLANS, f"with t as ({WTOK}), {COV}, k as (select *, cast(mask = 1 and row_number() over (partition by mask order by round(cov, 9) desc, seq, pos) <= greatest(floor(n * 0.002), 1) as int) picked from c) select seq, pos, picked, round(w * (-adv * exp(lp - op) + picked * abs(lp - op)), 4) + 0.0 loss from k")
 def loss_kl_cov(s, d):
-    x = losses.LOSSES["kl_cov"](tokens(s, d), "lp", "op", "adv")
-    return x.agg(F.count("*").alias("n"), F.sum("picked").alias("picked"), F.round(F.avg("loss"), 4).alias("loss"))
+    x = losses.LOSSES["kl_cov"](weighted_tokens(s, d), "lp", "op", "adv", share=0.002, mask="mask", weight="w")
+    return x.select("seq", "pos", "picked", F.round("loss", 4).alias("loss"))
 
 
-@plan(PLANS)
+@plan(PLANS, f"with t as ({WTOK}), {COV}, x as (select *, -adv * exp(lp - op) p, -adv * greatest(least(exp(lp - op), 1.2), 0.8) b from c), f as (select *, mask = 1 and not b > p and cov > 0.1 and cov < 5 inside from x), k as (select *, cast(inside and row_number() over (partition by inside order by md5(seq || ':' || pos), seq, pos, adv, lp) <= greatest(floor(n * 0.01), 1) as int) picked from f) select seq, pos, picked, round(w * greatest(p, b) * (1 - picked), 4) + 0.0 loss from k")
 def loss_clip_cov(s, d):
-    x = losses.LOSSES["clip_cov"](tokens(s, d), "lp", "op", "adv", key="seq", low=0.1)
-    return x.select("seq", "pos", "picked", F.round("loss", 4).alias("loss"))
+    x = losses.LOSSES["clip_cov"](weighted_tokens(s, d), "lp", "op", "adv", low=0.1, share=0.01, mask="mask", weight="w")
+    return x.select("seq", "pos", "picked", (F.round("loss", 4) + 0.0).alias("loss"))
+
+
+@plan(PLANS, f"with t as ({TOK}), g as (select seq, exp(avg(lp - op) filter (mask = 1)) q, min(lp - op) filter (mask = 1) l from t group by seq) select t.seq, pos, case when mask = 1 then round(least(exp(lp - op), 2), 5) else 0 end weight, cast(mask = 1 and q >= 0.5 and q <= 2 and l >= ln(0.5) as int) keep from t join g on g.seq = t.seq")
+def rollout_correction(s, d):
+    return losses.corrected(tokens(s, d), "lp", "op", "seq", "mask", veto=0.5).select("seq", "pos", F.round("weight", 5).alias("weight"), "keep")
 
 
 @plan(PLANS, f"with r as (select *, score > 110 ok, -score / 100 lp from ({ROLL})) select uid, count(*) filter (ok) n_right, count(*) n, round(sum(case when not ok then exp(lp / 10) * lp end) / (sum(case when not ok then exp(lp / 10) end) + 1e-8) - sum(case when ok then exp((1 - len) / 5000) * lp end) / sum(case when ok then exp((1 - len) / 5000) end), 4) loss from r group by uid having count(*) filter (ok) > 0 and count(*) filter (ok) < count(*)")

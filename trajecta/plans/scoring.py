@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trajecta.functions import scoring as S
+from trajecta.operators import graph as G
 from trajecta.operators import messages as M
 from trajecta.operators import prefixes as P
 from trajecta.plans.base import plan, shipped, table
@@ -33,18 +34,23 @@ def overlong_penalty(s, d):
     return table(s, d, "orders").select(F.col("o_orderkey").alias("k"), F.round(S.overlong_penalty(F.col("o_orderkey") % 97, 90, 30, 0.5), 6).alias("penalty"))
 
 
-@plan(PLANS, "select event_id, case event_type when 'view' then 1.0 when 'click' then 2.0 else event_id % 7 + 0.5 end score from events")
+@plan(PLANS, "select event_id, case event_type when 'view' then cast(value > 50 as int) * 1.0 when 'click' then case when event_id % 2 = 0 then 1.0 else 0.1 end else round(value, 4) + event_id % 7 end score from events")
 def score_dispatch(s, d):
-    turns = F.array(F.lit(0.5), (F.col("event_id") % 7).cast("double"))
-    return table(s, d, "events").select("event_id", S.dispatch(F.col("event_type"), {"view": F.lit(1.0), "click": F.lit(2.0)}, turns).alias("score"))
+    turns = F.array(F.round("value", 4), (F.col("event_id") % 7).cast("double"))
+    answer = F.concat(F.lit("<answer>"), F.when(F.col("event_id") % 2 == 0, F.col("event_type")).otherwise(F.lit("x")), F.lit("</answer>"))
+    rules = {"view": (F.col("value") > 50).cast("double"), "click": S.match_score(answer, F.array("event_type"), other=0.1)}
+    return table(s, d, "events").select("event_id", S.dispatch(F.col("event_type"), rules, turns).alias("score"))
 
 
-@plan(PLANS, "select o_orderkey k, cast(o_orderkey as varchar) boxed, 1.0 score from orders")
+@plan(PLANS, r"select o_orderkey k, case o_orderkey % 4 when 3 then null when 1 then '\frac{' || o_orderkey || '}{2}' else cast(o_orderkey as varchar) end boxed, case when o_orderkey % 4 < 2 then 1.0 else 0.0 end score from orders")
 def boxed_answers(s, d):
+    """Right, right as a fraction written otherwise, wrong and missing answers."""
     boxed, score = S.math_columns()
-    k = F.col("o_orderkey").cast("string")
-    t = F.concat(F.lit("first \\boxed{1} then $\\boxed{"), k, F.lit("}$ done"))
-    return shipped(s, d, "orders").select(F.col("o_orderkey").alias("k"), boxed(t).alias("boxed"), score(t, F.concat(k, F.lit("\\text{ cm}"))).alias("score"))
+    n, k = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    half = lambda name: F.concat(F.lit(f"\\{name}{{"), k, F.lit("}{2}"))
+    t = F.when(n % 4 == 3, F.concat(F.lit("no box: "), k)).otherwise(F.concat(F.lit("first \\boxed{1} then $\\boxed{"), F.when(n % 4 == 1, half("frac")).otherwise(k), F.lit("}$ done")))
+    truth = F.when(n % 4 == 1, half("dfrac")).when(n % 4 == 2, (n + 1).cast("string")).otherwise(F.concat(k, F.lit("\\text{ cm}")))
+    return shipped(s, d, "orders").select(n.alias("k"), boxed(t).alias("boxed"), score(t, truth).alias("score"))
 
 
 @plan(PLANS, "with m as (select max(o_totalprice) hi, min(o_totalprice) lo from orders) select o_orderkey, round(pow(o_totalprice / 100000, 2), 6) w_pow, case when o_totalprice in (hi, lo) then 1.0 else 0.0 end w_max_min, case when o_totalprice = hi then 0.4 else 0.1 end w_max_random from orders, m")
@@ -84,15 +90,20 @@ def compute_once_join_back(s, d):
     return done.select("l_orderkey", "l_linenumber", "code")
 
 
-@plan(PLANS, "select conv_id, 2 * count(*) n_messages, true pair from conversations group by 1")
+@plan(PLANS, "with t as (select conv_id, turn, role, text, max(turn) over (partition by conv_id) last, count(*) over (partition by conv_id) n from conversations) select conv_id, place, kind, case kind when 'chosen' then text else reverse(text) end answer, n n_messages from t, (select 0 place, 'chosen' kind union all select 1, 'rejected') where turn = last")
 def preference_pairs(s, d):
+    """The last message of each conversation as the chosen answer, the same backwards as the rejected one."""
     c = M.gather(table(s, d, "conversations"))
-    p = F.array(F.struct(F.lit("chosen").alias("kind"), F.col("messages").alias("m")), F.struct(F.lit("rejected").alias("kind"), F.reverse("messages").alias("m")))
-    return c.select("conv_id", F.explode(p).alias("p")).groupBy("conv_id").agg(F.sum(F.size("p.m")).alias("n_messages"), (F.count_distinct("p.kind") == 2).alias("pair"))
+    last = F.element_at("messages", -1)
+    p = M.preference(F.slice("messages", 1, F.size("messages") - 1), last, F.struct(last["role"].alias("role"), F.reverse(last["content"]).alias("content")))
+    x = c.select("conv_id", F.posexplode(p).alias("place", "p"))
+    return x.select("conv_id", "place", "p.kind", F.element_at("p.messages", -1)["content"].alias("answer"), F.size("p.messages").cast("long").alias("n_messages"))
 
 
-@plan(PLANS, "select p_partkey k, cast(p_size as varchar) || ' ' || p_name || ' using 2 log, 1 stick' recipe, p_size n, p_name item, ['2 log', '1 stick'] parts from part")
+@plan(PLANS, "with i as (select l_orderkey k, l_partkey, cast(sum(cast(l_quantity as bigint)) as bigint) n from lineitem group by 1, 2) select k, 'craft 4 o' || k || ' using ' || string_agg(n || ' p' || l_partkey, ', ' order by 'p' || l_partkey) recipe, 4 n, 'o' || k item, list(n || ' p' || l_partkey order by 'p' || l_partkey) parts from i group by 1")
 def recipe_strings(s, d):
-    x = table(s, d, "part").select(F.col("p_partkey").alias("k"), F.concat(F.lit("craft "), F.col("p_size").cast("string"), F.lit(" "), "p_name", F.lit(" using 2 log, 1 stick")).alias("r"))
-    pat = r"^craft (\d+) (.+) using (.+)$"
-    return x.select("k", F.regexp_replace("r", "^craft ", "").alias("recipe"), F.regexp_extract("r", pat, 1).cast("int").alias("n"), F.regexp_extract("r", pat, 2).alias("item"), F.split(F.regexp_extract("r", pat, 3), ", ").alias("parts"))
+    i = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("recipe"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("item")).agg(F.sum(F.col("l_quantity").cast("long")).alias("count"))
+    out = i.select("recipe", F.concat(F.lit("o"), F.col("recipe").cast("string")).alias("output"), F.lit(4).alias("count")).distinct()
+    x = G.recipe_text(out, i)
+    got = G.parse_recipe(F.col("text"))
+    return x.select(F.col("recipe").alias("k"), F.col("text").alias("recipe"), got["count"].alias("n"), got["item"].alias("item"), got["parts"].alias("parts"))

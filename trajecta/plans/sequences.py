@@ -104,6 +104,14 @@ def nearest_spans(s, d):
     return cuts.nearest_span(p, _spans(s, d), "user_id", "event_id", "start", "end", "name").select("event_id", "span", "policy", F.col("distance").cast("long").alias("distance"))
 
 
+@plan(PLANS, "with s as (select user_id, event_id b, event_id + 40 e, cast(event_id as int) n from events where event_type = 'purchase'), v as (select event_id, user_id from events where event_type = 'view'), j as (select v.event_id, n, case when v.event_id between b and e - 1 then 0 when v.event_id < b then b - v.event_id else v.event_id - e + 1 end far, b from v left join s on s.user_id = v.user_id), r as (select *, row_number() over (partition by event_id order by far, case when far = 0 then b end, n) k from j) select event_id, n span, case when far = 0 then 'contained' when far is not null then 'nearest' end policy, far distance from r where k = 1")
+def nearest_spans_by_distance(s, d):
+    e = table(s, d, "events")
+    sp = e.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("start"), (F.col("event_id") + 40).alias("end"), F.col("event_id").cast("int").alias("name"))
+    p = e.where("event_type = 'view'").select("event_id", "user_id")
+    return cuts.nearest_span(p, sp, "user_id", "event_id", "start", "end", "name", policy="nearest").select("event_id", "span", "policy", "distance")
+
+
 @plan(PLANS, "with s as (select user_id, event_id span, event_id s, event_id + 500 e from events where event_type = 'purchase'), t as (select user_id, event_id token, event_id - 100 cs, event_id + 100 ce from events) select s.user_id, span, min(token) token_start, max(token) + 1 token_end from s join t on s.user_id = t.user_id and cs < e and ce > s group by 1, 2")
 def span_token_overlap(s, d):
     sp = _spans(s, d).select("user_id", F.col("name").alias("span"), F.col("start").alias("s"), F.col("end").alias("e"))

@@ -130,3 +130,21 @@ def report(summary: DataFrame, title: str, limit: int = 200) -> str:
     rows = summary.limit(limit).collect()
     head = "| " + " | ".join(summary.columns) + " |\n|" + "---|" * len(summary.columns)
     return f"# {title}\n\n{head}\n" + "\n".join("| " + " | ".join(str(v) for v in r) + " |" for r in rows) + "\n"
+
+
+def save_batch(df: DataFrame, path: str, name: str, meta: dict | None = None) -> None:
+    """A named batch: its rows, and beside them its columns and what else is known of it as JSON."""
+    df.write.mode("overwrite").parquet(f"{path}/{name}")
+    info = json.dumps({"name": name, "columns": df.columns, "meta": meta or {}}, sort_keys=True)
+    df.sparkSession.createDataFrame([(info,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}.meta")
+
+
+def load_batch(spark: SparkSession, path: str, name: str) -> tuple[DataFrame, dict]:
+    """The rows of a named batch with their columns in the order that they had, and its metadata."""
+    info = json.loads(spark.read.text(f"{path}/{name}.meta").collect()[0]["value"])
+    return spark.read.parquet(f"{path}/{name}").select(*info["columns"]), info["meta"]
+
+
+def append_records(df: DataFrame, path: str) -> None:
+    """Append rows as JSON lines: a job adds files of its own, so jobs that write at once don't meet, and one that fails leaves nothing."""
+    df.write.mode("append").json(path)

@@ -16,11 +16,12 @@ def session_totals(events: DataFrame, key: str = "user_id", value: str = "value"
     def step(k, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, total, done = state.get if state.exists else (0, 0.0, False)
         for pdf in parts:
-            for _, row in pdf.sort_values("event_id").iterrows():
+            pdf = pdf.sort_values("event_id")
+            for x, kind in zip(pdf[value].tolist(), pdf["event_type"].tolist(), strict=True):
                 if done:
-                    continue
-                n, total = n + 1, total + float(row[value])
-                done = row["event_type"] == close_type or n >= max_rounds
+                    break
+                n, total = n + 1, total + float(x)
+                done = kind == close_type or n >= max_rounds
         state.update((n, total, done))
         yield pd.DataFrame([(k[0], n, total, done)], columns=[key, "n", "total", "done"])
 
