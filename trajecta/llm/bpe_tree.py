@@ -19,6 +19,7 @@ from array import array
 
 import regex
 
+from trajecta.llm import bytesx as B
 from trajecta.ship import ship
 
 #: Bytes of a window that is encoded directly.
@@ -195,7 +196,7 @@ def encode_documents(docs, path: str, pattern: str, text: str = "text"):
 
     def run(batches):
         coder = TreeCoder.load(path, pattern)
-        for b in batches:
+        for b in B.small(batches):
             n, i, d = digest(coder, b.column(text).to_pylist())
             kept = [(f.name, b.column(f.name)) for f in keep if f.name != text]
             yield pa.RecordBatch.from_arrays([c for _, c in kept] + [pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(d, pa.string())], names=[k for k, _ in kept] + names)

@@ -67,6 +67,13 @@ def slices(texts: list, limit: int = SLICE_BYTES):
         yield first, run
 
 
+def small(batches, rows: int = 256):
+    """Arrow batches in pieces of a few rows: texts are made Python objects piece by piece."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def lay(run: list[bytes], gap: bytes = b"") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One buffer with ``gap`` after every text; starts and ends of the texts in it."""
     buf = np.frombuffer(gap.join([*run, b""]), dtype=np.uint8)

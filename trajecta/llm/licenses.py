@@ -19,6 +19,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from trajecta.llm import bytesx as B
 from trajecta.ship import ship
 
 _WORD = re.compile(r"[^\W_]+(?:[.\-'][^\W_]+)*")
@@ -233,8 +234,9 @@ class Scanner:
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, license, coverage, matched, first_word and last_word: a row for each template that reaches ``least``.
 
-    A place is a stretch of the text as long as the template and its spare
-    words.  A text with none gives one row with a null license, coverage 0 and
+    Every stretch of the text as long as the template and its spare words that
+    reaches ``least`` is found, and what is found lies in a stretch of three
+    times the template's words.  A text with none gives one row with a null license, coverage 0 and
     places -1, as do null and empty texts; very long texts are scanned whole.  A
     template counts at its first place of best coverage.  Repeated rows each
     give their rows; an empty table none; other columns are not read.
@@ -247,7 +249,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
 
     def run(batches):
         s = Scanner(rules, least)
-        for b in batches:
+        for b in B.small(batches):
             got = [(i, *x) for i, t in enumerate(b.column(1).to_pylist()) for x in s.all(t or "")]
             if got:
                 at, name, cover, n, lo, hi = zip(*got, strict=True)

@@ -47,7 +47,7 @@ def describe(docs: DataFrame, words: int, percent: int, doc_id: str = "doc_id",
     bands_n, _ = M.plan(percent)
 
     def run(batches):
-        for b in batches:
+        for b in B.small(batches):
             ids, th, texts = b.column(0), b.column(1), b.column(2).to_pylist()
             for first, part in B.slices(texts):
                 h, bounds = B.distinct_runs(*B.shingles(part, words)[:2])
@@ -128,7 +128,7 @@ def _verify(rows: DataFrame, words: int, percent: int, leads: bool) -> DataFrame
         import zstandard
 
         z = zstandard.ZstdDecompressor()
-        for b in batches:
+        for b in B.small(batches):
             for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 if row[:4] != key and size >= B.SLICE_BYTES:
                     yield held

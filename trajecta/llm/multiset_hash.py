@@ -188,7 +188,7 @@ def fingerprint_documents(docs, doc_id: str = "doc_id", text: str = "text", part
     def some(batches, limit=B.SLICE_BYTES):
         """Rows in runs of bounded size; the last of a run comes again as the first of the next."""
         run, size = [], 0
-        for b in batches:
+        for b in B.small(batches):
             for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(4).to_pylist(), strict=True):
                 run.append(row)
                 size += len(row[1])

@@ -19,6 +19,7 @@ from array import array
 
 import numpy as np
 
+from trajecta.llm import bytesx as B
 from trajecta.ship import ship
 
 CAPACITY = 2048
@@ -201,7 +202,7 @@ def pack_documents(docs, path: str, doc_id: str = "doc_id", text: str = "text",
             size = 0
             return out
 
-        for b in batches:
+        for b in B.small(batches):
             who, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for k in range(0, len(texts), 256):
                 for i, x in zip(who[k : k + 256], coder.encode_packed([t or "" for t in texts[k : k + 256]]), strict=True):

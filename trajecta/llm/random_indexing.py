@@ -233,7 +233,7 @@ def score_with(docs, model, loader, threshold, doc_id, text):
 
     def run(batches):
         m = loaded(loader, model)
-        for b in batches:
+        for b in B.small(batches):
             s = m.scores([t or "" for t in b.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array(s >= threshold, pa.bool_()).cast(pa.int32())], names=schema.names)
 
@@ -268,7 +268,7 @@ def filter_with(docs, model, loader, rule, text: str = "text"):
 
     def run(batches):
         m = loaded(loader, model)
-        for b in batches:
+        for b in B.small(batches):
             if b.num_rows:
                 s = m.scores([t or "" for t in b.column(b.schema.get_field_index(text)).to_pylist()])
                 yield b.filter(pa.array(rule(s)))

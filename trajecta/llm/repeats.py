@@ -207,7 +207,7 @@ def _scan(rows: DataFrame, length: int) -> DataFrame:
     import pyarrow as pa
 
     def run(batches):
-        for b in batches:
+        for b in B.small(batches):
             for first, part in B.slices(b.column(1).to_pylist()):
                 owner, *_, h = anchors(part, length)
                 bounds = np.searchsorted(owner, np.arange(len(part) + 1))
@@ -230,7 +230,7 @@ def _segments(rows: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
         import zstandard
 
         z, before = zstandard.ZstdDecompressor(), None
-        for b in batches:
+        for b in B.small(batches):
             got: list[tuple] = []
             size = 0
             for node, packed, want in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
@@ -289,7 +289,7 @@ def _judge(rows: DataFrame, lengths: tuple[int, ...], step: int) -> DataFrame:
 
     def run(batches):
         held, size, key = [], 0, None
-        for b in batches:
+        for b in B.small(batches, 2048):
             for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 if row[:2] != key and size >= BLOCK_BYTES:
                     yield judge(held)
@@ -367,7 +367,7 @@ def _digest(rows: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
         import zstandard
 
         z = zstandard.ZstdDecompressor()
-        for b in batches:
+        for b in B.small(batches):
             out = []
             for sha, packed, spans in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 of = [[(s["start"], s["windows"]) for s in spans if s["kind"] == k] for k in range(len(lengths))]
@@ -428,7 +428,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id
         import zstandard
 
         z, k = zstandard.ZstdDecompressor(), len(rest)
-        for b in batches:
+        for b in B.small(batches):
             out = []
             for box, whole, spans in zip(*(b.column(k + i).to_pylist() for i in range(3)), strict=True):
                 data = b"" if whole else z.decompress(box)

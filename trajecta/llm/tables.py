@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trajecta.llm import bytesx as B
 from trajecta.sources.tables import cut, discard, shared_dir  # noqa: F401
 
 
@@ -22,7 +23,7 @@ def packed(docs: DataFrame, text: str, hashed: bool = True) -> DataFrame:
         import zstandard
 
         z = zstandard.ZstdCompressor(level=3)
-        for b in batches:
+        for b in B.small(batches):
             raw = [t.encode("utf-8", "surrogatepass") for t in b.column(len(rest)).to_pylist()]
             sha = [pa.array([hashlib.sha256(x).digest() for x in raw], pa.binary())] if hashed else []
             yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], *sha, pa.array([z.compress(x) for x in raw], pa.binary())], names=[*(f.name for f in rest), *more])
