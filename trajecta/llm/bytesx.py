@@ -19,6 +19,8 @@ BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 BYTE_TOO = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 #: Bytes of work for one slice: it bounds the memory of a Python worker.
 SLICE_BYTES = 1 << 19
+#: Texts of one slice, however short they are.
+SLICE_TEXTS = 512
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -54,11 +56,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(texts: list, limit: int = SLICE_BYTES):
-    """Encoded texts in runs of at most ``limit`` bytes (one text at least): (first, list of bytes)."""
+    """Encoded texts in runs of at most ``limit`` bytes (one text at least) and SLICE_TEXTS texts: (first, list of bytes)."""
     first, size, run = 0, 0, []
     for i, t in enumerate(texts):
         b = b"" if t is None else t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass")
-        if run and size + len(b) > limit:
+        if run and (size + len(b) > limit or len(run) == SLICE_TEXTS):
             yield first, run
             first, size, run = i, 0, []
         run.append(b)

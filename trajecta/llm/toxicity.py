@@ -32,7 +32,8 @@ TERMS, MIN_DOCS, MIN_SHARE, MIN_ODDS = 1024, 5, 0.008, 2.0
 WINDOW, MENTION, MIN_FUZZY, LONG = 8, 0.25, 4, 8
 #: States of the automaton that a worker keeps.
 STATES = 100_000
-SEEN = 400_000
+#: Words whose outcome a worker keeps.
+SEEN = 40_000
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“”‘’«»„‚‹›…–—¡¿"
 OPEN, CLOSE = set("\"'“‘«„‚‹»›"), set("\"'”’»“«›‹")
 #: Words of reporting.
