@@ -38,9 +38,9 @@ def test_letter_ratio_is_that_of_the_longest_common_subsequence(spark):
 
 def test_parsers(spark):
     lit = F.lit
-    got = values(spark, A.sciworld(lit("plain last line")), A.sciworld(lit("<think>[[ Look  Around ]]</think>")), A.alfworld(lit("[[ ]] [[Take Mug]]")), A.alfworld(lit("go\n\n")), A.babyai(lit("I will toggle\nnothing here")), A.babyai(lit("hm")), A.searchqa(lit("[[ SEARCH[ a b ] ]]")), A.webshop(lit("search[x]\nAction: click[y] search[z]")), A.webshop(lit("click[a] search[b] search[c]")), A.webshop(lit("Click[a]")))
+    got = values(spark, A.science(lit("plain last line")), A.science(lit("<think>[[ Look  Around ]]</think>")), A.household(lit("[[ ]] [[Take Mug]]")), A.household(lit("go\n\n")), A.grid(lit("I will toggle\nnothing here")), A.grid(lit("hm")), A.qa_search(lit("[[ SEARCH[ a b ] ]]")), A.store(lit("search[x]\nAction: click[y] search[z]")), A.store(lit("click[a] search[b] search[c]")), A.store(lit("Click[a]")))
     assert got == [None, "look around", "take mug", "go", "i will toggle", None, "search[a b]", "search[z]", "search[c]", None]
-    assert values(spark, A.sciworld(lit("[[ a > b ]]\nAction: [[ wait ]]")), A.sciworld(lit("x" * 10)), A.action_for(lit("none"), lit("x"))) == ["wait", None, None]
+    assert values(spark, A.science(lit("[[ a > b ]]\nAction: [[ wait ]]")), A.science(lit("x" * 10)), A.action_for(lit("none"), lit("x"))) == ["wait", None, None]
     acts = F.array(lit("go"), lit(" "), lit("look "))
     assert values(spark, A.with_actions(lit("You see.\n"), acts), A.with_actions(lit("x"), F.lit(None).cast("array<string>"))) == ["You see.\nAVAILABLE ACTIONS: go,look", "x"]
 

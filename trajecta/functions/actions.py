@@ -23,7 +23,7 @@ GRID_WORDS = ("turn", "move", "pickup", "drop", "toggle", "go to", "go through",
 NO_ACTION = ("thought:", "think:", "action:")
 ACTIONS_HEAD = "AVAILABLE ACTIONS: "
 
-PARSERS: dict[str, Callable[[Column], Column]] = {"textcraft": X.action_strict}
+PARSERS: dict[str, Callable[[Column], Column]] = {"crafting": X.action_strict}
 
 
 def parser(name: str):
@@ -58,8 +58,8 @@ def last_line(c: Column, rule: Callable[[Column], Column]) -> Column:
     return last_of(F.filter(lines, lambda x: (F.length(x) > 0) & (F.length(x) < 100) & rule(x)))
 
 
-@parser("sciworld")
-def sciworld(c: Column) -> Column:
+@parser("science")
+def science(c: Column) -> Column:
     """Last double bracket, else the first action line, of the raw text and then of the text without think tags; no other line counts."""
 
     def tidy(x: Column) -> Column:
@@ -74,8 +74,8 @@ def sciworld(c: Column) -> Column:
     return F.coalesce(look(raw), look(bare))
 
 
-@parser("alfworld")
-def alfworld(c: Column) -> Column:
+@parser("household")
+def household(c: Column) -> Column:
     """First double bracket that holds something, else the first action line, else the last short line."""
     t = F.regexp_replace(X.strip(c), THINK_LOWER, "")
     boxed = F.filter(F.transform(F.regexp_extract_all(t, F.lit(BRACKETS), 1), lambda x: X.strip(x)), lambda x: x != "")
@@ -85,8 +85,8 @@ def alfworld(c: Column) -> Column:
     return F.lower(F.coalesce(first(boxed), unbracket(X.strip(first(said))), unbracket(line)))
 
 
-@parser("babyai")
-def babyai(c: Column) -> Column:
+@parser("grid")
+def grid(c: Column) -> Column:
     """Last double bracket, else an action tag, else the first action line, else the last short line with a word of the grid."""
     t = F.regexp_replace(X.strip_chat_markers(X.strip(c)), THINK_LOWER, "")
     boxed = X.none_if_empty(X.collapse(last_of(F.regexp_extract_all(t, F.lit(X.BRACKET), 1))))
@@ -96,16 +96,16 @@ def babyai(c: Column) -> Column:
     return F.lower(F.coalesce(boxed, tagged, said, line))
 
 
-@parser("searchqa")
-def searchqa(c: Column) -> Column:
+@parser("qa_search")
+def qa_search(c: Column) -> Column:
     """search[..], click[..] or answer[..] of the last double bracket, or of the text where there is none."""
     t = F.regexp_replace(X.strip_chat_markers(X.strip(c)), THINK_LOWER, "")
     t = F.coalesce(last_of(F.regexp_extract_all(t, F.lit(X.BRACKET), 1)), t)
     return F.when(t.rlike(SEARCH_CALL), F.concat(F.lower(F.regexp_extract(t, SEARCH_CALL, 1)), F.lit("["), X.strip(F.regexp_extract(t, SEARCH_CALL, 2)), F.lit("]")))
 
 
-@parser("webshop")
-def webshop(c: Column) -> Column:
+@parser("store")
+def store(c: Column) -> Column:
     """After the last action mark the first search, else the first click; without one the last search of the text, else its last click."""
 
     def call(t: Column, name: str, pick: int) -> Column:

@@ -44,40 +44,40 @@ LINES = rf"list_filter(list_transform(string_split({NOTHINK}, chr(10)), lambda x
 
 @plan(PLANS, rf"""with m as ({MSG}), b as (select k, regexp_extract_all(t, '(?s)\[\[\s*(.*?)\s*\]\]', 1)[-1] box, nullif(regexp_extract(t, '(?is)Action:\s*(.+?)(?:\n|$)', 1), '') said from m), c as (select k, lower({SQUEEZE.format('box')}) x, lower({SQUEEZE.format('said')}) y from b)
 select k, coalesce(case when x <> '' and not regexp_matches(x, '[<>]') then x end, case when y <> '' and not regexp_matches(y, '[<>]') then y end) "action" from c""")
-def sciworld_actions(s, d):
-    return messages(s, d).select("k", A.PARSERS["sciworld"](F.col("t")).alias("action"))
+def science_actions(s, d):
+    return messages(s, d).select("k", A.PARSERS["science"](F.col("t")).alias("action"))
 
 
 @plan(PLANS, rf"""with m as ({MSG}), b as (select k, list_filter(list_transform(regexp_extract_all({NOTHINK}, '\[\[([^\]]+)\]\]', 1), lambda x: {STRIP.format('x')}), lambda x: x <> '')[1] box, regexp_extract_all({NOTHINK}, '(?i)Action:\s*(.+)', 1)[1] said, {LINES}[-1] line from m)
 select k, lower(coalesce(box, {STRIP.format('said')}, line)) "action" from b""")
-def alfworld_actions(s, d):
-    return messages(s, d).select("k", A.PARSERS["alfworld"](F.col("t")).alias("action"))
+def household_actions(s, d):
+    return messages(s, d).select("k", A.PARSERS["household"](F.col("t")).alias("action"))
 
 
 @plan(PLANS, rf"""with m as ({MSG}), b as (select k, nullif({SQUEEZE.format(rf"regexp_extract_all({NOTHINK}, '(?s)\[\[\s*(.*?)\s*\]\]', 1)[-1]")}, '') box, regexp_extract_all({NOTHINK}, '(?s)<action>(.*?)</action>', 1)[1] tag, regexp_extract_all({NOTHINK}, '(?i)Action:\s*(.+?)(?:\n|$)', 1)[1] said,
 list_filter({LINES}, lambda x: regexp_matches(lower(x), 'turn|move|pickup|drop|toggle|go to|go through|check'))[-1] line from m)
 select k, lower(coalesce(box, {STRIP.format('tag')}, {STRIP.format('said')}, line)) "action" from b""")
-def babyai_actions(s, d):
-    return messages(s, d).select("k", A.PARSERS["babyai"](F.col("t")).alias("action"))
+def grid_actions(s, d):
+    return messages(s, d).select("k", A.PARSERS["grid"](F.col("t")).alias("action"))
 
 
 @plan(PLANS, rf"""with m as ({MSG}), b as (select k, coalesce(regexp_extract_all({NOTHINK}, '(?s)\[\[\s*(.*?)\s*\]\]', 1)[-1], {NOTHINK}) t from m)
 select k, case when regexp_matches(t, '(?i)\b(search|click|answer)\s*\[([^\]]+)\]') then lower(regexp_extract(t, '(?i)\b(search|click|answer)\s*\[([^\]]+)\]', 1)) || '[' || {STRIP.format(r"regexp_extract(t, '(?i)\b(search|click|answer)\s*\[([^\]]+)\]', 2)")} || ']' end "action" from b""")
-def searchqa_actions(s, d):
-    return messages(s, d).select("k", A.PARSERS["searchqa"](F.col("t")).alias("action"))
+def qa_search_actions(s, d):
+    return messages(s, d).select("k", A.PARSERS["qa_search"](F.col("t")).alias("action"))
 
 
 @plan(PLANS, rf"""with m as ({MSG}), b as (select k, t, case when contains(t, 'Action:') then string_split(t, 'Action:')[-1] end said from m), c as (select k, t, regexp_extract_all(said, '(?i)search\[([^\]]*)\]', 1)[1] s1, regexp_extract_all(said, '(?i)click\[([^\]]*)\]', 1)[1] c1, regexp_extract_all(t, '(?i)search\[([^\]]*)\]', 1)[-1] s2, regexp_extract_all(t, '(?i)click\[([^\]]*)\]', 1)[-1] c2 from b)
 select k, coalesce('search[' || s1 || ']', 'click[' || c1 || ']', case when contains(t, 'search[') or contains(t, 'click[') then coalesce('search[' || s2 || ']', 'click[' || c2 || ']') end) "action" from c""")
-def webshop_actions(s, d):
-    return messages(s, d).select("k", A.PARSERS["webshop"](F.col("t")).alias("action"))
+def store_actions(s, d):
+    return messages(s, d).select("k", A.PARSERS["store"](F.col("t")).alias("action"))
 
 
-@plan(PLANS, rf"""with m as ({MSG}), b as (select k, case k % 3 when 0 then 'babyai' when 1 then 'webshop' else 'none' end source, t, case when contains(t, 'Action:') then string_split(t, 'Action:')[-1] end said from m), c as (select k, source, nullif({SQUEEZE.format(rf"regexp_extract_all({NOTHINK}, '(?s)\[\[\s*(.*?)\s*\]\]', 1)[-1]")}, '') box, regexp_extract_all(said, '(?i)click\[([^\]]*)\]', 1)[1] c1 from b)
-select source, count(*) n, count(case source when 'babyai' then box when 'webshop' then c1 end) boxed_or_clicked from c group by 1""")
+@plan(PLANS, rf"""with m as ({MSG}), b as (select k, case k % 3 when 0 then 'grid' when 1 then 'store' else 'none' end source, t, case when contains(t, 'Action:') then string_split(t, 'Action:')[-1] end said from m), c as (select k, source, nullif({SQUEEZE.format(rf"regexp_extract_all({NOTHINK}, '(?s)\[\[\s*(.*?)\s*\]\]', 1)[-1]")}, '') box, regexp_extract_all(said, '(?i)click\[([^\]]*)\]', 1)[1] c1 from b)
+select source, count(*) n, count(case source when 'grid' then box when 'store' then c1 end) boxed_or_clicked from c group by 1""")
 def parsers_by_source(s, d):
-    src = F.when(F.col("k") % 3 == 0, "babyai").when(F.col("k") % 3 == 1, "webshop").otherwise("none")
-    pick = {"babyai": lambda c: X.none_if_empty(X.collapse(A.last_of(F.regexp_extract_all(F.regexp_replace(c, A.THINK_LOWER, ""), F.lit(X.BRACKET), 1)))), "webshop": lambda c: F.when(c.contains("Action:"), A.webshop(c))}
+    src = F.when(F.col("k") % 3 == 0, "grid").when(F.col("k") % 3 == 1, "store").otherwise("none")
+    pick = {"grid": lambda c: X.none_if_empty(X.collapse(A.last_of(F.regexp_extract_all(F.regexp_replace(c, A.THINK_LOWER, ""), F.lit(X.BRACKET), 1)))), "store": lambda c: F.when(c.contains("Action:"), A.store(c))}
     x = messages(s, d).withColumn("source", src)
     return x.withColumn("a", A.action_for(F.col("source"), F.col("t"), pick)).groupBy("source").agg(F.count("*").alias("n"), F.count("a").alias("boxed_or_clicked"))
 

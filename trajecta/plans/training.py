@@ -50,7 +50,7 @@ def flagship_build(s, d):
     return x.withColumns({"manifest_rows": F.lit(m["rows"]).cast("long"), "keys_unique": F.lit(m["rows"] == m["unique_keys"])})
 
 
-@plan(PLANS, f"{SIZES} select 's' || conv_id sample_uid, variant variant_label, 'textcraft' data_source, 'crafting' ability, 1 + n_prefix + least(u, 1) n_prompt, 0 \"index\", 'fixed_ratio' strategy, 'interaction' style from z where not is_raw")
+@plan(PLANS, f"{SIZES} select 's' || conv_id sample_uid, variant variant_label, 'crafting' data_source, 'crafting' ability, 1 + n_prefix + least(u, 1) n_prompt, 0 \"index\", 'fixed_ratio' strategy, 'interaction' style from z where not is_raw")
 def canonical_records(s, d):
     x = R.canonical_rows(all_records(s, d).where("not is_raw_variant").drop("extra_info"), SYSTEM)
     return x.select("sample_uid", "variant_label", "data_source", "ability", F.size("prompt").cast("long").alias("n_prompt"), F.col("extra_info.index").alias("index"), F.col("extra_info.strategy").alias("strategy"), F.col("extra_info.reward_model.style").alias("style"))
