@@ -81,6 +81,26 @@ def op10_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op11_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from trajecta.llm.residual_packing import pack_best_fit
+
+    return pack_best_fit(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trajecta.llm.changepoints import change_points
+
+    return change_points(table(spark, sf_dir, "sale_lines").where("flag = 'kept'"))
+
+
+def op13_errata_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trajecta.llm.errata_trie import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op8_quality": op8_quality,
@@ -92,4 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_license_patience": op7_license_patience,
     "op9_pivot_index": op9_pivot_index,
     "op10_circulant_minhash": op10_circulant_minhash,
+    "op11_residual_packing": op11_residual_packing,
+    "op12_change_points": op12_change_points,
+    "op13_errata_variants": op13_errata_variants,
 }
