@@ -18,11 +18,13 @@ import zlib
 from array import array
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trajecta.llm import bytesx as B
+from trajecta.llm.packing import BYTE_CHARS
 from trajecta.llm.tables import cut
 from trajecta.ship import ship
 
@@ -32,16 +34,26 @@ END_ID = 0
 SLACK = 8
 #: Items that a task packs at once, sequences that a node passes up, and nodes that meet in one of the next level.
 ITEMS, CARRY, FAN = 1 << 17, 2048, 16
-#: Chunks kept in memory, and their longest.
-CACHE_CHUNKS, CHUNK_CHARS = 300_000, 40
+#: Chunks and pieces kept in memory, and their longest.
+CACHE_CHUNKS, CHUNK_CHARS = 500_000, 40
 #: A run of white space belongs to the word behind it; words never look beyond the white space before them.
 _CHUNK = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 #: Texts with other white space go through the library whole.
 _OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
+# Fixed value: how a byte-level file splits text; for these characters all Unicode tables agree.
+_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+SPACE = BYTE_CHARS[32]
+_SIMPLE = re.compile("[\n\t\r -~\xa1-\u024f]*")
+
+
 class ByteCoder:
-    """Ids of a byte-level BPE file of ``tokenizers``, looked up by word with the white space before it."""
+    """Ids of a byte-level BPE file of ``tokenizers``, looked up by word with the white space before it.
+
+    A word seen for the first time is split, its pieces are looked up, and new
+    ones go to the model itself.
+    """
 
     _made: dict[str, ByteCoder] = {}
 
@@ -55,6 +67,7 @@ class ByteCoder:
         #: Files with other settings go through the library whole.
         self.fast = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and file.get("normalizer") is file.get("truncation") is file.get("padding") is None
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> ByteCoder:
@@ -66,23 +79,36 @@ class ByteCoder:
     def _whole(self, text: str) -> bytes:
         return array("I", self.lib.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _learn(self, chunks: set[str], simple: bool) -> None:
+        known, pieces, model = self.known, self.pieces, self.lib.model.tokenize
+        if len(pieces) > CACHE_CHUNKS:
+            pieces.clear()
+        for c in chunks:
+            if len(c) > CHUNK_CHARS or not (simple or _SIMPLE.fullmatch(c)):
+                known[c] = self._whole(c)
+                continue
+            out = []
+            for p in _SPLIT.findall(c):
+                if (ids := pieces.get(p)) is None:
+                    spelt = p.replace(" ", SPACE) if p.isprintable() and p.isascii() else "".join([BYTE_CHARS[b] for b in p.encode("utf-8")])
+                    ids = pieces[p] = array("I", [t.id for t in model(spelt)]).tobytes()
+                out.append(ids)
+            known[c] = b"".join(out)
+
     def encode(self, text: str) -> bytes:
         if not self.fast or _OTHER_SPACE.search(text):
             return self._whole(text)
         chunks, known = _CHUNK.findall(text), self.known
-        try:
-            return b"".join([known[c] for c in chunks])
-        except KeyError:
+        if new := set(chunks).difference(known):
             if len(known) > CACHE_CHUNKS:
                 known.clear()
-        out = []
-        for c in chunks:
-            if (ids := known.get(c)) is None:
-                ids = self._whole(c)
-                if len(c) <= CHUNK_CHARS:
-                    known[c] = ids
-            out.append(ids)
-        return b"".join(out)
+                new = set(chunks)
+            self._learn(new, _SIMPLE.fullmatch(text) is not None)
+        out = b"".join(map(known.__getitem__, chunks))
+        for c in new:
+            if len(c) > CHUNK_CHARS:
+                del known[c]
+        return out
 
 
 def best_fit(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
