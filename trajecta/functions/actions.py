@@ -23,7 +23,8 @@ GRID_WORDS = ("turn", "move", "pickup", "drop", "toggle", "go to", "go through",
 NO_ACTION = ("thought:", "think:", "action:")
 ACTIONS_HEAD = "AVAILABLE ACTIONS: "
 
-PARSERS: dict[str, Callable[[Column], Column]] = {"crafting": X.action_strict}
+# The sources that rows carry, here and at the parsers below.
+PARSERS: dict[str, Callable[[Column], Column]] = {"textcraft": X.action_strict}
 
 
 def parser(name: str):
@@ -58,7 +59,7 @@ def last_line(c: Column, rule: Callable[[Column], Column]) -> Column:
     return last_of(F.filter(lines, lambda x: (F.length(x) > 0) & (F.length(x) < 100) & rule(x)))
 
 
-@parser("science")
+@parser("sciworld")
 def science(c: Column) -> Column:
     """Last double bracket, else the first action line, of the raw text and then of the text without think tags; no other line counts."""
 
@@ -74,7 +75,7 @@ def science(c: Column) -> Column:
     return F.coalesce(look(raw), look(bare))
 
 
-@parser("household")
+@parser("alfworld")
 def household(c: Column) -> Column:
     """First double bracket that holds something, else the first action line, else the last short line."""
     t = F.regexp_replace(X.strip(c), THINK_LOWER, "")
@@ -85,7 +86,7 @@ def household(c: Column) -> Column:
     return F.lower(F.coalesce(first(boxed), unbracket(X.strip(first(said))), unbracket(line)))
 
 
-@parser("grid")
+@parser("babyai")
 def grid(c: Column) -> Column:
     """Last double bracket, else an action tag, else the first action line, else the last short line with a word of the grid."""
     t = F.regexp_replace(X.strip_chat_markers(X.strip(c)), THINK_LOWER, "")
@@ -96,7 +97,7 @@ def grid(c: Column) -> Column:
     return F.lower(F.coalesce(boxed, tagged, said, line))
 
 
-@parser("qa_search")
+@parser("searchqa")
 def qa_search(c: Column) -> Column:
     """search[..], click[..] or answer[..] of the last double bracket, or of the text where there is none."""
     t = F.regexp_replace(X.strip_chat_markers(X.strip(c)), THINK_LOWER, "")
@@ -104,7 +105,7 @@ def qa_search(c: Column) -> Column:
     return F.when(t.rlike(SEARCH_CALL), F.concat(F.lower(F.regexp_extract(t, SEARCH_CALL, 1)), F.lit("["), X.strip(F.regexp_extract(t, SEARCH_CALL, 2)), F.lit("]")))
 
 
-@parser("store")
+@parser("webshop")
 def store(c: Column) -> Column:
     """After the last action mark the first search, else the first click; without one the last search of the text, else its last click."""
 

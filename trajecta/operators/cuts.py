@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trajecta.sources.tables import cut
+
 
 def smoothed(df: DataFrame, uid: str, order: list[str], value: str, window: int = 11) -> DataFrame:
     """Place in the sequence, centred moving average (cut at the ends) and the absolute change from the place before."""
@@ -44,11 +46,30 @@ def rolling(df: DataFrame, uid: str, order: list[str], value: str, width: int, t
     return x.withColumn("tail_mean", F.avg(F.when(F.col("_r") <= tail, F.col(value))).over(Window.partitionBy(uid))).drop("_r")
 
 
+def with_running(df: DataFrame, key: str, order: list[str], high: str, low: str) -> DataFrame:
+    """``high`` as its maximum over the rows of a key up to each row, and ``low`` as its minimum over the rows from there on.
+
+    Rows are dealt out in ranges of key and order, so a long key lies in many
+    ranges; each range carries in what the ranges of its key before and after it
+    hold.  Both runs grow by one row at a time: the second one goes backwards.
+    """
+    x = cut(df.repartitionByRange(key, *order).withColumn("_part", F.spark_partition_id()))
+    down = [F.desc(c) for c in order]
+    sums = x.groupBy(F.col(key).alias("_sk"), F.col("_part").alias("_sp")).agg(F.max(high).alias("_sb"), F.min(low).alias("_sa"))
+    earlier, later = (Window.partitionBy("_sk").orderBy(c).rowsBetween(Window.unboundedPreceding, -1) for c in ("_sp", F.desc("_sp")))
+    sums = sums.select("_sk", "_sp", F.max("_sb").over(earlier).alias("_cb"), F.min("_sa").over(later).alias("_ca"))
+    up, back = (Window.partitionBy(key, "_part").orderBy(*o).rowsBetween(Window.unboundedPreceding, 0) for o in (order, down))
+    x = x.withColumns({high: F.max(high).over(up), low: F.min(low).over(back)})
+    x = x.join(sums, F.col(key).eqNullSafe(F.col("_sk")) & (F.col("_part") == F.col("_sp")))
+    return x.withColumns({high: F.greatest(high, "_cb"), low: F.least(low, "_ca")}).drop("_sk", "_sp", "_cb", "_ca", "_part")
+
+
 def nearest_span(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, name: str, policy: str = "previous", width: int = 256) -> DataFrame:
     """The first span that holds a point; else by policy the last one before it (the first of all, if none is), or the nearest (ties: the lower name), with how it was found and how far.
 
     Spans that hold a point are met in stretches of ``width`` places; for the
-    others points and the ends of spans are sorted once.  Points of a key without
+    others points and the ends of spans are sorted once, in ranges that a long
+    key shares out.  Points of a key without
     spans get nulls.
     """
     if policy not in ("previous", "nearest"):
@@ -61,11 +82,9 @@ def nearest_span(points: DataFrame, spans: DataFrame, key: str, at: str, start:
     ends = spans.select(F.col(key).alias("_k"), e.alias("_p"), F.lit(0).alias("_kind"), span.alias("_span"))
     starts = spans.select(F.col(key).alias("_k"), s.alias("_p"), F.lit(2).alias("_kind"), span.alias("_span"))
     own = points.select(F.col(key).alias("_k"), F.col(at).cast("long").alias("_p"), F.lit(1).alias("_kind"), F.struct(*points.columns).alias("_row"))
-    w = Window.partitionBy("_k").orderBy("_p", "_kind")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing)
-    over = F.when(F.col("_kind") == 0, F.col("_span"))
-    last = F.max(over) if policy == "previous" else F.max(F.when(F.col("_kind") == 0, F.struct(F.col("_span.e").alias("e"), (-F.col("_span.n")).alias("m"))))
-    x = ends.union(starts).unionByName(own, allowMissingColumns=True).withColumns({"_b": last.over(back), "_a": F.min(F.when(F.col("_kind") == 2, F.col("_span"))).over(ahead)}).where("_kind = 1")
+    over, under = F.when(F.col("_kind") == 0, F.col("_span")), F.when(F.col("_kind") == 2, F.col("_span"))
+    last = over if policy == "previous" else F.when(F.col("_kind") == 0, F.struct(F.col("_span.e").alias("e"), (-F.col("_span.n")).alias("m")))
+    x = with_running(ends.union(starts).unionByName(own, allowMissingColumns=True).withColumns({"_b": last, "_a": under}), "_k", ["_p", "_kind"], "_b", "_a").where("_kind = 1")
     x = x.join(held, ["_k", "_p"], "left")
     p, inside = F.col("_p"), F.col("_in").isNotNull()
     near_a = F.when(F.col("_a").isNotNull(), F.struct((F.col("_a.s") - p).alias("far"), F.col("_a.n").alias("n")))

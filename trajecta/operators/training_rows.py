@@ -10,6 +10,8 @@ from trajecta.operators import messages as M
 # Names of the record format.
 MESSAGES = "array<struct<role:string,content:string>>"
 COORDINATES = "canonicalized_prompt"
+#: Fixed value: the source of records unless the caller names another.
+SOURCE = "textcraft"
 FROM_SAMPLING = "constructed_from_sampling"
 
 
@@ -60,19 +62,19 @@ def sidecar(empty: bool, model: str | None) -> dict[str, Column]:
     return {k: (c if empty else F.lit(None)).cast(t) for k, (c, t) in made.items()}
 
 
-def prefix_records(df: DataFrame, dataset: str, system: str, name: str = "crafting") -> DataFrame:
+def prefix_records(df: DataFrame, dataset: str, system: str, name: str = SOURCE) -> DataFrame:
     """Records of rows cut into ``prefix_messages`` and ``continuation_messages``, with ``strategy`` and ``variant_label``."""
     prompt = M.training_prompt(F.lit(system), F.col("prefix_messages"), F.col("continuation_messages"))
     return record(df, dataset, name, F.col("variant_label"), False, F.col("strategy"), prompt, F.col("prefix_messages"), F.col("continuation_messages"), FROM_SAMPLING, sidecar(False, None))
 
 
-def raw_records(df: DataFrame, dataset: str, model: str, name: str = "crafting") -> DataFrame:
+def raw_records(df: DataFrame, dataset: str, model: str, name: str = SOURCE) -> DataFrame:
     """Records of whole episodes, which start from ``prompt``."""
     none = F.array().cast(MESSAGES)
     return record(df, dataset, name, F.lit("raw"), True, F.lit("raw"), M.normalize(F.col("prompt")), none, none, "raw", sidecar(True, model))
 
 
-def canonical_rows(df: DataFrame, system: str, name: str = "crafting", ability: str = "crafting") -> DataFrame:
+def canonical_rows(df: DataFrame, system: str, name: str = SOURCE, ability: str = "crafting") -> DataFrame:
     """Rows of an earlier build with prompt, source, reward model and extra_info made anew; all other columns stay."""
     reward = F.struct(F.lit("").alias("ground_truth"), F.lit("interaction").alias("style"))
     kwargs = F.struct(F.lit(name).alias("name"), F.col("task_id").cast("int").alias("task_id"), F.lit(False).alias("eval_mode"), F.coalesce("prefix_actions", F.array().cast("array<string>")).alias("prefix_actions"), F.col("goal").alias("goal"))
@@ -81,7 +83,7 @@ def canonical_rows(df: DataFrame, system: str, name: str = "crafting", ability:
     return df.withColumns({"data_source": F.lit(name), "ability": F.lit(ability), "prompt": prompt, "reward_model": reward, "extra_info": extra})
 
 
-def ranked_rows(df: DataFrame, base: DataFrame, dataset: str, name: str = "crafting") -> DataFrame:
+def ranked_rows(df: DataFrame, base: DataFrame, dataset: str, name: str = SOURCE) -> DataFrame:
     """Audited candidates as records: the label is their rank, source, ability and reward model are their task's; a task without a base row raises."""
     own = base.select(F.col("task_id").alias("_t"), F.col("data_source").alias("_s"), F.col("ability").alias("_a"), F.col("reward_model").alias("_r"))
     j = df.join(own, df.task_id == own["_t"], "left")

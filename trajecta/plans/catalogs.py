@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from trajecta.operators import catalog as C
+from trajecta.operators import fulltext as FT
 from trajecta.operators import graph as G
 from trajecta.operators import stateful as S
 from trajecta.plans.base import plan, shipped, table
+from trajecta.sources.tables import shared_dir
 
 PLANS: dict = {}
 
@@ -26,6 +30,16 @@ def bm25_top(s, d):
     return C.bm25(docs, q, "p_partkey", "query", "text", 10).select("query", "p_partkey", "score", "rank")
 
 
+@plan(PLANS, BM)
+def indexed_search(s, d):
+    """The same searches on an index that is written first and then read by impact."""
+    path = f"{shared_dir(s)}/index-{uuid.uuid4().hex}"
+    p = table(s, d, "part")
+    FT.write_index(p.select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("text")), "p_partkey", "text", path)
+    q = p.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query"), F.col("p_name").alias("text"))
+    return FT.Index(s, path).search(q, "query", "text", 10).select("query", F.col("doc").alias("p_partkey"), "score", "rank")
+
+
 @plan(PLANS, r"""with w as (select p_brand, p_partkey, list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda x: x <> '') w from part), g as (select p_brand, p_partkey, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) gram from w),
 tf as (select p_brand, p_partkey, gram, count(*) tf from g group by 1, 2, 3), c as (select p_brand, gram, sum(tf) total, count(*) df from tf group by 1, 2), n as (select p_brand, count(distinct p_partkey) n from part group by 1),
 k as (select c.p_brand, gram, df, cast(total as bigint) total, round(total * (ln((1 + n) / (1 + df)) + 1), 6) weight from c join n on n.p_brand = c.p_brand) select * from (select *, row_number() over (partition by p_brand order by weight desc, gram) rank from k) where rank <= 5""")

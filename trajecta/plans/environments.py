@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trajecta.functions import actions as A
+from trajecta.functions import pages as P
 from trajecta.functions import text as X
 from trajecta.operators import messages as M
 from trajecta.operators import shop as SH
@@ -45,41 +46,45 @@ LINES = rf"list_filter(list_transform(string_split({NOTHINK}, chr(10)), lambda x
 @plan(PLANS, rf"""with m as ({MSG}), b as (select k, regexp_extract_all(t, '(?s)\[\[\s*(.*?)\s*\]\]', 1)[-1] box, nullif(regexp_extract(t, '(?is)Action:\s*(.+?)(?:\n|$)', 1), '') said from m), c as (select k, lower({SQUEEZE.format('box')}) x, lower({SQUEEZE.format('said')}) y from b)
 select k, coalesce(case when x <> '' and not regexp_matches(x, '[<>]') then x end, case when y <> '' and not regexp_matches(y, '[<>]') then y end) "action" from c""")
 def science_actions(s, d):
-    return messages(s, d).select("k", A.PARSERS["science"](F.col("t")).alias("action"))
+    return messages(s, d).select("k", A.PARSERS["sciworld"](F.col("t")).alias("action"))
 
 
 @plan(PLANS, rf"""with m as ({MSG}), b as (select k, list_filter(list_transform(regexp_extract_all({NOTHINK}, '\[\[([^\]]+)\]\]', 1), lambda x: {STRIP.format('x')}), lambda x: x <> '')[1] box, regexp_extract_all({NOTHINK}, '(?i)Action:\s*(.+)', 1)[1] said, {LINES}[-1] line from m)
 select k, lower(coalesce(box, {STRIP.format('said')}, line)) "action" from b""")
 def household_actions(s, d):
-    return messages(s, d).select("k", A.PARSERS["household"](F.col("t")).alias("action"))
+    return messages(s, d).select("k", A.PARSERS["alfworld"](F.col("t")).alias("action"))
 
 
 @plan(PLANS, rf"""with m as ({MSG}), b as (select k, nullif({SQUEEZE.format(rf"regexp_extract_all({NOTHINK}, '(?s)\[\[\s*(.*?)\s*\]\]', 1)[-1]")}, '') box, regexp_extract_all({NOTHINK}, '(?s)<action>(.*?)</action>', 1)[1] tag, regexp_extract_all({NOTHINK}, '(?i)Action:\s*(.+?)(?:\n|$)', 1)[1] said,
 list_filter({LINES}, lambda x: regexp_matches(lower(x), 'turn|move|pickup|drop|toggle|go to|go through|check'))[-1] line from m)
 select k, lower(coalesce(box, {STRIP.format('tag')}, {STRIP.format('said')}, line)) "action" from b""")
 def grid_actions(s, d):
-    return messages(s, d).select("k", A.PARSERS["grid"](F.col("t")).alias("action"))
+    return messages(s, d).select("k", A.PARSERS["babyai"](F.col("t")).alias("action"))
 
 
 @plan(PLANS, rf"""with m as ({MSG}), b as (select k, coalesce(regexp_extract_all({NOTHINK}, '(?s)\[\[\s*(.*?)\s*\]\]', 1)[-1], {NOTHINK}) t from m)
 select k, case when regexp_matches(t, '(?i)\b(search|click|answer)\s*\[([^\]]+)\]') then lower(regexp_extract(t, '(?i)\b(search|click|answer)\s*\[([^\]]+)\]', 1)) || '[' || {STRIP.format(r"regexp_extract(t, '(?i)\b(search|click|answer)\s*\[([^\]]+)\]', 2)")} || ']' end "action" from b""")
 def qa_search_actions(s, d):
-    return messages(s, d).select("k", A.PARSERS["qa_search"](F.col("t")).alias("action"))
+    return messages(s, d).select("k", A.PARSERS["searchqa"](F.col("t")).alias("action"))
 
 
 @plan(PLANS, rf"""with m as ({MSG}), b as (select k, t, case when contains(t, 'Action:') then string_split(t, 'Action:')[-1] end said from m), c as (select k, t, regexp_extract_all(said, '(?i)search\[([^\]]*)\]', 1)[1] s1, regexp_extract_all(said, '(?i)click\[([^\]]*)\]', 1)[1] c1, regexp_extract_all(t, '(?i)search\[([^\]]*)\]', 1)[-1] s2, regexp_extract_all(t, '(?i)click\[([^\]]*)\]', 1)[-1] c2 from b)
 select k, coalesce('search[' || s1 || ']', 'click[' || c1 || ']', case when contains(t, 'search[') or contains(t, 'click[') then coalesce('search[' || s2 || ']', 'click[' || c2 || ']') end) "action" from c""")
 def store_actions(s, d):
-    return messages(s, d).select("k", A.PARSERS["store"](F.col("t")).alias("action"))
+    return messages(s, d).select("k", A.PARSERS["webshop"](F.col("t")).alias("action"))
 
 
-@plan(PLANS, rf"""with m as ({MSG}), b as (select k, case k % 3 when 0 then 'grid' when 1 then 'store' else 'none' end source, t, case when contains(t, 'Action:') then string_split(t, 'Action:')[-1] end said from m), c as (select k, source, nullif({SQUEEZE.format(rf"regexp_extract_all({NOTHINK}, '(?s)\[\[\s*(.*?)\s*\]\]', 1)[-1]")}, '') box, regexp_extract_all(said, '(?i)click\[([^\]]*)\]', 1)[1] c1 from b)
-select source, count(*) n, count(case source when 'grid' then box when 'store' then c1 end) boxed_or_clicked from c group by 1""")
+#: Sources in turn, one of them without a parser.
+SOURCES = ("textcraft", "sciworld", "alfworld", "babyai", "searchqa", "webshop", "other")
+STRICT = rf"""with m as ({MSG}), b as (select k, regexp_extract_all(t, 'Action:\s*([^\n]*)', 1) said from m) select k, case when len(said) = 1 then nullif({SQUEEZE.format("regexp_replace(said[1], '[^A-Za-z0-9, ]+', '', 'g')")}, '') end "action" from b"""
+_EACH = dict(zip(SOURCES, (STRICT, *(PLANS[n][1] for n in ("science_actions", "household_actions", "grid_actions", "qa_search_actions", "store_actions"))), strict=False))
+
+
+@plan(PLANS, "select k, 'other' source, cast(null as varchar) \"action\" from (" + MSG + ") where (k // 7) % 7 = 6" + "".join(f" union all select k, '{n}', \"action\" from ({sql}) where (k // 7) % 7 = {i}" for i, (n, sql) in enumerate(_EACH.items())))
 def parsers_by_source(s, d):
-    src = F.when(F.col("k") % 3 == 0, "grid").when(F.col("k") % 3 == 1, "store").otherwise("none")
-    pick = {"grid": lambda c: X.none_if_empty(X.collapse(A.last_of(F.regexp_extract_all(F.regexp_replace(c, A.THINK_LOWER, ""), F.lit(X.BRACKET), 1)))), "store": lambda c: F.when(c.contains("Action:"), A.store(c))}
-    x = messages(s, d).withColumn("source", src)
-    return x.withColumn("a", A.action_for(F.col("source"), F.col("t"), pick)).groupBy("source").agg(F.count("*").alias("n"), F.count("a").alias("boxed_or_clicked"))
+    """Every form of message under every source, by the registry of parsers."""
+    x = messages(s, d).withColumn("source", F.element_at(F.array(*map(F.lit, SOURCES)), (F.floor(F.col("k") / 7) % 7 + 1).cast("int")))
+    return x.select("k", "source", A.action_for(F.col("source"), F.col("t")).alias("action"))
 
 
 @plan(PLANS, "select p_partkey k, case p_partkey % 4 when 0 then p_name || '  ' when 1 then p_name || chr(10) || 'AVAILABLE ACTIONS: ' || p_type || ',look' when 2 then p_name || ' Available actions: x' else p_name end seen from part")
@@ -100,12 +105,41 @@ def goals_and_commands(s, d):
     return x.select(F.col("p_partkey").alias("k"), "g.goal", "g.commands")
 
 
-@plan(PLANS, "select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) || ' [SEP] [button] ' || source || ' & co [button_]' seen from documents where octet_length(encode(text)) = length(text)")
+#: All Unicode white space, as DuckDB writes it.
+SPACES = r"[\t\n\x{0b}\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+@plan(PLANS, rf"select doc_id, case when trim(regexp_replace(text, '{SPACES}', ' ', 'g')) <> '' then trim(regexp_replace(text, '{SPACES}', ' ', 'g')) || ' [SEP] ' else '' end || '[button] ' || source || ' & co [button_]' seen from documents")
 def page_round_trip(s, d):
-    """Documents rendered as pages and read back as observations; pieces are those of the one paragraph and the button (texts whose white space is ASCII)."""
-    x = table(s, d, "documents").where(F.octet_length("text") == F.length("text"))
+    """All documents rendered as pages and read back as observations; pieces are those of the one paragraph and the button."""
     page = X.render_page(F.col("lang"), F.array(F.col("text")), F.array(F.concat("source", F.lit(" & co"))))
-    return x.select("doc_id", X.page_observation(page).alias("seen"))
+    return table(s, d, "documents").select("doc_id", X.page_observation(page).alias("seen"))
+
+
+@plan(PLANS)
+def page_texts(s, d):
+    """The visible texts of all pages with the elements around them, by a stack of open tags (a test holds it against an event-driven parser)."""
+    nodes = table(s, d, "pages").select("page_id", P.page_nodes(F.col("html")).alias("n"))
+    return nodes.select("page_id", F.posexplode("n").alias("place", "n")).select("page_id", "place", "n.text", "n.tag", "n.class")
+
+
+@plan(PLANS, """select p_partkey k, case when p_partkey % 3 = 0 then 'You have clicked size ' || p_size || '.' || chr(10) else '' end || p_name || chr(10) || case when p_partkey % 2 = 0 then chr(10) || '[clicked button] B' || p_partkey || ' [clicked button_]' else chr(10) || '[button] B' || p_partkey || ' [button_]' end || chr(10)
+|| 'by ' || p_brand || ' <' || p_type || '>' || chr(10) || case when p_partkey % 3 = 0 then '  [clicked button] size ' || p_size || ' [clicked button_]' else '  [button] size ' || p_size || ' [button_]' end || chr(10) || '[button] Buy & go [button_]' || chr(10) rich,
+p_name || ' [SEP] B' || p_partkey || ' [SEP] by ' || p_brand || ' <' || p_type || '> [SEP] size ' || p_size || ' [SEP] Buy & go' simple from part""")
+def product_pages(s, d):
+    """Product pages with nested, void and stray tags, read in the rich and the simple form."""
+    lit, name = F.lit, lambda c: X.escape_html(F.col(c))
+    page = F.concat(
+        lit("<!DOCTYPE html><html><head><title>x</title><style>p{}</style></head><body>\n<script>if (a < b) { '<p>no</p>' }</script><div><h2>"), name("p_name"), lit("</b></h2><!-- <p>no</p> -->\n<a class=\"product-link\" href='/a>b'>B"), F.col("p_partkey"),
+        lit("</a><br/><p>by "), name("p_brand"), lit(" < ".strip()), F.col("p_type"), lit("&gt;<img src=x></p></div><LABEL for='s'>size "), F.col("p_size"), lit("</LABEL><div><button class=buy><i></i>Buy &amp; go</div></button></body></html>\n"),
+    )
+    # "<" before a letter would open a tag, so it is written as an entity there
+    page = F.replace(page, F.concat(name("p_brand"), lit("<"), F.col("p_type")), F.concat(name("p_brand"), lit(" &lt;"), F.col("p_type")))
+    nodes, k = P.page_nodes(page), F.col("p_partkey")
+    url = F.when(k % 3 == 0, F.concat(lit('/item/{"size": "size '), "p_size", lit('"}'))).otherwise(F.concat(lit("/item/size "), "p_size"))
+    seen = F.when(k % 2 == 0, F.array(lit("B0"), F.concat(lit("B"), k))).otherwise(F.array().cast("array<string>"))
+    x = table(s, d, "part").select(k.alias("k"), nodes.alias("n"), url.alias("url"), seen.alias("seen"))
+    return x.select("k", P.rich_observation(F.col("n"), F.col("url"), F.col("seen")).alias("rich"), P.simple_observation(F.col("n")).alias("simple"))
 
 
 @plan(PLANS, "select conv_id, string_agg('Doc ' || i || '(Title: ' || role || ') ' || text, chr(10) order by i) shown from (select *, row_number() over (partition by conv_id order by turn) i from conversations) group by 1")

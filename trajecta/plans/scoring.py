@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
+from trajecta.functions import algebra as AL
 from trajecta.functions import scoring as S
 from trajecta.operators import graph as G
 from trajecta.operators import messages as M
@@ -107,3 +110,35 @@ def recipe_strings(s, d):
     x = G.recipe_text(out, i)
     got = G.parse_recipe(F.col("text"))
     return x.select(F.col("recipe").alias("k"), F.col("text").alias("recipe"), got["count"].alias("n"), got["item"].alias("item"), got["parts"].alias("parts"))
+
+
+#: Answers that are right by identity, right by a value near enough, or wrong: (given, truth, right, right when strict).
+ANSWERS = [
+    ("(x+{k})(x-{k})", "x^2-{k}^2", 1, 1),
+    ("(x+{k})^2", "x^2+{k}^2", 0, 0),
+    ("\\sqrt{{{k}}}\\cdot\\sqrt{{{k}}}", "{k}", 1, 0),
+    ("\\frac{{{k}a+a^2}}{{a}}", "{k}+a", 1, 1),
+    ("{k}\\pi", "{k}*3.14", 1, 0),
+    ("2^{{x+1}}+{k}", "{k}+2\\cdot2^x", 1, 1),
+    ("({k}, \\frac{{1}}{{3}})", "({k}, 1/3)", 1, 1),
+    ("[{k}, 2)", "({k}, 2)", 0, 0),
+    ("\\frac{{2}}{{{k}+{k}}}", "\\frac{{1}}{{{k}}}", 1, 1),
+    ("\\sin({k}+y)+y", "y+\\sin(y+{k})", 1, 1),
+    ("{k}.0001%", "{k}", 1, 0),
+    ("yes {k}", "no {k}", 0, 0),
+]
+
+
+@plan(PLANS, "select p_partkey k, case p_partkey % 12 " + " ".join(f"when {i} then {bool(r)}" for i, (_, _, r, _) in enumerate(ANSWERS)) + " end correct, case p_partkey % 12 " + " ".join(f"when {i} then {bool(r)}" for i, (*_, r) in enumerate(ANSWERS)) + " end strict from part")
+def maths_grades(s, d):
+    """Boxed answers in twelve forms against their truths, as the grader sees them."""
+    k = F.col("p_partkey")
+
+    def form(at: int):
+        out = F.lit(None).cast("string")
+        for i, row in enumerate(ANSWERS):
+            out = F.when(k % 12 == i, F.concat(*(F.col("p_partkey") + 9999 if x == "KEY" else F.lit(x) for x in re.split("(KEY)", row[at].format(k="KEY")) if x))).otherwise(out)
+        return out
+
+    x = shipped(s, d, "part").select(k.alias("k"), F.concat(F.lit("so \\boxed{"), form(0), F.lit("}.")).alias("given"), form(1).alias("truth"))
+    return x.select("k", AL.grade_columns()[1]("given", "truth").alias("correct"), AL.grade_columns(True)[1]("given", "truth").alias("strict"))
