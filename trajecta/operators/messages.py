@@ -123,3 +123,69 @@ def encoded_targets(messages: Column, encode, fill: int, most: int) -> tuple[Col
     mask = F.slice(F.flatten(F.transform(parts, lambda p: F.transform(p["ids"], lambda _: p["train"]))), 1, most)
     more = F.greatest(F.lit(most) - F.size(ids), F.lit(0))
     return F.concat(ids, F.array_repeat(F.lit(fill), more)), F.concat(mask, F.array_repeat(F.lit(0), more))
+
+
+# How a context is estimated and cut.
+CHARS_A_TOKEN, TOKENS_A_MESSAGE, TOKENS_AROUND = 3, 12, 16
+CUT_MARK = "\n...[TRUNCATED HISTORY]...\n"
+LEAST_TOKENS, LEAST_CHARS, LEAST_SIDE = 32, 64, 16
+
+
+def estimated(c: Column) -> Column:
+    """Tokens of a text by its length; 0 for an empty or null one."""
+    return F.ceil(F.coalesce(F.length(c), F.lit(0)) / CHARS_A_TOKEN).cast("int")
+
+
+def cut_middle(c: Column, tokens: Column) -> Column:
+    """A longer text without its middle, a mark in its place; at least 64 characters stay."""
+    most = F.greatest(F.lit(LEAST_CHARS), tokens * CHARS_A_TOKEN)
+    keep = most - len(CUT_MARK)
+    head = F.greatest(F.lit(LEAST_SIDE), F.floor(keep / 2)).cast("int")
+    tail = F.greatest(F.lit(LEAST_SIDE), keep - head).cast("int")
+    return F.when((estimated(c) <= tokens) | (F.length(c) <= most), c).otherwise(F.concat(F.substring(c, F.lit(1), head), F.lit(CUT_MARK), F.right(c, tail)))
+
+
+def trim_history(messages: Column, budget: int, recent: int, system_tokens: int = 0) -> Column:
+    """struct(messages, removed, shortened): a conversation cut to a token budget.
+
+    The first message and the last ``recent`` ones stay.  Those between go in
+    pairs, the oldest first, until the rest fits.  If it does not fit then, the
+    longest message but the first (the first one if it stands alone) loses its
+    middle, to half its tokens but 32 at least, again and again until all fit or
+    nothing gets shorter.  How many go is found on running sums; every
+    shortening halves a message, so the rounds are bounded by the sum of the
+    logarithms of the lengths.  Null messages give null, none give none.
+    """
+    n, around = F.size(messages), system_tokens + TOKENS_AROUND
+    sizes = F.transform(messages, lambda m: estimated(m["content"]) + TOKENS_A_MESSAGE)
+    total = lambda xs: F.aggregate(xs, F.lit(around), lambda a, x: a + x)
+    most = F.greatest(n - 1 - recent, F.lit(0))
+
+    def drop(s: Column, x: Column) -> Column:
+        """Message number i is reached: it goes if it begins a pair that must go, or ends one."""
+        i, must = s["i"], s["left"] > budget
+        goes = (i >= 1) & (i <= most) & ((i % 2 == 0) & (s["gone"] == i - 1) | (i % 2 == 1) & (s["gone"] == i - 1) & must)
+        return F.struct((i + 1).alias("i"), F.when(goes, s["left"] - x).otherwise(s["left"]).alias("left"), F.when(goes, s["gone"] + 1).otherwise(s["gone"]).alias("gone"))
+
+    def trimmed(sizes: Column) -> Column:
+        start = F.struct(F.lit(0).alias("i"), total(sizes).alias("left"), F.lit(0).alias("gone"))
+        gone = F.aggregate(sizes, start, drop, lambda s: s["gone"])
+        return F.transform(F.array(gone), lambda g: F.struct(g.alias("removed"), F.when(n > 0, F.concat(F.slice(messages, 1, 1), F.slice(messages, g + 2, F.greatest(n - g - 1, F.lit(0))))).otherwise(messages).alias("kept")))[0]
+
+    def shortened(t: Column) -> Column:
+        texts = F.transform(t["kept"], lambda m: F.coalesce(m["content"], F.lit("")))
+        rounds = F.aggregate(texts, F.lit(1), lambda a, x: a + F.greatest(F.ceil(F.log2(F.greatest(estimated(x), F.lit(1)) / 16.0)), F.lit(0)).cast("int") + 1)
+
+        def one(s: Column, _: Column) -> Column:
+            xs = s["texts"]
+            size = lambda ys: F.aggregate(ys, F.lit(around), lambda a, x: a + estimated(x) + TOKENS_A_MESSAGE)
+            longest = F.array_max(F.transform(xs, lambda x, i: F.when((x != "") & ((i > 0) | ~F.exists(F.slice(xs, 2, F.greatest(F.size(xs) - 1, F.lit(0))), lambda y: y != "")), F.struct(estimated(x).alias("tokens"), (-i).alias("at")))))
+            new = cut_middle(F.element_at(xs, 1 - longest["at"]), F.greatest(F.lit(LEAST_TOKENS), F.floor(longest["tokens"] / 2)).cast("int"))
+            able = ~s["stuck"] & (size(xs) > budget) & longest.isNotNull()
+            changed = able & (new != F.element_at(xs, 1 - longest["at"]))
+            return F.struct(F.when(F.coalesce(changed, F.lit(False)), F.transform(xs, lambda x, i: F.when(i == -longest["at"], new).otherwise(x))).otherwise(xs).alias("texts"), (~F.coalesce(changed, F.lit(False))).alias("stuck"), (s["cuts"] + F.coalesce(changed, F.lit(False)).cast("int")).alias("cuts"))
+
+        end = F.aggregate(F.sequence(F.lit(1), rounds), F.struct(texts.alias("texts"), F.lit(False).alias("stuck"), F.lit(0).alias("cuts")), one)
+        return F.transform(F.array(end), lambda e: F.struct(F.transform(t["kept"], lambda m, i: F.struct(m["role"].alias("role"), F.element_at(e["texts"], i + 1).alias("content"))).alias("messages"), t["removed"].alias("removed"), e["cuts"].alias("shortened")))[0]
+
+    return F.when(messages.isNotNull(), F.transform(F.transform(F.array(sizes), trimmed), shortened)[0])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trajecta.functions import text as X
 from trajecta.operators import catalog
 
 #: Products that a search returns.
@@ -129,3 +130,60 @@ def shop_step(state: dict, action: str | None, products: dict, reward=None) -> d
         return {**s, "actions": {**s["actions"], "invalid": s["actions"].get("invalid", 0) + 1}}
     s["actions"][name] = s["actions"].get(name, 0) + 1
     return s
+
+
+# What stands around a goal in a first state, and how choices are reduced.
+GOAL_HEADS = ("amazon shopping game\ninstruction:", "webshop\ninstruction:", "\n[button] search [button_]")
+PRICE_CLAUSE = ", and price lower than"
+MOST_CHOICES, FIRST_CHOICES, DRAWN_CHOICES = 20, 6, 10
+
+
+def _bare(c: Column) -> Column:
+    return F.translate(F.lower(c), "\"'", "")
+
+
+def plain_state(c: Column) -> Column:
+    """Lower case, without quotes; only the mark [SEP] stays as it is."""
+    return F.replace(X.strip(_bare(c)), F.lit("[sep]"), F.lit("[SEP]"))
+
+
+def goal_of(state: Column) -> Column:
+    """The goal in a first state: lower case, without quotes, head, search button and price clause."""
+    c = _bare(state)
+    for head in GOAL_HEADS:
+        c = F.replace(c, F.lit(head), F.lit(""))
+    return F.element_at(F.split(X.strip(c), PRICE_CLAUSE), 1)
+
+
+def reduced_choices(actions: Column, chosen: Column, seed: Column, most: int = MOST_CHOICES, first: int = FIRST_CHOICES, drawn: int = DRAWN_CHOICES) -> Column:
+    """struct(actions, chosen): over ``most`` actions become the first ones, some of the others by hash, and the chosen one, in their order.
+
+    ``chosen`` counts from 0, before and after.  The hash is that of ``seed``
+    and the place, so a retried task draws the same ones.
+    """
+    places = F.sequence(F.lit(0), F.size(actions) - 1)
+    drawn_ones = F.slice(F.array_sort(F.transform(F.filter(places, lambda i: i >= first), lambda i: F.struct(F.md5(F.concat_ws(":", seed, i.cast("string")).cast("binary")).alias("h"), i.alias("i")))), 1, drawn)
+    kept = F.array_sort(F.array_distinct(F.concat(F.filter(places, lambda i: i < first), F.transform(drawn_ones, lambda x: x["i"]), F.array(chosen))))
+    few = F.transform(F.array(kept), lambda k: F.struct(F.transform(k, lambda i: F.element_at(actions, i + 1)).alias("actions"), (F.array_position(k, chosen).cast("int") - 1).alias("chosen")))[0]
+    return F.when(F.size(actions) > most, few).otherwise(F.struct(actions.alias("actions"), chosen.alias("chosen")))
+
+
+def choice_rows(runs: DataFrame, goals: DataFrame, low: int, high: int | None = None, drop_searches: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Steps of the runs whose goal's number is in [low, high), and the runs whose goal is not known.
+
+    runs: run, states array<string>, available_actions array<array<string>>,
+    action_idxs array<int>; goals: goal, number (the least one counts).  A run's
+    goal is read from its first state.  Steps beyond the shortest
+    of the three arrays are left out, and those with the index -1 too unless
+    they are asked for.  Rows: run, step, number, state, actions, chosen,
+    n_before.
+    """
+    known = goals.groupBy("goal").agg(F.min("number").alias("number"))
+    met = runs.withColumn("goal", goal_of(F.try_element_at("states", F.lit(1)))).join(known, "goal", "left")
+    missing = met.where("number is null").select("run", "goal")
+    held = met.where(F.col("number") >= low) if high is None else met.where((F.col("number") >= low) & (F.col("number") < high))
+    n = F.least(F.size("states"), F.size("available_actions"), F.size("action_idxs"))
+    steps = held.select("run", "number", F.posexplode(F.slice(F.arrays_zip("states", "available_actions", "action_idxs"), 1, n)).alias("step", "s"))
+    steps = steps.where(F.col("s.action_idxs") != -1) if drop_searches else steps
+    few = reduced_choices(F.col("s.available_actions"), F.col("s.action_idxs"), F.concat_ws(":", "run", "step"))
+    return steps.select("run", "step", "number", plain_state(F.col("s.states")).alias("state"), few.alias("few"), F.size("s.available_actions").alias("n_before")).select("run", "step", "number", "state", F.transform("few.actions", plain_state).alias("actions"), "few.chosen", "n_before"), missing

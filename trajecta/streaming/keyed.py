@@ -106,7 +106,8 @@ def keyed_sessions(events: DataFrame, key: str, at: str, order: str, kind: str,
     key's next event begins a new session, with nothing kept of the one before.
     Rows of a micro-batch are taken in the order of ``at`` and ``order``; a
     key's rows of one micro-batch are in memory at once.  Null values count 0.
-    Rows with a null key are one key; rows with a null time are left out.
+    Rows with a null key are one key; rows with a null time are left out; a time
+    without a zone is one of the session's.
     """
     ms = lambda x: int(pd.Timedelta(x).total_seconds() * 1000)
     if ttl and not by_clock:
@@ -114,7 +115,7 @@ def keyed_sessions(events: DataFrame, key: str, at: str, order: str, kind: str,
     # the driver's own Python runner does not see shipped files
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     processor = _Sessions({"at": at, "order": order, "kind": kind, "value": value}, close, ms(idle), every, by_clock, ms(ttl) if ttl else None)
-    rows = events.select(key, at, order, kind, value).where(F.col(at).isNotNull())
+    rows = events.select(key, F.col(at).cast("timestamp").alias(at), order, kind, value).where(F.col(at).isNotNull())
     rows = rows if by_clock else rows.withWatermark(at, late)
     kind_of = events.schema[key].dataType.simpleString()
     out = f"key {kind_of}, reason string, n long, total double, kinds map<string,long>"
