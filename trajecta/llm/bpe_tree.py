@@ -26,12 +26,17 @@ from trajecta.ship import ship
 WINDOW = 96
 #: Parts that a node of the tree over a text's matches concatenates.
 FAN = 16
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS, CACHE_PAIRS, CACHE_HALVES = 400_000, 500_000, 200_000
+#: Halves of up to so many bytes are kept.
+HALF_BYTES = 8
 # Fixed value: the split pattern for which a text may be cut at single spaces.
 SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _ODD_SPACE = re.compile(r"[^\S \n]")
 
 
+_made: dict = {}
+
+
 class TreeCoder:
     """Encoder for one table of ranks; equal to the reference BPE on every byte string."""
 
@@ -43,7 +48,8 @@ class TreeCoder:
         for b, r in ranks.items():
             self.spelling[r] = b
         self.joins = 0
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[tuple[int, int], list[int] | None] = {}
+        self._halves: dict[bytes, list[int]] = {}
         self._pieces: dict[str, bytes] = {}
         self._chunks: dict[str, bytes] = {}
 
@@ -52,6 +58,14 @@ class TreeCoder:
         with open(path, "rb") as f:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
 
+    @classmethod
+    def of(cls, path: str, pattern: str) -> TreeCoder:
+        """One for each Python worker, so a task finds what the tasks before it have encoded."""
+        if (path, pattern) not in _made:
+            _made.clear()
+            _made[path, pattern] = cls.load(path, pattern)
+        return _made[path, pattern]
+
     def leaf(self, b: bytes) -> list[int]:
         """Lowest rank first, leftmost among equals."""
         ranks = self.ranks
@@ -71,54 +85,62 @@ class TreeCoder:
             if at:
                 got[at - 1] = ranks.get(parts[at - 1] + parts[at])
 
-    def stable(self, a: int, b: int) -> bool:
-        """Whether two tokens side by side stay as they are."""
-        if (known := self._pairs.get((a, b))) is None:
-            if len(self._pairs) > 500_000:
+    def seam(self, a: int, b: int) -> list[int] | None:
+        """The encoding of two tokens' bytes; None if it is the two tokens themselves."""
+        pair = a, b
+        try:
+            return self._pairs[pair]
+        except KeyError:
+            if len(self._pairs) > CACHE_PAIRS:
                 self._pairs.clear()
-            known = self._pairs[a, b] = self.leaf(self.spelling[a] + self.spelling[b]) == [a, b]
+        got = self.leaf(self.spelling[a] + self.spelling[b])
+        known = self._pairs[pair] = None if got == [a, b] else got
         return known
 
+    def stable(self, a: int, b: int) -> bool:
+        """Whether two tokens side by side stay as they are."""
+        return self.seam(a, b) is None
+
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of both texts together from their encodings."""
         self.joins += 1
-        if not left or not right or self.stable(left[-1], right[0]):
+        if not left or not right or (window := self.seam(left[-1], right[0])) is None:
             return left + right
         i = j = 1
         while True:
-            i, j = min(i, len(left)), min(j, len(right))
-            window = self._window(b"".join([self.spelling[t] for t in left[len(left) - i :] + right[:j]]))
-            low = i == len(left) or self.stable(left[-i - 1], window[0])
-            high = j == len(right) or self.stable(window[-1], right[j])
+            low = i == len(left) or self.seam(left[-i - 1], window[0]) is None
+            high = j == len(right) or self.seam(window[-1], right[j]) is None
             if low and high:
                 return left[: len(left) - i] + window + right[j:]
-            i, j = i if low else 2 * i, j if high else 2 * j
+            i, j = i if low else min(2 * i, len(left)), j if high else min(2 * j, len(right))
+            window = self._window(b"".join([self.spelling[t] for t in left[len(left) - i :] + right[:j]]))
 
     def _window(self, b: bytes) -> list[int]:
         """What stands around a seam, encoded anew: directly, or by halves itself once it has grown."""
         return self.leaf(b) if len(b) <= WINDOW else self.encode_bytes(b)
 
     def encode_bytes(self, b: bytes) -> list[int]:
-        """One match of the pattern: a token of the table, or its halves joined, down to single bytes.
-
-        A stack of finished halves stands in for the recursion: equal sizes are
-        joined as they meet, so the depth is the logarithm of the length.
-        """
+        """One match of the pattern: a token of the table, or its halves joined, down to single bytes."""
         if (whole := self.ranks.get(b)) is not None:
             return [whole]
-        stack: list[tuple[int, list[int]]] = []
-        for x in self._bytes(b):
-            size, got = 1, [x]
-            while stack and stack[-1][0] == size:
-                size, got = 2 * size, self.join(stack.pop()[1], got)
-            stack.append((size, got))
-        got = stack.pop()[1] if stack else []
-        while stack:
-            got = self.join(stack.pop()[1], got)
-        return got
-
-    def _bytes(self, b: bytes) -> list[int]:
-        return [self.ranks[b[i : i + 1]] for i in range(len(b))]
+        return self._joined(b) if b else []
+
+    def _joined(self, b: bytes) -> list[int]:
+        """The left half has the largest power of two bytes that is less than the whole, so the depth is the
+        logarithm of the length, and equal short halves of different words are encoded and joined once."""
+        n = len(b)
+        if n == 1:
+            return [self.ranks[b]]
+        if n > HALF_BYTES:
+            k = 1 << (n - 1).bit_length() - 1
+            return self.join(self._joined(b[:k]), self._joined(b[k:]))
+        halves = self._halves
+        if (ids := halves.get(b)) is None:
+            if len(halves) > CACHE_HALVES:
+                halves.clear()
+            k = 1 << (n - 1).bit_length() - 1
+            ids = halves[b] = self.join(self._joined(b[:k]), self._joined(b[k:]))
+        return ids
 
     def _piece(self, piece: str) -> bytes:
         if (ids := self._pieces.get(piece)) is None:
@@ -195,7 +217,7 @@ def encode_documents(docs, path: str, pattern: str, text: str = "text"):
     out = T.StructType([f for f in keep if f.name != text] + [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
     def run(batches):
-        coder = TreeCoder.load(path, pattern)
+        coder = TreeCoder.of(path, pattern)
         for b in B.small(batches):
             n, i, d = digest(coder, b.column(text).to_pylist())
             kept = [(f.name, b.column(f.name)) for f in keep if f.name != text]
