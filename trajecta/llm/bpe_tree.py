@@ -123,7 +123,11 @@ class TreeCoder:
         """One match of the pattern: a token of the table, or its halves joined, down to single bytes."""
         if (whole := self.ranks.get(b)) is not None:
             return [whole]
-        return self._joined(b) if b else []
+        return self._halved(b) if b else []
+
+    def _halved(self, b: bytes) -> list[int]:
+        k = 1 << (len(b) - 1).bit_length() - 1
+        return self.join(self._joined(b[:k]), self._joined(b[k:]))
 
     def _joined(self, b: bytes) -> list[int]:
         """The left half has the largest power of two bytes that is less than the whole, so the depth is the
@@ -132,14 +136,12 @@ class TreeCoder:
         if n == 1:
             return [self.ranks[b]]
         if n > HALF_BYTES:
-            k = 1 << (n - 1).bit_length() - 1
-            return self.join(self._joined(b[:k]), self._joined(b[k:]))
+            return self._halved(b)
         halves = self._halves
         if (ids := halves.get(b)) is None:
             if len(halves) > CACHE_HALVES:
                 halves.clear()
-            k = 1 << (n - 1).bit_length() - 1
-            ids = halves[b] = self.join(self._joined(b[:k]), self._joined(b[k:]))
+            ids = halves[b] = self._halved(b)
         return ids
 
     def _piece(self, piece: str) -> bytes:
