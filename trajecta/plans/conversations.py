@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trajecta.functions import text as X
+from trajecta.operators import candidates as CA
 from trajecta.operators import messages as M
 from trajecta.plans.base import plan, table
 
@@ -120,3 +122,75 @@ def message_spans(s, d):
     n = F.length("text")
     e = F.sum(n).over(Window.partitionBy("conv_id").orderBy("turn"))
     return table(s, d, "conversations").select("conv_id", "turn", (e - n).alias("span_start"), e.alias("span_end"))
+
+
+#: One conversation in three is raw; every fourth other one has its assistant messages right throughout.
+_RIGHT = "conv_id % 4 = 1"
+_FORM = f"case when {_RIGHT} then 7 else (conv_id + turn) % 11 end"
+
+
+def prefixes(s, d):
+    right, k = F.col("conv_id") % 4 == 1, (F.col("conv_id") + F.col("turn")) % 11
+    good = F.concat(F.lit("Thought: t\nAction: get "), F.col("turn").cast("string"))
+    said = F.when(F.col("role") != "assistant", F.col("text")).when(right, good).when(k == 0, F.col("text")).when(k == 1, "Action: a\nAction: b").when(k == 2, "Action: !!").otherwise(good)
+    x = M.gather(table(s, d, "conversations").withColumn("text", said)).withColumnRenamed("messages", "prefix_messages")
+    return x.withColumns({"prefix_actions": M.actions(F.col("prefix_messages")), "is_raw_variant": F.col("conv_id") % 3 == 0})
+
+
+@plan(PLANS, f"""with f as (select *, {_FORM} form from conversations), k as (select conv_id, count(*) filter (role = 'assistant' and form < 3) bad, count(*) filter (role = 'assistant' and form >= 3) good,
+string_agg(case form when 0 then 'missing_action_tag:0' when 1 then 'multiple_action_tags:2' else 'empty_sanitized_action:1' end, ',' order by turn) filter (role = 'assistant' and form < 3) why from f group by 1)
+select conv_id, conv_id % 3 = 0 or bad = 0 and good > 0 kept, case when conv_id % 3 = 0 then '' when bad > 0 then why when good = 0 then 'no_runtime_actions_after_filter:0' else '' end why from k""")
+def runtime_split(s, d):
+    """Prefixes that can be replayed and those that can't, with the reason for each turn."""
+    kept, dropped = CA.split_runtime_invalid(prefixes(s, d))
+    why = F.array_join(F.transform("runtime_invalid_details", lambda x: F.concat(x["reason"], F.lit(":"), x["tags"])), ",")
+    return kept.select("conv_id", F.lit(True).alias("kept"), F.lit("").alias("why")).union(dropped.select("conv_id", F.lit(False), why))
+
+
+@plan(PLANS, f"""with f as (select *, {_FORM} form from conversations), k as (select conv_id, count(*) filter (role = 'assistant') turns, count(*) filter (role = 'assistant' and form = 0) missing, count(*) filter (role = 'assistant' and form = 1) several, count(*) filter (role = 'assistant' and form > 0) line from f group by 1)
+select conv_id, turns, missing, several, line, 0 bracket, turns = missing empty_actions from k""")
+def reparsed_candidates(s, d):
+    """Loose actions of each prefix, with the histogram of how they were found."""
+    x = prefixes(s, d).select("conv_id", CA.reparsed(F.col("prefix_messages")).alias("r"))
+    mode = lambda m: F.coalesce(F.try_element_at("r.summary.modes", F.lit(m)), F.lit(0)).alias(m)
+    return x.select("conv_id", "r.summary.turns", "r.summary.missing", "r.summary.several", mode("line"), mode("bracket"), F.col("r.summary.empty").alias("empty_actions"))
+
+
+@plan(PLANS, "with t as (select conv_id, count(*) n from conversations group by 1), b as (select conv_id % 5 task_id, min(conv_id) least from conversations group by 1) select c.conv_id, turn, n teacher_n_messages, least base_least from conversations c join t using (conv_id) join b on b.task_id = c.conv_id % 5 where role = 'assistant'")
+def matched_candidates(s, d):
+    """Every assistant turn as a candidate, with its conversation's row and its task's row; both must be there."""
+    c = table(s, d, "conversations").withColumn("task_id", F.col("conv_id") % 5)
+    teachers = c.groupBy("conv_id").agg(F.count("*").alias("n_messages"))
+    bases = c.groupBy("task_id").agg(F.min("conv_id").alias("least"))
+    return CA.matched_candidates(c.where("role = 'assistant'"), teachers, bases, "conv_id", "task_id").select("conv_id", "turn", "teacher_n_messages", "base_least")
+
+
+@plan(PLANS, """with m as (select conv_id % 7 sample_uid, avg(length(text) / 1000.0) raw_mean from conversations where turn % 2 = 0 and conv_id % 7 <> 2 group by 1), x as (select conv_id, turn, least(length(text) // 20, 40) + 1 n, length(text) / 400.0 reward, raw_mean from conversations c left join m on m.sample_uid = c.conv_id % 7 where turn % 2 = 1),
+y as (select *, case when raw_mean is null then 'missing' when n > 32 then 'overlong' else 'kept' end state from x), k as (select count(*) filter (state = 'missing') missing, count(*) filter (state = 'overlong') overlong from y)
+select conv_id, turn, round(greatest(least(reward - raw_mean, 1), 0), 6) advantage, round(greatest(least(reward - raw_mean, 1), 0) * 0.5 * (n - n // 2), 5) total, cast(n as int) attended, cast(32 - n as int) padded, round(reward, 6) score, missing, overlong from y, k where state = 'kept'""")
+def demo_batches(s, d):
+    """Odd turns as demonstrations over the mean of the even ones of their sample, padded to 32 places."""
+    c = table(s, d, "conversations").withColumns({"sample_uid": F.col("conv_id") % 7, "is_raw_variant": F.col("turn") % 2 == 0, "variant_label": F.lit("x")})
+    means = CA.raw_reward_means(c.where("sample_uid <> 2").withColumn("reward", F.length("text") / 1000))
+    n = (F.least(F.floor(F.length("text") / 20), F.lit(40)) + 1).cast("int")
+    at = F.sequence(F.lit(0), n - 1)
+    demos = c.where("turn % 2 = 1").select("conv_id", "turn", "sample_uid", at.alias("response_ids"), F.lit(None).cast("array<int>").alias("attention"), F.transform(at, lambda i: (i >= F.floor(n / 2)).cast("double")).alias("loss_mask"), F.transform(at, lambda i: -i.cast("double")).alias("old_log_probs"), (F.length("text") / 400).alias("reward"))
+    kept, counts = CA.demo_batch(demos, means, 32, -5, 0.5)
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v)
+    x = kept.select("conv_id", "turn", F.round("advantage", 6).alias("advantage"), F.round(total("advantages"), 5).alias("total"), F.aggregate("response_attention", F.lit(0), lambda a, v: a + v).alias("attended"), F.size(F.filter("responses", lambda v: v == -5)).alias("padded"), F.round(total("token_scores"), 6).alias("score"))
+    return x.crossJoin(counts.select(F.col("missing_raw_baseline_rows").alias("missing"), F.col("overlong_rows").alias("overlong")))
+
+
+@plan(PLANS, """with l as (select *, row_number() over (partition by conv_id order by turn) i from conversations where role in ('user', 'assistant')), f as (select conv_id from l where i = 1 and role = 'user')
+select conv_id, conv_id || '::0' sample_uid, 'lamp ' || conv_id goal, count(*) + 1 n, string_agg(case when role = 'user' then 'u' when turn % 3 = 0 then 'Think: t' || chr(10) || 'Action: [[ get ' || turn || ' ]]' else l.text end, '|' order by turn) said from l join f using (conv_id) group by 1""")
+def canonical_trajectories(s, d):
+    """Whole conversations in one form, behind two warm-up messages."""
+    t = F.col("turn")
+    said = F.when(F.col("role") == "user", F.concat(F.lit("Goal: craft lamp "), F.col("conv_id"))).when(t % 3 == 0, F.concat(F.lit("Thought: t\nAction: get "), t)).otherwise(F.col("text"))
+    c = M.gather(table(s, d, "conversations").withColumn("text", said))
+    one = lambda role, text: F.struct(F.lit(role).alias("role"), F.lit(text).alias("content"))
+    c = c.where(F.try_element_at(F.filter("messages", lambda m: m["role"].isin("user", "assistant")), F.lit(1))["role"] == "user")
+    warm = c.select("conv_id", F.lit(0).alias("sample_idx"), F.concat(F.array(one("user", X.WARMUP_USER), one("assistant", X.WARMUP_ASSISTANT + " now")), "messages").alias("conversations"))
+    x = CA.canonical_trajectory(warm, "system", item="conv_id")
+    parts = F.transform("episode_messages", lambda m: F.when(m["role"] == "user", "u").otherwise(m["content"]))
+    return x.select("conv_id", "sample_uid", "goal", F.size("canonical_messages").cast("long").alias("n"), F.array_join(parts, "|").alias("said"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 import uuid
 from pyspark.sql import functions as F
 
-from trajecta.plans.base import plan, table
+from trajecta.operators.candidates import within_tokens
+from trajecta.plans.base import plan, shipped, table
 from trajecta.sources import tables as T
 
 PLANS: dict = {}
@@ -63,3 +64,12 @@ def select_rename_filter(s, d):
 @plan(PLANS, "select doc_id from documents where length(text) / 4.0 <= 300")
 def overlong_filter(s, d):
     return table(s, d, "documents").where(F.length("text") / 4 <= 300).select("doc_id")
+
+
+@plan(PLANS)
+def prompts_within_tokens(s, d):
+    """First messages of all conversations that a tokenizer file gives 120 tokens at most (a test counts them again)."""
+    import public_tokenizers
+
+    x = shipped(s, d, "conversations").where("turn = 0")
+    return within_tokens(x, F.col("text"), public_tokenizers.path("byte_bpe_50k.json"), 120).select("conv_id", "text")

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 _own: dict[str, str] = {}
+#: Values of the column that a manifest counts.
+MOST_VALUES = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -90,11 +92,14 @@ def read_csv(spark: SparkSession, path: str, schema: str, required: list[str], o
 
 
 def write_with_manifest(df: DataFrame, path: str, key: str, count: str, overwrite: bool = False, extra: dict | None = None) -> dict:
-    """Write a table and, beside it, a JSON manifest with rows, distinct keys and counts of one column's values (bounded: its distinct values)."""
+    """Write a table and, beside it, a JSON manifest with rows, distinct keys and counts of one column's values (over MOST_VALUES of them raise)."""
     df.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
     back = df.sparkSession.read.parquet(path)
     n = back.agg(F.count("*").alias("rows"), F.count_distinct(key).alias("keys")).collect()[0]
-    by = {str(r[count]): r["count"] for r in back.groupBy(count).count().orderBy(F.desc("count"), count).limit(1000).collect()}
+    values = back.groupBy(count).count()
+    by = {str(r[count]): r["count"] for r in values.orderBy(F.desc("count"), count).limit(MOST_VALUES + 1).collect()}
+    if len(by) > MOST_VALUES:
+        raise ValueError(f"{count} has over {MOST_VALUES} values: no column for a manifest")
     manifest = {"path": path, "rows": n["rows"], "unique_keys": n["keys"], "counts": by} | (extra or {})
     text = json.dumps(manifest, sort_keys=True)
     df.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path.rstrip("/") + ".manifest")
@@ -126,8 +131,10 @@ def write_metrics(long: DataFrame, path: str) -> None:
 
 
 def report(summary: DataFrame, title: str, limit: int = 200) -> str:
-    """A summary table of bounded size as Markdown."""
-    rows = summary.limit(limit).collect()
+    """A summary table of at most ``limit`` rows as Markdown; a longer one raises."""
+    rows = summary.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"a report of over {limit} rows")
     head = "| " + " | ".join(summary.columns) + " |\n|" + "---|" * len(summary.columns)
     return f"# {title}\n\n{head}\n" + "\n".join("| " + " | ".join(str(v) for v in r) + " |" for r in rows) + "\n"
 
