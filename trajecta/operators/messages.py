@@ -96,6 +96,13 @@ def record_uid(dataset: str, sample: Column, variant: Column) -> Column:
     return F.concat_ws("::", F.lit(dataset), sample, variant)
 
 
+def parse_uid(uid: Column) -> Column:
+    """struct(dataset, sample, variant) of a record's key: the first and the last part, and all between them; null for a key of fewer than three parts."""
+    parts = F.split(uid, "::")
+    n = F.size(parts)
+    return F.when(n >= 3, F.struct(parts[0].alias("dataset"), F.array_join(F.slice(parts, F.lit(2), F.greatest(n - 2, F.lit(0))), "::").alias("sample"), F.try_element_at(parts, F.lit(-1)).alias("variant")))
+
+
 def variants(df: DataFrame, key: str, shares: list[float]) -> DataFrame:
     """Prefix rows at fixed shares, followed by one raw row: (key, variant, is_raw, place, prefix, continuation)."""
     n = count_role(F.col("messages"), "assistant")
