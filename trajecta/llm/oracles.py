@@ -19,4 +19,18 @@ link as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b wh
 {COMPONENTS}
 select i.id doc_id, coalesce(n.n, 0) n_shingles, component_id, i.id = component_id kept from item i join root on root.v = i.id left join n on n.doc_id = i.id"""
 
-ORACLES = {"op9_pivot_index": NEAR_VECTORS, "op10_circulant_minhash": NEAR_DOCUMENTS}
+#: Optimal partitioning: a state is cost * 2**20 + segments, one step for each end day, then the cuts backwards.
+CHANGE_POINTS = """with recursive daily as (select vendor_id, date_diff('day', date '1970-01-01', cast(shipped_at as date)) d, sum(quantity)::bigint x from sale_lines where flag = 'kept' and quantity is not null and shipped_at is not null group by 1, 2),
+span as (select vendor_id, min(d) a, max(d) b from daily group by 1),
+dense as (select s.vendor_id, a, g.d - a + 1 i, coalesce(x, 0)::hugeint x from (select *, unnest(range(a, b + 1)) d from span) g join span s using (vendor_id, a, b) left join daily y on y.vendor_id is not distinct from g.vendor_id and y.d = g.d),
+run as (select vendor_id, a, i, sum(x) over w s, sum(x * x) over w q from dense window w as (partition by vendor_id order by i)),
+lists as (select vendor_id, a, count(*) n, [0::hugeint] || list(s::hugeint order by i) s, [0::hugeint] || list(q::hugeint order by i) q from run group by 1, 2),
+dp as (select vendor_id, a, n, s, q, 0 j, [-20000::hugeint * 1048576] state, [null::bigint] back from lists
+union all select vendor_id, a, n, s, q, j + 1, state || [case when len(held) > 0 then list_min(held) end], back || [case when len(held) > 0 then starts[list_position(held, list_min(held))] end] from
+(select *, list_filter(range(0, greatest(j + 2 - least_days, 0)), lambda i: state[i + 1] is not null) starts, list_transform(list_filter(range(0, greatest(j + 2 - least_days, 0)), lambda i: state[i + 1] is not null), lambda i: state[i + 1] + 1 + 1048576::hugeint * (20000 + (j + 1 - i) * cast(floor(1000 * ln(1 + ((j + 1 - i) * (q[j + 2] - q[i + 1]) - (s[j + 2] - s[i + 1]) * (s[j + 2] - s[i + 1])) // ((j + 1 - i) * (j + 1 - i)))) as hugeint))) held from (select *, least(n, 7) least_days from dp where j < n))),
+done as (select vendor_id, a, n, s, q, state, back from dp where j = n),
+cuts as (select vendor_id, a, n, s, q, back, state[n + 1] best, n e, back[n + 1] b from done union all select vendor_id, a, n, s, q, back, best, b, back[b + 1] from cuts where b > 0),
+segs as (select vendor_id, row_number() over (partition by vendor_id order by b) segment_no, a + b first_day, e - b n_days, s[e + 1] - s[b + 1] total, 1 + ((e - b) * (q[e + 1] - q[b + 1]) - (s[e + 1] - s[b + 1]) * (s[e + 1] - s[b + 1])) // ((e - b) * (e - b)) spread, count(*) over (partition by vendor_id) n_segments, cast(floor(best / 1048576.0) as bigint) best_cost from cuts)
+select vendor_id, cast(segment_no as int) segment_no, first_day::bigint first_day, n_days::bigint n_days, total::bigint total, spread::bigint spread, (n_days * cast(floor(1000 * ln(spread)) as bigint))::bigint as cost, n_segments, best_cost from segs"""
+
+ORACLES = {"op9_pivot_index": NEAR_VECTORS, "op10_circulant_minhash": NEAR_DOCUMENTS, "op12_change_points": CHANGE_POINTS}
