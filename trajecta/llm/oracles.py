@@ -33,4 +33,21 @@ cuts as (select vendor_id, a, n, s, q, back, state[n + 1] best, n e, back[n + 1]
 segs as (select vendor_id, row_number() over (partition by vendor_id order by b) segment_no, a + b first_day, e - b n_days, s[e + 1] - s[b + 1] total, 1 + ((e - b) * (q[e + 1] - q[b + 1]) - (s[e + 1] - s[b + 1]) * (s[e + 1] - s[b + 1])) // ((e - b) * (e - b)) spread, count(*) over (partition by vendor_id) n_segments, cast(floor(best / 1048576.0) as bigint) best_cost from cuts)
 select vendor_id, cast(segment_no as int) segment_no, first_day::bigint first_day, n_days::bigint n_days, total::bigint total, spread::bigint spread, (n_days * cast(floor(1000 * ln(spread)) as bigint))::bigint as cost, n_segments, best_cost from segs"""
 
-ORACLES = {"op9_pivot_index": NEAR_VECTORS, "op10_circulant_minhash": NEAR_DOCUMENTS, "op12_change_points": CHANGE_POINTS}
+#: CRC-32 from its table, words by it, and near words by keys with a character skipped or masked.
+VARIANTS = r"""with recursive step as (select k, k::bigint c, 0 i from range(256) r(k) union all select k, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i + 1 from step where i < 8),
+tab as (select list(c order by k) t from step where i = 8),
+run as (select coalesce(doc_id::varchar, '') id, unnest(list_transform(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+'), lambda r: translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) w from documents),
+seen as (select id, w, count(*) n, hex(id || ':' || w) x from run where length(w) >= 7 group by 1, 2),
+hashed as (select w, n, xor(list_reduce(list_transform(range(0, len(x) // 2), lambda i: ('0x' || x[2 * i + 1:2 * i + 2])::bigint), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::bigint), 4294967295) h from seen, tab),
+words as (select case when h % 31 = 0 then left(w, h % length(w)) || substr(w, h % length(w) + 2) else w end word, sum(n)::bigint n from hashed group by 1 having length(word) >= 7 and sum(n) >= 2),
+spot as (select word, unnest(range(1, length(word) + 1)) i from words),
+masked as (select word, i || ':' || left(word, i - 1) || '*' || substr(word, i + 1) k from spot),
+shorter as (select distinct word, left(word, i - 1) || substr(word, i + 1) k from spot),
+pair as (select x.word a, y.word b from masked x join masked y on x.k = y.k and x.word <> y.word union all select s.word, w.word from shorter s join words w on w.word = s.k union all select w.word, s.word from shorter s join words w on w.word = s.k),
+best as (select a, b, w.n, count(*) over (partition by a) n_near, row_number() over (partition by a order by w.n desc, b) r from pair join words w on w.word = b),
+formed as (select w.word, w.n, coalesce(n_near, 0) n_near, case when best.n >= 10 * w.n then b end form, case when best.n >= 10 * w.n then best.n end form_n from words w left join best on a = word and r = 1),
+chain as (select word, word root from formed union all select c.word, f.form from chain c join formed f on f.word = c.root where f.form is not null),
+ended as (select c.word, root from chain c join formed f on f.word = root where f.form is null)
+select word, form, root, n, n_near, form_n from formed join ended using (word)"""
+
+ORACLES = {"op9_pivot_index": NEAR_VECTORS, "op10_circulant_minhash": NEAR_DOCUMENTS, "op12_change_points": CHANGE_POINTS, "op13_errata_variants": VARIANTS}
