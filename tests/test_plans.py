@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from trajecta.functions.text import normalize_answer
 from trajecta.plans import catalogue
 
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales sale_lines clients client_changes vendors items stamps".split()
 
 
 @pytest.fixture(scope="module")
@@ -95,3 +95,26 @@ def test_bootstrap_takes_a_thousand_draws(spark, sf):
     got = sorted(map(tuple, catalogue.QUERIES["bootstrap_best_worst"](spark, sf).collect()))
     want = sorted(map(tuple, metrics.bootstrap(spark.read.parquet(f"{sf}/events.parquet"), "event_type", "value", "event_id", 8, 1000).collect()))
     assert [x[0] for x in got] == [x[0] for x in want] and all(a == pytest.approx(b, rel=1e-9) for x, y in zip(got, want, strict=True) for a, b in zip(x[1:], y[1:], strict=True))
+
+
+def test_bootstrap_against_plain_resampling(spark):
+    import statistics
+
+    from trajecta.operators import metrics
+
+    values = {"a": [3.0, -1.0, 4.0, 1.5], "b": [7.0], "c": [float(i) for i in range(30)]}
+    df = spark.createDataFrame([(g, i, v) for g, vs in values.items() for i, v in enumerate(vs)], "g string, i int, v double")
+    got = {x.g: tuple(x)[1:] for x in metrics.bootstrap(df, "g", "v", "i", 5, 40, 7).collect()}
+    hashes = spark.createDataFrame([(g, d, k) for g in values for d in range(40) for k in range(5)], "g string, d int, k int").select("g", "d", F.xxhash64(F.lit(7), "g", "d", "k").alias("h")).collect()
+    for g, vs in values.items():
+        drawn = [[vs[x.h % len(vs)] for x in hashes if x.g == g and x.d == d] for d in range(40)]
+        best, worst = [max(x) for x in drawn], [min(x) for x in drawn]
+        assert got[g] == pytest.approx((statistics.fmean(best), statistics.pstdev(best), statistics.fmean(worst), statistics.pstdev(worst)))
+
+
+def test_mode_names():
+    from trajecta.operators.prefixes import mode_name
+
+    assert [mode_name(m) for m in (" Cont-Mean ", "cont_ mean _abs", "contstant")] == ["cont_mean", "cont_mean_abs", "constant"]
+    with pytest.raises(ValueError):
+        mode_name("family lift")
