@@ -1,20 +1,22 @@
 """Chat formatting: roles of a transcript by a hidden Markov model, then canonical turns.
 
 Hidden states are a role and whether the line begins a turn or goes on with
-it.  Lines are observed by their speaker marker and by how they start: a row
-of the table, after a blank line, after the end of a sentence, or none of
-these.  A marker always begins a turn.  Viterbi gives the best states.
+it.  Lines are observed by their speaker marker, by what stands before them (a
+blank line, the end of a sentence, or neither) and by their shape: length, last
+character and first word.  Rows only carry lines: where a row begins or ends is
+never looked at.  A marker always begins a turn.  Viterbi gives the best states.
 
-The odds of the next turn's role and of how a turn's first line starts are
-counted on the marked lines of the table, on top of fixed prior counts.
+The odds are counted on the table's marked lines, on top of fixed prior counts:
+how first lines look, and, between two markers of roles that follow one another,
+how the lines of a turn look and how many there are.
 
 A conversation may be of any length: all rows are sorted by range partitions
 and dealt into blocks of at most ``BLOCK_TURNS`` rows.  A block's best scores
 from each entry state to each exit state form a small max-plus matrix.  The
 matrices of a partition are multiplied, those of a conversation's partitions
 give the states at their borders, those of a partition's blocks the states in
-between, and the blocks are then decoded one by one.  A block knows the line
-before it, so the result doesn't depend on where it begins.
+between, and the blocks are then decoded one by one.  A block knows how the line
+before it ends, so the result doesn't depend on where it begins.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from trajecta.llm.tables import cut
 from trajecta.ship import ship
@@ -41,65 +44,113 @@ _NAME = {n: r for r, names in SPEAKERS.items() for n in names}
 _MARK = re.compile(r"^\s*(?:<\|(?:im_start\|>)?|\[|#{1,4}\s*|\*\*|>\s*)?(" + "|".join(sorted(_NAME, key=len, reverse=True)) + r")(?:\|>|\]|\*\*:?|:\*\*|\s*(?:[:>]|-(?=\s|$)))\s*", re.IGNORECASE)
 _END = re.compile(r"\s*(?:<\|im_end\|>|<\|end\|>)\s*$")
 
+_WORD = re.compile(r"[^\W\d_]+")
+
 # States 2 * role (begins a turn) and 2 * role + 1 (goes on).
 STATES = 2 * len(ROLES)
-HOW = ("row", "blank", "ended", "other")
-# Prior odds of the role of the next turn after each role, of how a line starts where a turn begins and
-# within one, and of a marker where a turn begins: one turn in eight has none, few have another role's, and a marked
-# line within a turn is all but ruled out.
+HOW = ("blank", "ended", "other")
+# First words that ask or greet.
+ASKS = ("who", "what", "when", "where", "why", "how", "which", "can", "could", "would", "please", "is", "are", "do", "does")
+GREETS = ("hi", "hello", "hey", "thanks", "thank", "sure", "yes", "no", "ok", "okay", "sorry", "certainly")
+#: Shape of a line: its length (powers of two), how it ends, how it starts.
+LENGTHS, ENDS, OPENS = 14, ("empty", "bare", "stop", "question", "loud", "other"), ("asks", "greets", "word", "other")
+SHAPES = LENGTHS + len(ENDS) + len(OPENS)
+# Prior odds of the role of the next turn after each role, of what stands before a line where a turn begins
+# and within one, of going on, and of a marker where a turn begins: one turn in eight has none, few have another role's,
+# and a marked line within a turn is all but ruled out.
 NEXT = {"system": (0.02, 0.88, 0.10), "user": (0.02, 0.08, 0.90), "assistant": (0.01, 0.93, 0.06)}
-BEGINS, GOES_ON = (0.7, 0.16, 0.12, 0.02), (0.002, 0.02, 0.12, 0.858)
+BEGINS, GOES_ON, STAY = (0.55, 0.40, 0.05), (0.07, 0.40, 0.53), 0.7
 NONE, OWN, OTHER, WITHIN = 0.125, 0.875, 1e-5, 1e-12
-#: Lines that the prior odds count for.
-PRIOR = 200.0
+#: Lines that the prior odds count for, and lines for each value of a shape.
+PRIOR, SHAPE_PRIOR = 200.0, 20.0
+
+# Counts of a table, one after the other: what stands before marked lines and before lines within turns, next roles,
+# turns and further lines of each role, shapes of both for each role.
+_R = len(ROLES)
+_PARTS = {"begins": (len(HOW),), "within": (len(HOW),), "next": (_R, _R), "turns": (_R,), "more": (_R,), "first": (_R, SHAPES), "later": (_R, SHAPES)}
+
+
+def no_counts() -> dict[str, np.ndarray]:
+    return {k: np.zeros(v) for k, v in _PARTS.items()}
 
 
 class Odds:
-    """Log odds of the model: ``move`` between states, ``start`` of a conversation, ``see`` of (how a line starts, its marker)."""
-
-    def __init__(self, turns: np.ndarray | None = None, begins: np.ndarray | None = None):
-        """turns: counts of the next turn's role for each role; begins: counts of how marked lines start."""
-        nxt = PRIOR * np.array([NEXT[r] for r in ROLES]) + (0 if turns is None else turns)
-        nxt = nxt / nxt.sum(1, keepdims=True)
-        first = PRIOR * np.array(BEGINS) + (0 if begins is None else begins)
-        first = np.maximum(first / first.sum(), 0.01)
+    """Log odds of the model: ``move`` between states, ``start`` of a conversation, and of a line: what is before it, its marker, its shape."""
+
+    def __init__(self, counts: dict[str, np.ndarray] | None = None):
+        c = counts or no_counts()
+        # a marker after one of the same role may hide an unmarked turn: such pairs keep their prior odds
+        own = np.array([NEXT[r][k] for k, r in enumerate(ROLES)])
+        nxt = PRIOR * np.array([NEXT[r] for r in ROLES]) + c["next"]
+        np.fill_diagonal(nxt, 0.0)
+        nxt = nxt / nxt.sum(1, keepdims=True) * (1 - own)[:, None] + np.diag(own)
+        stay = (PRIOR * STAY + c["more"]) / (PRIOR + c["more"] + c["turns"])
         self.move = np.full((STATES, STATES), -np.inf)
-        for r in range(len(ROLES)):
+        for r in range(_R):
             for s in (2 * r, 2 * r + 1):
-                self.move[s, 2 * r + 1] = np.log(0.7)
-                self.move[s, ::2] = np.log(0.3 * nxt[r])
+                self.move[s, 2 * r + 1] = np.log(stay[r])
+                self.move[s, ::2] = np.log((1 - stay[r]) * nxt[r])
         self.start = np.log(np.array([0.25, 1e-4, 0.65, 1e-4, 0.1, 1e-4]))
-        self.see = {}
-        for k, how in enumerate(HOW):
-            for role in (None, *ROLES):
-                pairs = [(first[k] * (NONE if role is None else OWN if role == name else OTHER), GOES_ON[k] * (1.0 if role is None else WITHIN)) for name in ROLES]
-                self.see[how, role] = np.log(np.array(pairs).ravel())
+        first, within = PRIOR * np.array(BEGINS) + c["begins"], PRIOR * np.array(GOES_ON) + c["within"]
+        how = np.log([first / first.sum(), within / within.sum()]).T
+        self.how = np.tile(how, _R)
+        self.mark = np.log([[x for name in ROLES for x in ((NONE, 1.0) if role is None else (OWN if role == name else OTHER, WITHIN))] for role in (None, *ROLES)])
+        prior = np.full(SHAPES, SHAPE_PRIOR)
+        shape = np.empty((SHAPES, STATES))
+        for r in range(_R):
+            for k, part in enumerate(("first", "later")):
+                x = prior + c[part][r]
+                if k == 0:
+                    x[LENGTHS] = 0.01 * SHAPE_PRIOR  # an empty line without a marker hardly begins a turn
+                for at, n in ((0, LENGTHS), (LENGTHS, len(ENDS)), (LENGTHS + len(ENDS), len(OPENS))):
+                    shape[at : at + n, 2 * r + k] = np.log(x[at : at + n] / x[at : at + n].sum())
+        self.shape = shape
 
 
 PLAIN = Odds()
 MOVE, START = PLAIN.move, PLAIN.start
 
 
-def features(line: str, before: str | None, starts_row: bool = False) -> tuple[str, str | None, str]:
-    """How the line starts, the role that its marker names, and the line without its marker."""
+def tail(line: str) -> str:
+    """The last character of a line, white space aside: all that the next line needs of it."""
+    return line.rstrip()[-1:]
+
+
+def shape(text: str, marked: bool) -> tuple[int, int, int]:
+    """Places of a line's length, end and start among the ``SHAPES``."""
+    end = tail(text)
+    if not end:
+        kind = 1 if marked else 0
+    else:
+        kind = 2 if end in ".。" else 3 if end in "?？" else 4 if end in "!:" else 5
+    m = _WORD.match(text.lstrip())
+    word = m[0].lower() if m else ""
+    start = 0 if word in ASKS else 1 if word in GREETS else 2 if word else 3
+    return min(len(text).bit_length(), LENGTHS - 1), LENGTHS + kind, LENGTHS + len(ENDS) + start
+
+
+def features(line: str, before: str | None) -> tuple[int | None, str | None, str]:
+    """What stands before the line (place in ``HOW``; null at the start of a conversation), the role that its marker names, and the line without its marker."""
     m = _MARK.match(line)
     role = _NAME[m[1].lower()] if m else None
     text = _END.sub("", line[m.end() :] if m else line)
-    if starts_row or before is None:
-        return "row", role, text
-    if not before.strip():
-        return "blank", role, text
-    return "ended" if before.rstrip()[-1] in ".!?>:" else "other", role, text
+    if before is None:
+        return None, role, text
+    end = tail(before)
+    return (0 if not end else 1 if end in ".!?>:" else 2), role, text
 
 
-def emissions(lines: list[str], before: str | None, starts: frozenset[int] | set[int] = frozenset(), odds: Odds = PLAIN) -> tuple[np.ndarray, list[str]]:
-    """Log odds of all lines in each state, and the lines without markers; those numbered in ``starts`` are the first of a row."""
-    got = []
+def emissions(lines: list[str], before: str | None, odds: Odds = PLAIN) -> tuple[np.ndarray, list[str]]:
+    """Log odds of all lines in each state, and the lines without markers."""
+    out, texts = np.zeros((len(lines), STATES)), []
     for i, line in enumerate(lines):
-        how, role, text = features(line, before, i in starts)
-        got.append((odds.see[how, role], text))
+        how, role, text = features(line, before)
+        out[i] = odds.mark[0 if role is None else ROLES.index(role) + 1] + odds.shape[list(shape(text, role is not None))].sum(0)
+        if how is not None:
+            out[i] += odds.how[how]
+        texts.append(text)
         before = line
-    return np.array([g[0] for g in got]).reshape(-1, STATES), [g[1] for g in got]
+    return out, texts
 
 
 def times(m: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -173,7 +224,7 @@ def parse(transcript: str) -> list[tuple[str, str]]:
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """``rows`` with __tj_pid, __tj_blk, __tj_seq and __tj_before (the line before the block): sorted ranges of (conv_id, turn, raw), cut into blocks.
+    """``rows`` with __tj_pid, __tj_blk, __tj_seq and __tj_before (how the line before the block ends): sorted ranges of (conv_id, turn, raw), cut into blocks.
 
     Ranges split a conversation of any size, and rows that are equal in all
     three as well.
@@ -183,7 +234,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["conv_id", "turn", "raw", "__tj_tie"]
     sorted_rows = rows.withColumn("__tj_tie", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("__tj_tie").withColumn("__tj_pid", F.spark_partition_id())
-    more = T._parse_datatype_string("__tj_blk long, __tj_seq long, __tj_before string").fields
+    more = T._parse_datatype_string("__tj_blk long, __tj_seq long, __tj_before string, __tj_tail string").fields
     c, r = rows.columns.index("conv_id"), rows.columns.index("raw")
 
     def run(batches):
@@ -195,12 +246,55 @@ def _blocks(rows: DataFrame) -> DataFrame:
                     blk, n, before = blk + 1, 0, None
                 elif n == BLOCK_TURNS:
                     blk, n = blk + 1, 0
-                out.append((blk, seq, before if n == 0 else None))
-                conv, before, n, seq = own, raw.rsplit("\n", 1)[-1], n + 1, seq + 1
-            cols = list(zip(*out, strict=True)) if out else [[]] * 3
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.string()), strict=True))], names=[*b.schema.names, *(f.name for f in more)])
-
-    return cut(sorted_rows.mapInArrow(run, T.StructType([*sorted_rows.schema.fields, *more])))
+                end = tail(raw.rsplit("\n", 1)[-1])
+                out.append((blk, seq, before if n == 0 else None, end))
+                conv, before, n, seq = own, end, n + 1, seq + 1
+            cols = list(zip(*out, strict=True)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))], names=[*b.schema.names, *(f.name for f in more)])
+
+    dealt = cut(sorted_rows.mapInArrow(run, T.StructType([*sorted_rows.schema.fields, *more])))
+    # how the partition before ends, if with the same conversation: a row for each partition
+    last = dealt.groupBy("__tj_pid").agg(F.max_by(F.struct("conv_id", "__tj_tail"), "__tj_seq").alias("x"))
+    last = last.select(F.col("__tj_pid").alias("__tj_p"), F.lag("x").over(Window.orderBy("__tj_pid")).alias("x")).where("x is not null")
+    near = (dealt["__tj_pid"] == last["__tj_p"]) & (dealt["__tj_seq"] == 0) & dealt["conv_id"].eqNullSafe(last["x.conv_id"])
+    out = dealt.join(F.broadcast(last), near, "left").withColumn("__tj_before", F.coalesce("__tj_before", "x.__tj_tail"))
+    return out.drop("__tj_p", "x", "__tj_tail")
+
+
+def count_lines(rows, found: dict[str, np.ndarray]) -> None:
+    """Adds what the marked lines of ``rows`` (conversation, partition, place, text; in order) tell to the counts ``found``.
+
+    All lines between two markers are the first one's turn if the second role
+    is the one that mostly follows; else an unmarked turn may hide there.
+    """
+    at = before = role = None
+    held, n = no_counts(), 0
+    for conv, pid, seq, raw in rows:
+        if at != (conv, pid, seq - 1):
+            before = role = None
+        at = (conv, pid, seq)
+        for line in raw.split("\n"):
+            how, own, text = features(line, before)
+            before = line
+            marks = list(shape(text, own is not None))
+            if own is not None:
+                k = ROLES.index(own)
+                if role is not None:
+                    found["next"][role, k] += 1
+                    if NEXT[ROLES[role]][k] > 0.5:
+                        found["turns"][role] += 1
+                        found["more"][role] += n
+                        found["within"] += held["within"]
+                        found["later"][role] += held["later"][role]
+                role, held, n = k, no_counts(), 0
+                found["first"][k, marks] += 1
+                if how is not None:
+                    found["begins"][how] += 1
+            elif role is not None:
+                n += 1
+                held["within"][how] += 1
+                # the blank lines before the next turn count as lines of this one
+                held["later"][role, marks] += 1
 
 
 def _counts(base: DataFrame) -> Odds:
@@ -208,36 +302,26 @@ def _counts(base: DataFrame) -> Odds:
     import pyarrow as pa
 
     def run(batches):
-        turns, begins = np.zeros((len(ROLES), len(ROLES))), np.zeros(len(HOW))
-        last = None  # conversation, row and role of the marked row before
-        for b in batches:
-            for conv, seq, raw in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                before = None
-                for i, line in enumerate(raw.split("\n")):
-                    how, role, _ = features(line, before, i == 0)
-                    before = line
-                    if role is not None:
-                        k = ROLES.index(role)
-                        begins[HOW.index(how)] += 1
-                        if last and last[:2] in ((conv, seq - 1), (conv, seq)):
-                            turns[last[2], k] += 1
-                        last = (conv, seq, k)
-        yield pa.RecordBatch.from_arrays([pa.array([turns.ravel().tolist()], pa.list_(pa.float64())), pa.array([begins.tolist()], pa.list_(pa.float64()))], names=["turns", "begins"])
-
-    got = base.select("conv_id", "__tj_seq", "raw").mapInArrow(run, "turns array<double>, begins array<double>")
-    cells = got.select(F.posexplode(F.concat("turns", "begins")).alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect()  # 13 rows
-    v = np.zeros(len(ROLES) ** 2 + len(HOW))
-    for x in cells:
-        v[x["k"]] = x["x"]
-    return Odds(v[: len(ROLES) ** 2].reshape(len(ROLES), -1), v[len(ROLES) ** 2 :])
+        found = no_counts()
+        count_lines((x for b in batches for x in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True)), found)
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([v.ravel() for v in found.values()]).tolist()], pa.list_(pa.float64()))], names=["x"])
+
+    got = base.select("conv_id", "__tj_pid", "__tj_seq", "raw").mapInArrow(run, "x array<double>")
+    cells = {x["k"]: x["x"] for x in got.select(F.posexplode("x").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect()}  # a row for each count of the model
+    found, at = no_counts(), 0
+    for v in found.values():
+        v.flat = [cells.get(at + i, 0.0) for i in range(v.size)]
+        at += v.size
+    return Odds(found)
 
 
 def parse_blocks(rows: DataFrame, fit: bool = True) -> DataFrame:
-    """``rows`` (conv_id, turn, line text ``raw``, and more) with n_lines, n_turns, parsed_role and rendered for ``raw``.
+    """``rows`` (conv_id, turn, line text ``raw``, and more) with n_lines, n_turns, parsed_role, begins and rendered for ``raw``.
 
     A row's lines are consecutive lines of its conversation, in the order of
-    turn (then of the text, for repeated turns).  parsed_role is the role of the
-    row's first line; rendered has the turns that its lines hold, where lines
+    turn (then of the text, for repeated turns); the parse is of lines alone and
+    the same however they are dealt into rows.  parsed_role is the role of the
+    row's first line, and begins says whether a turn begins there; rendered has the turns that its lines hold, where lines
     that go on with an earlier turn carry that turn's role.  Of equally likely
     states the lower counts.  ``fit`` counts the odds on the marked lines.
 
@@ -250,7 +334,7 @@ def parse_blocks(rows: DataFrame, fit: bool = True) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     ship(rows.sparkSession)
-    made = ["n_lines", "n_turns", "parsed_role", "rendered"]
+    made = ["n_lines", "n_turns", "parsed_role", "begins", "rendered"]
     pass_on = [f for f in rows.schema.fields if f.name not in ("conv_id", "turn", "raw", *made)]
     base = _blocks(rows.select("conv_id", "turn", F.coalesce("raw", F.lit("")).alias("raw"), *(rows[f.name] for f in pass_on)))
     odds = _counts(base) if fit else PLAIN
@@ -271,11 +355,7 @@ def parse_blocks(rows: DataFrame, fit: bool = True) -> DataFrame:
             yield held
 
     def seen(held):
-        lines, starts = [], set()
-        for row in held:
-            starts.add(len(lines))
-            lines += row[3].split("\n")
-        return emissions(lines, held[0][2], starts, odds)
+        return emissions([x for row in held for x in row[3].split("\n")], held[0][2], odds)
 
     def dealt(df):
         return df.repartition(parts, "__tj_pid", "__tj_blk").sortWithinPartitions("__tj_pid", "__tj_blk", "__tj_seq")
@@ -338,8 +418,8 @@ def parse_blocks(rows: DataFrame, fit: bool = True) -> DataFrame:
     full = base.join(ends, (base["__tj_pid"] == ends.p) & (base["__tj_blk"] == ends.k))
     full = dealt(full.select("__tj_pid", "__tj_blk", "__tj_before", "raw", "entry", "leave", "conv_id", "turn", *(f.name for f in pass_on), "__tj_seq"))
     keep = [conv, rows.schema["turn"], *pass_on]
-    schema = T.StructType([*keep, *T._parse_datatype_string("n_lines long, n_turns long, parsed_role string, rendered string").fields])
-    kinds = [*(to_arrow_type(f.dataType) for f in keep), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    schema = T.StructType([*keep, *T._parse_datatype_string("n_lines long, n_turns long, parsed_role string, begins boolean, rendered string").fields])
+    kinds = [*(to_arrow_type(f.dataType) for f in keep), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string()]
 
     def decode(batches):
         for held in groups(batches):
@@ -351,7 +431,7 @@ def parse_blocks(rows: DataFrame, fit: bool = True) -> DataFrame:
                 n = row[3].count("\n") + 1
                 own = states[at : at + n]
                 said = turns(own, texts[at : at + n])
-                out.append((*row[6:-1], n, sum(1 for s in own if s % 2 == 0), ROLES[own[0] // 2], "".join(render(r, c) for r, c in said)))
+                out.append((*row[6:-1], n, sum(1 for s in own if s % 2 == 0), ROLES[own[0] // 2], own[0] % 2 == 0, "".join(render(r, c) for r, c in said)))
                 at += n
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=schema.names)
 
@@ -359,7 +439,10 @@ def parse_blocks(rows: DataFrame, fit: bool = True) -> DataFrame:
 
 
 def as_transcript(conversations: DataFrame) -> DataFrame:
-    """(conv_id, turn, raw, role): the turns as lines of a transcript in one of five styles by the conversation's hash; one turn in eight loses its marker.
+    """(conv_id, turn, raw, role, layout, marked): conversations as transcripts in one of five styles by hash; one turn in eight loses its marker.
+
+    layout says what stands between turns, by hash too: "newline", the next turn
+    on the next line, or "blank", a blank line first.
 
     A null role is written as a user's, a null text as an empty one; a null turn
     keeps its marker.  Each row gives one row, repeated ones too, and an empty
@@ -369,5 +452,7 @@ def as_transcript(conversations: DataFrame) -> DataFrame:
     role = F.coalesce("role", F.lit("user"))
     name = F.when(role == "user", F.element_at(F.array(*map(F.lit, ("User", "Human", "Q", "user", "Customer"))), (style + 1).cast("int"))).when(role == "assistant", F.element_at(F.array(*map(F.lit, ("Assistant", "AI", "A", "assistant", "Agent"))), (style + 1).cast("int"))).otherwise(F.lit("System"))
     mark = F.when(style == 3, F.concat(F.lit("<|im_start|>"), name, F.lit(": "))).when(style == 1, F.concat(F.lit("### "), name, F.lit(": "))).when(style == 4, F.concat(F.lit("["), name, F.lit("] "))).otherwise(F.concat(name, F.lit(": ")))
-    bare = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(8)) == 0
-    return conversations.select("conv_id", "turn", F.concat(F.when(bare & F.coalesce(F.col("turn") > 0, F.lit(False)), F.lit("")).otherwise(mark), F.coalesce("text", F.lit(""))).alias("raw"), "role")
+    marked = ~((F.pmod(F.xxhash64("conv_id", "turn"), F.lit(8)) == 0) & F.coalesce(F.col("turn") > 0, F.lit(False)))
+    apart = F.pmod(F.xxhash64("conv_id", F.lit("layout")), F.lit(2)) == 0
+    raw = F.concat(F.when(marked, mark).otherwise(F.lit("")), F.coalesce("text", F.lit("")), F.when(apart, F.lit("\n")).otherwise(F.lit("")))
+    return conversations.select("conv_id", "turn", raw.alias("raw"), "role", F.when(apart, F.lit("blank")).otherwise(F.lit("newline")).alias("layout"), marked.alias("marked"))
