@@ -332,6 +332,42 @@ def test_a_long_chain_of_near_copies(spark, block, monkeypatch):
     assert [got[i] for i in range(len(rows))] == want and 1 < len(set(want)) < len(rows)
 
 
+@pytest.mark.parametrize("percent", [50, 80, 85])
+@pytest.mark.parametrize("cross", [False, True])
+def test_forest_of_many_sets_ties_what_all_pairs_tie(percent, cross):
+    """Hundreds of sets with a common core: links at, over and just under the threshold, none lost to the prefixes."""
+    r = random.Random(percent + cross)
+    core = [r.getrandbits(60) for _ in range(12)]
+    sets = []
+    for _ in range(90):
+        base = core + [r.getrandbits(60) for _ in range(r.choice([8, 28, 88]))]
+        for _ in range(r.randint(1, 6)):
+            own = list(base)
+            for _ in range(r.randint(0, len(own) // r.choice([5, 12, 30]))):
+                own[r.randrange(len(own))] = r.getrandbits(60)
+            sets.append(np.unique(np.array(own[: r.choice([len(own), len(own), 9 * len(own) // 10])], dtype=np.uint64)))
+    n = len(sets)
+    sides = np.array([0] * (n // 2) + [1] * (n - n // 2)) if cross else np.zeros(n, dtype=int)
+    links, root = minhash.forest(np.arange(n), sides, sets, percent)
+    want = list(range(n))
+    plain = [set(x.tolist()) for x in sets]
+
+    def find(x):
+        while want[x] != x:
+            x = want[x]
+        return x
+
+    linked = set()
+    for i in range(n):
+        for j in range(i + 1, n):
+            if (not cross or sides[i] != sides[j]) and 100 * len(plain[i] & plain[j]) >= percent * len(plain[i] | plain[j]):
+                linked.add((i, j))
+                a, b = find(i), find(j)
+                want[max(a, b)] = min(a, b)
+    assert len(linked) > 60 and set(links) <= linked
+    assert root.tolist() == [find(i) for i in range(n)]
+
+
 def test_forest_across_sides():
     r = random.Random(12)
     sets = [np.unique(np.array([r.randint(0, 40) for _ in range(30)], dtype=np.uint64)) for _ in range(30)]

@@ -31,8 +31,6 @@ from trajecta.ship import ship
 BLOCK_BYTES = 6 << 20
 #: Bytes that a set counts for besides its shingles.
 ROW_BYTES = 256
-#: Classes of a block that aren't tied yet, above which signatures are compared before sets.
-FEW = 48
 
 
 def describe(docs: DataFrame, words: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -44,7 +42,7 @@ def describe(docs: DataFrame, words: int, percent: int, doc_id: str = "doc_id",
     rows = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(docs[text]).alias("th"), docs[text].alias("text"))
     schema = f"doc_id {kind.simpleString()}, th long, n_shingles long, key binary, bands array<long>"
     to_arrow = to_arrow_type(kind)
-    bands_n, _ = M.plan(percent)
+    bands_n = M.plan(percent)
 
     def run(batches):
         for b in B.small(batches):
@@ -64,15 +62,37 @@ def size_class(n, percent: int):
     return F.floor(F.log(n.cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
 
 
+def _prefixes(flat: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefixes of the sets that follow one another in ``flat``: their items (ranks, rarest first), their nodes and bounds.
+
+    A linked pair of n and m items, n the larger, has at least percent of n in
+    common.  With all items in one order, two such sets share an item among the
+    first n - ceil(percent of n) + 1 of the one and the first
+    m - ceil(percent of m) + 1 of the other: without one, the common items would
+    be too few for the set whose prefix ends first.
+    """
+    node = np.repeat(np.arange(len(sizes)), sizes)
+    _, place, times = np.unique(flat, return_inverse=True, return_counts=True)
+    rank = np.empty(len(times), dtype=np.int64)
+    rank[np.argsort(times, kind="stable")] = np.arange(len(times))
+    rank = rank[place]
+    order = np.lexsort((rank, node))
+    starts = np.cumsum(sizes) - sizes
+    keep = sizes - -(-percent * sizes // 100) + 1
+    inside = np.arange(len(flat)) - np.repeat(starts, sizes) < np.repeat(keep, sizes)
+    order = order[inside]
+    return rank[order], node[order], np.concatenate([[0], np.cumsum(np.minimum(keep, sizes))])
+
+
 def forest(nodes: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[list[tuple[int, int]], np.ndarray]:
     """Links that tie the linked nodes of one group together (no cycle of them), and the root of each node's tree.
 
     sides: where both 0 and 1 occur, only pairs across count.  Nodes come with
-    side 0 first.  Where many nodes are left to a node, those are tested that
-    agree in as many signature coordinates as a linked pair does (all but 1e-5).
+    side 0 first.  Node 0 is tested against all others, each further one against
+    those that share an item of its prefix (``_prefixes``), which no linked pair
+    lacks.
     """
     n = len(nodes)
-    bands, agree = M.plan(percent)
     sizes = np.fromiter(map(len, sets), dtype=np.int64, count=n)
     root = np.arange(n)
     out = []
@@ -80,15 +100,23 @@ def forest(nodes: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], percent
     cross = left < n
     starts = np.concatenate([[0], np.cumsum(sizes)])
     flat = np.concatenate(sets) if n else np.zeros(0, dtype=np.uint64)
-    sig = None
+    made = None
     for i in range(left):
         other = np.arange(left if cross else i + 1, n)
         other = other[root[other] != root[i]]
         other = other[(100 * sizes[other] >= percent * sizes[i]) & (100 * sizes[i] >= percent * sizes[other])]
-        if i and len(other) > FEW:  # the first is tested against all
-            if sig is None:
-                sig = M.short(M.signatures(flat, starts, bands * M.ROWS))
-            other = other[(sig[other] == sig[i]).sum(1) >= agree]
+        if i and len(other):
+            if made is None:
+                items, owner, ends = _prefixes(flat, sizes, percent)
+                by_item = np.argsort(items, kind="stable")
+                made = items, ends, items[by_item], owner[by_item]
+            items, ends, posted, owners = made
+            own = items[ends[i] : ends[i + 1]]
+            first, last = np.searchsorted(posted, own), np.searchsorted(posted, own, "right")
+            size = last - first
+            near = np.zeros(n, dtype=bool)
+            near[owners[np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())]] = True
+            other = other[near[other]]
         for k in range(0, len(other), 64):
             some = other[k : k + 64]
             some = some[root[some] != root[i]]

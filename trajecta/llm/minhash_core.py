@@ -16,18 +16,15 @@ ROWS = 4
 MISS = 1e-5
 
 
-def plan(percent: int) -> tuple[int, int]:
-    """Bands, and the least number of equal coordinates of a pair that is verified, for a threshold in percent.
+def plan(percent: int) -> int:
+    """Bands for a threshold in percent.
 
     Bands come in eights, as many as MISS asks for (16 at 85 percent, 24 at 80).
-    The coordinates of a pair at the threshold fall short of the least number
-    with odds of about 1e-5 (4.3 standard deviations).
     """
     p, bands = percent / 100, 8
     while (1 - p**ROWS) ** bands > MISS:
         bands += 8
-    n = bands * ROWS
-    return bands, max(1, int(n * p - 4.3 * (n * p * (1 - p)) ** 0.5))
+    return bands
 
 
 _STEP = B.U(0x9E3779B97F4A7C15)
@@ -80,11 +77,6 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return B.mix(key)
 
 
-def short(sig: np.ndarray) -> np.ndarray:
-    """16 bits of each coordinate, to count equal coordinates by."""
-    return (B.mix(sig) >> B.U(48)).astype(np.uint16)
-
-
 def set_keys(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """128 bits that are equal for equal sets: two sums of independent mixes, with the size."""
     out = np.zeros((len(bounds) - 1, 2), dtype=np.uint64)
