@@ -346,6 +346,7 @@ def test_forest_of_many_sets_ties_what_all_pairs_tie(percent, cross):
             for _ in range(r.randint(0, len(own) // r.choice([5, 12, 30]))):
                 own[r.randrange(len(own))] = r.getrandbits(60)
             sets.append(np.unique(np.array(own[: r.choice([len(own), len(own), 9 * len(own) // 10])], dtype=np.uint64)))
+    r.shuffle(sets)
     n = len(sets)
     sides = np.array([0] * (n // 2) + [1] * (n - n // 2)) if cross else np.zeros(n, dtype=int)
     links, root = minhash.forest(np.arange(n), sides, sets, percent)
