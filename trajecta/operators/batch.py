@@ -24,6 +24,11 @@ def with_ordinal(df: DataFrame, order: list[str], name: str = "ordinal") -> Data
     return spread.join(F.broadcast(base), "_p").withColumn(name, F.col("_i") - F.col("_low") + F.coalesce("_before", F.lit(0))).drop("_p", "_i", "_low", "_before")
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """The rows over all cores by hash, for work that is long though the bytes are few: splits of files and joined partitions go by bytes."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *by)
+
+
 def repeat(df: DataFrame, n: Column | int, interleave: bool = True) -> DataFrame:
     """Each row n times (none for 0), with its copy number; order is by row or by copy when sorted by ``copy``."""
     count = F.lit(n) if isinstance(n, int) else n

@@ -9,10 +9,13 @@ import sys
 import types
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trajecta.operators.batch import spread
 from trajecta.ship import ship
 
 
@@ -97,8 +100,63 @@ def reduce_udf(reduce: Callable, returns: str = "double"):
     return pandas_udf(run, returns)
 
 
-#: Reductions of a resample, as expressions over its array.
-REDUCE: dict[str, Callable[[Column], Column]] = {"best": F.array_max, "worst": F.array_min}
+def best(x: np.ndarray, ok: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Greatest value of each column; NaN is the greatest of all."""
+    return (x.max(0), None) if ok is None else (np.where(ok, x, -np.inf).max(0), ok.any(0))
+
+
+def worst(x: np.ndarray, ok: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
+    return (np.fmin.reduce(x, 0), None) if ok is None else (np.fmin.reduce(np.where(ok, x, np.nan), 0), ok.any(0))
+
+
+#: Reductions of resamples, one in each column: values and which of them are not null (None: all) to a value for each column, and which of those are not null.
+REDUCE: dict[str, Callable[[np.ndarray, np.ndarray | None], tuple[np.ndarray, np.ndarray | None]]] = {"best": best, "worst": worst}
+#: Numbers drawn at once for one uid.
+MOST_DRAWN = 1 << 18
+_P1, _P2, _P3, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+
+
+def _hashed(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of ints that are not negative, on top of the hash of the columns before."""
+    h = (seed + _P5 + np.uint64(4)) ^ (x.astype(np.uint64) * _P1)
+    h = (h << np.uint64(23) | h >> np.uint64(41)) * _P2 + _P3
+    h = (h ^ h >> np.uint64(33)) * _P2
+    h = (h ^ h >> np.uint64(29)) * _P3
+    return h ^ h >> np.uint64(32)
+
+
+def majority(at: np.ndarray, votes: np.ndarray) -> np.ndarray:
+    """For each column of drawn places the first one whose vote (a number) is drawn most often; ties go to the vote that comes first."""
+    k, draws = at.shape
+    key = votes[at] * draws + np.arange(draws)
+    often = np.bincount(key.ravel())[key]
+    # the count, then how early it comes
+    last = (often * k + np.arange(k - 1, -1, -1)[:, None]).max(0)
+    return at[k - 1 - last % k, np.arange(draws)]
+
+
+def resampled(values: np.ndarray, ok: np.ndarray | None, votes: np.ndarray | None, null_vote: int, seed: int, draws: int, reduce: dict) -> dict[tuple[str, int], tuple[float | None, float | None]]:
+    """Mean and population std over the draws of each reduction and size of resample; ``seed`` is the hash that the draws go on from."""
+    n = len(values)
+    sizes = [2**i for i in range(1, 31) if 2**i < n] + [n]
+    got: dict[tuple[str, int], list] = {}
+    step = max(1, MOST_DRAWN // n)
+    for low in range(0, draws, step):
+        own = _hashed(np.arange(low, min(draws, low + step)), np.array([seed], dtype=np.int64).view(np.uint64))
+        at = _hashed(np.arange(1, n + 1)[:, None], own[None, :]).view(np.int64) % n
+        x, good = values[at], None if ok is None else ok[at]
+        for k in sizes:
+            for name, f in reduce.items():
+                got.setdefault((name, k), []).append(f(x[:k], None if good is None else good[:k]))
+            if votes is not None:
+                first = majority(at[:k], votes)
+                real = None if ok is None and null_vote < 0 else (votes[first] != null_vote) & (True if ok is None else ok[first])
+                got.setdefault(("maj", k), []).append((values[first], real))
+    out = {}
+    for key, parts in got.items():
+        x = np.concatenate([v if real is None else v[real] for v, real in parts])
+        out[key] = (float(x.mean()), float(x.std())) if len(x) else (None, None)
+    return out
 
 
 def majority_value(votes: Column, values: Column) -> Column:
@@ -109,13 +167,15 @@ def majority_value(votes: Column, values: Column) -> Column:
     return F.element_at(values, F.array_position(votes, vote).cast("int"))
 
 
-def validation_table(df: DataFrame, source: str, uid: str, value: str, order: str, vote: str | None = None, draws: int = 1000, seed: int = 42, reduce: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+def validation_table(df: DataFrame, source: str, uid: str, value: str, order: str, vote: str | None = None, draws: int = 1000, seed: int = 42, reduce: dict[str, Callable] | None = None) -> DataFrame:
     """(source, metric, value, n_uid): mean@N and std@N of each uid's N responses and, over resamples of 2, 4, 8 .. and N of them with replacement, mean and std of the best, the worst and the majority's value, averaged over the uids of a source.
 
-    Resamples are drawn by hash.  A uid's responses are one array: as many as
-    rollouts were asked for, a few dozen.
+    Resamples are drawn by hash; those of one draw begin alike, so they are
+    drawn once and cut to each size.  A uid's responses are one array: as many
+    as rollouts were asked for, a few dozen.  ``reduce`` is like ``REDUCE``.
     """
     reduce = REDUCE if reduce is None else reduce
+    ship(df.sparkSession)
     vote_col = F.col(vote).cast("string") if vote else F.lit("")
     g = df.groupBy(source, uid).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v"), vote_col.alias("p")))).alias("x"))
     g = g.select(source, uid, F.size("x").alias("n"), F.transform("x", lambda x: x["v"]).alias("v"), F.transform("x", lambda x: x["p"]).alias("p"))
@@ -123,12 +183,22 @@ def validation_table(df: DataFrame, source: str, uid: str, value: str, order: st
     std = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x - F.col("_m")) * (x - F.col("_m"))) / F.col("n"))
     name = lambda k, n: F.concat(F.lit(f"{k}@"), n.cast("string"))
     plain = g.withColumn("_m", mean).select(source, F.explode(F.array(F.struct(name("mean", F.col("n")).alias("metric"), F.col("_m").alias("value")), F.struct(F.when(F.col("n") > 1, name("std", F.col("n"))).alias("metric"), std.alias("value")))).alias("z")).select(source, "z.*").where("metric is not null")
-    sizes = F.array_union(F.filter(F.transform(F.sequence(F.lit(1), F.lit(30)), lambda i: F.pow(F.lit(2), i).cast("int")), lambda k: k < F.col("n")), F.array(F.col("n")))
-    x = g.where("n > 1").withColumn("k", F.explode(sizes)).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    at = F.transform(F.sequence(F.lit(1), F.col("k")), lambda i: (F.pmod(F.xxhash64(F.lit(seed), F.col(uid), F.col("draw"), i), F.col("n")) + 1).cast("int"))
-    x = x.withColumn("at", at).select(source, uid, "k", F.transform("at", lambda i: F.element_at("v", i)).alias("v"), F.transform("at", lambda i: F.element_at("p", i)).alias("p"))
-    made = {k: f(F.col("v")) for k, f in reduce.items()} | ({"maj": majority_value(F.col("p"), F.col("v"))} if vote else {})
-    per = x.select(source, uid, "k", *[c.alias(m) for m, c in made.items()]).groupBy(source, uid, "k").agg(*[f(m).alias(f"{m}_{s}") for m in made for s, f in (("mean", F.avg), ("std", F.stddev_pop))])
-    rows = [F.struct(F.concat(F.lit(f"{m}@"), F.col("k").cast("string"), F.lit(f"/{s}")).alias("metric"), F.col(f"{m}_{s}").alias("value")) for m in made for s in ("mean", "std")]
-    drawn = per.select(source, F.explode(F.array(*rows)).alias("z")).select(source, "z.*")
+
+    def run(batches):
+        for b in batches:
+            rows: list[tuple] = []
+            for i in range(b.num_rows):
+                v, p = b["v"][i].values, b["p"][i].values
+                codes, null = None, -1
+                if vote:
+                    codes = p.dictionary_encode("encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                    null = int(codes[p.is_null().to_numpy(zero_copy_only=False).argmax()]) if p.null_count else -1
+                ok = v.is_valid().to_numpy(zero_copy_only=False) if v.null_count else None
+                got = resampled(v.fill_null(0.0).to_numpy(zero_copy_only=False), ok, codes, null, b["h"][i].as_py(), draws, reduce)
+                rows += [(i, f"{m}@{k}/{s}", x) for (m, k), both in got.items() for s, x in zip(("mean", "std"), both, strict=True)]
+            at, metric, x = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b[source].take(pa.array(at, pa.int64())), pa.array(metric, pa.string()), pa.array(x, pa.float64())], [source, "metric", "value"])
+
+    x = spread(g.where("n > 1"), source, uid).select(source, "v", "p", F.xxhash64(F.lit(seed), uid).alias("h"))
+    drawn = x.mapInArrow(run, T.StructType([df.schema[source], T.StructField("metric", T.StringType()), T.StructField("value", T.DoubleType())]))
     return plain.unionByName(drawn).groupBy(source, "metric").agg(F.avg("value").alias("value"), F.count("*").alias("n_uid"))
