@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trajecta.operators import rewards
+from trajecta.operators import rewards, shop
 
 
 def test_resamples_are_those_of_the_hash_with_nulls_and_ties(spark):
@@ -43,3 +43,14 @@ def test_resampling_takes_no_square_of_the_responses(spark):
     assert time.time() - start < 60 and got["best@2000/mean"] > 1995 and got["worst@2000/mean"] < 4
     x = np.array([[0, 1], [1, 0], [1, 2]])
     assert rewards.majority(x, np.array([5, 6, 7])).tolist() == [1, 1]
+
+
+def test_listed_searches_rank_lists_and_not_pairs(spark):
+    lists = spark.createDataFrame([(i, v) for i in range(11) for v in ("<a> x", "<c> y") if i % 3 or v == "<a> x"], "product long, _v string")
+    searches = spark.createDataFrame([(s, v) for s, v in enumerate(["<a> x", "<a> x", "<c> y", "<q> none", None])], "search long, _v string")
+    found = shop.listed_products(searches, lists, block=4)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(search" not in plan
+    c = [i for i in range(11) if i % 3]
+    want = [(s, p, r + 1) for s in (0, 1) for r, p in enumerate(range(11))] + [(2, p, r + 1) for r, p in enumerate(c)]
+    assert sorted(map(tuple, found.collect())) == want

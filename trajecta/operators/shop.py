@@ -10,6 +10,8 @@ from trajecta.operators import catalog
 
 #: Products that a search returns.
 SEARCH_RETURN = 50
+#: Products of a list that meet its searches in one group.
+LIST_BLOCK = 4096
 
 
 def unit_hash(*parts: Column) -> Column:
@@ -29,15 +31,31 @@ def routed(searches: DataFrame, products: DataFrame, search: str, keywords: str,
     words = F.split(F.trim(F.col(keywords)), r"\s+")
     q = searches.select(F.col(search).alias("search"), F.element_at(words, 1).alias("mark"), F.array_join(F.slice(words, 2, 1000), " ").alias("rest"), F.try_element_at(words, F.lit(2)).alias("second"), F.col(keywords).alias("_k"))
     p = products.select(F.col(key).alias("product"), F.col(attributes).alias("_a"), F.col(category).alias("_c"), F.col(query).alias("_q"), F.col(text).alias("_t"))
-    by_attribute = q.where("mark = '<a>'").join(p.select("product", F.explode(F.array_distinct("_a")).alias("_v")), F.col("rest") == F.col("_v")).select("search", "product")
-    by_category = q.where("mark = '<c>'").join(p, F.col("second") == F.col("_c")).select("search", "product")
-    by_query = q.where("mark = '<q>'").join(p, F.col("rest") == F.col("_q")).select("search", "product")
-    listed = by_attribute.union(by_category).union(by_query)
-    listed = listed.withColumn("rank", F.row_number().over(Window.partitionBy("search").orderBy("product")))
+    tagged = lambda mark, word: F.concat(F.lit(f"{mark} "), word)
+    lists = p.select("product", F.explode(F.array_distinct("_a")).alias("_w")).where("_w is not null").select("product", tagged("<a>", F.col("_w")).alias("_v"))
+    lists = lists.union(p.where("_c is not null").select("product", tagged("<c>", F.col("_c")))).union(p.where("_q is not null").select("product", tagged("<q>", F.col("_q"))))
+    wanted = q.where("mark in ('<a>', '<c>', '<q>')").select("search", F.when(F.col("mark") == "<c>", tagged("<c>", F.col("second"))).otherwise(F.concat("mark", F.lit(" "), "rest")).alias("_v"))
+    listed = listed_products(wanted, lists)
     best = catalog.bm25(p.select("product", "_t"), q.where("mark not in ('<a>', '<c>', '<q>', '<r>')").select("search", F.col("_k").alias("_t")), "product", "search", "_t", k)
     return listed.unionByName(best.select("search", "product", "rank")).unionByName(random_products(q.where("mark = '<r>'"), p, k))
 
 
+def listed_products(searches: DataFrame, lists: DataFrame, block: int = LIST_BLOCK) -> DataFrame:
+    """(search, product, rank) of all products in the list of each search; searches (search, _v), lists (product, _v).
+
+    Places come from the lists, so the pairs, which are as many as their result, are
+    never sorted; long lists meet their searches block by block.
+    """
+    from trajecta.operators.batch import with_ordinal
+
+    own = with_ordinal(lists.join(searches.select("_v").distinct(), "_v", "left_semi"), ["_v", "product"], "_pos")
+    first = own.groupBy("_v").agg(F.min("_pos").alias("_first"), F.count("*").alias("_n"))
+    own = own.join(first.select("_v", "_first"), "_v").withColumn("_i", F.col("_pos") - F.col("_first"))
+    own = own.select("_v", F.floor(F.col("_i") / block).alias("_b"), "product", (F.col("_i") + 1).cast("int").alias("rank"))
+    asked = searches.join(first, "_v").select("search", "_v", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / block))).alias("_b"))
+    return asked.join(own, ["_v", "_b"]).select("search", "product", "rank")
+
+
 def random_products(searches: DataFrame, products: DataFrame, k: int) -> DataFrame:
     """For each search k products (all, if there are fewer): its start among the products in hash order is drawn, and the next k follow round the table."""
     from trajecta.operators.batch import with_ordinal
