@@ -11,6 +11,7 @@ from trajecta.functions import scoring as S
 from trajecta.operators import graph as G
 from trajecta.operators import messages as M
 from trajecta.operators import prefixes as P
+from trajecta.operators.batch import spread
 from trajecta.plans.base import plan, shipped, table
 from trajecta.plans.rollouts import TOK, tokens
 
@@ -140,5 +141,5 @@ def maths_grades(s, d):
             out = F.when(k % 12 == i, F.concat(*(F.col("p_partkey") + 9999 if x == "KEY" else F.lit(x) for x in re.split("(KEY)", row[at].format(k="KEY")) if x))).otherwise(out)
         return out
 
-    x = shipped(s, d, "part").select(k.alias("k"), F.concat(F.lit("so \\boxed{"), form(0), F.lit("}.")).alias("given"), form(1).alias("truth"))
+    x = spread(shipped(s, d, "part"), "p_partkey").select(k.alias("k"), F.concat(F.lit("so \\boxed{"), form(0), F.lit("}.")).alias("given"), form(1).alias("truth"))
     return x.select("k", AL.grade_columns()[1]("given", "truth").alias("correct"), AL.grade_columns(True)[1]("given", "truth").alias("strict"))
