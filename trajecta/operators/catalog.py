@@ -73,6 +73,11 @@ def token_set(c: Column) -> Column:
 _WORD_BITS = 60
 
 
+def bound(c: Column, f) -> Column:
+    """``f`` of a value that is worked out once: a Column named twice inside a lambda is worked out twice."""
+    return F.transform(F.array(c), f)[0]
+
+
 def common_letters(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence, by bit vectors of 60 letters a word.
 
@@ -80,46 +85,62 @@ def common_letters(a: Column, b: Column) -> Column:
     letter of ``b`` adds its places to the state word by word, with carries.
     """
     letters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
-    x, y = letters(a), letters(b)
     full = F.lit((1 << _WORD_BITS) - 1)
-    words = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(x) / _WORD_BITS).cast("int"), F.lit(1)) - 1)
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
     shift = lambda c, n: F.call_function("shiftleft", c, n)
 
-    def places(letter: Column, w: Column) -> Column:
-        own = F.slice(x, w * _WORD_BITS + 1, F.lit(_WORD_BITS))
-        return F.aggregate(F.transform(own, lambda l, i: F.when(l == letter, shift(F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda s, v: s + v)
+    def places(own: Column, letter: Column) -> Column:
+        return F.aggregate(own, F.struct(zero.alias("m"), one.alias("bit")), lambda s, l: F.struct(F.when(l == letter, s["m"] + s["bit"]).otherwise(s["m"]).alias("m"), (s["bit"] * 2).alias("bit")), lambda s: s["m"])
+
+    def run(x: Column, y: Column, words: Column) -> Column:
+        def step(state: Column, letter: Column) -> Column:
+            start = F.struct(F.array().cast("array<bigint>").alias("out"), zero.alias("carry"))
+
+            def add(s: Column, w: Column) -> Column:
+                z = F.struct(F.element_at(state, w["i"] + 1).alias("v"), places(w["own"], letter).alias("m"))
+                # v plus its matched places, and the places that are not matched
+                t = bound(z, lambda z: F.struct((z["v"] + z["v"].bitwiseAND(z["m"]) + s["carry"]).alias("t"), z["v"].bitwiseAND(F.bitwise_not(z["m"])).alias("r")))
+                return bound(t, lambda t: F.struct(F.concat(s["out"], F.array(t["t"].bitwiseAND(full).bitwiseOR(t["r"]))).alias("out"), F.shiftright(t["t"], _WORD_BITS).alias("carry")))
 
-    def step(state: Column, letter: Column) -> Column:
-        start = F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(0).cast("bigint").alias("carry"))
+            return F.aggregate(words, start, add, lambda s: s["out"])
 
-        def add(s: Column, w: Column) -> Column:
-            v, m = F.element_at(state, w + 1), places(letter, w)
-            t = v + v.bitwiseAND(m) + s["carry"]
-            return F.struct(F.concat(s["out"], F.array(t.bitwiseAND(full).bitwiseOR(v.bitwiseAND(F.bitwise_not(m))))).alias("out"), F.shiftright(t, _WORD_BITS).alias("carry"))
+        end = F.aggregate(y, F.transform(words, lambda w: full), step)
+        bits = lambda w: F.least(F.greatest(F.size(x) - w * _WORD_BITS, F.lit(0)), F.lit(_WORD_BITS))
+        left = F.transform(end, lambda v, w: F.bit_count(v.bitwiseAND(shift(one, bits(w)) - 1)).cast("int"))
+        return F.size(x) - F.aggregate(left, F.lit(0), lambda s, v: s + v)
 
-        return F.aggregate(words, start, add, lambda s: s["out"])
+    def cut(z: Column) -> Column:
+        at = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(z["x"]) / _WORD_BITS).cast("int"), F.lit(1)) - 1)
+        words = F.transform(at, lambda w: F.struct(w.alias("i"), F.slice(z["x"], w * _WORD_BITS + 1, F.lit(_WORD_BITS)).alias("own")))
+        return F.struct(z["x"].alias("x"), z["y"].alias("y"), words.alias("words"))
 
-    end = F.aggregate(y, F.transform(words, lambda w: full), step)
-    bits = lambda w: F.least(F.greatest(F.size(x) - w * _WORD_BITS, F.lit(0)), F.lit(_WORD_BITS))
-    left = F.transform(end, lambda v, w: F.bit_count(v.bitwiseAND(shift(F.lit(1).cast("bigint"), bits(w)) - 1)).cast("int"))
-    return F.size(x) - F.aggregate(left, F.lit(0), lambda s, v: s + v)
+    parts = bound(F.struct(letters(a).alias("x"), letters(b).alias("y")), cut)
+    return bound(parts, lambda z: run(z["x"], z["y"], z["words"]))
 
 
 def letter_ratio(a: Column, b: Column) -> Column:
     """0 to 100: twice the longest common subsequence over both lengths, so that a substitution costs as much as a letter less and a letter more."""
     n = F.length(a) + F.length(b)
-    return F.when(n == 0, 100.0).otherwise(200.0 * common_letters(a, b) / F.greatest(n, F.lit(1)))
+    return F.when(n == 0, 100.0).when(a == b, 100.0).otherwise(200.0 * common_letters(a, b) / F.greatest(n, F.lit(1)))
 
 
 def token_set_ratio(a: Column, b: Column) -> Column:
     """0 to 100, rounded: 100 where one token set holds the other, else the best ``letter_ratio`` of the common tokens and either side's sorted tokens; 0 where a side has none."""
-    x, y = token_set(a), token_set(b)
-    both, one, two = F.array_sort(F.array_intersect(x, y)), F.array_sort(F.array_except(x, y)), F.array_sort(F.array_except(y, x))
-    s0 = F.array_join(both, " ")
-    s1, s2 = F.trim(F.concat_ws(" ", s0, F.array_join(one, " "))), F.trim(F.concat_ws(" ", s0, F.array_join(two, " ")))
-    begins = lambda p: 200.0 * F.length(s0) / F.greatest(F.length(s0) + F.length(p), F.lit(1))  # noqa: E731  s0 is a prefix of p
-    best = F.greatest(F.when(F.size(both) > 0, F.greatest(begins(s1), begins(s2))).otherwise(0.0), letter_ratio(s1, s2))
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).when((F.size(both) > 0) & ((F.size(one) == 0) | (F.size(two) == 0)), 100.0).otherwise(F.round(best))
+    begins = lambda s0, p: 200.0 * F.length(s0) / F.greatest(F.length(s0) + F.length(p), F.lit(1))  # noqa: E731  s0 is a prefix of p
+
+    def split(t: Column) -> Column:
+        x, y = t["x"], t["y"]
+        return F.struct(x.alias("x"), y.alias("y"), F.array_sort(F.array_intersect(x, y)).alias("both"), F.array_sort(F.array_except(x, y)).alias("one"), F.array_sort(F.array_except(y, x)).alias("two"))
+
+    def texts(t: Column) -> Column:
+        s0 = F.array_join(t["both"], " ")
+        return F.struct(s0.alias("s0"), F.trim(F.concat_ws(" ", s0, F.array_join(t["one"], " "))).alias("s1"), F.trim(F.concat_ws(" ", s0, F.array_join(t["two"], " "))).alias("s2"))
+
+    def best(t: Column) -> Column:
+        ratio = bound(texts(t), lambda s: F.greatest(F.when(F.size(t["both"]) > 0, F.greatest(begins(s["s0"], s["s1"]), begins(s["s0"], s["s2"]))).otherwise(0.0), letter_ratio(s["s1"], s["s2"])))
+        return F.when((F.size(t["x"]) == 0) | (F.size(t["y"]) == 0), 0.0).when((F.size(t["both"]) > 0) & ((F.size(t["one"]) == 0) | (F.size(t["two"]) == 0)), 100.0).otherwise(F.round(ratio))
+
+    return bound(bound(F.struct(token_set(a).alias("x"), token_set(b).alias("y")), split), best)
 
 
 def attribute_hits(wanted: Column, attributes: Column, text: Column) -> Column:

@@ -152,7 +152,7 @@ LCS = "case when d = o then length(d) when length(d) = 1 or length(o) = 1 then c
 @plan(PLANS, f"with x as (select p_partkey, substr(p_brand, 7) d, cast(p_partkey % 25 + 1 as varchar) o from part), l as (select *, {LCS} n from x), r as (select p_partkey, case when d = o then 100.0 else round(greatest(1000.0 / (11 + length(d)), 1000.0 / (11 + length(o)), 200.0 * (6 + n) / (12 + length(d) + length(o)))) end ratio from l) select p_partkey, ratio, ratio > 85 found from r")
 def fuzzy_attribute_match(s, d):
     """Brands (a word and a number) against another brand."""
-    x = table(s, d, "part").withColumn("other", F.concat(F.lit("brand "), (F.col("p_partkey") % 25 + 1).cast("string")))
+    x = B.spread(table(s, d, "part"), "p_partkey").withColumn("other", F.concat(F.lit("brand "), (F.col("p_partkey") % 25 + 1).cast("string")))
     hit = C.attribute_hits(F.array("other"), F.array("p_brand"), F.lit("")) == 1
     return x.select("p_partkey", C.token_set_ratio(F.col("p_brand"), F.col("other")).alias("ratio"), hit.alias("found"))
 
