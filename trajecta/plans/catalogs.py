@@ -10,6 +10,7 @@ from trajecta.operators import catalog as C
 from trajecta.operators import fulltext as FT
 from trajecta.operators import graph as G
 from trajecta.operators import stateful as S
+from trajecta.operators.batch import spread
 from trajecta.plans.base import plan, shipped, table
 from trajecta.sources.tables import shared_dir
 
@@ -70,7 +71,7 @@ def total_reward(s, d):
     hits = F.contains(F.lower("p_type"), F.lit("steel")).cast("int") + F.contains(F.lower("p_name"), F.lit("red")).cast("int")
     opt = C.option_hits(F.array(F.lit("powder snow")), F.array(F.when(F.col("p_size") % 2 == 0, F.lit("cool powder snow")).otherwise(F.lit("granite"))), [])
     r = C.total_reward(hits, opt, F.col("p_retailprice") <= 1000, F.lit(2), F.lit(1), C.type_reward(F.lit(False), cat, title))
-    return table(s, d, "part").withColumn("text", text).select("p_partkey", F.round(r, 6).alias("reward"))
+    return spread(table(s, d, "part"), "p_partkey").withColumn("text", text).select("p_partkey", F.round(r, 6).alias("reward"))
 
 
 #: Places as a graph: region to nation to customer to order.
