@@ -1,5 +1,6 @@
 """Work that grew faster than its input, or stayed on one core."""
 
+import re
 import time
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trajecta.operators import rewards, shop
+from trajecta.plans import catalogue
 
 
 def test_resamples_are_those_of_the_hash_with_nulls_and_ties(spark):
@@ -54,3 +56,11 @@ def test_listed_searches_rank_lists_and_not_pairs(spark):
     c = [i for i in range(11) if i % 3]
     want = [(s, p, r + 1) for s in (0, 1) for r, p in enumerate(range(11))] + [(2, p, r + 1) for r, p in enumerate(c)]
     assert sorted(map(tuple, found.collect())) == want
+
+
+def test_rows_of_one_small_file_are_worked_off_on_all_cores(spark, sf):
+    cores = spark.sparkContext.defaultParallelism
+    for name in ("fuzzy_attribute_match", "total_reward", "maths_grades", "product_pages"):
+        plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        n = re.search(r"RepartitionByExpression \[p_partkey#\d+L?\], (\d+)", plan)
+        assert n and int(n[1]) >= cores, name

@@ -10,6 +10,7 @@ from trajecta.functions import text as X
 from trajecta.operators import messages as M
 from trajecta.operators import shop as SH
 from trajecta.operators import stateful as S
+from trajecta.operators.batch import spread
 from trajecta.plans.base import plan, shipped, table
 
 PLANS: dict = {}
@@ -138,7 +139,7 @@ def product_pages(s, d):
     nodes, k = P.page_nodes(page), F.col("p_partkey")
     url = F.when(k % 3 == 0, F.concat(lit('/item/{"size": "size '), "p_size", lit('"}'))).otherwise(F.concat(lit("/item/size "), "p_size"))
     seen = F.when(k % 2 == 0, F.array(lit("B0"), F.concat(lit("B"), k))).otherwise(F.array().cast("array<string>"))
-    x = table(s, d, "part").select(k.alias("k"), nodes.alias("n"), url.alias("url"), seen.alias("seen"))
+    x = spread(table(s, d, "part"), "p_partkey").select(k.alias("k"), nodes.alias("n"), url.alias("url"), seen.alias("seen"))
     return x.select("k", P.rich_observation(F.col("n"), F.col("url"), F.col("seen")).alias("rich"), P.simple_observation(F.col("n")).alias("simple"))
 
 
