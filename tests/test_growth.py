@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trajecta.operators import rewards, shop
+from trajecta.operators import graph, rewards, shop
 from trajecta.plans import catalogue
+from trajecta.plans.base import parts_by_rows
 
 
 def test_resamples_are_those_of_the_hash_with_nulls_and_ties(spark):
@@ -64,3 +65,27 @@ def test_rows_of_one_small_file_are_worked_off_on_all_cores(spark, sf):
         plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
         n = re.search(r"RepartitionByExpression \[p_partkey#\d+L?\], (\d+)", plan)
         assert n and int(n[1]) >= cores, name
+
+
+def test_recipes_meet_by_names_and_not_pairwise(spark):
+    """6,000 inputs of one tag against 6,000 offered items that have it: 36 million pairs, which no join may make."""
+    n = 6000
+    inputs = spark.range(n).selectExpr("1L recipe", "concat('t', id) item", "true is_tag", "id % 7 count")
+    offers = spark.range(n).selectExpr("'ok' offer", "1L recipe", "concat('i', id) item", "id % 7 count").unionByName(spark.range(n - 1).selectExpr("'less' offer", "1L recipe", "concat('i', id) item", "id % 7 count"))
+    tags = spark.range(n).selectExpr("concat('i', id) item", "concat('t', id) tag")
+    found = graph.matches(offers, inputs, tags, 3)
+    assert {x.offer: x.valid for x in found.collect()} == {"ok": True, "less": False}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Join Inner, .*recipe", plan)
+    plain = graph.matches(offers, inputs.drop("is_tag"), parts=3)
+    assert {x.offer: x.valid for x in plain.collect()} == {"ok": False, "less": False}
+
+
+def test_recipes_are_dealt_by_rows_and_joined_with_none(spark):
+    inputs = spark.createDataFrame([(1, "a", 2), (1, "b", 1), (2, "a", 1)], "recipe int, item string, count int")
+    offers = spark.createDataFrame([("x", 1, "a", 1), ("x", 1, "a", 1), ("x", 1, "b", 1), ("y", 1, "a", 2), ("x", 2, "a", 1), ("x", 2, None, 1), ("y", 2, "b", 1), ("z", 3, "a", 1)], "offer string, recipe int, item string, count int")
+    found = graph.matches(offers, inputs, parts=5)
+    assert {(x.offer, x.recipe): x.valid for x in found.collect()} == {("x", 1): True, ("y", 1): False, ("x", 2): False, ("y", 2): False, ("z", 3): False}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and re.search(r"RepartitionByExpression \[recipe#\d+L?\], 5", plan)
+    assert parts_by_rows(spark.range(1000), 10) == 100 and parts_by_rows(spark.range(1), 10) == int(spark.conf.get("spark.sql.shuffle.partitions"))

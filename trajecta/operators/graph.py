@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajecta.sources.tables import cut
@@ -54,25 +54,44 @@ def rewrite_tags(inputs: DataFrame, members: DataFrame, craftable: DataFrame) ->
     return j.select("recipe", "name", (F.col("is_tag") & F.col("_t").isNotNull()).alias("is_tag"), "count")
 
 
-def matches(offers: DataFrame, inputs: DataFrame, tags: DataFrame | None = None) -> DataFrame:
+def matches(offers: DataFrame, inputs: DataFrame, tags: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """Offers (offer, recipe, item, count) that meet their recipe exactly: same items, same counts, nothing left over.
 
-    With ``tags`` (item, tag; an item has one) an input of ``inputs`` whose
-    is_tag is true is met by the tag itself or by any item that has it.
+    With ``tags`` (item, tag) an input of ``inputs`` whose is_tag is true is met
+    by the tag itself or by any item that has it.  Offers and inputs of a recipe
+    go to one of ``parts`` partitions, are sorted by name there and meet by
+    windows over a name, so no offered item is held against every input.
     """
+    parts = parts or int(offers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count, asked = F.col("count").cast("long").alias("count"), F.col("_asked")
+    wanted = inputs.select("recipe", "item", count, *(["is_tag"] if tags is not None else []), F.lit(True).alias("_asked"))
+    of_name, of_recipe = Window.partitionBy("recipe", "item"), Window.partitionBy("recipe")
+    known = F.col("offer").isNotNull() & F.col("recipe").isNotNull()
     if tags is None:
-        o = offers.groupBy("offer", "recipe", "item").agg(F.sum("count").alias("given"))
-        pairs = offers.select("offer", "recipe").distinct().join(inputs.select("recipe", "item", F.col("count").alias("want")), "recipe")
-        full = pairs.join(o, ["offer", "recipe", "item"], "full_outer")
-        return full.groupBy("offer", "recipe").agg(F.bool_and(F.col("want").eqNullSafe(F.col("given"))).alias("valid"))
-    o = offers.groupBy("offer", "recipe", "item").agg(F.sum("count").alias("given"))
-    o = o.join(tags.select("item", F.col("tag").alias("_tag")), "item", "left")
-    pairs = offers.select("offer", "recipe").distinct().join(inputs.select("recipe", F.col("item").alias("_w"), "is_tag", F.col("count").alias("want")), "recipe")
-    j = pairs.join(o, ["offer", "recipe"]).where(F.when(F.col("is_tag"), F.col("_tag").eqNullSafe(F.col("_w")) | (F.col("item") == F.col("_w"))).otherwise(F.col("item") == F.col("_w")))
-    met = j.where("given = want").groupBy("offer", "recipe").agg(F.count_distinct("_w", "is_tag").alias("_met"), F.count_distinct("item").alias("_used"))
-    need = pairs.groupBy("offer", "recipe").agg(F.count("*").alias("_need"))
-    have = offers.groupBy("offer", "recipe").agg(F.count_distinct("item").alias("_have"))
-    x = have.join(need, ["offer", "recipe"], "left").join(met, ["offer", "recipe"], "left")
+        rows = offers.select("offer", "recipe", "item", count, F.lit(False).alias("_asked")).unionByName(wanted, allowMissingColumns=True)
+        g = rows.repartition(parts, "recipe").groupBy("_asked", "offer", "recipe", "item").agg(F.sum("count").alias("given"), F.min("count").alias("_lo"), F.max("count").alias("_hi"), (F.count("*") > F.count("count")).alias("_open"))
+        ask = lambda c: F.max(F.when(asked, F.col(c))).over(of_name)
+        x = g.select("_asked", "offer", "recipe", "item", "given", ask("_lo").alias("_lo"), ask("_hi").alias("_hi"), ask("_open").alias("_open"), F.coalesce(F.sum(F.when(asked & F.col("_hi").isNotNull(), 1)).over(of_recipe), F.lit(0)).alias("_need"))
+        # a null count is met by none or a null one
+        met = known & F.col("item").isNotNull() & F.col("_open").isNotNull()
+        fits = F.when(met, F.col("_lo").eqNullSafe(F.col("given")) & F.col("_hi").eqNullSafe(F.col("given")) & (F.col("given").isNull() | ~F.col("_open"))).otherwise(F.col("given").isNull())
+        x = x.where(~asked).groupBy("offer", "recipe").agg(F.bool_and(fits).alias("_fits"), F.count(F.when(met & F.col("_hi").isNotNull(), 1)).alias("_met"), F.max(F.when(F.col("recipe").isNotNull(), F.col("_need")).otherwise(0)).alias("_need"))
+        return x.select("offer", "recipe", (F.col("_fits") & (F.col("_met") == F.col("_need"))).alias("valid"))
+    o = offers.select("offer", "recipe", "item", count).repartition(parts, "offer", "recipe").groupBy("offer", "recipe", "item").agg(F.sum("count").alias("count"))
+    sizes = cut(o.groupBy("offer", "recipe").agg(F.count("item").alias("_have")).join(inputs.groupBy("recipe").agg(F.count("*").alias("_need")), "recipe", "left"))
+    # only offers of as many items as are asked for can fit, and the names of no others are looked at
+    o = o.join(sizes.where("_have = _need").select("offer", "recipe").hint("shuffle_hash"), ["offer", "recipe"], "left_semi")
+    # every tag stands eight times, so one item of very many offers is dealt over eight places
+    deal = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("_deal")
+    t = tags.groupBy("item").agg(F.collect_set("tag").alias("_tags")).select("item", "_tags", deal).hint("shuffle_hash")
+    o = o.withColumn("_deal", F.pmod(F.xxhash64("recipe"), F.lit(8)).cast("int")).join(t, ["item", "_deal"], "left").drop("_deal").withColumn("_asked", F.lit(False))
+    own = F.array(F.struct(F.col("item").alias("item"), F.lit(False).alias("_by_tag")))
+    names = F.when(F.col("_tags").isNull(), own).otherwise(F.concat(own, F.transform("_tags", lambda v: F.struct(v.alias("item"), F.lit(True).alias("_by_tag")))))
+    x = o.unionByName(wanted, allowMissingColumns=True).repartition(parts, "recipe").withColumns({"_item": F.col("item"), "_name": F.explode(names)}).withColumns({"item": F.col("_name.item"), "_by_tag": F.col("_name._by_tag")})
+    want = lambda c: F.coalesce(F.col("count") == F.max(F.when(asked & c, F.col("count"))).over(of_name), F.lit(False)) & F.col("item").isNotNull()
+    x = x.select("_asked", "offer", "recipe", "_item", "item", "_by_tag", want(F.col("is_tag")).alias("_tag"), (want(~F.col("is_tag")) & ~F.col("_by_tag")).alias("_own")).where(~asked & (F.col("_tag") | F.col("_own")))
+    x = x.groupBy("offer", "recipe").agg((F.count_distinct(F.when(F.col("_tag"), F.col("item"))) + F.count(F.when(F.col("_own"), 1))).alias("_met"), F.count_distinct("_item").alias("_used"))
+    x = sizes.join(x, ["offer", "recipe"], "left")
     return x.select("offer", "recipe", F.coalesce((F.col("_met") == F.col("_need")) & (F.col("_used") == F.col("_have")) & (F.col("_need") == F.col("_have")), F.lit(False)).alias("valid"))
 
 

@@ -17,6 +17,11 @@ def shipped(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return table(spark, sf_dir, name)
 
 
+def parts_by_rows(df: DataFrame, rows: int = 250_000) -> int:
+    """Partitions for a shuffle of a table: one for so many of its rows, so that tasks keep their size when it grows; no fewer than Spark's own."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
+
+
 def plan(plans: dict, sql: str | None = None):
     """Decorator: register the function under its name."""
 

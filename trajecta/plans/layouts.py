@@ -10,9 +10,10 @@ from trajecta.operators import catalog as C
 from trajecta.operators import graph as G
 from trajecta.operators import layout as L
 from trajecta.operators import shop as SH
-from trajecta.plans.base import plan, shipped, table
+from trajecta.plans.base import parts_by_rows, plan, shipped, table
 from trajecta.plans.batches import ORD, lengths, orders
 from trajecta.plans.catalogs import BM
+from trajecta.sources.tables import cut
 
 PLANS: dict = {}
 
@@ -198,10 +199,10 @@ def ingredient_match_tags(s, d):
     """Inputs asked for by brand: offers of the parts themselves fit where no brand is asked for twice; one part more, or a wrong brand, never does."""
     i = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("recipe"), F.col("l_partkey").alias("p")).agg(F.sum(F.col("l_quantity").cast("long")).alias("count"))
     p = table(s, d, "part").select(F.col("p_partkey").alias("p"), "p_brand")
-    own = i.join(p, "p")
+    own = cut(i.join(p, "p"))
     inputs = own.select("recipe", F.col("p_brand").alias("item"), F.lit(True).alias("is_tag"), "count")
     offer = own.select("recipe", F.col("p").cast("string").alias("item"), "count")
     tags = p.select(F.col("p").cast("string").alias("item"), F.col("p_brand").alias("tag"))
     more = offer.select("recipe", F.lit("extra").alias("item"), F.lit(1).cast("long").alias("count")).distinct()
     offers = offer.withColumn("offer", F.lit("by_tag")).unionByName(offer.unionByName(more).withColumn("offer", F.lit("more"))).unionByName(offer.withColumns({"offer": F.lit("other_tag"), "item": F.lit("stone")}))
-    return G.matches(offers, inputs, tags).select("recipe", "offer", "valid")
+    return G.matches(offers, inputs, tags, parts_by_rows(table(s, d, "lineitem"))).select("recipe", "offer", "valid")
