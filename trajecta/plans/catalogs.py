@@ -11,7 +11,7 @@ from trajecta.operators import fulltext as FT
 from trajecta.operators import graph as G
 from trajecta.operators import stateful as S
 from trajecta.operators.batch import spread
-from trajecta.plans.base import plan, shipped, table
+from trajecta.plans.base import parts_by_rows, plan, shipped, table
 from trajecta.sources.tables import shared_dir
 
 PLANS: dict = {}
@@ -100,7 +100,7 @@ def ingredient_match(s, d):
     i = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("recipe"), F.col("l_partkey").alias("item")).agg(F.sum(F.col("l_quantity").cast("long")).alias("count"))
     exact = i.withColumn("offer", F.lit("exact"))
     less = i.withColumns({"offer": F.lit("less"), "count": F.col("count") - 1})
-    return G.matches(exact.unionByName(less), i).select("recipe", "offer", "valid")
+    return G.matches(exact.unionByName(less), i, parts=parts_by_rows(table(s, d, "lineitem"))).select("recipe", "offer", "valid")
 
 
 RECIPES = {"stick": [(4, {"planks": 2})], "planks": [(4, {"log": 1})]}
