@@ -89,3 +89,14 @@ def test_recipes_are_dealt_by_rows_and_joined_with_none(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and re.search(r"RepartitionByExpression \[recipe#\d+L?\], 5", plan)
     assert parts_by_rows(spark.range(1000), 10) == 100 and parts_by_rows(spark.range(1), 10) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_depths_are_written_once(spark, monkeypatch):
+    rows = []
+    cut = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: rows.append(cut(df)) or rows[-1])
+    edges = [(f"{d}.{i}", f"{d - 1}.{(i * 7 + j) % 12}") for d in range(1, 6) for i in range(12) for j in (0, 3)] + [("loop", "5.1"), ("loop", "loop"), ("5.1", None)]
+    e = spark.createDataFrame(edges, "recipe string, item string")
+    got = {x.item: x.depth for x in graph.min_depth(e.selectExpr("recipe", "recipe output").distinct(), e).collect()}
+    assert got == {f"{d}.{i}": d for d in range(6) for i in range(12)} | {None: 0}
+    assert sum(spark.read.schema(x.schema).parquet(x._trajecta_path).count() for x in rows if "depth" in x.columns) == len(got)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajecta.sources.tables import cut
+from trajecta.sources.tables import cut, discard
 
 
 def closure(edges: DataFrame, src: str, dst: str, start: DataFrame, node: str, rounds: int = 64) -> DataFrame:
@@ -25,20 +25,26 @@ def closure(edges: DataFrame, src: str, dst: str, start: DataFrame, node: str, r
 def min_depth(recipes: DataFrame, inputs: DataFrame, rounds: int = 64) -> DataFrame:
     """Least depth of every item: 0 for items without a recipe, else over its recipes the least of one more than the deepest input.
 
-    recipes (recipe, output), inputs (recipe, item).  Relaxed until nothing
-    changes; items whose every recipe needs a cycle get no row.
+    recipes (recipe, output), inputs (recipe, item).  Depth by depth: inputs of
+    the depth just reached are struck off, and recipes with none left give their
+    outputs the next one, so an input is met once.  Items whose every recipe
+    needs a cycle get no row.
     """
-    items = inputs.select("item").union(recipes.select(F.col("output").alias("item"))).distinct()
-    depth = cut(items.join(recipes.select(F.col("output").alias("item")).distinct(), "item", "left_anti").withColumn("depth", F.lit(0)))
-    need = inputs.groupBy("recipe").agg(F.count_distinct("item").alias("need"))
-    for _ in range(rounds):
-        known = inputs.distinct().join(depth, "item").groupBy("recipe").agg(F.count("*").alias("have"), F.max("depth").alias("deep"))
-        made = recipes.join(known, "recipe").join(need, "recipe").where("have = need").groupBy(F.col("output").alias("item")).agg((F.min("deep") + 1).alias("depth"))
-        fresh = cut(depth.where("depth = 0").unionByName(made))
-        same = fresh.exceptAll(depth).isEmpty()
-        depth = fresh
-        if same:
+    made = cut(recipes.select("recipe", F.col("output").alias("item")).distinct())
+    rest = cut(inputs.where("recipe is not null and item is not null").select("recipe", "item").distinct())
+    front = cut(inputs.select("item").union(made.select("item")).distinct().join(made.select("item"), "item", "left_anti").withColumn("depth", F.lit(0)))
+    depth = front
+    for k in range(1, rounds + 1):
+        hit = rest.join(front, "item", "left_semi").select("recipe").distinct()
+        left = cut(rest.join(front, "item", "left_anti"))
+        items = hit.join(left, "recipe", "left_anti").join(made, "recipe").select("item").distinct()
+        old = depth.select(F.col("item").alias("_old"))
+        front = cut(items.join(old, items["item"].eqNullSafe(old["_old"]), "left_anti").withColumn("depth", F.lit(k)))
+        discard(rest)
+        if front.isEmpty():
+            discard(left)
             return depth
+        rest, depth = left, depth.unionByName(front)
     raise RuntimeError("depths did not settle")
 
 
