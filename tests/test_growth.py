@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trajecta.operators import graph, rewards, shop
+from trajecta.operators import graph, layout, rewards, shop
 from trajecta.plans import catalogue
 from trajecta.plans.base import parts_by_rows
 
@@ -100,3 +100,14 @@ def test_depths_are_written_once(spark, monkeypatch):
     got = {x.item: x.depth for x in graph.min_depth(e.selectExpr("recipe", "recipe output").distinct(), e).collect()}
     assert got == {f"{d}.{i}": d for d in range(6) for i in range(12)} | {None: 0}
     assert sum(spark.read.schema(x.schema).parquet(x._trajecta_path).count() for x in rows if "depth" in x.columns) == len(got)
+
+
+def test_one_rank_is_worked_off_by_several_tasks(spark):
+    def work(parts):
+        for pdf in parts:
+            at = pdf["ordinal"].tolist()
+            yield pdf.assign(n=len(pdf), ok=at == sorted(at))[["rank", "ordinal", "n", "ok"]]
+
+    df = spark.range(1000).withColumnRenamed("id", "ordinal")
+    got = layout.dispatch(df, "rank_zero", "ordinal", 5, work, "rank int, ordinal long, n int, ok boolean", 8).collect()
+    assert sorted(x.ordinal for x in got) == list(range(1000)) and all(x.rank == 0 and x.ok for x in got) and max(x.n for x in got) < 500

@@ -138,8 +138,13 @@ def dp_compute(df: DataFrame, ordinal: str, ranks: int) -> DataFrame:
     return df.join(F.broadcast(n)).withColumn("rank", F.floor(F.col(ordinal) / each).cast("int")).drop("_n")  # one row
 
 
-def dispatch(df: DataFrame, name: str, ordinal: str, ranks: int, work, schema) -> DataFrame:
-    """Rows sent to ranks, worked off there (``work``: iterator of pandas frames to the same) and put together again."""
+def dispatch(df: DataFrame, name: str, ordinal: str, ranks: int, work, schema, parts: int | None = None) -> DataFrame:
+    """Rows sent to ranks, worked off there (``work``: iterator of pandas frames to the same) and put together again.
+
+    A rank's rows are worked off in their order, in stretches of neighbours by
+    several tasks where they are many (``parts`` over all ranks), so ``work``
+    sees a stretch of a rank, or several ranks after one another.
+    """
     if name not in MODES:
         raise ValueError(f"no mode named {name}")
-    return MODES[name](df, ordinal, ranks).repartition(ranks, "rank").sortWithinPartitions("rank", ordinal).mapInPandas(work, schema)
+    return MODES[name](df, ordinal, ranks).repartitionByRange(parts or ranks, "rank", ordinal).sortWithinPartitions("rank", ordinal).mapInPandas(work, schema)

@@ -65,6 +65,7 @@ def cumulative_weights(s, d):
 @plan(PLANS, f"with o as ({ORD}), n as (select count(*) n from o), x as (select 'dp_compute' mode_name, ordinal // (n // 5) \"rank\", o_orderkey from o, n where n % 5 = 0 union all select 'one_to_all', r, o_orderkey from o, (select unnest([0, 1, 2, 3, 4]) r) union all select 'rank_zero', 0, o_orderkey from o) select mode_name, cast(\"rank\" as int) \"rank\", count(*) n, cast(sum(o_orderkey) as bigint) keys from x group by 1, 2")
 def dispatch_modes(s, d):
     o = B.with_ordinal(shipped(s, d, "orders").select("o_orderkey"), ["o_orderkey"])
+    parts = parts_by_rows(o)
 
     def work(parts):
         for pdf in parts:
@@ -73,7 +74,7 @@ def dispatch_modes(s, d):
 
     out = None
     for name in L.MODES:
-        x = L.dispatch(o, name, "ordinal", 5, work, "rank int, o_orderkey long").groupBy(F.lit(name).alias("mode_name"), "rank").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+        x = L.dispatch(o, name, "ordinal", 5, work, "rank int, o_orderkey long", parts).groupBy(F.lit(name).alias("mode_name"), "rank").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
         out = x if out is None else out.unionByName(x)
     return out
 
