@@ -3,7 +3,7 @@
 import os
 import random
 import time
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,6 +84,56 @@ def test_sessions_by_the_clock(spark, tmp_path):
     assert [(x.key, x.reason, x.n, x.total, x.kinds) for x in got] == [(1, "expired", 2, 3.0, {"view": 2})]
 
 
+def test_sessions_cost_a_call_for_a_bucket_and_not_for_a_key(spark, tmp_path, monkeypatch):
+    src, calls, inner = str(tmp_path / "in"), str(tmp_path / "calls"), keyed._Sessions.handleInputRows
+
+    def counted(self, key, rows, timer_values):
+        with open(calls, "a") as f:
+            f.write("x")
+        yield from inner(self, key, rows, timer_values)
+
+    monkeypatch.setattr(keyed._Sessions, "handleInputRows", counted)
+    rows = [(k, ZERO + timedelta(minutes=m), 2 * k + m // 9, "logout" if k % 3 == 0 and m else "view", float(k)) for k in range(1500) for m in (0, 9)]
+    end = ZERO + timedelta(days=1)
+    spark.createDataFrame([*rows, (-1, end, 9999, "view", None)], EVENTS).coalesce(1).write.parquet(src)
+    with keyed.rocks(spark):
+        q = keyed.keyed_sessions(spark.readStream.schema(EVENTS).parquet(src), "user_id", "ts", "event_id", "event_type", "value", late="1 minute").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        q.awaitTermination(300)
+    got = ordered((x.key, x.reason, x.n, x.total, x.kinds) for x in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == plain_sessions(rows, "logout", timedelta(minutes=30), 100, end)
+    assert os.path.getsize(calls) <= 1024 < 1500
+
+
+def test_keys_of_a_bucket_stay_apart(spark, tmp_path):
+    """A null beside numbers that a double can't tell apart, in a night when the session's clock goes back an hour."""
+    src, out, keys = str(tmp_path / "in"), str(tmp_path / "out"), [None, 2**53, 2**53 + 1, -5]
+    r, at, rows = random.Random(8), datetime(2024, 11, 3, 4, 30, tzinfo=timezone.utc), []
+    for i in range(90):
+        at += timedelta(seconds=r.choice([1, 60, 400]), microseconds=r.choice([0, 300]))
+        rows.append((r.choice(keys), at, None if i % 9 == 0 else 2**53 + i, r.choice(["view", "view", "click", "logout"]), r.choice([None, 1.0, 2.5])))
+    end = at + timedelta(hours=3)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+
+    def run(part, buckets):
+        spark.createDataFrame(part, EVENTS).coalesce(1).write.mode("append").parquet(src)
+        with keyed.rocks(spark):
+            q = keyed.keyed_sessions(spark.readStream.schema(EVENTS).parquet(src), "user_id", "ts", "event_id", "event_type", "value", idle="8 minutes", every=4, late="1 minute", buckets=buckets).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(out)
+            q.awaitTermination(300)
+
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        run(rows[:40], 1)
+        run([*rows[40:], (7, end, 999, "view", None)], 1)
+        got = ordered((x.key, x.reason, x.n, x.total, x.kinds) for x in spark.read.parquet(out).collect())
+        with pytest.raises(Exception, match="another number of buckets"):
+            run([(k, end + timedelta(minutes=1), 1000, "view", None) for k in range(40)], 2)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == plain_sessions(rows, "logout", timedelta(minutes=8), 4, end)
+    with pytest.raises(ValueError):
+        keyed.keyed_sessions(spark.createDataFrame([], "k array<int>, ts timestamp, i int, e string, v double"), "k", "ts", "i", "e", "v")
+
+
 def files(path):
     return {os.path.join(d, x): os.stat(os.path.join(d, x)).st_mtime_ns for d, _, xs in os.walk(path) for x in xs if x.startswith("part-")}
 

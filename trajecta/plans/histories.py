@@ -10,7 +10,7 @@ from trajecta.functions import variants as V
 from trajecta.operators import compare as C
 from trajecta.operators import messages as M
 from trajecta.operators import shop as SH
-from trajecta.plans.base import plan, table
+from trajecta.plans.base import parts_by_rows, plan, table
 from trajecta.sources import tables as T
 from trajecta.sources.partlog import PartLog
 from trajecta.streaming import keyed as K
@@ -135,8 +135,9 @@ def session_rows(s, d):
     """All events as a stream through keyed state with timers, on a checkpoint in the shared folder."""
     at = f"{T.shared_dir(s)}/sessions-{uuid.uuid4().hex}"
     with K.rocks(s):
-        e = s.readStream.schema(table(s, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
-        rows = K.keyed_sessions(e, "user_id", "ts", "event_id", "event_type", "value", close="purchase", idle="6 hours", every=3, late="1 hour")
+        known = table(s, d, "events")
+        e = s.readStream.schema(known.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+        rows = K.keyed_sessions(e, "user_id", "ts", "event_id", "event_type", "value", close="purchase", idle="6 hours", every=3, late="1 hour", buckets=parts_by_rows(known, 5_000))
         q = rows.writeStream.format("parquet").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/out")
         q.awaitTermination()
     x = s.read.schema(rows.schema).parquet(f"{at}/out")

@@ -11,6 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import BooleanType, DateType, DoubleType, FloatType, IntegralType, NumericType, StringType
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -28,75 +29,82 @@ def rocks(spark: SparkSession):
 
 
 class _Sessions(StatefulProcessor):
-    """A run of each key: a value state for its totals, a map state for its counts by kind, and a timer for its end."""
+    """The open runs of a bucket of keys: a list state with a row for each, and a timer for the first of their ends."""
 
-    def __init__(self, columns: dict[str, str], close: str, idle_ms: int, every: int, by_clock: bool, ttl_ms: int | None):
-        self.columns, self.close_kind, self.idle, self.every, self.by_clock, self.ttl = columns, close, idle_ms, every, by_clock, ttl_ms
+    def __init__(self, close: str, idle_us: int, every: int, by_clock: bool, ttl_ms: int | None, buckets: int):
+        self.close_kind, self.idle, self.every, self.by_clock, self.ttl, self.buckets = close, idle_us, every, by_clock, ttl_ms, buckets
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         ttl = {"ttlDurationMs": self.ttl} if self.ttl else {}
-        self.run = handle.getValueState("run", "n long, total double, last long, timer long", **ttl)
-        self.kinds = handle.getMapState("kinds", "kind string", "n long", **ttl)
-
-    def _row(self, key, reason: str, n: int, total: float, kinds: dict) -> dict:
-        return {"key": key, "reason": reason, "n": n, "total": total, "kinds": dict(kinds)}
-
-    def _forget(self, timer: int | None) -> None:
-        if timer:
-            self.handle.deleteTimer(timer)
-        self.run.clear()
-        self.kinds.clear()
+        self.open = handle.getListState("open", "buckets int, key string, n long, total double, last long, ends long, kinds map<string,long>", **ttl)
+
+    def _now(self, timer_values) -> int:
+        return timer_values.getCurrentProcessingTimeInMs() if self.by_clock else timer_values.getCurrentWatermarkInMs()
+
+    def _wait(self) -> int:
+        return self.idle // 1000 + 1
+
+    def _read(self, now: int) -> tuple[dict, int | None]:
+        """Runs by key, and the timer that stands for them."""
+        rows = list(self.open.get())
+        if any(x[0] != self.buckets for x in rows):
+            raise ValueError("the checkpoint was made with another number of buckets")
+        # rows of a bucket are written together, so their own time to live is kept here
+        runs = {x[1]: tuple(x[2:]) for x in rows if not self.ttl or x[5] - self._wait() + self.ttl > now}
+        return runs, min((x[5] for x in rows), default=None)
+
+    def _write(self, runs: dict, timer: int | None) -> None:
+        if runs:
+            self.open.put([(self.buckets, k, *x) for k, x in runs.items()])
+        else:
+            self.open.clear()
+        first = min((x[3] for x in runs.values()), default=None)
+        if first != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if first is not None:
+                self.handle.registerTimer(first)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        c, out = self.columns, []
-        pdf = pd.concat(list(rows)).sort_values([c["at"], c["order"]], kind="stable")
-        state = self.run.get()
-        n, total, last, timer = state if state else (0, 0.0, None, None)
-        kinds = {k[0]: v[0] for k, v in self.kinds.iterator()} if state else {}
-        begun = False
-        for at, kind, x in zip(pdf[c["at"]].astype("int64").floordiv(_per_ms(pdf[c["at"]])).tolist(), pdf[c["kind"]].tolist(), pdf[c["value"]].tolist(), strict=True):
+        out, now = [], self._now(timerValues)
+        pdf = pd.concat(list(rows)).sort_values(["at", "order"], kind="stable")
+        runs, timer = self._read(now)
+        for k, at, kind, x in zip(*(pdf[c].tolist() for c in ("key", "at", "kind", "value")), strict=True):
+            k = None if k != k else k  # a null among texts
+            n, total, last, _, kinds = runs.pop(k, (0, 0.0, 0, 0, {}))
             if n and at - last > self.idle:
-                out.append(self._row(key[0], "expired", n, total, kinds))
-                n, total, kinds, begun = 0, 0.0, {}, True
-            n, total, last = n + 1, total + (0.0 if x is None or x != x else float(x)), at
+                out.append((k, "expired", n, total, kinds))
+                n, total, kinds = 0, 0.0, {}
+            n, total = n + 1, total + (0.0 if x is None or x != x else float(x))
             kinds[str(kind)] = kinds.get(str(kind), 0) + 1
             if kind == self.close_kind:
-                out.append(self._row(key[0], "closed", n, total, kinds))
-                n, total, kinds, begun = 0, 0.0, {}, True
-            elif n % self.every == 0:
-                out.append(self._row(key[0], "every", n, total, kinds))
-        if begun or not n:
-            self._forget(timer)
-        elif timer:
-            self.handle.deleteTimer(timer)
-        if n:
-            timer = (timerValues.getCurrentProcessingTimeInMs() if self.by_clock else last) + self.idle + 1
-            self.handle.registerTimer(timer)
-            self.run.update((n, total, last, timer))
-            for k, v in kinds.items():
-                self.kinds.updateValue((k,), (v,))
+                out.append((k, "closed", n, total, kinds))
+                continue
+            if n % self.every == 0:
+                out.append((k, "every", n, total, dict(kinds)))
+            runs[k] = (n, total, at, (now if self.by_clock else at // 1000) + self._wait(), kinds)
+        self._write(runs, timer)
         yield _frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state = self.run.get()
-        if state:
-            yield _frame([self._row(key[0], "expired", state[0], state[1], {k[0]: v[0] for k, v in self.kinds.iterator()})])
-        self._forget(None)
+        now = self._now(timerValues)
+        runs, timer = self._read(now)
+        ended = {k: x for k, x in runs.items() if x[3] <= now}
+        # Spark takes away the timer that has fired
+        self._write({k: x for k, x in runs.items() if k not in ended}, None if timer == expiredTimerInfo.getExpiryTimeInMs() else timer)
+        if ended:
+            yield _frame([(k, "expired", n, total, kinds) for k, (n, total, _, _, kinds) in ended.items()])
 
     def close(self) -> None:
         pass
 
 
-def _per_ms(at: pd.Series) -> int:
-    return {"ns": 1_000_000, "us": 1_000, "ms": 1}[at.dt.unit]
-
-
-def _frame(rows: list[dict]) -> pd.DataFrame:
+def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["key", "reason", "n", "total", "kinds"])
 
 
-def keyed_sessions(events: DataFrame, key: str, at: str, order: str, kind: str, value: str, close: str = "logout", idle: str = "30 minutes", every: int = 100, late: str = "10 minutes", by_clock: bool = False, ttl: str | None = None) -> DataFrame:
+def keyed_sessions(events: DataFrame, key: str, at: str, order: str, kind: str, value: str, close: str = "logout", idle: str = "30 minutes", every: int = 100, late: str = "10 minutes", by_clock: bool = False, ttl: str | None = None, buckets: int = 1024) -> DataFrame:
     """A stream's sessions: (key, reason, n, total, kinds), a row whenever one closes, expires, or has grown by ``every`` events.
 
     A session ends with an event of the kind ``close`` or after ``idle`` without
@@ -104,22 +112,35 @@ def keyed_sessions(events: DataFrame, key: str, at: str, order: str, kind: str,
     behind) has passed its end.  With ``by_clock`` timers go by the machine's
     clock instead, and state that was not written for ``ttl`` is dropped.  A
     key's next event begins a new session, with nothing kept of the one before.
-    Rows of a micro-batch are taken in the order of ``at`` and ``order``; a
-    key's rows of one micro-batch are in memory at once.  Null values count 0.
-    Rows with a null key are one key; rows with a null time are left out; a time
-    without a zone is one of the session's.
+    Rows of a micro-batch are taken in the order of ``at`` and ``order``.  Null
+    values count 0.  Rows with a null key are one key; rows with a null time are
+    left out; a time without a zone is one of the session's.
+
+    Keys, which are numbers, texts, dates or booleans, are dealt by hash into
+    ``buckets``, as a call of the processor, its state and its answer cost far
+    more than a key's few events.  A bucket's rows of one micro-batch, and its
+    open sessions, are in memory at once.  The number of buckets stays as it is
+    for the life of a checkpoint.
     """
     ms = lambda x: int(pd.Timedelta(x).total_seconds() * 1000)
     if ttl and not by_clock:
         raise ValueError("a time to live goes with the clock")
+    kind_of = events.schema[key].dataType
+    if not isinstance(kind_of, NumericType | StringType | DateType | BooleanType):
+        raise ValueError(f"a key of type {kind_of.simpleString()}")
     # the driver's own Python runner does not see shipped files
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    processor = _Sessions({"at": at, "order": order, "kind": kind, "value": value}, close, ms(idle), every, by_clock, ms(ttl) if ttl else None)
-    rows = events.select(key, F.col(at).cast("timestamp").alias(at), order, kind, value).where(F.col(at).isNotNull())
-    rows = rows if by_clock else rows.withWatermark(at, late)
-    kind_of = events.schema[key].dataType.simpleString()
-    out = f"key {kind_of}, reason string, n long, total double, kinds map<string,long>"
-    return rows.groupBy(key).transformWithStateInPandas(processor, out, "Append", "ProcessingTime" if by_clock else "EventTime")
+    processor = _Sessions(close, ms(idle) * 1000, every, by_clock, ms(ttl) if ttl else None, buckets)
+    # a null among whole numbers would make them fractions in pandas
+    placed = F.coalesce(F.col(order).cast("long"), F.lit(2**63 - 1)) if isinstance(events.schema[order].dataType, IntegralType) else F.col(order)
+    rows = events.select(F.col(key).alias("key"), F.col(at).cast("timestamp").alias("time"), placed.alias("order"), F.col(kind).alias("kind"), F.col(value).alias("value")).where("time is not null")
+    rows = rows if by_clock else rows.withWatermark("time", late)
+    whole = F.col("key") + 0.0 if isinstance(kind_of, FloatType | DoubleType) else F.col("key")
+    bucket = F.pmod(F.xxhash64(whole), F.lit(buckets)).cast("int").alias("bucket")
+    rows = rows.select(bucket, whole.cast("string").alias("key"), "time", F.unix_micros("time").alias("at"), "order", "kind", "value")
+    out = "key string, reason string, n long, total double, kinds map<string,long>"
+    found = rows.groupBy("bucket").transformWithStateInPandas(processor, out, "Append", "ProcessingTime" if by_clock else "EventTime")
+    return found.withColumn("key", F.col("key").cast(kind_of))
 
 
 def _folders(spark: SparkSession, path: str) -> list[str]:
