@@ -59,6 +59,25 @@ def test_listed_searches_rank_lists_and_not_pairs(spark):
     assert sorted(map(tuple, found.collect())) == want
 
 
+def test_listed_products_come_with_runs_of_searches_in_many_tasks(spark):
+    lists = spark.createDataFrame([(p, "<a> x") for p in range(300)] + [(p, "<c> y") for p in range(0, 300, 7)] + [(None, "<c> y")], "product long, _v string").repartition(3)
+    searches = [(s, "<a> x") for s in range(300)] + [(5, "<c> y"), (5, "<c> y"), (None, "<c> y"), (7, "<q> none"), (8, None)]
+    asked = spark.createDataFrame(searches, "search long, _v string").repartition(3)
+    own = {"<a> x": list(range(300)), "<c> y": [None, *range(0, 300, 7)]}
+    want = sorted(((s, p, r + 1) for s, v in searches if v in own for r, p in enumerate(own[v])), key=repr)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for long lists
+    try:
+        tasks = shop.listed_products(asked, lists).rdd.glom().collect()
+        assert sorted((tuple(r) for t in tasks for r in t), key=repr) == want
+        # a product stands once for the run of 300 searches, not once for each search
+        assert sum(1 for t in tasks for a, b in zip(t, t[1:]) if a["product"] != b["product"]) <= 300 + len(own["<c> y"])
+        small = shop.listed_products(asked, lists, block=32, run=16, pairs=5000)
+        assert sorted(map(tuple, small.collect()), key=repr) == want and small.rdd.getNumPartitions() >= len(want) / 5000
+        assert max(len(t) for t in small.rdd.glom().collect()) < len(want) / 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_rows_of_one_small_file_are_worked_off_on_all_cores(spark, sf):
     cores = spark.sparkContext.defaultParallelism
     for name in ("fuzzy_attribute_match", "total_reward", "maths_grades", "product_pages"):

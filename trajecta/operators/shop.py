@@ -12,6 +12,10 @@ from trajecta.operators import catalog
 SEARCH_RETURN = 50
 #: Products of a list that meet its searches in one group.
 LIST_BLOCK = 4096
+#: Searches that a product is given with at once.
+SEARCH_RUN = 512
+#: Pairs of searches and products for one task.
+TASK_PAIRS = 1 << 25
 
 
 def unit_hash(*parts: Column) -> Column:
@@ -40,20 +44,33 @@ def routed(searches: DataFrame, products: DataFrame, search: str, keywords: str,
     return listed.unionByName(best.select("search", "product", "rank")).unionByName(random_products(q.where("mark = '<r>'"), p, k))
 
 
-def listed_products(searches: DataFrame, lists: DataFrame, block: int = LIST_BLOCK) -> DataFrame:
+def listed_products(searches: DataFrame, lists: DataFrame, block: int = LIST_BLOCK, run: int = SEARCH_RUN, pairs: int = TASK_PAIRS) -> DataFrame:
     """(search, product, rank) of all products in the list of each search; searches (search, _v), lists (product, _v).
 
     Places come from the lists, so the pairs, which are as many as their result, are
-    never sorted; long lists meet their searches block by block.
+    never sorted.  A list's searches stand in runs, which meet its products block by
+    block, in one task for ``pairs`` pairs.  A product comes with a whole run of
+    searches, and the next product with the same run, so that columnar files of the
+    result hold a product and its rank once a run and the searches as a repeated pattern.
     """
     from trajecta.operators.batch import with_ordinal
 
     own = with_ordinal(lists.join(searches.select("_v").distinct(), "_v", "left_semi"), ["_v", "product"], "_pos")
     first = own.groupBy("_v").agg(F.min("_pos").alias("_first"), F.count("*").alias("_n"))
-    own = own.join(first.select("_v", "_first"), "_v").withColumn("_i", F.col("_pos") - F.col("_first"))
-    own = own.select("_v", F.floor(F.col("_i") / block).alias("_b"), "product", (F.col("_i") + 1).cast("int").alias("rank"))
-    asked = searches.join(first, "_v").select("search", "_v", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / block))).alias("_b"))
-    return asked.join(own, ["_v", "_b"]).select("search", "product", "rank")
+    asked = with_ordinal(searches.where("_v is not null"), ["_v", "search"], "_pos")
+    size = first.join(asked.groupBy("_v").agg(F.min("_pos").alias("_from"), F.count("*").alias("_m")), "_v")
+    total = size.agg(F.sum(F.col("_n") * F.col("_m"))).first()[0] or 0
+    parts = max(int(searches.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // pairs))
+    upto = lambda n, k: F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(n) - 1) / k)))
+    own = own.join(size, "_v").withColumn("_i", F.col("_pos") - F.col("_first"))
+    own = own.select("_v", F.floor(F.col("_i") / block).alias("_b"), upto("_m", run).alias("_r"), "product", (F.col("_i") + 1).cast("int").alias("rank"))
+    asked = asked.join(size, "_v").withColumn("_r", F.floor((F.col("_pos") - F.col("_from")) / run))
+    asked = asked.groupBy("_v", "_n", "_r").agg(F.sort_array(F.collect_list(F.struct("search"))).alias("_s"))  # structs, so that a null id stays
+    asked = asked.select("_v", "_r", F.col("_s")["search"].alias("_s"), upto("_n", block).alias("_b"))
+    meet = ["_v", "_b", "_r"]
+    # products on the left: what a row of the left side gives is held at once, and here that is one run
+    met = own.repartition(parts, *meet).join(asked.repartition(parts, *meet).hint("merge"), meet)
+    return met.select(F.explode("_s").alias("search"), "product", "rank")
 
 
 def random_products(searches: DataFrame, products: DataFrame, k: int) -> DataFrame:
